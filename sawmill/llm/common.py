@@ -6,8 +6,9 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,8 +73,7 @@ def ranked(df: DataFrame, group: str, rank: str) -> DataFrame:
     No group is gathered: every task numbers its own rows, and a table of one row per task and group gives
     where each task's numbers begin. ``group`` may have few values (shards, lengths) or null.
     """
-    spark = df.sparkSession
-    schema = df.schema.add("_task", "long").add("_at", "long")
+    schema = StructType([*df.schema.fields, StructField("_task", LongType()), StructField("_at", LongType())])
 
     def number(batches):
         import numpy as np
@@ -91,8 +91,6 @@ def ranked(df: DataFrame, group: str, rank: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(g), task, np.int64)), pa.array(at)], names=[*batch.schema.names, "_task", "_at"])
 
     done = saved(df.mapInArrow(number, schema), "ranked")
-    from pyspark.sql import Window
-
     # a task may have several files or splits: group by the number that it wrote, not by where a row is read from
     begin = done.groupBy("_task", group).agg(F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("_task").alias("_t"), F.col(group).alias("_g"), F.coalesce("_base", F.lit(0)).alias("_base"))
     return done.join(begin, (F.col("_task") == F.col("_t")) & F.col(group).eqNullSafe(F.col("_g"))).withColumn(rank, F.col("_at") + F.col("_base")).drop("_task", "_at", "_t", "_g", "_base")
@@ -111,6 +109,3 @@ def bits_of(ids: DataFrame, column: str, log2_bits: int = 23) -> bytes:
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out.tobytes()
 
-
-def col(name: str) -> Column:
-    return F.col(f"`{name}`")

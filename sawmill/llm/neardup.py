@@ -214,9 +214,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     if not is_empty(second):
         links = links.union(saved(_confirmed(second.distinct(), docs, one), "links"))
         roots = components(links)
-    labelled = named.select("doc_id", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "cls", F.coalesce("root", "cls").alias("root"))
+    labelled = one.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "cls", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component"))
-    of = labelled.select("cls", "root").distinct().join(least, "root").select("cls", "component")
+    of = labelled.join(least, "root").select("cls", "component")
     return digest.join(of, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     ).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sawmill.llm import textbytes as tb
 from sawmill.llm.common import ranked
@@ -231,7 +232,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             keep = [i for i, c in enumerate(batch.schema.names) if c != "_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(t[at, 3] + rank - t[at, 1]), pa.array(t[at, 4])], names=[*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
-    return rows.mapInArrow(place, cut.schema.add("sequence_id", "long").add("offset", "long"))
+    return rows.mapInArrow(place, StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def best_fit_packing(documents: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

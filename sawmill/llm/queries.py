@@ -41,12 +41,26 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_captures(spark, _table(spark, sf_dir, "pages"))
 
 
+def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sawmill.llm.sharding import shards_by_bytes
+
+    return shards_by_bytes(_table(spark, sf_dir, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sawmill.llm.pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
+    "op9_minimax_sharding": op9_minimax_sharding,
+    "op10_personal_data": op10_personal_data,
 }
 
 OP1_SQL = r"""

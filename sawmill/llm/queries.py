@@ -17,6 +17,12 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sawmill.llm.secrets import secret_findings
+
+    return secret_findings(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sawmill.llm.neardup import near_duplicates
 
@@ -41,6 +47,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_captures(spark, _table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sawmill.llm.linededup import without_repeated_chunks
+
+    return without_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sawmill.llm.sharding import shards_by_bytes
 
@@ -55,10 +67,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_secret_scan": op2_secret_scan,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_personal_data": op10_personal_data,
 }
@@ -94,7 +108,20 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d
 """
 
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, i, len(ls) AS n, ls[i] AS line, CAST('0x' || substr(md5(ls[i]), 1, 7) AS BIGINT) AS h FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+c AS (SELECT *, CASE WHEN i > 1 AND ((lag(h) OVER w * 31 + h) % 1000003) % 2 = 0 THEN 1 ELSE 0 END AS cut FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
+k AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM c),
+b AS (SELECT rid, doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY rid, doc_id, no),
+o AS (SELECT *, n >= 2 AND (doc_id <> min(doc_id) OVER (PARTITION BY body, n >= 2) OR row_number() OVER (PARTITION BY rid, body, n >= 2 ORDER BY no) > 1) AS gone FROM b),
+t AS (SELECT rid, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS n_removed, coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '') AS new_text FROM o GROUP BY rid)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN new_text END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN t USING (rid)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op7_warc": OP7_SQL,
+    "op8_line_dedup": OP8_SQL,
 }

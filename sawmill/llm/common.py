@@ -109,3 +109,38 @@ def bits_of(ids: DataFrame, column: str, log2_bits: int = 23) -> bytes:
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out.tobytes()
 
+
+
+def whole_runs(batches, columns: list[str]):
+    """From batches sorted by ``columns``: tables of whole runs of equal values there, with the runs' bounds (two arrays)."""
+    import numpy as np
+
+    def bounds(t):
+        change = np.zeros(max(0, len(t) - 1), bool)
+        for c in columns:
+            v = t[c].to_numpy()
+            change |= v[1:] != v[:-1]
+        return np.flatnonzero(change) + 1
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        cut = bounds(t)
+        if len(cut):
+            yield t.slice(0, cut[-1]), np.concatenate(([0], cut[:-1])), cut
+        rest = t.slice(cut[-1]) if len(cut) else t
+    if rest is not None and len(rest):
+        yield rest, np.zeros(1, np.int64), np.array([len(rest)])
+
+
+def in_blocks(rows: DataFrame, key: str, block: int, salt: str) -> DataFrame:
+    """rows of a key with many rows, dealt to pairs of blocks: any two rows of a key meet under one (key, low, high).
+
+    Each key's rows fall into blocks of about ``block`` rows by a hash of the column ``salt``; a row of block i goes to
+    every pair (low, high) that i is in. So no task takes a whole hot key, and keys of one row are dropped. Adds block, low, high.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key"), F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    rows = rows.join(sizes, F.col(key) == F.col("_key")).withColumn("block", F.expr(f"cast(pmod(xxhash64({salt}, 3), _blocks) as int)"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_key", "_blocks", "_other")

@@ -61,8 +61,17 @@ def distance_pairs(found: DataFrame, limit: float = NEAR) -> DataFrame:
 
 
 def clusters(found: DataFrame, limit: float = JOINED) -> DataFrame:
-    """samples with a cluster: the smallest sample_id reachable by distances of at most ``limit``."""
-    roots = components(saved(distance_pairs(found, limit), "pairs").select("a", "b"))
+    """samples with a cluster: the smallest sample_id reachable by distances of at most ``limit``.
+
+    Samples with the same word tokens in the same order are one from the start, by a link to the first of them; only these
+    firsts meet in pairs, so a shape of many samples costs a link for each.
+    """
+    words = F.array_join(F.filter(T.tokens(F.col("sample_text")), T.is_word_token), " ")
+    shaped = saved(found.withColumn("shape", F.xxhash64("dataset", words)), "shapes")
+    firsts = shaped.groupBy("shape").agg(F.min("sample_id").alias("a"))
+    stars = shaped.join(firsts, "shape").select("a", F.col("sample_id").alias("b"))
+    heads = found.join(firsts.select(F.col("a").alias("sample_id")), "sample_id", "left_semi")
+    roots = components(saved(distance_pairs(heads, limit).select("a", "b").union(stars), "pairs"))
     return found.join(roots.withColumnsRenamed({"node": "sample_id", "root": "cluster"}), "sample_id", "left").withColumn("cluster", F.coalesce("cluster", "sample_id"))
 
 
@@ -124,7 +133,7 @@ def split_clusters(clustered: DataFrame, base: int = SPLIT_BASE) -> DataFrame:
     gaps = saved(gaps, "gaps")
     lines = clustered.groupBy("cluster").agg(F.sum("log_num").alias("lines"))
     values = gaps.groupBy("cluster", "gap").agg(F.count_distinct("value").alias("values"), F.bool_or(T.has_word(F.col("value"))).alias("worded")).join(lines, "cluster")
-    most = F.round(F.log(F.lit(float(base)), F.greatest(F.col("lines"), F.lit(1))))
+    most = F.rint(F.log(float(base), F.greatest(F.col("lines"), F.lit(1))))
     chosen = values.where("values > 1 and worded").where(F.col("values") <= most).groupBy("cluster").agg(F.min_by("gap", F.struct("values", "gap")).alias("gap"))
     branch = gaps.join(chosen, ["cluster", "gap"]).select("sample_id", F.when(F.col("value") == "", "{V}").otherwise(F.col("value")).alias("branch"))
     return clustered.join(branch, "sample_id", "left")

@@ -1,0 +1,367 @@
+"""Operators on documents against plain versions, on edge cases and on the smallest tables."""
+
+import bisect
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sawmill.llm import decontam, linededup, neardup, packing, pii, quality, secrets, sharding
+from sawmill.llm.fmindex import FMIndex
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def rows_of(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(params=["edge", "table"])
+def docs(request, edge, sf):
+    return edge if request.param == "edge" else sf("documents")
+
+
+# MinHash ------------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if x]
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def plain_components(rows):
+    sets = defaultdict(list)
+    for i, t in rows:
+        if i is not None:
+            sets[i].append(shingles(t))
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in combinations(sorted(sets), 2):
+        if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates_equal_all_pairs(docs):
+    rows = rows_of(docs)
+    want = plain_components(rows)
+    got = neardup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles) for r in got) == sorted((i is None, i or 0, len(shingles(t))) for i, t in rows)
+    for r in got:
+        assert r.component_id == (None if r.doc_id is None else want[r.doc_id]) and r.kept == (r.doc_id is None or r.component_id == r.doc_id)
+
+
+def test_near_duplicates_of_a_chain_and_a_large_group(spark):
+    words = [f"v{i}" for i in range(60)]
+    chain = [(k, " ".join(words[k * 2 : k * 2 + 30])) for k in range(12)]
+    group = [(100 + k, " ".join(["same"] * 3 + [f"u{j}" for j in range(50) if j != k % 50] + [f"x{k}"])) for k in range(80)]
+    df = spark.createDataFrame(chain + group, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert got == plain_components(chain + group)
+    assert neardup.drop_near_duplicates(df).count() == len(set(got.values()))
+
+
+def test_near_duplicates_of_nothing(edge):
+    assert neardup.near_duplicates(edge.where("false")).count() == 0
+
+
+# Decontamination ----------------------------------------------------------------------------------
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def plain_contamination(rows, items):
+    phrases = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        if i is not None:
+            for k in range(len(w) - n + 1) if n else ():
+                phrases[tuple(w[k : k + n])].add(i)
+    out = []
+    for d, t in rows:
+        w, hit, found = words(t), set(), set()
+        for n in {len(p) for p in phrases}:
+            for k in range(len(w) - n + 1):
+                if (p := tuple(w[k : k + n])) in phrases:
+                    hit |= set(range(k, k + n))
+                    found |= phrases[p]
+        ids = sorted(map(str, found))
+        out.append((d, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+ITEMS = [(1, " ".join(f"W{i * 7919 % 1009}" for i in range(20, 45))), (10, "Three words!"), (2, " ".join(f"w{i * 7919 % 1009}" for i in range(30, 40))), (2, "ß"), (3, ""), (4, None), (None, "one two three")]
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK, 40])
+def test_contamination_equals_all_windows(spark, docs, sf, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    items = ITEMS if "cls" in docs.columns else [tuple(r) for r in sf("benchmark").limit(12).collect()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(docs, bench).drop("spans").collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(key, map(tuple, got))) == sorted(map(key, plain_contamination(rows_of(docs), items)))
+
+
+def test_removal_leaves_no_phrase(spark, docs, sf):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string") if "cls" in docs.columns else sf("benchmark")
+    clean = decontam.without_benchmark(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert decontam.contamination(clean, bench).where("contaminated").count() == 0
+    dirty = {r.doc_id for r in decontam.contamination(docs, bench).where("contaminated").collect()}
+    before, after = dict(rows_of(docs)), dict(rows_of(clean))
+    assert dirty and all(before[i] == after[i] for i in before if i not in dirty)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=60), st.lists(st.integers(1, 4), min_size=1, max_size=4))
+def test_fm_index_equals_scan(text, phrase):
+    index = FMIndex(np.array(text, np.int64), 4)
+    low, high = index.search(np.array([phrase]))
+    want = [i for i in range(len(text) - len(phrase) + 1) if text[i : i + len(phrase)] == phrase]
+    assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
+
+
+# Quality ------------------------------------------------------------------------------------------
+
+
+def test_quality(spark, sf):
+    docs, labels = sf("documents"), sf("labels")
+    got = quality.quality_scores(docs, labels).collect()
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    assert len(got) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    tested = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
+    assert tested and sum(a == b for a, b in tested) / len(tested) >= 0.8
+    # labels of rows held out change nothing
+    turned = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {(r.doc_id, r.score) for r in quality.quality_scores(docs.drop("lang", "source"), turned).collect()} == {(r.doc_id, r.score) for r in got}
+
+
+def test_quality_edges(spark, edge):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in quality.quality_scores(edge, none).collect()} == {0.5}
+    one = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    assert quality.quality_scores(edge, one).count() == edge.count()
+    assert quality.good_documents(edge, none).where("doc_id is null").count() == 1
+    assert quality.quality_scores(edge.where("false"), one).count() == 0
+
+
+# Packing ------------------------------------------------------------------------------------------
+
+
+def test_packing_equals_the_tokenizer(docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    got = packing.best_fit_packing(docs, with_ids=True).collect()
+    want = []
+    for d, t in rows_of(docs):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        for p in range(-(-len(ids) // 2048)):
+            piece = ids[p * 2048 : (p + 1) * 2048]
+            want.append((d or 0, p, p * 2048, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), piece))
+    assert sorted(want) == sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32, r.ids) for r in got)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 2
+
+
+@pytest.mark.parametrize("text", ["it's HE'LL ''s a'b ,'s x,'s 12a3 <|endoftext|> Foo<|startoftext|>bar", "éa Å İx ΣΑΣ naïve—b, (x)...!?  a", "½ ٣٤ x́,y ,́x 'Re 'RE don'T", "\x1c a\x1fb \x85 c \x0b\x0c"])
+def test_units_equal_the_tokenizer(text):
+    units = packing.Units(packing.default_tokenizer())
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids, _ = units.tokens(raw, np.array([0, len(raw)]))
+    assert ids.tolist() == [*units.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
+def test_plans_place_every_piece_once(histogram):
+    table, sequences = packing.plan(histogram, 64)
+    seen, load = defaultdict(set), defaultdict(list)
+    for length, first, n, sequence, offset in table.tolist():
+        for k in range(n):
+            assert first + k not in seen[length]
+            seen[length].add(first + k)
+            load[sequence + k].append((offset, length))
+    assert {k: set(range(v)) for k, v in histogram.items()} == dict(seen)
+    assert len(load) == sequences
+    for b in load.values():
+        ends = [0, *np.cumsum([x for _, x in sorted(b)]).tolist()]
+        assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 64
+
+
+def test_exact_complements_come_first():
+    assert packing.plan({50: 4, 14: 1, 10: 1, 4: 1, 9: 1, 3: 1, 2: 1, 64: 1}, 64)[1] == 5
+
+
+# Sharding -----------------------------------------------------------------------------------------
+
+
+def plain_capacity(rows, shards):
+    groups = defaultdict(int)
+    for _, t in rows:
+        groups[int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)] += len((t or "").encode()) + 1
+    sizes = [groups[k] for k in sorted(groups)]
+
+    def fits(c):
+        n, load = 1, 0
+        for s in sizes:
+            if load + s > c:
+                n, load = n + 1, 0
+            load += s
+        return n <= shards
+
+    return bisect.bisect_left(range(sum(sizes) + 1), True, lo=max(sizes), key=fits)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_shards_are_minimax(docs, shards):
+    rows, got = rows_of(docs), sharding.shards_by_bytes(docs, shards).collect()
+    load, slots, home = defaultdict(int), defaultdict(list), {}
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        assert home.setdefault((r["text_crc32"], r["size"]), r["shard"]) == r["shard"] and 0 <= r["shard"] < shards
+    assert max(load.values()) == plain_capacity(rows, shards)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted((r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == sorted((i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+
+
+def test_shards_of_nothing(edge):
+    assert sharding.shards_by_bytes(edge.where("false")).count() == 0
+
+
+# Personal data ------------------------------------------------------------------------------------
+
+
+def plain_spans(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 12 <= len(d) <= 19 and sum(c if i % 2 == 0 else (2 * c if c < 5 else 2 * c - 9) for i, c in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end(), "card"))
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_personal_data_equals_patterns(docs):
+    want = sorted((i or 0, hashlib.sha256(plain_spans(t or "").encode()).hexdigest()) for i, t in rows_of(docs))
+    got = pii.personal_data(docs).collect()
+    assert sorted((r.doc_id or 0, r.base_sha256) for r in got) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab@.1+- (9éA", max_size=40))
+def test_spans_equal_patterns(text):
+    assert ",".join(f"{k}:{a}:{b}" for a, b, k, _ in pii.spans(text) if k != "iban") == plain_spans(text)
+
+
+def test_checks_and_redaction(edge):
+    got = {r.doc_id: r for r in pii.personal_data(edge).collect()}
+    assert got[22].spans.endswith("iban:5:32") and got[21].n_card == 1 and got[21].n_phone == 1 and got[20].n_email == 1
+    clean = {r.doc_id: r.text for r in pii.redacted(edge).collect()}
+    assert "<IBAN>" in clean[22] and "4539" not in clean[21] and clean[7] is None and clean[9] == "only three words"
+
+
+# Line dedup ---------------------------------------------------------------------------------------
+
+
+def plain_line_dedup(rows):
+    chunks, owner = [], {}
+    for i, t in rows:
+        if t is None:
+            chunks.append((i, None))
+            continue
+        lines = t.split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+        ends = [k for k in range(len(lines)) if k == len(lines) - 1 or (k and ((h[k - 1] * 31 + h[k]) % 1000003) % 2 == 0)]
+        parts = ["\n".join(lines[a + 1 : b + 1]) for a, b in zip([-1, *ends], ends)]
+        sizes = [b - a for a, b in zip([-1, *ends], ends)]
+        chunks.append((i, list(zip(parts, sizes))))
+        for p, n in chunks[-1][1]:
+            if n > 1:
+                owner[p] = min(owner.get(p, 1 << 63), (1 << 63) - 1 if i is None else i)
+    out = []
+    for i, parts in chunks:
+        if parts is None:
+            out.append((i, None))
+            continue
+        seen, kept = set(), []
+        for p, n in parts:
+            if n == 1 or (owner[p] == ((1 << 63) - 1 if i is None else i) and p not in seen):
+                kept.append(p)
+            seen.add(p)
+        out.append((i, "\n".join(kept)))
+    return out
+
+
+def test_line_dedup_equals_plain(docs):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    got = linededup.without_repeated_chunks(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(key, rows_of(got))) == sorted(map(key, plain_line_dedup(rows_of(docs))))
+
+
+def test_line_dedup_resists_shifts(spark):
+    shared = "\n".join(f"shared line {i} of a passage" for i in range(40))
+    df = spark.createDataFrame([(1, "head\n" + shared), (2, "a\nb\nc\n" + shared + "\nend"), (3, "clean\ntext\nhere")], "doc_id long, text string")
+    got = dict(rows_of(linededup.without_repeated_chunks(df)))
+    assert got[1].endswith(shared) and got[3] == "clean\ntext\nhere" and len(got[2]) < len(shared) / 2
+    assert linededup.without_repeated_chunks(df.where("false")).count() == 0
+
+
+def test_line_dedup_stays_in_the_jvm(spark, edge):
+    plan = linededup.without_repeated_chunks(edge)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# Secrets ------------------------------------------------------------------------------------------
+
+
+def test_candidates_equal_the_pattern(docs):
+    pattern = re.compile(secrets.PATTERN)
+    want = sorted((i or 0, m.start(), m[0]) for i, t in rows_of(docs) for m in pattern.finditer(t or ""))
+    assert sorted((r.doc_id or 0, r.start, r.candidate) for r in secrets.candidates(docs).collect()) == want
+
+
+def test_forest_on_findings_held_out(spark, sf):
+    words = secrets.dictionary(sf("documents"), 5)
+    found = secrets.labelled_findings(spark, 1600).withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(4)))
+    model = secrets.train(found.where("part <> 0").drop("part"), words)
+    from pyspark.ml.feature import VectorAssembler
+
+    test = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets._featured(found.where("part = 0"), words))
+    assert model.transform(test).select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.97
+
+
+def test_findings(spark, edge):
+    got = {(r.doc_id, r.start): r.secret for r in secrets.secret_findings(edge).where("doc_id in (21, 23)").collect()}
+    assert got[(23, 9)] and got[(23, 55)] and len(got) >= 2
+    assert secrets.secret_findings(edge.where("false")).count() == 0

@@ -1,70 +1,48 @@
-"""What several operators share: tables that cut lineage, connected components, gapless ranks."""
+"""What several operators share: gapless ranks, bitmaps, blocks of hot keys, lean workers; tables and components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sawmill.plans.tables import components, saved, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests, one machine) a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["bits_of", "components", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs"]
 
 
-def saved(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/sawmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows in an Arrow batch: texts are long, and a worker holds a batch whole.
+BATCH_ROWS = 1000
 
 
-def width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def lean(f):
+    """A function over batches whose worker gives memory back when a task ends, as workers outlive tasks."""
 
+    def run(batches):
+        import ctypes
+        import gc
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected graph with edges (a, b).
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
 
-    Alternating large-star and small-star rounds over the edge table until nothing changes; every round is a
-    grouped minimum and an equi-join, so a hub node is split like any other skewed key. Returns (node, root),
-    root being the smallest node of the component; nodes without edges are absent. Nulls and loops are dropped.
-    """
+    return run
 
-    def least(sym: DataFrame) -> DataFrame:
-        return sym.join(sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), "m"), F.col("u") == F.col("mu")).select("u", "v", F.least("m", "u").alias("m"))
-
-    def both(e: DataFrame) -> DataFrame:
-        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first())
-
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = mark(now)
-    while before[0]:
-        large = least(both(now)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        small = least(down)
-        now = saved(small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    star = now.groupBy("a").agg(F.min("b").alias("root"))
-    return star.select(F.col("a").alias("node"), "root").union(star.select(F.col("root").alias("node"), "root").distinct())
+
+def is_empty(df: DataFrame) -> bool:
+    return not df.take(1)
 
 
 def ranked(df: DataFrame, group: str, rank: str) -> DataFrame:

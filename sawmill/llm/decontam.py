@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.llm import textbytes as tb
+from sawmill.llm.common import lean, small_batches
 from sawmill.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -150,6 +151,7 @@ def _pass(documents: DataFrame, items: list[tuple[int, str]], whole: bool) -> Da
     """Hit spans (begin and end word, flat) and items by document; without ``whole`` only of hit ones."""
     sent = documents.sparkSession.sparkContext.broadcast(Phrases(items))
 
+    @lean
     def scan(batches):
         phrases = sent.value
 
@@ -204,6 +206,7 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of documents: n_words, n_hit, n_items, items_sha256, contaminated, spans (begin and end words, flat)."""
+    small_batches(documents.sparkSession)
     rows = more = None
     for block in _blocks(benchmark):
         if rows is None:
@@ -223,49 +226,54 @@ def without_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A column n_chars, where there is one, follows the new text.
     """
+    small_batches(documents.sparkSession)
     out = documents
     for block in _blocks(benchmark):
         sent = documents.sparkSession.sparkContext.broadcast(Phrases(block))
-
-        def clean(batches, sent=sent):
-            phrases = sent.value
-            for batch in batches:
-                k = batch.schema.get_field_index("text")
-                raw, offsets = tb.text_buffer(batch.column(k))
-                new: dict[int, bytes] = {}
-                for i, j in tb.slices(offsets, SHARD):
-                    todo, texts = list(range(i, j)), [raw[offsets[d] : offsets[d + 1]] for d in range(i, j)]
-                    while todo:
-                        shard = Shard(phrases)
-                        ends = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-                        part = np.concatenate(texts)
-                        for a, b in tb.slices(ends):
-                            shard.add(part[ends[a] : ends[b]], ends[a : b + 1] - ends[a], keep_spans=True)
-                            shard.spans[-1] = tuple(x + ends[a] for x in shard.spans[-1])
-                        hit, items, firsts = shard.found()
-                        starts, stops = (np.concatenate(x) for x in zip(*shard.spans))
-                        again, left = [], []
-                        for d in sorted(items):
-                            keep, at = np.ones(ends[d + 1] - ends[d], bool), ends[d]
-                            for a, b in _runs(hit[firsts[d] : firsts[d + 1]]):
-                                keep[starts[firsts[d] + a] - at : stops[firsts[d] + b - 1] - at] = False
-                            text = part[ends[d] : ends[d + 1]][keep]
-                            new[todo[d]] = text.tobytes()
-                            again.append(todo[d])
-                            left.append(text)
-                        todo, texts = again, left
-                columns = list(batch.columns)
-                if new:
-                    texts = batch.column(k).to_pylist()
-                    for d, t in new.items():
-                        texts[d] = t.decode()
-                    columns[k] = pa.array(texts, batch.schema.field(k).type)
-                    if (c := batch.schema.get_field_index("n_chars")) >= 0:
-                        counts = batch.column(c).to_pylist()
-                        for d in new:
-                            counts[d] = len(texts[d])
-                        columns[c] = pa.array(counts, batch.schema.field(c).type)
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-        out = out.mapInArrow(clean, out.schema)
+        out = out.mapInArrow(_cutter(sent), out.schema)
     return out
+
+
+def _cutter(sent):
+    @lean
+    def clean(batches):
+        phrases = sent.value
+        for batch in batches:
+            k = batch.schema.get_field_index("text")
+            raw, offsets = tb.text_buffer(batch.column(k))
+            new: dict[int, bytes] = {}
+            for i, j in tb.slices(offsets, SHARD):
+                todo, texts = list(range(i, j)), [raw[offsets[d] : offsets[d + 1]] for d in range(i, j)]
+                while todo:
+                    shard = Shard(phrases)
+                    ends = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+                    part = np.concatenate(texts)
+                    for a, b in tb.slices(ends):
+                        shard.add(part[ends[a] : ends[b]], ends[a : b + 1] - ends[a], keep_spans=True)
+                        shard.spans[-1] = tuple(x + ends[a] for x in shard.spans[-1])
+                    hit, items, firsts = shard.found()
+                    starts, stops = (np.concatenate(x) for x in zip(*shard.spans))
+                    again, left = [], []
+                    for d in sorted(items):
+                        keep, at = np.ones(ends[d + 1] - ends[d], bool), ends[d]
+                        for a, b in _runs(hit[firsts[d] : firsts[d + 1]]):
+                            keep[starts[firsts[d] + a] - at : stops[firsts[d] + b - 1] - at] = False
+                        text = part[ends[d] : ends[d + 1]][keep]
+                        new[todo[d]] = text.tobytes()
+                        again.append(todo[d])
+                        left.append(text)
+                    todo, texts = again, left
+            columns = list(batch.columns)
+            if new:
+                texts = batch.column(k).to_pylist()
+                for d, t in new.items():
+                    texts[d] = t.decode()
+                columns[k] = pa.array(texts, batch.schema.field(k).type)
+                if (c := batch.schema.get_field_index("n_chars")) >= 0:
+                    counts = batch.column(c).to_pylist()
+                    for d in new:
+                        counts[d] = len(texts[d])
+                    columns[c] = pa.array(counts, batch.schema.field(c).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return clean

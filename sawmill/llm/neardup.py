@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.llm import textbytes as tb
-from sawmill.llm.common import bits_of, components, is_empty, saved
+from sawmill.llm.common import bits_of, components, is_empty, lean, saved, small_batches
 
 SHINGLE = 5
 CHUNKS, CHUNK, BITS = 10, 5, 16
@@ -50,6 +50,7 @@ def _sets(batch: pa.RecordBatch):
         yield i, j, np.concatenate(sets) if sets else hashes[:0], np.concatenate(([0], np.cumsum([len(s) for s in sets])))
 
 
+@lean
 def _digest(batches):
     """Each document's set size and 128-bit set digest; those of a class of their own are sketched later, from one member."""
     for batch in batches:
@@ -76,6 +77,7 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(cat(sizes)), pa.array(cat(ones)), pa.array(cat(twos)), pa.array(sigs, pa.binary()), pa.array(odds, pa.binary())], names=["doc_id", "n", "d1", "d2", "sig", "odd"])
 
 
+@lean
 def _keys(batches):
     """The keys of each class: per chunk, each choice of all but one of its places."""
     for batch in batches:
@@ -103,6 +105,7 @@ def _most_odd(n: np.ndarray) -> np.ndarray:
     return np.minimum(most + 1e-9, mean + 6 * np.sqrt(ODD_BITS / 4) + 1)
 
 
+@lean
 def _meet(batches):
     """Pairs of different components within sorted runs of (key, low, high) that may reach the threshold."""
 
@@ -157,6 +160,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame) -> DataFram
     asked = saved(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(member, "cls"), "asked")
     bits = bits_of(asked, "doc_id")
 
+    @lean
     def sets(batches):
         """The sets of documents whose id may be asked for; only those are shuffled."""
         for batch in batches:
@@ -185,6 +189,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame) -> DataFram
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents(doc_id, text, ...); see the module's text."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digest = saved(docs.mapInArrow(_digest, "doc_id long, n long, d1 long, d2 long, sig binary, odd binary").withColumn("cls", F.xxhash64("n", "d1", "d2")), "digest")
     named = digest.where("n > 0 and doc_id is not null")

@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sawmill.llm import textbytes as tb
-from sawmill.llm.common import ranked
+from sawmill.llm.common import lean, ranked, small_batches
 
 CAPACITY = 2048
 END = 0
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Units whose ids a worker keeps; a full cache starts anew.
-CACHE = 700_000
+CACHE = 400_000
 
 _KIND = np.full(256, 3, np.int8)  # 3: apostrophe, control and non-ASCII bytes, never cut off from their neighbours
 _KIND[[i for i in range(33, 127) if chr(i) != "'"]] = 2
@@ -124,7 +124,9 @@ _units: dict[str, Units] = {}
 def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the token sequences, cut where longer than ``capacity``."""
     path = tokenizer or default_tokenizer()
+    small_batches(documents.sparkSession)
 
+    @lean
     def cut(batches):
         units = _units[path] = _units.get(path) or Units(path)
         for batch in batches:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sawmill.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
 NEAR = 40
@@ -97,6 +99,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
                 scores.append([s[3] for s in got])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(shown, pa.string()), pa.array(scores, pa.list_(pa.float64()))], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"])
 
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.llm import textbytes as tb
-from sawmill.llm.common import saved
+from sawmill.llm.common import lean, saved, small_batches
 
 WORDS, SHAPES, DIM, NONZERO = 8192, 256, 32, 2
 SYMBOLS = WORDS + SHAPES
@@ -74,6 +74,7 @@ def _symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def contexts(documents: DataFrame) -> np.ndarray:
     """The context vectors (SYMBOLS x DIM) over all documents; what a task sends is bounded by the size of the model."""
 
+    @lean
     def count(batches):
         total = np.zeros(SYMBOLS * DIM)
         for batch in batches:
@@ -118,6 +119,7 @@ def features(documents: DataFrame, vectors: np.ndarray) -> DataFrame:
         np.add.at(index, (np.arange(SHAPES), _PLACE[WORDS:, k]), _SIGN[WORDS:, k].astype(np.float32))
     sent = documents.sparkSession.sparkContext.broadcast((unit, np.concatenate((unit[WORDS:], index), axis=1)))
 
+    @lean
     def pool(batches):
         words, shapes = sent.value
         for batch in batches:
@@ -190,6 +192,7 @@ def held_out(doc_id: Column) -> Column:
 def quality_scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of documents; labels(doc_id, quality) of rows held out aren't read."""
     spark = documents.sparkSession
+    small_batches(spark)
     rows = saved(features(documents, contexts(documents)), "features")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()

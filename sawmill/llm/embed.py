@@ -1,7 +1,7 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, and a rerank by the vectors themselves.
 
 The rotation is learned on at most ``SAMPLE`` vectors, those with the smallest hashes of their ids; every vector is coded and indexed.
-A code of b bits is cut into m chunks of about log2(n) bits. Codes within ``RADIUS`` bits agree in some chunk up to RADIUS // m
+A code of b bits is cut into m chunks, m being what costs least for the number of vectors. Codes within ``RADIUS`` bits agree in some chunk up to RADIUS // m
 bits, so each vector is put into the tables under its own chunk values and probes those that differ in so many bits. Of two
 vectors the one with the larger chunk value probes, and a pair counts in its first chunk only: it comes up once. Buckets are
 dealt in pairs of bounded blocks. Pairs within RADIUS are confirmed by their cosine in double precision.
@@ -18,6 +18,7 @@ different vectors are compared like others; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -66,9 +67,18 @@ class Quantiser:
         return (on << np.arange(self.bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
-def _chunks(bits: int, n: int) -> list[tuple[int, int]]:
-    """(shift, width) of each chunk, about log2(n) bits wide."""
-    m = max(1, min(bits, round(bits / max(4.0, np.log2(max(2, n))))))
+def _chunks(bits: int, n: int, radius: int) -> list[tuple[int, int]]:
+    """(shift, width) of each chunk, for the number of chunks that costs least.
+
+    With m chunks a vector probes all values within radius // m bits of each chunk, and meets there a share of the n vectors of its label.
+    """
+
+    def cost(m: int) -> float:
+        width = bits / m
+        probes = sum(math.comb(round(width), k) for k in range(radius // m + 1))
+        return m * probes * (1 + n / 2**width)
+
+    m = min(range(1, bits + 1), key=cost)
     at = [bits * k // m for k in range(m + 1)]
     return [(a, b - a) for a, b in zip(at, at[1:])]
 
@@ -86,7 +96,7 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST, radius: int = RADI
     if len(sample):
         quantiser = Quantiser(_matrix(sample["embedding"]))
         largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        chunks = _chunks(quantiser.bits, largest)
+        chunks = _chunks(quantiser.bits, largest, radius)
         errors = radius // len(chunks)
         sent = spark.sparkContext.broadcast(quantiser)
 

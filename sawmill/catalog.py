@@ -504,6 +504,12 @@ def mine_templates(spark, sf_dir):
     return _mined(spark, sf_dir)
 
 
+@query()
+def mine_contained(spark, sf_dir):
+    """Merge and split, templates that others cover included."""
+    return _mined(spark, sf_dir, contained=True)
+
+
 @query()
 def mine_merge(spark, sf_dir):
     return _mined(spark, sf_dir, split=False)

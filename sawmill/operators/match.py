@@ -44,11 +44,15 @@ def first_match(texts: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def containment(templates: DataFrame) -> DataFrame:
-    """(coverer_id, covered_id) of templates whose pattern matches another template's text; equal texts don't count."""
-    found = None
+    """(coverer_id, covered_id) of templates whose pattern matches another template's text; equal texts don't count.
+
+    Where templates have a dataset, only those of one dataset are compared.
+    """
+    found, scoped = None, "dataset" in templates.columns
+    where = F.expr("template_text <> _by and template_text rlike _pattern" + (" and dataset = _dataset" if scoped else ""))
     for block in _blocks(templates):
-        rules = F.broadcast(block.select(F.col("template_id").alias("coverer_id"), F.col("template_text").alias("_by"), template_pattern_column(F.col("template_text")).alias("_pattern")))
-        hit = templates.join(rules, F.expr("template_text <> _by and template_text rlike _pattern")).select("coverer_id", F.col("template_id").alias("covered_id"))
+        rules = F.broadcast(block.select(F.col("template_id").alias("coverer_id"), F.col("template_text").alias("_by"), template_pattern_column(F.col("template_text")).alias("_pattern"), *([F.col("dataset").alias("_dataset")] if scoped else [])))
+        hit = templates.join(rules, where).select("coverer_id", F.col("template_id").alias("covered_id"))
         found = hit if found is None else found.union(hit)
     return found
 

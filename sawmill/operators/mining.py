@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 from sawmill.functions import text as T
 from sawmill.functions.regexes import template_pattern_column
 from sawmill.operators import lcs
+from sawmill.operators.match import containment
 from sawmill.plans.tables import components, saved
 
 #: Samples at a distance of at most this are near.
@@ -76,19 +77,23 @@ def clusters(found: DataFrame, limit: float = JOINED) -> DataFrame:
 
 
 def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The common runs of each cluster's texts in a task; a text is its tokens, a partial result its fenced runs."""
-    held: dict[tuple, list[list[str]] | None] = {}
+    """The common runs of each cluster's texts in a task, whose rows are sorted by cluster: one cluster is held at a time."""
+    last, held = None, None
     for part in parts:
+        done: list[tuple] = []
         for cluster, runs in zip(part["cluster"], part["runs"]):
             runs = [list(r) for r in runs]
-            if cluster not in held:
-                held[cluster] = runs
-            elif runs != held[cluster]:
-                a = held[cluster][0] if len(held[cluster]) == 1 else lcs.fenced(held[cluster])
+            if cluster != last:
+                if held is not None:
+                    done.append((last, held))
+                last, held = cluster, runs
+            elif runs != held:
+                a = held[0] if len(held) == 1 else lcs.fenced(held)
                 b = runs[0] if len(runs) == 1 else lcs.fenced(runs)
-                held[cluster] = [[t for t in r if t != "<<COM>>"] for r in lcs.common_runs(a, b)]
-                held[cluster] = [r for r in held[cluster] if r]
-    yield pd.DataFrame({"cluster": list(held), "runs": list(held.values())})
+                held = [r for r in ([t for t in r if t != "<<COM>>"] for r in lcs.common_runs(a, b)) if r]
+        yield pd.DataFrame(done, columns=["cluster", "runs"])
+    if held is not None:
+        yield pd.DataFrame([(last, held)], columns=["cluster", "runs"])
 
 
 def merged(clustered: DataFrame) -> DataFrame:
@@ -139,10 +144,25 @@ def split_clusters(clustered: DataFrame, base: int = SPLIT_BASE) -> DataFrame:
     return clustered.join(branch, "sample_id", "left")
 
 
-def mine(lines: DataFrame, merge: bool = True, split: bool = True) -> tuple[DataFrame, DataFrame]:
+def absorbed(found: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples and templates without the templates that another one of the dataset covers; their samples go to the last coverer.
+
+    Of templates that cover each other the one seen first stays.
+    """
+    order = names.select("template_id", "ord")
+    covers = containment(names).join(order.withColumnsRenamed({"template_id": "coverer_id", "ord": "by"}), "coverer_id").join(order.withColumnsRenamed({"template_id": "covered_id", "ord": "at"}), "covered_id")
+    back = covers.select(F.col("coverer_id").alias("covered_id"), F.col("covered_id").alias("coverer_id"), F.lit(True).alias("mutual"))
+    covers = saved(covers.join(back, ["covered_id", "coverer_id"], "left").where("mutual is null or by < at").select("covered_id", "coverer_id", "by"), "covers")
+    top = covers.join(covers.select(F.col("covered_id").alias("coverer_id")).distinct(), "coverer_id", "left_anti").groupBy("covered_id").agg(F.max_by("coverer_id", "by").alias("to"))
+    moved = found.join(top.withColumnRenamed("covered_id", "template_id"), "template_id", "left").withColumn("template_id", F.coalesce("to", "template_id")).drop("to")
+    return moved.select(*found.columns), names.join(top.select(F.col("covered_id").alias("template_id")), "template_id", "left_anti").select(*names.columns)
+
+
+def mine(lines: DataFrame, merge: bool = True, split: bool = True, contained: bool = False) -> tuple[DataFrame, DataFrame]:
     """(samples(dataset, sample_id, sample_text, log_num, first_line, template_id), templates(template_id, template_text, ord)) of lines.
 
     lines(dataset, line_no, content): content is preprocessed. Texts of fewer than two words are their own templates.
+    With ``contained``, templates that others cover stay.
     """
     found = saved(samples(lines), "samples")
     many = found.where(~T.one_word(F.col("sample_text")))
@@ -156,4 +176,5 @@ def mine(lines: DataFrame, merge: bool = True, split: bool = True) -> tuple[Data
     every = named.drop("cluster").unionByName(single).withColumn("template_id", F.xxhash64("dataset", "template_text"))
     every = saved(every, "mined")
     names = every.groupBy("dataset", "template_id", "template_text").agg(F.min("first_line").alias("ord"))
-    return every.drop("template_text"), names
+    every = every.drop("template_text")
+    return (every, names) if contained or not merge else absorbed(every, saved(names, "names"))

@@ -32,6 +32,13 @@ def test_traces(spark, lines, want):
     assert mined(spark, lines) == want
 
 
+def test_covered_templates_are_absorbed(spark):
+    lines = ["start of the long job alpha now here", "start of the long job beta now here", "start of the long job gamma now here", "start of the long job one two three four five six seven now here"]
+    wide = "start of the long job <*> now here"
+    assert mined(spark, lines) == {wide: 4}
+    assert mined(spark, lines, contained=True) == {wide: 3, lines[3]: 1}
+
+
 def test_identity(spark):
     assert mined(spark, [A, B, A], merge=False, split=False) == {A: 2, B: 1}
 

@@ -81,6 +81,20 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in read_scored(spark, str(tmp_path / "csv"), fill=True).collect()] == [('say "x"', "")]
 
 
+def test_line_numbers_of_files_in_several_splits(spark, tmp_path):
+    for name, n in (("a", 5000), ("b", 3000)):
+        (tmp_path / f"{name}.log").write_text("".join(f"{name} line {i}\n" for i in range(1, n + 1)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        rows = read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 2
+        assert rows.where("value <> concat(substring_index(value, ' ', 1), ' line ', line_no)").count() == 0 and rows.count() == 8000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_cleanup(spark):
     rows = ["a  b ", "open /var/log x", "x=TRUE groot root.a", "<*>.<*>.<*>", "##<*>## #<*>#<*>#", "<*>:<*>:<*>", "<*><*><*>"]
     df = C.cleaned(spark.createDataFrame([(t,) for t in rows], "t string"), "t")

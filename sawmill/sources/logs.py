@@ -9,6 +9,9 @@ from sawmill.functions.regexes import Header, compile_format, java
 from sawmill.functions.text import strip
 
 
+_MARK = "\x01"
+
+
 def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(path, line_no, value) of text files; line numbers start at 1 in each file.
 
@@ -26,14 +29,19 @@ def parse_header(lines: DataFrame, header: str | Header, drop_unmatched: bool =
     """lines(value, ...) with a column for each field of the format; null where the line doesn't match, or its optional part is absent."""
     h = compile_format(header) if isinstance(header, str) else header
     pattern = java(h.pattern)
-    matched = F.col("value").rlike(pattern)
-    rows = lines.where(matched) if drop_unmatched else lines
-    columns = []
-    for field, group in zip(h.fields, h.groups):
-        got = F.regexp_extract("value", pattern, group)
-        got = F.nullif(got, F.lit("")) if field in h.optional else got
-        columns.append((got if drop_unmatched else F.when(matched, got)).alias(field))
-    return rows.select(*[c for c in lines.columns], *columns)
+    # One match for each line: the fields come as one text with marks between, and a mark before it says that there was a match.
+    # Lines that hold a mark themselves are matched field by field.
+    marked = F.regexp_replace("value", pattern, _MARK + _MARK.join(f"${g}" for g in h.groups))
+    plain = ~F.col("value").contains(_MARK)
+    slow = F.when(F.col("value").rlike(pattern), F.array(F.lit(""), *(F.regexp_extract("value", pattern, g) for g in h.groups)))
+    parts = F.when(plain, F.split(marked, _MARK, -1)).otherwise(slow)
+    rows = lines.withColumn("_parts", parts).withColumn("_parts", F.when(F.size("_parts") > 1, F.col("_parts")))
+    rows = rows.where("_parts is not null") if drop_unmatched else rows
+    fields = []
+    for k, field in enumerate(h.fields):
+        got = F.col("_parts")[k + 1]
+        fields.append((F.nullif(got, F.lit("")) if field in h.optional else got).alias(field))
+    return rows.select(*lines.columns, *fields)
 
 
 def read_scored(spark: SparkSession, path: str, fill: bool = False) -> DataFrame:

@@ -67,10 +67,10 @@ def test_formats():
 
 
 def test_headers(spark):
-    lines = spark.createDataFrame([(1, "Jun 9 06:06:20 combo sshd[123]: hello: x"), (2, "Jun 9 06:06:20 combo kernel: up"), (3, "nothing")], "line_no int, value string")
+    lines = spark.createDataFrame([(1, "Jun 9 06:06:20 combo sshd[123]: hello: x"), (2, "Jun 9 06:06:20 combo kernel: up"), (3, "nothing"), (4, "Jun 9 06:06:20 combo k\x01: a\x01b"), (5, "\x01 nothing"), (6, "")], "line_no int, value string")
     kept = parse_header(lines, COLLECTIONS["Linux"][0]).orderBy("line_no").collect()
-    assert [(r.Component, r.PID, r.Content) for r in kept] == [("sshd", "123", "hello: x"), ("kernel", None, "up"), (None, None, None)]
-    assert parse_header(lines, COLLECTIONS["Linux"][0], drop_unmatched=True).count() == 2
+    assert [(r.Component, r.PID, r.Content) for r in kept] == [("sshd", "123", "hello: x"), ("kernel", None, "up"), (None, None, None), ("k\x01", None, "a\x01b"), (None, None, None), (None, None, None)]
+    assert parse_header(lines, COLLECTIONS["Linux"][0], drop_unmatched=True).count() == 3
 
 
 def test_files(spark, tmp_path):

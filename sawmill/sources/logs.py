@@ -30,16 +30,14 @@ def parse_header(lines: DataFrame, header: str | Header, drop_unmatched: bool =
     h = compile_format(header) if isinstance(header, str) else header
     pattern = java(h.pattern)
     # One match for each line: the fields come as one text with marks between, and a mark before it says that there was a match.
-    # Lines that hold a mark themselves are matched field by field.
-    marked = F.regexp_replace("value", pattern, _MARK + _MARK.join(f"${g}" for g in h.groups))
-    plain = ~F.col("value").contains(_MARK)
+    # Lines that hold a mark themselves are matched field by field. Without a match there is no part k + 1, and get gives null.
+    marked = F.split(F.regexp_replace("value", pattern, _MARK + _MARK.join(f"${g}" for g in h.groups)), _MARK, -1)
     slow = F.when(F.col("value").rlike(pattern), F.array(F.lit(""), *(F.regexp_extract("value", pattern, g) for g in h.groups)))
-    parts = F.when(plain, F.split(marked, _MARK, -1)).otherwise(slow)
-    rows = lines.withColumn("_parts", parts).withColumn("_parts", F.when(F.size("_parts") > 1, F.col("_parts")))
-    rows = rows.where("_parts is not null") if drop_unmatched else rows
+    rows = lines.where(F.col("value").rlike(pattern)) if drop_unmatched else lines
+    rows = rows.withColumn("_parts", F.when(F.col("value").contains(_MARK), slow).otherwise(marked))
     fields = []
     for k, field in enumerate(h.fields):
-        got = F.col("_parts")[k + 1]
+        got = F.get("_parts", F.lit(k + 1))
         fields.append((F.nullif(got, F.lit("")) if field in h.optional else got).alias(field))
     return rows.select(*lines.columns, *fields)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sawmill.llm.common import shared_dir
 from sawmill.llm.decontam import without_benchmark
-from sawmill.llm.linededup import without_repeated_chunks
+from sawmill.llm.linededup import without_repeated_passages
 from sawmill.llm.neardup import drop_near_duplicates
 from sawmill.llm.packing import best_fit_packing
 from sawmill.llm.quality import good_documents
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that stand in several documents stay in one."""
-    return without_repeated_chunks(docs)
+    """Chunks of lines, and passages of over 50 words, that stand in several documents stay in one."""
+    return without_repeated_passages(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,11 @@ the join after it is exact.
 Defined cases: null text stays null (no lines); empty text is one empty line; lines end at \\n alone; rows of one doc_id are one document,
 and each keeps its first copy; a null doc_id is never the keeper unless all copies have none; ties within a document go
 to the first copy; an empty table gives no rows; other columns are carried through. A column n_chars follows the new text.
+
+Chunks miss passages whose copies stand amid other lines. ``without_repeated_passages`` therefore counts two more kinds of range: from each
+line with words the shortest range of lines that starts there with more than ``WORDS`` words, and the shortest that ends there. A passage of
+whole lines with more than ``WORDS`` words is the union of such ranges, so none of its copies is left but one. A line goes only
+where the same line stands at an earlier place (doc_id, then place in the document), so the first place of each line stays.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from sawmill.llm.common import saved
 #: A chunk ends after a line whose rolling hash is a multiple of this.
 DIVISOR = 2
 LEAST_LINES = 2
+#: Passages of more words than this lose their copies wherever their borders are.
+WORDS = 50
 BITMAP = 1 << 22  # bits
 _LAST = 9223372036854775807
 
@@ -47,7 +54,11 @@ def _copies(documents: DataFrame) -> DataFrame:
 
 def repeated_chunks(documents: DataFrame) -> DataFrame:
     """(id, key, no) of the copies to remove; key: hash of the document's text, id: doc_id, or the largest long for null."""
-    copies = _copies(documents)
+    return _repeated(_copies(documents))
+
+
+def _repeated(copies: DataFrame) -> DataFrame:
+    """(id, key, no) of copies(id, key, no, first, hash, body) whose body stands at an earlier place."""
     many = saved(copies.groupBy("hash").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("hash", "keeper"), "repeated")
     bit = f"cast(pmod(xxhash64(hash), {BITMAP}) as long)"
     bitmap = F.broadcast(many.select(F.expr(f"cast({bit} div 64 as int)").alias("w"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits")))  # BITMAP / 64 rows at most
@@ -72,3 +83,41 @@ def without_repeated_chunks(documents: DataFrame, counts: bool = False) -> DataF
         removed = "if(_gone is null, 0, aggregate(filter(_chunks, c -> array_contains(_gone, c.no)), 0, (a, c) -> a + c.n))"
         return rows.select(*documents.columns, F.col("_lines").cast("long").alias("n_lines"), F.expr(removed).cast("long").alias("n_removed"))
     return rows.select(*documents.columns)
+
+
+def _ranges(documents: DataFrame) -> DataFrame:
+    """documents with _ls (lines) and _ranges: array of (at, n), the chunks of LEAST_LINES lines or more and the shortest ranges over WORDS words."""
+    step = documents.withColumn("_ls", F.split(F.col("text").cast("string"), "\n", -1))
+    step = step.withColumn("_h", F.expr("transform(_ls, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))"))
+    step = step.withColumn("_cuts", F.expr(f"filter(sequence(0, size(_ls) - 1), i -> i = size(_ls) - 1 or (i > 0 and ((_h[i - 1] * 31 + _h[i]) % 1000003) % {DIVISOR} = 0))"))
+    step = step.withColumn("_parts", F.expr(f"filter(transform(_cuts, (e, k) -> struct(if(k = 0, 0, _cuts[k - 1] + 1) as at, e - if(k = 0, -1, _cuts[k - 1]) as n)), c -> c.n >= {LEAST_LINES})"))
+    # lines with words only: each adds one at least, so WORDS + 1 of them are always enough
+    step = step.withColumn("_full", F.expr(r"filter(transform(_ls, (x, i) -> struct(i as i, regexp_count(x, '\\S+') as w)), x -> x.w > 0)"))
+    enough = lambda part: f"aggregate({part}, struct(0 as s, 0 as n), (a, x) -> if(a.s > {WORDS}, a, struct(a.s + x.w as s, a.n + 1 as n)))"
+    ahead, back = enough(f"slice(_full, k + 1, {WORDS + 1})"), enough(f"reverse(slice(_full, greatest(k - {WORDS}, 0) + 1, least(k, {WORDS}) + 1))")
+    step = step.withColumn("_ahead", F.expr(f"transform(_full, (f, k) -> {ahead})")).withColumn("_back", F.expr(f"transform(_full, (f, k) -> {back})"))
+    ahead = f"filter(transform(_ahead, (a, k) -> if(a.s > {WORDS}, struct(_full[k].i as at, _full[k + a.n - 1].i - _full[k].i + 1 as n), null)), x -> x is not null)"
+    back = f"filter(transform(_back, (a, k) -> if(a.s > {WORDS}, struct(_full[k - a.n + 1].i as at, _full[k].i - _full[k - a.n + 1].i + 1 as n), null)), x -> x is not null)"
+    step = step.withColumn("_ranges", F.expr(f"array_sort(array_distinct(concat(_parts, {ahead}, {back})))"))
+    return step.drop("_h", "_cuts", "_parts", "_full", "_ahead", "_back")
+
+
+def repeated_passages(documents: DataFrame) -> DataFrame:
+    """(id, key, no) of the copies to remove, no being (at, n): the first line and the number of lines."""
+    rows = documents.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    rows = _ranges(rows).withColumn("_many", F.expr("transform(_ranges, r -> struct(r as no, array_join(slice(_ls, r.at + 1, r.n), '\n') as body))"))
+    rows = rows.withColumn("_hashes", F.expr("transform(_many, c -> xxhash64(c.body))"))
+    return _repeated(rows.select("id", "key", F.expr("inline(transform(_many, (c, i) -> struct(c.no as no, array_position(_hashes, _hashes[i]) = i + 1 as first, _hashes[i] as hash, c.body as body)))")))
+
+
+def without_repeated_passages(documents: DataFrame, counts: bool = False) -> DataFrame:
+    """documents without the lines of repeated chunks and of repeated passages of over WORDS words; ``counts`` as above."""
+    gone = repeated_passages(documents).groupBy("id", "key").agg(F.expr("array_distinct(flatten(transform(collect_set(no), r -> sequence(r.at, r.at + r.n - 1))))").alias("_gone"))
+    rows = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(gone.withColumnsRenamed({"id": "_id", "key": "_key"}), ["_id", "_key"], "left").withColumn("_ls", F.split(F.col("text").cast("string"), "\n", -1))
+    rows = rows.withColumn("text", F.expr("if(_gone is null, text, array_join(filter(_ls, (x, i) -> not array_contains(_gone, i)), '\n'))"))
+    if "n_chars" in documents.columns:
+        rows = rows.withColumn("n_chars", F.expr("if(_gone is null, n_chars, length(text))").cast(documents.schema["n_chars"].dataType))
+    if counts:
+        return rows.select(*documents.columns, F.coalesce(F.size("_ls"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return rows.select(*documents.columns)

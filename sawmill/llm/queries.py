@@ -59,6 +59,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_line_dedup keeps to its SQL; this one also removes what chunks miss: every repeated passage of whole lines with over 50 words."""
+    from sawmill.llm.linededup import without_repeated_passages
+
+    return without_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sawmill.llm.sharding import shards_by_bytes
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_personal_data": op10_personal_data,
 }

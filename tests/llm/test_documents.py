@@ -337,6 +337,54 @@ def test_line_dedup_resists_shifts(spark):
     assert linededup.without_repeated_chunks(df.where("false")).count() == 0
 
 
+def plain_passage_dedup(rows):
+    """(doc_id, text) by sets of ranges, with the ranges that end or start at each line found by trying all."""
+    docs, owner = [], {}
+    for i, t in rows:
+        if t is None:
+            docs.append((i, [], []))
+            continue
+        lines = t.split("\n")
+        n, w = len(lines), [len(x.split()) for x in lines]
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+        ends = [k for k in range(n) if k == n - 1 or (k and ((h[k - 1] * 31 + h[k]) % 1000003) % 2 == 0)]
+        ranges = {(a + 1, b + 1) for a, b in zip([-1, *ends], ends) if b - a > 1}
+        full = [k for k in range(n) if w[k]]
+        ranges |= {(k, e + 1) for k in full for e in [next((e for e in full if e >= k and sum(w[k : e + 1]) > 50), None)] if e is not None}
+        ranges |= {(b, k + 1) for k in full for b in [next((b for b in full[::-1] if b <= k and sum(w[b : k + 1]) > 50), None)] if b is not None}
+        docs.append((i, lines, sorted(ranges)))
+        for a, b in ranges:
+            p = tuple(lines[a:b])
+            owner[p] = min(owner.get(p, 1 << 63), (1 << 63) - 1 if i is None else i)
+    out = []
+    for (i, lines, ranges), (_, t) in zip(docs, rows):
+        seen, gone = set(), set()
+        for a, b in ranges:
+            p = tuple(lines[a:b])
+            if owner[p] != ((1 << 63) - 1 if i is None else i) or p in seen:
+                gone |= set(range(a, b))
+            seen.add(p)
+        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+def test_passage_dedup_equals_plain(docs):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    got = linededup.without_repeated_passages(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(key, rows_of(got))) == sorted(map(key, plain_passage_dedup(rows_of(docs))))
+
+
+def test_long_passages_keep_one_copy_wherever_they_stand(spark):
+    one = " ".join(f"one{k}" for k in range(51))
+    two = [" ".join(f"two{j}x{k}" for k in range(30)) for j in range(2)]
+    many = [f"many {k}" for k in range(30)]
+    rows = [(d, "\n".join([f"head {d}", one, f"amid {d}", *two[:1], "", *two[1:], f"more {d}", *many, f"tail {d}"])) for d in range(1, 8)] + [(8, one), (9, one), (10, "short line")]
+    got = dict(rows_of(linededup.without_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert got[1] == rows[0][1] and got[8] == got[9] == "" and got[10] == "short line"
+    assert all(got[d] == f"head {d}\namid {d}\nmore {d}\ntail {d}" for d in range(2, 8))
+
+
 def test_line_dedup_stays_in_the_jvm(spark, edge):
     plan = linededup.without_repeated_chunks(edge)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -117,3 +117,15 @@ def test_distances():
     assert lcs.distance("Connection from <*> closed", "Connection from <*> refused") == 0.25
     assert lcs.distance("12", "13") == 1
     assert lcs.repaired("user 7 did it", "user <*> did it") == "user <*> did it"
+
+
+def test_placeholders_of_whole_pages(spark):
+    """Against plain Python on whole pages; the first 400 characters alone give other texts."""
+    from sawmill import catalog
+
+    sf = "/root/testdata/sf0.001"
+    rule = re.compile(r"(<<(.*?)>>)+|(<(.*?)>)+")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = {r.page_id: rule.sub("<*>", f"{r.url} <<a b>><<c>> <d> {r.html}") for r in pages}
+    assert {r.page_id: r.text for r in catalog.QUERIES["normalize_placeholders_whole"](spark, sf).collect()} == want
+    assert any(rule.sub("<*>", f"{r.url} <<a b>><<c>> <d> {r.html[:400]}") != want[r.page_id] for r in pages)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,25 @@ def test_extract_asks_once(spark):
     assert extract(texts, never, cache)[0].count() == 2
     assert extract(texts)[0].where("template = content").count() == 2
     assert answered("user 1 in", "no idea") == "user 1 in"
+
+
+def test_mining_gets_whole_messages(spark):
+    """Every id and the props of every event reach the operators."""
+    from sawmill import catalog
+
+    sf = "/root/testdata/sf0.001"
+    rows = {(r.dataset[0], r.line_no): r.content for r in catalog.mining_lines(spark, sf).collect()}
+    events, orders = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("events", "orders"))
+    assert len(rows) == len(events) + len(orders)
+    for e in events:
+        assert "props" in rows["d", e.event_id] and re.findall(r"\d+", rows["d", e.event_id].split("props")[1]) == re.findall(r"\d+", e.props)
+    assert all(f"order {o.o_orderkey} of customer {o.o_custkey} " in rows["o", o.o_orderkey] for o in orders)
+
+
+def test_distance_links_reach_every_sample(spark):
+    """Members are linked to the head of their shape; pairs of heads are those of distance_pairs."""
+    texts = [f"user {k} went {x} the long hill at noon" for x in ("over", "under") for k in range(40)] + ["other words here"]
+    df = mining.samples(spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "dataset string, line_no long, content string"))
+    links = mining.distance_links(df).collect()
+    assert len(links) == 2 * 39 + 1 and sum(not r.member for r in links) == 1 and all(r.distance <= 0.3 for r in links)
+    assert len({x for r in links for x in (r.a, r.b)}) == 80

@@ -1,6 +1,7 @@
 """Secret scans, in DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 12 or more key characters with a digit in it. Its features are its length, the transitions between
+A candidate is a run of 12 or more key characters with a digit in it; or, without that, a run that begins with a known prefix of keys (12 or more
+characters), or the run of any length that stands after the name of a secret and = or :. Its features are its length, the transitions between
 kinds of character, the share of its letters that are words of the corpus (dictionary coverage: words found ``COMMON`` times or more in
 all documents), whether it or its surroundings look like a path, and the words just before and after it. The forest (spark.ml) learns
 from labelled findings: by default ``labelled_findings``, rows made by rule after public formats of secrets and of the things
@@ -12,6 +13,8 @@ runs are never cut, however long; an empty table gives no rows; labelled rows wi
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,19 +32,46 @@ FEATURES = ["length", "digits", "uppers", "distinct", "transitions", "hexadecima
 
 _PREFIX = r"^(AKIA|ASIA|gh[pousr]_|xox[bap]-|sk_live_|sk-|AIza|eyJ)"
 _NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_ -]?key|auth|credential|private[_ -]?key)"
+#: Runs of key characters after a prefix of keys, and those after a secret's name with = or : (the last group). What overlaps a run of PATTERN isn't proposed again.
+_KEY = "[A-Za-z0-9_+/=.-]"
+PREFIXED = rf"(?<![A-Za-z0-9_+/.-])(?={_PREFIX[1:]})({_KEY}{{12,}}+)"
+NAMED = rf"{_NAMES}[\w-]*+[\"']?[ \t]*+[=:]++>?[ \t]*+[\"']?(?=({_KEY}++))"
 _HARMLESS = r"(?i)(example|sample|dummy|test|sha(1|256)|md5|checksum|digest|commit|uuid|order|invoice|serial|isbn|phone|call|version)"
 
 
 def candidates(documents: DataFrame) -> DataFrame:
     """(doc_id, start, candidate, before, after) of each candidate; start counts code points, before and after are CONTEXT characters."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).where("size(found) > 0").withColumn("gaps", F.split("text", PATTERN, -1))
+    return _around(_placed(_texts(documents), PATTERN, 0, "runs"))
+
+
+def all_candidates(documents: DataFrame) -> DataFrame:
+    """candidates, and the runs of PREFIXED and NAMED that overlap none of them; each run once."""
+    group = len(re.findall(r"\((?!\?)", NAMED))
+    rows = _placed(_placed(_placed(_texts(documents), PATTERN, 0, "base"), PREFIXED, 0, "prefixed"), NAMED, group, "named")
+    free = "not exists(base, b -> r.start < b.start + length(b.found) and b.start < r.start + length(r.found))"
+    return _around(rows.withColumn("runs", F.expr(f"concat(base, array_distinct(filter(concat(prefixed, named), r -> {free})))")))
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+
+
+def _placed(rows: DataFrame, pattern: str, group: int, name: str) -> DataFrame:
+    """rows with (start, found) of each match as an array; a group is what a lookahead at the end of the match takes, and begins there."""
+    rows = rows.withColumn("matched", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    hit = F.size("matched") > 0
+    rows = rows.withColumn("gaps", F.when(hit, F.split("text", pattern, -1))).withColumn("taken", F.when(hit, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))) if group else F.col("matched"))
     total = lambda a: f"aggregate({a}, 0, (s, x) -> s + length(x))"
-    # places: how long gaps and candidates are, one after the other
-    rows = rows.withColumn("starts", F.expr(f"transform(sequence(1, size(found)), i -> {total('slice(gaps, 1, i)')} + {total('slice(found, 1, i - 1)')})"))
-    rows = rows.select("doc_id", "text", F.posexplode(F.arrays_zip("starts", "found")).alias("k", "z"))
-    start, length = F.col("z.starts"), F.length("z.found")
-    return rows.select("doc_id", start.alias("start"), F.col("z.found").alias("candidate"), F.substring("text", F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))).alias("before"), F.substring("text", start + length + 1, F.lit(CONTEXT)).alias("after"))
+    # places: how long gaps and matches are, one after the other
+    before = total(f"slice(matched, 1, {'i' if group else 'i - 1'})")
+    place = f"struct({total('slice(gaps, 1, i)')} + {before} as start, taken[i - 1] as found)"
+    return rows.withColumn(name, F.expr(f"transform(filter(sequence(0, size(matched)), i -> i > 0), i -> {place})")).drop("matched", "gaps", "taken")
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    rows = rows.where("size(runs) > 0").select("doc_id", "text", F.expr("inline(runs)"))
+    start, length = F.col("start"), F.length("found")
+    return rows.select("doc_id", "start", F.col("found").alias("candidate"), F.substring("text", F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))).alias("before"), F.substring("text", start + length + 1, F.lit(CONTEXT)).alias("after"))
 
 
 def dictionary(documents: DataFrame, least: int = COMMON) -> DataFrame:
@@ -79,9 +109,10 @@ def _featured(rows: DataFrame, words: DataFrame) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     """(candidate, before, after, label): findings made by rule, the same on every machine; half of them are secrets."""
-    rows = spark.range(n).withColumn("h", F.sha2(F.concat(F.lit("finding "), F.col("id")), 512)).withColumn("kind", (F.col("id") % 16).cast("int"))
+    rows = spark.range(n).withColumn("h", F.sha2(F.concat(F.lit("finding "), F.col("id")), 512)).withColumn("kind", (F.col("id") % 24).cast("int"))
     hexa = lambda k: F.substring("h", 1, k)
     mixed = lambda k: F.substring(F.regexp_replace(F.base64(F.unhex("h")), "[^A-Za-z0-9]", "x"), 1, k)
+    letters = lambda k: F.translate(mixed(k), "0123456789", "qWzRtYbPkM")
     upper = lambda k: F.upper(F.translate(mixed(k), "0189", "A2B7"))
     digit = lambda k: F.substring(F.regexp_replace("h", "[a-f]", ""), 1, k)
     word = lambda k: F.element_at(F.array(*map(F.lit, "the and with from this that model value index order title about under other first could".split())), ((F.conv(F.substring("h", k, 6), 16, 10).cast("long") % 16) + 1).cast("int"))
@@ -92,6 +123,8 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.concat(mixed(39), q("7=")), say(q("api_key = ")), 1), (F.concat(q("sk_live_"), mixed(24)), say(q("")), 1), (mixed(32), say(q("secret: '")), 1), (F.concat(mixed(20), q("8")), say(q("password: ")), 1),
         (digit(16), say(word(34), q("")), 0), (F.concat_ws("-", hexa(8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12)), say(q("uuid ")), 0), (hexa(40), say(q("commit ")), 0), (F.concat(word(34), q("."), F.substring(digit(9), 1, 2), q("."), word(41), q(".txt")), say(q("in ")), 0),
         (F.concat(word(34), word(41), word(48), F.substring(digit(9), 1, 2)), say(q("")), 0), (F.concat(q("/usr/"), word(34), q("/"), word(41), F.substring(digit(9), 1, 1), q(".log")), say(q("at ")), 0), (F.concat(q("AKIA"), q("EXAMPLE"), digit(9)), say(q("key = ")), 0), (F.concat_ws(".", *(F.substring(digit(16), k, 3) for k in (1, 4, 7, 10))), say(q("host ")), 0),
+        (F.concat(q("AKIA"), F.translate(upper(16), "234567", "GHJKLM")), say(word(34), q("")), 1), (letters(40), say(q("token: ")), 1), (F.concat(F.initcap(word(34)), F.initcap(word(41)), F.initcap(word(48))), say(q("password=")), 1), (mixed(9), say(q("password: ")), 1),
+        (word(34), say(q("password: ")), 0), (F.initcap(word(34)), say(q("the secret: ")), 0), (F.concat_ws("-", q("sk"), word(34), word(41), word(48)), say(q("")), 0), (F.concat_ws("-", word(34), word(41)), say(q("authors: ")), 0),
     ]
     pick = lambda part: F.coalesce(*(F.when(F.col("kind") == k, x[part] if part < 2 else F.lit(x[2])) for k, x in enumerate(kinds)))
     return rows.select(pick(0).alias("candidate"), pick(1).alias("before"), say(word(55)).alias("after"), pick(2).cast("int").alias("label"))
@@ -109,7 +142,7 @@ def secret_findings(documents: DataFrame, findings: DataFrame | None = None) ->
     spark = documents.sparkSession
     words = saved(dictionary(documents), "words")
     model = train(labelled_findings(spark) if findings is None else findings, words)
-    rows = saved(candidates(documents), "candidates")
+    rows = saved(all_candidates(documents), "candidates")
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_featured(rows, words)))
     score = F.round(vector_to_array("probability")[1], 6)
     return scored.select("doc_id", F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"), score.alias("score"), (score >= 0.5).alias("secret"))

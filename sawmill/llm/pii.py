@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checks confirm them, words nearby adjust the score.
 
 Base kinds (email, ip, card, phone) are the leftmost matches of their patterns that pass their checks; no match is tried
-again in another way. The method adds IBANs that pass the mod-97 check. A span's score starts at its
+again in another way. The method adds IBANs that pass the mod-97 check; where a match fails it, its shorter ends before a space are tried, the longest
+first. A span's score starts at its
 kind's and moves with cue words within ``NEAR`` characters; scores order spans for a reader, and drop none of them.
 
 Defined cases: null text is empty; empty text has no spans (base_sha256 is that of the empty string, spans is empty); a null doc_id is
@@ -61,6 +62,19 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Matches cut at the last space where they pass the check; the search goes on behind what was found, or behind the first group of a match without one."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        while b > a and not (15 <= len(i := text[a:b].replace(" ", "")) <= 34 and mod97(i)):
+            b = text.rfind(" ", a, b)
+        if b > a:
+            out.append((a, b))
+        m = _IBAN.search(text, b if b > a else a + 4)
+    return out
+
+
 def spans(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of all spans, by start and then kind; starts and ends count code points."""
     found = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
@@ -72,9 +86,7 @@ def spans(text: str) -> list[tuple[int, int, str, float]]:
                 found.append((*m.span(), "card"))
         if "+" in text:
             found += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
-        for m in _IBAN.finditer(text):
-            if 15 <= len(i := m[0].replace(" ", "")) <= 34 and mod97(i):
-                found.append((*m.span(), "iban"))
+        found += [(a, b, "iban") for a, b in _ibans(text)]
     out = []
     for a, b, kind in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1])):
         near = f"{text[max(0, a - NEAR) : a]} {text[b : b + NEAR]}".lower()

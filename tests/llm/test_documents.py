@@ -425,3 +425,10 @@ def test_secrets_without_a_digit_are_candidates(spark):
     assert all(texts[d][:s].endswith(b) and len(b) == min(s, secrets.CONTEXT) for d, s, _, b in got)
     flagged = {(r.doc_id, r.start) for r in secrets.secret_findings(rows).where("secret").collect()}
     assert {(d, texts[d].index(c)) for d, c in want[:3]} <= flagged
+
+
+@pytest.mark.parametrize("iban", ["AT611904300234573201", "ES9121000418450200051332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("after", ["", " BIC X", " BIC CAIX", " BIC KRED", " 1234 5678", " BE68 5390 0754 7034"])
+def test_ibans_before_words_in_capitals(iban, after):
+    found = [(a, b) for a, b, kind, _ in pii.spans(f"to {iban}{after}") if kind == "iban"]
+    assert found[0] == (3, 3 + len(iban)) and len(found) == 1 + after.startswith(" BE68")

@@ -1,14 +1,22 @@
 """Secret scans, in DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of 12 or more key characters with a digit in it; or, without that, a run that begins with a known prefix of keys (12 or more
-characters), or the run of any length that stands after the name of a secret and = or :. Its features are its length, the transitions between
-kinds of character, the share of its letters that are words of the corpus (dictionary coverage: words found ``COMMON`` times or more in
-all documents), whether it or its surroundings look like a path, and the words just before and after it. The forest (spark.ml) learns
-from labelled findings: by default ``labelled_findings``, rows made by rule after public formats of secrets and of the things
-that are taken for them; a table of the same columns replaces them.
+characters), or the run of any length that stands after the name of a secret and = or :. The forest (spark.ml) learns from labelled findings; ``findings.labelled``
+makes those it takes by default, and a table of the same columns replaces them. Its features:
+
+* length, shares of digits, upper-case and different characters, whether all is hexadecimal, whether a known prefix begins it;
+* character transitions: changes of the kind of character, the mean odds of its pairs of neighbouring characters, and how likely its pairs of letters are
+  in the words of the corpus;
+* dictionary coverage: the share of its letters in words that stand alone in at least LEAST documents and in a SHARE of them;
+* path: whether it or what touches it looks like one;
+* neighbouring words: the odds of the word next before it, the sums of those of the NEAR words before it, after it, and of the words in it; whether = or : stands before it.
+
+Odds are logarithms of how often labelled secrets and other findings have a word or pair of characters. They come from one half of the
+labelled rows and the forest from the other, so that no row's own label is among its features.
 
 Defined cases: null and empty texts have no candidates; a null doc_id is carried through; repeated rows give repeated findings;
-runs are never cut, however long; an empty table gives no rows; labelled rows with null columns are left out; other columns are ignored.
+runs are never cut, however long; an empty table gives no rows; labelled rows with null columns are left out; without labelled rows of both labels in each half every
+score is the share of secrets among them (0.5 without rows); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,17 +26,22 @@ import re
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import saved
+from sawmill.llm.common import hot_join, saved
+from sawmill.llm.findings import labelled
 
 PATTERN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9_+/=.-]{12,}+"
 CONTEXT = 32
-COMMON = 50
+#: A word of the dictionary stands in at least so many documents, and in this share of them.
+LEAST, SHARE = 3, 1 / 2000
+#: Neighbouring words on each side.
+NEAR = 4
 TREES, DEPTH, SEED = 32, 8, 7
+#: Labelled findings that are made if none are given.
 LABELLED = 6000
-FEATURES = ["length", "digits", "uppers", "distinct", "transitions", "hexadecimal", "prefixed", "coverage", "pathlike", "assigned", "named", "harmless"]
+FEATURES = ["length", "digits", "uppers", "distinct", "hexadecimal", "prefixed", "changes", "pairs", "wordlike", "coverage", "pathlike", "assigned", "nearest_odds", "before_odds", "after_odds", "own_odds"]
 
 _PREFIX = r"^(AKIA|ASIA|gh[pousr]_|xox[bap]-|sk_live_|sk-|AIza|eyJ)"
 _NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_ -]?key|auth|credential|private[_ -]?key)"
@@ -36,7 +49,8 @@ _NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_ -]?key|auth|credential|
 _KEY = "[A-Za-z0-9_+/=.-]"
 PREFIXED = rf"(?<![A-Za-z0-9_+/.-])(?={_PREFIX[1:]})({_KEY}{{12,}}+)"
 NAMED = rf"{_NAMES}[\w-]*+[\"']?[ \t]*+[=:]++>?[ \t]*+[\"']?(?=({_KEY}++))"
-_HARMLESS = r"(?i)(example|sample|dummy|test|sha(1|256)|md5|checksum|digest|commit|uuid|order|invoice|serial|isbn|phone|call|version)"
+#: A word that stands alone, not a part of a run of key characters.
+_ALONE = r"(?<![A-Za-z0-9_+/=.-])[a-z]{3,}(?![A-Za-z0-9_+/=-])"
 
 
 def candidates(documents: DataFrame) -> DataFrame:
@@ -74,75 +88,117 @@ def _around(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "start", F.col("found").alias("candidate"), F.substring("text", F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))).alias("before"), F.substring("text", start + length + 1, F.lit(CONTEXT)).alias("after"))
 
 
-def dictionary(documents: DataFrame, least: int = COMMON) -> DataFrame:
-    """(word) of three letters or more that documents hold ``least`` times or more, over all documents."""
-    words = documents.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
+def dictionary(documents: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """(word) of three letters or more that stand alone in ``least`` documents or more, and in this share of them."""
+    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_ALONE), F.lit(0)))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, share * documents.count())).select("word")
+
+
+def _pairs(text: Column) -> Column:
+    """The pairs of neighbouring characters of a text, its ends marked by ^ and $."""
+    marked = F.concat(F.lit("^"), text, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+
+
+def _parts() -> dict[str, Column]:
+    """What has odds, by kind: pairs of characters (digits as 0, signs as -) and words before, after and within a candidate."""
+    lower = F.lower("candidate")
+    letters = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{2,}"), F.lit(0))
+    before = letters(F.col("before"))
+    return {
+        "pair": _pairs(F.regexp_replace(F.translate(lower, "123456789", "000000000"), "[^a-z0]", "-")),
+        "nearest": F.slice(F.reverse(before), 1, 1),
+        "before": F.slice(F.reverse(before), 1, NEAR),
+        "after": F.slice(letters(F.col("after")), 1, NEAR),
+        "own": F.regexp_extract_all(lower, F.lit("[a-z]{3,}"), F.lit(0)),
+    }
+
+
+def _exploded(rows: DataFrame, parts: dict[str, Column], *columns: str) -> DataFrame:
+    """(columns, kind, part) for each part."""
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("part")))
+
+    every = F.concat(*(named(kind, values) for kind, values in parts.items()))
+    return rows.select(*columns, F.explode(every).alias("p")).select(*columns, "p.kind", "p.part")
 
 
-def _featured(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """rows(candidate, before, after, ...) with FEATURES."""
-    unique = rows.select("candidate").distinct()
-    runs = unique.select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
-    cover = runs.join(words.withColumn("known", F.lit(1)), "word", "left").groupBy("candidate").agg(F.sum(F.when(F.col("known") == 1, F.length("word")).otherwise(0)).alias("covered"))
+def _odds(findings: DataFrame, words: DataFrame) -> DataFrame:
+    """(kind, part, odds): the logarithm of the odds of a secret; for the kind letters, of a pair of letters in words against any pair.
+
+    The rows are bounded by the labelled findings and by the pairs of letters.
+    """
+    many = F.sum(F.lit(1) * F.col("label")), F.sum(1 - F.col("label"))
+    learned = _exploded(findings, _parts(), "label").groupBy("kind", "part").agg(F.log((many[0] + 1) / (many[1] + 1)).alias("odds"))
+    pairs = words.select(F.explode(_pairs(F.col("word"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    first = pairs.groupBy(F.substring("part", 1, 1).alias("first")).agg(F.sum("n").alias("all"))
+    likely = pairs.join(first, F.substring("part", 1, 1) == F.col("first")).select(F.lit("letters").alias("kind"), "part", F.log2((F.col("n") + 1) * 28 / (F.col("all") + 28)).alias("odds"))
+    return learned.union(likely)
+
+
+def _featured(rows: DataFrame, words: DataFrame, odds: DataFrame) -> DataFrame:
+    """rows(row, candidate, before, after, ...) with FEATURES; row is a number of its own for each, odds a table of bounded size."""
+    runs = F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]+"), F.lit(0))
+    parts = _parts() | {"letters": F.flatten(F.transform(runs, _pairs))}
+    found = _exploded(rows, parts, "row").join(F.broadcast(odds), ["kind", "part"], "left").groupBy("row").agg(
+        F.avg(F.when(F.col("kind") == "pair", F.coalesce("odds", F.lit(0.0)))).alias("pairs"),
+        F.avg(F.when(F.col("kind") == "letters", F.coalesce("odds", F.lit(-5.0)))).alias("wordlike"),
+        *(F.sum(F.when(F.col("kind") == k, F.col("odds"))).alias(f"{k}_odds") for k in ("nearest", "before", "after", "own")),
+    )
+    inside = rows.select("row", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    known = inside.groupBy("word").agg(F.count("*").alias("n")).join(words, "word")
+    cover = hot_join(inside, saved(known, "known"), "word").groupBy("row").agg(F.sum(F.length("word")).alias("covered"))
     c, size = F.col("candidate"), F.length("candidate").cast("double")
     count = lambda p: F.regexp_count(c, F.lit(p)) / size
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
     letters = F.greatest(F.regexp_count(c, F.lit("[A-Za-z]")), F.lit(1))
-    rows = rows.join(cover, "candidate", "left")
-    return (
-        rows.withColumn("length", size)
-        .withColumn("digits", count("[0-9]"))
-        .withColumn("uppers", count("[A-Z]"))
-        .withColumn("distinct", F.size(F.array_distinct(F.split(c, ""))) / size)
-        .withColumn("transitions", count("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"))
-        .withColumn("hexadecimal", flag(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")))
-        .withColumn("prefixed", flag(c.rlike(_PREFIX)))
-        .withColumn("coverage", F.coalesce(F.col("covered") / letters, F.lit(0.0)))
-        .withColumn("pathlike", flag(c.rlike(r"[a-z]/[a-z]|\.[a-z]{2,4}$") | F.col("before").rlike(r"[/\\@]$") | F.col("after").rlike(r"^[/\\@]")))
-        .withColumn("assigned", flag(F.col("before").rlike(r"[=:]\s*[\"']?$") | c.rlike("^[A-Za-z_.-]{3,}=")))
-        .withColumn("named", flag(F.col("before").rlike(_NAMES) | c.rlike(_NAMES)))
-        .withColumn("harmless", flag(F.col("before").rlike(_HARMLESS) | c.rlike(_HARMLESS)))
-        .drop("covered")
-    )
+    none = lambda x: F.coalesce(x, F.lit(0.0))
+    out = rows.join(found, "row", "left").join(cover, "row", "left").withColumns({
+        "length": size, "digits": count("[0-9]"), "uppers": count("[A-Z]"), "distinct": F.size(F.array_distinct(F.split(c, ""))) / size,
+        "hexadecimal": flag(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), "prefixed": flag(c.rlike(_PREFIX)),
+        "changes": count("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"),
+        "coverage": none(F.col("covered") / letters),
+        "pathlike": flag(c.rlike(r"[a-z]/[a-z]|\.[a-z]{2,4}$") | F.col("before").rlike(r"[/\\@]$") | F.col("after").rlike(r"^[/\\@]")),
+        "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$") | c.rlike("^[A-Za-z_.-]{3,}=")),
+    })
+    return out.withColumns({k: none(F.col(k)) for k in ("pairs", "wordlike", "nearest_odds", "before_odds", "after_odds", "own_odds")}).drop("covered")
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """(candidate, before, after, label): findings made by rule, the same on every machine; half of them are secrets."""
-    rows = spark.range(n).withColumn("h", F.sha2(F.concat(F.lit("finding "), F.col("id")), 512)).withColumn("kind", (F.col("id") % 24).cast("int"))
-    hexa = lambda k: F.substring("h", 1, k)
-    mixed = lambda k: F.substring(F.regexp_replace(F.base64(F.unhex("h")), "[^A-Za-z0-9]", "x"), 1, k)
-    letters = lambda k: F.translate(mixed(k), "0123456789", "qWzRtYbPkM")
-    upper = lambda k: F.upper(F.translate(mixed(k), "0189", "A2B7"))
-    digit = lambda k: F.substring(F.regexp_replace("h", "[a-f]", ""), 1, k)
-    word = lambda k: F.element_at(F.array(*map(F.lit, "the and with from this that model value index order title about under other first could".split())), ((F.conv(F.substring("h", k, 6), 16, 10).cast("long") % 16) + 1).cast("int"))
-    say = lambda *x: F.concat_ws(" ", word(20), word(27), *x)
-    q = F.lit
-    kinds = [
-        (F.concat(q("AKIA"), upper(15), q("4")), say(word(34), q("")), 1), (hexa(40), say(q('token = "')), 1), (F.concat(q("password="), hexa(18)), say(q("")), 1), (F.concat(q("ghp_"), mixed(36)), say(q("token: ")), 1),
-        (F.concat(mixed(39), q("7=")), say(q("api_key = ")), 1), (F.concat(q("sk_live_"), mixed(24)), say(q("")), 1), (mixed(32), say(q("secret: '")), 1), (F.concat(mixed(20), q("8")), say(q("password: ")), 1),
-        (digit(16), say(word(34), q("")), 0), (F.concat_ws("-", hexa(8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12)), say(q("uuid ")), 0), (hexa(40), say(q("commit ")), 0), (F.concat(word(34), q("."), F.substring(digit(9), 1, 2), q("."), word(41), q(".txt")), say(q("in ")), 0),
-        (F.concat(word(34), word(41), word(48), F.substring(digit(9), 1, 2)), say(q("")), 0), (F.concat(q("/usr/"), word(34), q("/"), word(41), F.substring(digit(9), 1, 1), q(".log")), say(q("at ")), 0), (F.concat(q("AKIA"), q("EXAMPLE"), digit(9)), say(q("key = ")), 0), (F.concat_ws(".", *(F.substring(digit(16), k, 3) for k in (1, 4, 7, 10))), say(q("host ")), 0),
-        (F.concat(q("AKIA"), F.translate(upper(16), "234567", "GHJKLM")), say(word(34), q("")), 1), (letters(40), say(q("token: ")), 1), (F.concat(F.initcap(word(34)), F.initcap(word(41)), F.initcap(word(48))), say(q("password=")), 1), (mixed(9), say(q("password: ")), 1),
-        (word(34), say(q("password: ")), 0), (F.initcap(word(34)), say(q("the secret: ")), 0), (F.concat_ws("-", q("sk"), word(34), word(41), word(48)), say(q("")), 0), (F.concat_ws("-", word(34), word(41)), say(q("authors: ")), 0),
-    ]
-    pick = lambda part: F.coalesce(*(F.when(F.col("kind") == k, x[part] if part < 2 else F.lit(x[2])) for k, x in enumerate(kinds)))
-    return rows.select(pick(0).alias("candidate"), pick(1).alias("before"), say(word(55)).alias("after"), pick(2).cast("int").alias("label"))
-
-
-def train(findings: DataFrame, words: DataFrame) -> RandomForestClassificationModel:
-    """The forest over findings(candidate, before, after, label)."""
-    rows = _featured(findings.select("candidate", "before", "after", "label").dropna(), words)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", F.col("label").cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label").fit(rows)
+    """(candidate, before, after, label): findings made by rule, the same on every machine; about half of them are secrets."""
+    return saved(spark.createDataFrame(labelled(n, SEED), "candidate string, before string, after string, label int").coalesce(1), "findings")
+
+
+class Scorer:
+    """Odds and forest from findings(candidate, before, after, label), with the words of the dictionary."""
+
+    def __init__(self, findings: DataFrame, words: DataFrame):
+        rows = findings.select(F.col("candidate").cast("string"), F.col("before").cast("string"), F.col("after").cast("string"), F.col("label").cast("int")).dropna().where("label in (0, 1)")
+        rows = saved(rows.withColumn("half", F.pmod(F.xxhash64("candidate", "before", "after"), F.lit(2))).withColumn("row", F.monotonically_increasing_id()), "labelled")
+        seen = {(r.half, r.label): r["count"] for r in rows.groupBy("half", "label").count().collect()}
+        n = sum(seen.values())
+        self.share = sum(k for (_, label), k in seen.items() if label) / n if n else 0.5
+        self.words, self.model = words, None
+        if len(seen) == 4:
+            self.odds = saved(_odds(rows.where("half = 0"), words).coalesce(1), "odds")
+            train = saved(self._assembled(rows.where("half = 1")).select("features", F.col("label").cast("double").alias("label")).coalesce(1), "train")
+            self.model: RandomForestClassificationModel | None = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label").fit(train)
+
+    def _assembled(self, rows: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_featured(rows, self.words, self.odds))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows(row, candidate, before, after, ...) with a score."""
+        if self.model is None:
+            return rows.withColumn("score", F.lit(self.share))
+        return self.model.transform(self._assembled(rows)).withColumn("score", F.round(vector_to_array("probability")[1], 6))
 
 
 def secret_findings(documents: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, length, score, secret) of every candidate of documents(doc_id, text, ...)."""
     spark = documents.sparkSession
     words = saved(dictionary(documents), "words")
-    model = train(labelled_findings(spark) if findings is None else findings, words)
-    rows = saved(all_candidates(documents), "candidates")
-    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_featured(rows, words)))
-    score = F.round(vector_to_array("probability")[1], 6)
-    return scored.select("doc_id", F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"), score.alias("score"), (score >= 0.5).alias("secret"))
+    rows = saved(all_candidates(documents).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    scored = Scorer(labelled_findings(spark) if findings is None else findings, words).scored(rows)
+    return scored.select("doc_id", F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"), "score", (F.col("score") >= 0.5).alias("secret"))

@@ -1,4 +1,4 @@
-"""What several operators share: gapless ranks, bitmaps, blocks of hot keys, lean workers; tables and components come from the library."""
+"""What several operators share: gapless ranks, bitmaps, blocks of hot keys, lean workers; tables, hot joins and components come from the library."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sawmill.plans.tables import components, saved, shared_dir
+from sawmill.plans.tables import HOT, components, hot_join, saved, shared_dir
 
-__all__ = ["bits_of", "components", "hot_join", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs"]
+__all__ = ["HOT", "bits_of", "components", "hot_join", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs"]
 
 
 #: Rows in an Arrow batch: texts are long, and a worker holds a batch whole.
@@ -88,22 +88,6 @@ def bits_of(ids: DataFrame, column: str, log2_bits: int = 23) -> bytes:
     return out.tobytes()
 
 
-#: Keys that hold more than this share (1 / HOT) of all rows are hot; there are fewer than HOT of them.
-HOT = 4096
-
-
-def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
-    """rows joined with table, which has one row for each key and how many rows there are of it in column ``n``.
-
-    Hot keys, of which there are fewer than HOT, are joined by broadcast, so that their rows stay where they are; all others meet by a shuffle, where none
-    has more than a small share of the rows. ``how``: inner or left.
-    """
-    limit = (table.agg(F.sum(n)).first()[0] or 0) // HOT
-    hot = F.broadcast(table.where(F.col(n) > limit))  # fewer than HOT rows
-    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) <= limit), key, how)
-    return rows.join(hot, key).unionByName(rest)
-
-
 def whole_runs(batches, columns: list[str]):
     """From batches sorted by ``columns``: tables of whole runs of equal values there, with the runs' bounds (two arrays)."""
     import numpy as np

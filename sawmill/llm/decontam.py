@@ -5,8 +5,8 @@ phrase holds cannot be part of an occurrence, so the indexed text consists of th
 long enough for the shortest phrase, each closed by a mark. Phrases (``WINDOW`` consecutive words of an item, or all
 words of a shorter item) are found by backward search, located through sampled suffix positions and merged to spans.
 
-Items are read in blocks of at most ``BLOCK`` bytes of text; each block is a pass over the documents, so what is sent
-to the executors is bounded whatever the size of the benchmark.
+Items are read in blocks of at most ``BLOCK`` bytes of text (or of one item); each block is a pass over the documents, so what is sent
+to the executors is bounded whatever the size of the benchmark. What is found or removed doesn't depend on how items fall into blocks.
 
 Defined cases: null text has no words; items without words or with a null item_id are left out; rows of one item_id are
 one item; a null doc_id is carried through; empty tables give no contaminated rows; other columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.llm import textbytes as tb
-from sawmill.llm.common import lean, small_batches
+from sawmill.llm.common import is_empty, lean, saved, small_batches
 from sawmill.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -136,11 +136,12 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     for item, text in rows.toLocalIterator():
-        if block and size + len(text) > BLOCK:
+        more = len(text.encode())
+        if block and size + more > BLOCK:
             yield block
             block, size = [], 0
         block.append((item, text))
-        size += len(text)
+        size += more
     yield block
 
 
@@ -224,14 +225,63 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents with the hit spans cut out of text, again and again until no phrase is left; other columns as they came.
 
-    A column n_chars, where there is one, follows the new text.
+    In each round the spans of all phrases are found in the same text, and their union is cut. With several blocks of items a round is a pass for
+    each block, and the next round reads only the documents that were cut. A column n_chars, where there is one, follows the new text.
     """
-    small_batches(documents.sparkSession)
-    out = documents
-    for block in _blocks(benchmark):
-        sent = documents.sparkSession.sparkContext.broadcast(Phrases(block))
-        out = out.mapInArrow(_cutter(sent), out.schema)
-    return out
+    spark = documents.sparkSession
+    small_batches(spark)
+    blocks = _blocks(benchmark)
+    first, more = next(blocks), next(blocks, None)
+    if more is None:
+        return documents.mapInArrow(_cutter(spark.sparkContext.broadcast(Phrases(first))), documents.schema)
+    todo, clean = documents.select(F.struct("*").alias("row")), None
+    while True:
+        rows, hits = todo.select("row.*"), None
+        for block in _blocks(benchmark):
+            one = saved(_pass(rows, block, False).select("doc_id", "text_key", "spans"), "spans")
+            hits = one if hits is None else hits.union(one)
+        # spans of one text, which bounds their number
+        merged = hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+        of = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("text_key"))
+        left = todo.join(merged, of, "left_anti").select("row.*")
+        clean = left if clean is None else clean.union(left)
+        if is_empty(hits):
+            return clean
+        cut = todo.join(merged, of).select("row.*", F.col("spans").alias(SPANS_COLUMN)).mapInArrow(_cut_spans, documents.schema)
+        todo = saved(cut.select(F.struct("*").alias("row")), "cut")
+
+
+#: The last column of what _cut_spans takes, whatever other columns are named.
+SPANS_COLUMN = "spans of words to cut"
+
+
+def _replaced(batch: pa.RecordBatch, new: dict[int, str]) -> list[pa.Array]:
+    """The columns of a batch with the new texts of rows, and their lengths in n_chars."""
+    columns, k = list(batch.columns), batch.schema.get_field_index("text")
+    if new:
+        columns[k] = pa.array([new.get(d, t) for d, t in enumerate(columns[k].to_pylist())], batch.schema.field(k).type)
+        if (c := batch.schema.get_field_index("n_chars")) >= 0:
+            columns[c] = pa.array([len(new[d]) if d in new else n for d, n in enumerate(columns[c].to_pylist())], batch.schema.field(c).type)
+    return columns
+
+
+@lean
+def _cut_spans(batches):
+    """Rows with the words of their last column (begin and end, flat) cut out of text; the column goes."""
+    for batch in batches:
+        raw, offsets = tb.text_buffer(batch.column(batch.schema.get_field_index("text")))
+        spans, new = batch.column(batch.num_columns - 1).to_pylist(), {}
+        for i, j in tb.slices(offsets, SHARD):
+            starts, ends, first = tb.word_spans(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tb.ALNUM)
+            for d in range(i, j):
+                text = raw[offsets[d] : offsets[d + 1]]
+                keep = np.ones(len(text), bool)
+                for a, b in zip(spans[d][::2], spans[d][1::2]):
+                    at = first[d - i]
+                    keep[starts[at + a] - (offsets[d] - offsets[i]) : ends[at + b - 1] - (offsets[d] - offsets[i])] = False
+                new[d] = text[keep].tobytes().decode()
+        columns = _replaced(batch, new)[:-1]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
 
 def _cutter(sent):
@@ -263,17 +313,6 @@ def _cutter(sent):
                         again.append(todo[d])
                         left.append(text)
                     todo, texts = again, left
-            columns = list(batch.columns)
-            if new:
-                texts = batch.column(k).to_pylist()
-                for d, t in new.items():
-                    texts[d] = t.decode()
-                columns[k] = pa.array(texts, batch.schema.field(k).type)
-                if (c := batch.schema.get_field_index("n_chars")) >= 0:
-                    counts = batch.column(c).to_pylist()
-                    for d in new:
-                        counts[d] = len(texts[d])
-                    columns[c] = pa.array(counts, batch.schema.field(c).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(_replaced(batch, {d: t.decode() for d, t in new.items()}), names=batch.schema.names)
 
     return clean

@@ -41,6 +41,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     sizes = np.diff(column.offsets.to_numpy())
     out = np.zeros((len(column), int(sizes.max()) if len(sizes) else 0))
     out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    out /= np.maximum(np.abs(out).max(axis=1, initial=0, keepdims=True), np.finfo(float).smallest_subnormal)  # so that no square overflows or vanishes
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), np.finfo(float).tiny)
 
 

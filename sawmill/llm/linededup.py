@@ -1,123 +1,143 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A rolling hash over the hashes of a line and the line before chooses where a chunk ends, so boundaries depend on the lines near
-them and not on where in a document they stand. Chunks of two lines or more are counted over all documents by a 64-bit
-hash (a partial count in each task, so a chunk that a third of the documents hold is no hot key). Of a repeated
-chunk the first copy in the document with the smallest doc_id stays; the other copies go, once their bytes are found equal to its own.
+them and not on where in a document they stand. Chunks of two lines or more are counted over all documents; a chunk that stands at an earlier
+place is an anchor. As borders depend on a line that may lie outside of what is repeated, three more kinds of range reach over them and are counted alike:
 
-Bodies of chunks are shuffled only where the hash is one of the repeated: a bitmap of fixed size sorts out the others beforehand, and
-the join after it is exact.
+* every window of ``WINDOW`` lines, so that what is repeated is followed line by line up to its ends; a passage of so many lines or more is the union of its windows;
+* from each line with words the shortest range of lines that begins there with more than ``WORDS`` words, and the shortest that ends there; a passage
+  of whole lines with more than ``WORDS`` words is the union of such ranges, if it is one line.
+
+The first copy of a range stays, which is in the document with the smallest doc_id; the lines of all others go. So a line goes only where the same line stands
+at an earlier place, and the first place of each line stays.
+
+Texts are split and hashed once; a table of ranges holds 128 bits for each (a partial count in each task, and hot ranges joined by broadcast, so a passage that a
+third of the documents hold is no hot key). Bytes are compared line by line: lines of repeated hashes are grouped by hash and text, which tasks do
+beforehand, and a range with a line whose hash stands for several texts is left alone. Bitmaps of fixed size keep documents and lines that have
+no part in it out of the shuffles; the joins after them are exact.
 
 Defined cases: null text stays null (no lines); empty text is one empty line; lines end at \\n alone; rows of one doc_id are one document,
 and each keeps its first copy; a null doc_id is never the keeper unless all copies have none; ties within a document go
-to the first copy; an empty table gives no rows; other columns are carried through. A column n_chars follows the new text.
-
-Chunks miss passages whose copies stand amid other lines. ``without_repeated_passages`` therefore counts two more kinds of range: from each
-line with words the shortest range of lines that starts there with more than ``WORDS`` words, and the shortest that ends there. A passage of
-whole lines with more than ``WORDS`` words is the union of such ranges, so none of its copies is left but one. A line goes only
-where the same line stands at an earlier place (doc_id, then place in the document), so the first place of each line stays.
+to the first copy; a document all of whose lines go keeps its row with empty text; an empty table gives no rows; other columns are carried through, whatever
+their names. A column n_chars follows the new text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import saved
+from sawmill.llm.common import hot_join, is_empty, saved
 
 #: A chunk ends after a line whose rolling hash is a multiple of this.
 DIVISOR = 2
 LEAST_LINES = 2
-#: Passages of more words than this lose their copies wherever their borders are.
+#: Repeated runs of so many lines lose their copies wherever their borders are, and so do passages of whole lines with more than WORDS words.
+WINDOW = 3
 WORDS = 50
 BITMAP = 1 << 22  # bits
 _LAST = 9223372036854775807
+#: The hash of a line in SQL.
+LINE_HASH = "xxhash64({})"
+_PLACE = ["id", "key"]
 
 
-def _chunks(documents: DataFrame) -> DataFrame:
-    """documents with _lines (count) and _chunks: array of (no, n, body)."""
-    step = documents.withColumn("_ls", F.split(F.col("text").cast("string"), "\n", -1))
-    step = step.withColumn("_h", F.expr("transform(_ls, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))"))
-    step = step.withColumn("_cuts", F.expr(f"filter(sequence(0, size(_ls) - 1), i -> i = size(_ls) - 1 or (i > 0 and ((_h[i - 1] * 31 + _h[i]) % 1000003) % {DIVISOR} = 0))"))
-    step = step.withColumn("_chunks", F.expr("transform(_cuts, (e, k) -> struct(k as no, e - if(k = 0, -1, _cuts[k - 1]) as n, array_join(slice(_ls, if(k = 0, 0, _cuts[k - 1] + 1) + 1, e - if(k = 0, -1, _cuts[k - 1])), '\\n') as body))"))
-    return step.withColumn("_lines", F.coalesce(F.size("_ls"), F.lit(0))).drop("_ls", "_h", "_cuts")
-
-
-def _copies(documents: DataFrame) -> DataFrame:
-    """(id, key, no, first, hash, body) of each chunk of LEAST_LINES lines or more."""
-    rows = documents.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    rows = _chunks(rows).withColumn("_many", F.expr(f"transform(filter(_chunks, c -> c.n >= {LEAST_LINES}), c -> struct(c.no as no, c.body as body, xxhash64(c.body) as hash))"))
-    rows = rows.withColumn("_hashes", F.expr("transform(_many, c -> c.hash)"))
-    rows = rows.select("id", "key", F.expr("inline(transform(_many, (c, i) -> struct(c.no as no, array_position(_hashes, c.hash) = i + 1 as first, c.hash as hash, c.body as body)))"))
-    return rows
-
-
-def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """(id, key, no) of the copies to remove; key: hash of the document's text, id: doc_id, or the largest long for null."""
-    return _repeated(_copies(documents))
-
-
-def _repeated(copies: DataFrame) -> DataFrame:
-    """(id, key, no) of copies(id, key, no, first, hash, body) whose body stands at an earlier place."""
-    many = saved(copies.groupBy("hash").agg(F.min("id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("hash", "keeper"), "repeated")
-    bit = f"cast(pmod(xxhash64(hash), {BITMAP}) as long)"
-    bitmap = F.broadcast(many.select(F.expr(f"cast({bit} div 64 as int)").alias("w"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("bits")))  # BITMAP / 64 rows at most
-    maybe = copies.join(bitmap, F.expr(f"cast({bit} div 64 as int) = w and (bits & shiftleft(1L, cast({bit} % 64 as int))) <> 0")).drop("w", "bits")
-    found = maybe.join(many, "hash")
-    kept = F.expr("id = keeper and first")
-    keepers = found.where(kept).groupBy("hash").agg(F.first("body").alias("kept_body"))
-    return found.where(~kept).join(keepers, "hash").where("body = kept_body").select("id", "key", "no")
-
-
-def without_repeated_chunks(documents: DataFrame, counts: bool = False) -> DataFrame:
-    """documents with repeated chunks of lines removed from text; with ``counts``, n_lines and n_removed (lines) are added."""
-    gone = repeated_chunks(documents).groupBy("id", "key").agg(F.collect_set("no").alias("_gone"))
-    rows = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(gone.withColumnsRenamed({"id": "_id", "key": "_key"}), ["_id", "_key"], "left")
-    rows = _chunks(rows)
-    left = "filter(_chunks, c -> not array_contains(_gone, c.no))"
-    rows = rows.withColumn("text", F.expr(f"if(_gone is null, text, array_join(transform({left}, c -> c.body), '\\n'))"))
-    if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.expr("if(_gone is null, n_chars, length(text))").cast(documents.schema["n_chars"].dataType))
-    if counts:
-        removed = "if(_gone is null, 0, aggregate(filter(_chunks, c -> array_contains(_gone, c.no)), 0, (a, c) -> a + c.n))"
-        return rows.select(*documents.columns, F.col("_lines").cast("long").alias("n_lines"), F.expr(removed).cast("long").alias("n_removed"))
-    return rows.select(*documents.columns)
+def _placed(text: Column, doc_id: Column) -> list[Column]:
+    """id: doc_id, or the largest long for null; key: hash of the document's text."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("key")]
+
+
+def _worked_out(rows: DataFrame, **columns: str) -> DataFrame:
+    """rows with these columns (SQL), behind a generator of one row, which the optimizer doesn't merge with what comes after.
+
+    Merged, a column that a lambda uses once would be worked out again for each element.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(F.expr(sql).alias(name) for name, sql in columns.items())))))
 
 
 def _ranges(documents: DataFrame) -> DataFrame:
-    """documents with _ls (lines) and _ranges: array of (at, n), the chunks of LEAST_LINES lines or more and the shortest ranges over WORDS words."""
-    step = documents.withColumn("_ls", F.split(F.col("text").cast("string"), "\n", -1))
-    step = step.withColumn("_h", F.expr("transform(_ls, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))"))
-    step = step.withColumn("_cuts", F.expr(f"filter(sequence(0, size(_ls) - 1), i -> i = size(_ls) - 1 or (i > 0 and ((_h[i - 1] * 31 + _h[i]) % 1000003) % {DIVISOR} = 0))"))
-    step = step.withColumn("_parts", F.expr(f"filter(transform(_cuts, (e, k) -> struct(if(k = 0, 0, _cuts[k - 1] + 1) as at, e - if(k = 0, -1, _cuts[k - 1]) as n)), c -> c.n >= {LEAST_LINES})"))
-    # lines with words only: each adds one at least, so WORDS + 1 of them are always enough
-    step = step.withColumn("_full", F.expr(r"filter(transform(_ls, (x, i) -> struct(i as i, regexp_count(x, '\\S+') as w)), x -> x.w > 0)"))
-    enough = lambda part: f"aggregate({part}, struct(0 as s, 0 as n), (a, x) -> if(a.s > {WORDS}, a, struct(a.s + x.w as s, a.n + 1 as n)))"
-    ahead, back = enough(f"slice(_full, k + 1, {WORDS + 1})"), enough(f"reverse(slice(_full, greatest(k - {WORDS}, 0) + 1, least(k, {WORDS}) + 1))")
-    step = step.withColumn("_ahead", F.expr(f"transform(_full, (f, k) -> {ahead})")).withColumn("_back", F.expr(f"transform(_full, (f, k) -> {back})"))
-    ahead = f"filter(transform(_ahead, (a, k) -> if(a.s > {WORDS}, struct(_full[k].i as at, _full[k + a.n - 1].i - _full[k].i + 1 as n), null)), x -> x is not null)"
-    back = f"filter(transform(_back, (a, k) -> if(a.s > {WORDS}, struct(_full[k - a.n + 1].i as at, _full[k].i - _full[k - a.n + 1].i + 1 as n), null)), x -> x is not null)"
-    step = step.withColumn("_ranges", F.expr(f"array_sort(array_distinct(concat(_parts, {ahead}, {back})))"))
-    return step.drop("_h", "_cuts", "_parts", "_full", "_ahead", "_back")
-
-
-def repeated_passages(documents: DataFrame) -> DataFrame:
-    """(id, key, no) of the copies to remove, no being (at, n): the first line and the number of lines."""
-    rows = documents.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    rows = _ranges(rows).withColumn("_many", F.expr("transform(_ranges, r -> struct(r as no, array_join(slice(_ls, r.at + 1, r.n), '\n') as body))"))
-    rows = rows.withColumn("_hashes", F.expr("transform(_many, c -> xxhash64(c.body))"))
-    return _repeated(rows.select("id", "key", F.expr("inline(transform(_many, (c, i) -> struct(c.no as no, array_position(_hashes, _hashes[i]) = i + 1 as first, _hashes[i] as hash, c.body as body)))")))
+    """(id, key, h1, h2, at, n, first, counted) of every line (n = 1) and every range that is counted; first: the first of its kind in the document."""
+    text = F.col("text").cast("string")
+    step = documents.where("text is not null").select(*_placed(text, F.col("doc_id")), F.split(text, "\n", -1).alias("ls"))
+    step = _worked_out(step, h="transform(ls, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))", x=f"transform(ls, x -> {LINE_HASH.format('x')})", w=r"transform(ls, x -> regexp_count(x, '[^\\x20\\x09-\\x0D]+'))").drop("ls")
+    # lines with words only: each adds one at least, so WORDS + 1 of them are always enough, and mostly a few
+    cuts = f"filter(sequence(0, size(h) - 1), i -> i = size(h) - 1 or (i > 0 and ((h[i - 1] * 31 + h[i]) % 1000003) % {DIVISOR} = 0))"
+    step = _worked_out(step, cuts=cuts, full="filter(transform(w, (c, i) -> struct(i as i, c as c)), f -> f.c > 0)").drop("h")
+    chunks = f"filter(transform(cuts, (e, k) -> struct(if(k = 0, 0, cuts[k - 1] + 1) as at, e - if(k = 0, -1, cuts[k - 1]) as n)), c -> c.n >= {LEAST_LINES})"
+    windows = f"transform(filter(sequence(0, size(x) - 1), i -> i + {WINDOW} <= size(x)), i -> struct(i as at, {WINDOW} as n))"
+    sums = lambda part: f"aggregate({part}, struct(0 as s, 0 as n), (a, f) -> if(a.s > {WORDS}, a, struct(a.s + f.c as s, a.n + 1 as n)))"
+    ahead = lambda m: sums(f"slice(full, k + 1, {m})")
+    back = lambda m: sums(f"reverse(slice(full, greatest(k - {m - 1}, 0) + 1, least(k, {m - 1}) + 1))")
+    step = _worked_out(step, ahead=f"transform(full, (f, k) -> {ahead(4)})", back=f"transform(full, (f, k) -> {back(4)})")
+    more = lambda name, part: f"transform({name}, (a, k) -> if(a.s > {WORDS}, a, {part(WORDS + 1)}))"
+    step = _worked_out(step.withColumnsRenamed({"ahead": "ahead4", "back": "back4"}), ahead=more("ahead4", ahead), back=more("back4", back)).drop("ahead4", "back4")
+    long = [
+        f"filter(transform(ahead, (a, k) -> if(a.s > {WORDS}, struct(full[k].i as at, full[k + a.n - 1].i - full[k].i + 1 as n), null)), r -> r.n > 1)",
+        f"filter(transform(back, (a, k) -> if(a.s > {WORDS}, struct(full[k - a.n + 1].i as at, full[k].i - full[k - a.n + 1].i + 1 as n), null)), r -> r.n > 1)",
+    ]
+    single = f"transform(x, (v, i) -> struct(v as h1, xxhash64(v, 1) as h2, i as at, 1 as n, w[i] > {WORDS} as counted))"
+    many = f"transform(concat({chunks}, {windows}, {', '.join(long)}), r -> struct(xxhash64(slice(x, r.at + 1, r.n)) as h1, xxhash64(slice(x, r.at + 1, r.n), 1) as h2, r.at as at, r.n as n, true as counted))"
+    # equal ranges stand side by side once sorted
+    step = _worked_out(step, all=f"array_sort(concat({single}, {many}))")
+    marked = "transform(all, (r, i) -> struct(r.h1 as h1, r.h2 as h2, r.at as at, r.n as n, i = 0 or all[i - 1].h1 <> r.h1 or all[i - 1].h2 <> r.h2 as first, r.counted as counted, i = 0 or all[i - 1] <> r as new))"
+    return step.select("id", "key", F.expr(f"inline({marked})")).where("new").drop("new")
+
+
+def _bits(of: Column, rows: DataFrame) -> DataFrame:
+    """A bitmap of a long column's hashes as rows (w, bits), of which there are at most BITMAP / 64, to be broadcast."""
+    bit = F.pmod(of, F.lit(BITMAP))
+    return rows.select((bit / 64).cast("int").alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+
+
+def _marked(rows: DataFrame, of: Column, bits: DataFrame, how: str) -> DataFrame:
+    """rows whose long ``of`` may be (``left_semi``) or surely isn't (``left_anti``) in the bitmap."""
+    bit = F.pmod(of, F.lit(BITMAP))
+    return rows.join(F.broadcast(bits), ((bit / 64).cast("int") == F.col("w")) & (F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))) != 0), how)
+
+
+def repeated_ranges(documents: DataFrame) -> DataFrame:
+    """(id, key, at, n) of the ranges to remove: the first line and the number of lines."""
+    ranges = saved(_ranges(documents), "ranges")
+    many = saved(ranges.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.count("*").alias("copies"), F.max("n").alias("lines"), F.bool_or("counted").alias("counted")).where("copies > 1"), "repeated")
+    wanted = many.where("counted").select("h1", "h2", "keeper", "copies")
+    found = hot_join(_marked(ranges.where("counted"), F.xxhash64("h1"), saved(_bits(F.xxhash64("h1"), wanted), "bits"), "left_semi"), wanted, ["h1", "h2"], "copies")
+    gone = found.where("not (id = keeper and first)").select("id", "key", "at", "n")
+
+    # bytes: all texts of the lines that are repeated
+    line = F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")
+    texts = documents.where("text is not null").select(line).withColumn("h1", F.expr(LINE_HASH.format("line")))
+    texts = _marked(texts, F.xxhash64("h1"), saved(_bits(F.xxhash64("h1"), many.where("lines = 1")), "bits"), "left_semi").groupBy("h1", "line").agg(F.count("*").alias("n"))
+    mixed = saved(texts.groupBy("h1").agg(F.count("*").alias("texts")).where("texts > 1").select("h1"), "mixed")
+    if not is_empty(mixed):
+        at = ranges.where("n = 1").join(mixed, "h1").select("id", "key", F.col("at").alias("line"))
+        gone = gone.join(at.withColumnsRenamed({"id": "i", "key": "k"}), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")) & F.col("line").between(F.col("at"), F.col("at") + F.col("n") - 1), "left_anti")
+    return gone
 
 
 def without_repeated_passages(documents: DataFrame, counts: bool = False) -> DataFrame:
-    """documents without the lines of repeated chunks and of repeated passages of over WORDS words; ``counts`` as above."""
-    gone = repeated_passages(documents).groupBy("id", "key").agg(F.expr("array_distinct(flatten(transform(collect_set(no), r -> sequence(r.at, r.at + r.n - 1))))").alias("_gone"))
-    rows = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(gone.withColumnsRenamed({"id": "_id", "key": "_key"}), ["_id", "_key"], "left").withColumn("_ls", F.split(F.col("text").cast("string"), "\n", -1))
-    rows = rows.withColumn("text", F.expr("if(_gone is null, text, array_join(filter(_ls, (x, i) -> not array_contains(_gone, i)), '\n'))"))
-    if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.expr("if(_gone is null, n_chars, length(text))").cast(documents.schema["n_chars"].dataType))
+    """documents with the copies of repeated ranges of lines removed from text; with ``counts``, n_lines and n_removed (lines) are added."""
+    # the ranges of one document, whose size bounds them
+    gone = repeated_ranges(documents).groupBy(*_PLACE).agg(F.expr("array_distinct(flatten(transform(collect_list(struct(at, n)), r -> sequence(r.at, r.at + r.n - 1))))").alias("gone"))
+    gone = saved(gone, "gone")
+    text = F.col("row.text").cast("string")
+    rows = documents.select(F.struct("*").alias("row"))
+    rows = rows.select("row", *_placed(text, F.col("row.doc_id")))
+    bits = saved(_bits(F.xxhash64(*_PLACE), gone), "bits")
+    of = F.xxhash64(*_PLACE)
+    # documents that lose nothing aren't shuffled
+    whole = _marked(rows, of, bits, "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+    rows = whole.unionByName(_marked(rows, of, bits, "left_semi").join(gone, _PLACE, "left"))
+    lines = F.split(text, "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone"), lambda i: F.get("ls", i))
+    rows = rows.withColumn("ls", lines).withColumn("text", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")))
+    columns = []
+    for f in documents.schema.fields:
+        mine = F.col("row").getField(f.name)
+        if f.name == "text":
+            mine = F.col("text").cast(f.dataType)
+        elif f.name == "n_chars":
+            mine = F.when(F.col("gone").isNull(), mine).otherwise(F.length("text").cast(f.dataType))
+        columns.append(mine.alias(f.name))
     if counts:
-        return rows.select(*documents.columns, F.coalesce(F.size("_ls"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return rows.select(*documents.columns)
+        columns += [F.when(text.isNull(), 0).otherwise(F.size("ls")).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")]
+    return rows.select(*columns)

@@ -1,12 +1,14 @@
 """MinHash near-dedup by a multi-index Hamming join over b-bit signatures.
 
-1. Every document becomes its set of 5-word shingles (64-bit hashes); documents with equal sets form a class.
+1. Every document becomes its set of 5-word shingles (64-bit hashes); documents with equal sets (by size and a 128-bit digest) form a class, which
+   is named after its smallest doc_id.
 2. A class has a signature of ``CHUNKS * CHUNK`` b-bit minima, cut into ``CHUNKS`` chunks. Within a chunk one error is
    allowed; it is enumerated by leaving out each of the ``CHUNK`` places in turn. By the pigeonhole principle two
    signatures with at most ``2 * CHUNKS - 1`` differing places share a key; at similarity 0.75 a chunk has at most one
    error with probability 0.63, so a pair is missed with probability below 0.00005.
 3. In each bucket the members are confirmed against its smallest member on full sets; confirmed links are joined to
-   components. So a large group of near copies costs a number of checks in proportion to its size.
+   components. So a large group of near copies costs a number of checks in proportion to its size; the members of a leader of many are dealt to
+   blocks, each of which gets the leader's set once.
 4. Members of a bucket that are still in different components meet in blocks of at most ``2 * BLOCK`` rows. An odd
    sketch bounds the symmetric difference, which drops most pairs; the rest is confirmed on full sets too.
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.llm import textbytes as tb
-from sawmill.llm.common import bits_of, components, is_empty, lean, saved, small_batches
+from sawmill.llm.common import HOT, bits_of, components, hot_join, is_empty, lean, saved, small_batches
 
 SHINGLE = 5
 CHUNKS, CHUNK, BITS = 10, 5, 16
@@ -50,19 +52,27 @@ def _sets(batch: pa.RecordBatch):
         yield i, j, np.concatenate(sets) if sets else hashes[:0], np.concatenate(([0], np.cumsum([len(s) for s in sets])))
 
 
+def _set_digest(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits and the size of each set of shingles."""
+    n = np.diff(at)
+    one, two = np.zeros(len(n), _U), np.zeros(len(n), _U)
+    heads = at[:-1][n > 0]
+    if len(heads):
+        one[n > 0], two[n > 0] = np.bitwise_xor.reduceat(x, heads), np.add.reduceat(tb.mix(x), heads)
+    return one, two, n
+
+
 @lean
 def _digest(batches):
     """Each document's set size and 128-bit set digest; those of a class of their own are sketched later, from one member."""
     for batch in batches:
         ids, sizes, ones, twos, sigs, odds = batch.column(batch.schema.get_field_index("doc_id")), [], [], [], [], []
         for _, _, x, at in _sets(batch):
-            n = np.diff(at)
+            one, two, n = _set_digest(x, at)
             has = n > 0
-            one, two = np.zeros(len(n), _U), np.zeros(len(n), _U)
             sig, odd = np.zeros((len(n), PLACES), "<u2"), np.zeros((len(n), ODD_BITS // 8), np.uint8)
             if len(x):
                 heads = at[:-1][has]
-                one[has], two[has] = np.bitwise_xor.reduceat(x, heads), np.add.reduceat(tb.mix(x), heads)
                 for k in range(PLACES):
                     sig[has, k] = (np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], heads) >> _U(40)).astype("<u2")
                 place = (x >> _U(7)) % _U(ODD_BITS)
@@ -155,10 +165,9 @@ def _meet(batches):
         yield from pairs(rest)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of classes, those whose full sets reach the threshold. member: (cls, doc_id), a row for each class."""
-    asked = saved(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(member, "cls"), "asked")
-    bits = bits_of(asked, "doc_id")
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes, those whose full sets reach the threshold."""
+    bits = bits_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls")
 
     @lean
     def sets(batches):
@@ -166,13 +175,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame) -> DataFram
         for batch in batches:
             marked = batch.filter(batch.column(2))
             for i, j, x, at in _sets(marked):
-                n = np.diff(at)
-                one = np.zeros(len(n), _U)
-                two = np.zeros(len(n), _U)
-                heads = at[:-1][n > 0]
-                if len(heads):
-                    one[n > 0], two[n > 0] = np.bitwise_xor.reduceat(x, heads), np.add.reduceat(tb.mix(x), heads)
-                yield pa.RecordBatch.from_arrays([marked.column(0).slice(i, j - i), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.view(np.int64)))], names=["doc_id", "n", "d1", "d2", "set"])
+                one, two, n = _set_digest(x, at)
+                yield pa.RecordBatch.from_arrays([marked.column(0).slice(i, j - i), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x.view(np.int64)))], names=["cls", "n", "d1", "d2", "set"])
 
     words = np.frombuffer(bits, np.int64)
     spark = docs.sparkSession
@@ -180,54 +184,63 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, member: DataFrame) -> DataFram
     held = F.broadcast(spark.createDataFrame(pa.table({"w": pa.array(np.flatnonzero(words).astype(np.int32)), "bits": pa.array(words[words != 0])})))
     size = len(words) * 64
     near = docs.join(held, F.expr(f"cast(pmod(xxhash64(doc_id), {size}L) / 64 as int)") == F.col("w"), "left").select("doc_id", "text", F.expr("coalesce(bits & shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int)) <> 0, false)").alias("near"))
-    found = near.where("near").mapInArrow(sets, "doc_id long, n long, d1 long, d2 long, set array<long>").withColumn("cls", F.xxhash64("n", "d1", "d2"))
-    whole = found.join(asked, ["cls", "doc_id"]).dropDuplicates(["cls"]).select("cls", "set")
-    left = pairs.join(whole.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(whole.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(f"100 * i >= {PERCENT} * (size(sa) + size(sb) - i)").select("a", "b")
+    whole = near.where("near").mapInArrow(sets, "cls long, n long, d1 long, d2 long, set array<long>").dropDuplicates(["cls", "n", "d1", "d2"]).select("cls", "set")
+
+    # partners of a hot leader are dealt to blocks; all blocks together are at most 2 * HOT
+    counts = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "leaders")
+    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(counts.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("blocks")))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.expr("cast(pmod(xxhash64(b, 5), blocks) as int)"), F.lit(0)).alias("part"))
+    left = whole.select(F.col("cls").alias("a"), F.col("set").alias("sa")).join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    both = dealt.join(whole.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b").join(left, ["a", "part"]).withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return both.where(f"100 * i >= {PERCENT} * (size(sa) + size(sb) - i)").select("a", "b").distinct()
+
+
+_SET = ["n", "d1", "d2"]
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of documents(doc_id, text, ...); see the module's text."""
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest = saved(docs.mapInArrow(_digest, "doc_id long, n long, d1 long, d2 long, sig binary, odd binary").withColumn("cls", F.xxhash64("n", "d1", "d2")), "digest")
+    digest = saved(docs.mapInArrow(_digest, "doc_id long, n long, d1 long, d2 long, sig binary, odd binary"), "digest")
     named = digest.where("n > 0 and doc_id is not null")
-    member = named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sketch = saved(named.select("cls", "doc_id", "n", "sig", "odd").join(member, ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]), "sketch")
+    classes = saved(named.groupBy(*_SET).agg(F.min("doc_id").alias("cls"), F.count("*").alias("many")), "classes")
+    total = classes.agg(F.sum("many")).first()[0] or 0
+    # a document with several texts may name several classes
+    sketch = saved(named.join(classes.select(*_SET, F.col("cls").alias("doc_id")), [*_SET, "doc_id"], "left_semi").dropDuplicates(_SET).select(F.col("doc_id").alias("cls"), "n", "sig", "odd"), "sketch")
     keys = sketch.select("cls", "sig").mapInArrow(_keys, "key long, cls long, mark short")
 
     # buckets with several members, and in each the smallest as leader
-    leads = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("top")).where("lead <> top").select("key", "lead")
-    bucket = saved(keys.join(leads, "key"), "buckets")
-    one = sketch.select("cls", "doc_id")
-    first = saved(_confirmed(bucket.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), docs, one), "links")
-    again = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z")
+    leads = saved(keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("top"), F.count("*").alias("n")).where("lead <> top").select("key", "lead", "n"), "leads")
+    bucket = saved(hot_join(keys, leads, "key").drop("n"), "buckets")
+    first = saved(_confirmed(saved(bucket.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs"), docs), "links")
     # one document with several texts: all its classes are one
-    same = named.select("doc_id", F.col("cls").alias("b")).join(again.select("doc_id", "a"), "doc_id").select("a", "b").where("a <> b").distinct()
+    of = saved(hot_join(named.select("doc_id", *_SET), classes, _SET, "many", total=total).select("doc_id", "n", "cls"), "assigned")
+    again = of.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z")
+    same = of.select("doc_id", F.col("cls").alias("b")).join(again.select("doc_id", "a"), "doc_id").select("a", "b").where("a <> b").distinct()
     links = first.union(same)
     roots = saved(components(links), "roots")
 
     rooted = bucket.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "mark", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 <> r2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rooted.join(mixed, "key").withColumn("block", F.expr("cast(pmod(xxhash64(cls, 3), blocks) as int)"))
+    rooted = saved(rooted, "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 <> r2").select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = hot_join(rooted, saved(mixed, "mixed"), "key", "size").withColumn("block", F.expr("cast(pmod(xxhash64(cls, 3), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "cls", "mark", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(sketch.select("cls", "n", "sig", "odd"), "cls")
+    rows = rows.join(sketch, "cls")
     order = ["key", "low", "high"]
-    second = rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_meet, "a long, b long")
-    second = saved(second, "pairs")
+    second = saved(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_meet, "a long, b long").distinct(), "pairs")
     if not is_empty(second):
-        links = links.union(saved(_confirmed(second.distinct(), docs, one), "links"))
-        roots = components(links)
-    labelled = one.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "cls", F.coalesce("root", "cls").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component"))
-    of = labelled.join(least, "root").select("cls", "component")
-    return digest.join(of, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
-    ).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        links = links.union(saved(_confirmed(second, docs), "links"))
+        roots = saved(components(links), "roots")
+    # a class is named after its smallest doc_id, so the smallest node of a component is the smallest doc_id
+    sizes = classes.groupBy("cls").agg(F.sum("many").alias("many")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "many", F.coalesce("root", "cls").alias("component_id"))
+    found = hot_join(of, saved(sizes, "components"), "cls", "many", total=total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = digest.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """documents without those that have a smaller near copy; rows and columns are as they came."""
-    gone = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """documents without those that have a near copy with a smaller doc_id; rows and columns are as they came, all rows of a doc_id go or stay."""
+    gone = near_duplicates(documents).where("not kept").select("doc_id").distinct()
+    return documents.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left_anti").select("row.*")

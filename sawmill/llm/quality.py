@@ -7,11 +7,12 @@ whole numbers summed by task and then by block of symbols, so they don't depend
 has a fixed size. A document's features are the means of the unit context vectors of its symbols, and of the
 index vectors of its shapes, with its number of runs.
 
-The network learns from at most ``SAMPLE`` labelled rows, those with the smallest hashes of their ids; a fifth of them is kept
-for the temperature, by which logits are divided. Without rows of both labels every score is the share of label 1 (0.5 without rows).
+The network learns from at most ``SAMPLE`` labelled documents, those with the smallest hashes of their ids, in the same number of steps whatever their number; a
+fifth of them is kept for the temperature, by which logits are divided. Without rows of both labels every score is the share of label 1 (0.5 without rows).
 
 Defined cases: null text is empty; an empty text has features of zero and a score like any other; a null doc_id is scored and
-not held out; of several labels of one doc_id the lowest counts; an empty table gives no rows; other columns are never read.
+not held out; of several labels of one doc_id the lowest counts, and of several texts of a labelled doc_id the smallest is learned from; every row is scored by its
+own text, and so kept or rejected, whatever other rows have its doc_id; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.llm import textbytes as tb
-from sawmill.llm.common import lean, saved, small_batches
+from sawmill.llm.common import lean, small_batches
 
 WORDS, SHAPES, DIM, NONZERO = 8192, 256, 32, 2
 SYMBOLS = WORDS + SHAPES
 BLOCK = 128  # symbols in a row of the summed model
 SAMPLE = 20_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 64, 2e-3, 1e-3
+HIDDEN, STEPS, BATCH, RATE, DECAY = 32, 10_000, 64, 2e-3, 1e-3
 THRESHOLD = 0.7
 FEATURES = 3 * DIM + 1
 
@@ -110,35 +111,32 @@ def contexts(documents: DataFrame) -> np.ndarray:
     return out.reshape(SYMBOLS, DIM)
 
 
-def features(documents: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, f): f holds FEATURES float32 numbers of each text."""
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = (vectors / np.maximum(size, 1)).astype(np.float32)
-    index = np.zeros((SHAPES, DIM), np.float32)
-    for k in range(NONZERO):
-        np.add.at(index, (np.arange(SHAPES), _PLACE[WORDS:, k]), _SIGN[WORDS:, k].astype(np.float32))
-    sent = documents.sparkSession.sparkContext.broadcast((unit, np.concatenate((unit[WORDS:], index), axis=1)))
-
-    @lean
-    def pool(batches):
-        words, shapes = sent.value
-        for batch in batches:
-            raw, offsets = tb.text_buffer(batch.column(1))
-            for i, j in tb.slices(offsets):
-                word, shape, first = _symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                n = np.diff(first)
-                out = np.zeros((j - i, FEATURES), np.float32)
-                has = np.flatnonzero(n)
-                if len(has):
-                    out[has, :DIM] = np.add.reduceat(words[word], first[:-1][has], axis=0) / n[has, None]
-                    doc = np.repeat(np.arange(j - i), n)
-                    table = np.bincount(doc * SHAPES + shape - WORDS, minlength=(j - i) * SHAPES).reshape(j - i, SHAPES)
-                    out[:, DIM:-1] = table.astype(np.float32) @ shapes / np.maximum(n, 1)[:, None]
-                    out[:, -1] = np.log1p(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in out], pa.binary())], names=["doc_id", "f"])
-
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(pool, "doc_id long, f binary")
+class Pool:
+    """Features of texts: what the symbols' vectors give, pooled by document."""
+
+    def __init__(self, vectors: np.ndarray):
+        size = np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.words = (vectors / np.maximum(size, 1)).astype(np.float32)
+        index = np.zeros((SHAPES, DIM), np.float32)
+        for k in range(NONZERO):
+            np.add.at(index, (np.arange(SHAPES), _PLACE[WORDS:, k]), _SIGN[WORDS:, k].astype(np.float32))
+        self.shapes = np.concatenate((self.words[WORDS:], index), axis=1)
+
+    def features(self, texts: pa.Array):
+        """(rows i..j, their features) of a text column, a slice at a time."""
+        raw, offsets = tb.text_buffer(texts)
+        for i, j in tb.slices(offsets):
+            word, shape, first = _symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            n = np.diff(first)
+            out = np.zeros((j - i, FEATURES), np.float32)
+            has = np.flatnonzero(n)
+            if len(has):
+                out[has, :DIM] = np.add.reduceat(self.words[word], first[:-1][has], axis=0) / n[has, None]
+                doc = np.repeat(np.arange(j - i), n)
+                table = np.bincount(doc * SHAPES + shape - WORDS, minlength=(j - i) * SHAPES).reshape(j - i, SHAPES)
+                out[:, DIM:-1] = table.astype(np.float32) @ self.shapes / np.maximum(n, 1)[:, None]
+                out[:, -1] = np.log1p(n)
+            yield i, j, out.astype(float)
 
 
 class Network:
@@ -157,8 +155,9 @@ class Network:
         d = x.shape[1]
         p = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-        for _ in range(max(EPOCHS, min(400, 8000 * BATCH // max(1, len(train))))) if len(train) else ():
-            for at in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
+        parts = max(1, len(train) // BATCH)
+        for _ in range(-(-STEPS // parts)) if len(train) else ():
+            for at in np.array_split(rng.permutation(train), parts):
                 h = np.tanh(x[at] @ p[0] + p[1])
                 g = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -30, 30))) - y[at]) / len(at)
                 gh = np.outer(g, p[2]) * (1 - h * h)
@@ -189,29 +188,57 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of documents; labels(doc_id, quality) of rows held out aren't read."""
+def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Pool, Network]:
+    """Word vectors of all documents, and the network of at most ``sample`` labelled ones; labels of rows held out aren't read."""
     spark = documents.sparkSession
     small_batches(spark)
-    rows = saved(features(documents, contexts(documents)), "features")
+    pool = Pool(contexts(documents))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas()
     small = F.broadcast(spark.createDataFrame(pa.Table.from_pandas(chosen.astype("int64"), preserve_index=False)))  # at most ``sample`` rows
-    train = rows.join(small, "doc_id").select("doc_id", "f", "quality").limit(2 * sample).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    x = np.frombuffer(b"".join(bytes(f) for f in train["f"]), np.float32).reshape(-1, FEATURES).astype(float)
-    sent = spark.sparkContext.broadcast(Network(x, train["quality"].to_numpy().astype(float)))
+    # at most ``sample`` texts
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(small, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    sent = spark.sparkContext.broadcast(pool)
+
+    @lean
+    def pooled(batches):
+        for batch in batches:
+            for i, j, f in sent.value.features(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in f], pa.binary()), batch.column(2).slice(i, j - i)], names=["doc_id", "f", "quality"])
 
+    train = texts.mapInArrow(pooled, "doc_id long, f binary, quality long").toPandas().sort_values("doc_id")
+    x = np.frombuffer(b"".join(bytes(f) for f in train["f"]), float).reshape(-1, FEATURES)
+    return pool, Network(x, train["quality"].to_numpy().astype(float))
+
+
+def quality_scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of documents."""
+    sent = documents.sparkSession.sparkContext.broadcast(trained(documents, labels, sample))
+
+    @lean
     def score(batches):
-        network = sent.value
+        pool, network = sent.value
         for batch in batches:
-            f = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
-            p = network.score(f)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            for i, j, f in pool.features(batch.column(1)):
+                p = network.score(f)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(score, "doc_id long, score double, predicted int").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(score, "doc_id long, score double, predicted int").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents without those predicted as 0; rows and columns as they came."""
-    bad = quality_scores(documents, labels).where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    """documents without the rows predicted as 0; rows and columns as they came, in one pass and without a join.
+
+    Without labels of both kinds nothing was learned, and no row goes.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(trained(documents, labels))
+
+    @lean
+    def keep(batches):
+        pool, network = sent.value
+        for batch in batches:
+            good = [(network.score(f) >= THRESHOLD) | network.flat for _, _, f in pool.features(batch.column(batch.schema.get_field_index("text")))]
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    return documents.mapInArrow(keep, documents.schema)

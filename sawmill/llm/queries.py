@@ -54,13 +54,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sawmill.llm.linededup import without_repeated_chunks
+    from sawmill.llm.linededup import without_repeated_passages
 
-    return without_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return without_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_line_dedup keeps to its SQL; this one also removes what chunks miss: every repeated passage of whole lines with over 50 words."""
+    """The same rows as op8_line_dedup, under the name from before it removed whole passages too."""
     from sawmill.llm.linededup import without_repeated_passages
 
     return without_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
@@ -123,20 +123,83 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d
 """
 
-OP8_SQL = """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT rid, doc_id, i, len(ls) AS n, ls[i] AS line, CAST('0x' || substr(md5(ls[i]), 1, 7) AS BIGINT) AS h FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-c AS (SELECT *, CASE WHEN i > 1 AND ((lag(h) OVER w * 31 + h) % 1000003) % 2 = 0 THEN 1 ELSE 0 END AS cut FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS id, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, id, i, len(ls) AS n, ls[i] AS line, CAST('0x' || substr(md5(ls[i]), 1, 7) AS BIGINT) AS h, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w FROM (SELECT rid, id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+c AS (SELECT *, CASE WHEN i > 1 AND ((lag(h) OVER v * 31 + h) % 1000003) % 2 = 0 THEN 1 ELSE 0 END AS cut, sum(w) OVER v AS upto FROM l WINDOW v AS (PARTITION BY rid ORDER BY i)),
 k AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM c),
-b AS (SELECT rid, doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY rid, doc_id, no),
-o AS (SELECT *, n >= 2 AND (doc_id <> min(doc_id) OVER (PARTITION BY body, n >= 2) OR row_number() OVER (PARTITION BY rid, body, n >= 2 ORDER BY no) > 1) AS gone FROM b),
-t AS (SELECT rid, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS n_removed, coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '') AS new_text FROM o GROUP BY rid)
+f AS (SELECT rid, i, w, upto FROM c WHERE w > 0),
+r AS (
+  SELECT rid, min(i) AS a, max(i) AS b FROM k GROUP BY rid, no HAVING count(*) >= 2
+  UNION SELECT rid, i, i + 2 FROM l WHERE i + 2 <= n
+  UNION SELECT x.rid, x.i, min(y.i) FROM f x JOIN f y ON x.rid = y.rid AND y.i >= x.i AND y.upto - x.upto + x.w > 50 GROUP BY x.rid, x.i
+  UNION SELECT y.rid, max(x.i), y.i FROM f x JOIN f y ON x.rid = y.rid AND y.i >= x.i AND y.upto - x.upto + x.w > 50 GROUP BY y.rid, y.i),
+t AS (SELECT r.rid, d.id, a, b, array_to_string(ls[a:b], chr(10)) AS body FROM r JOIN d USING (rid)),
+o AS (SELECT rid, a, b, id <> min(id) OVER (PARTITION BY body, b - a) OR row_number() OVER (PARTITION BY rid, body, b - a ORDER BY a) > 1 AS copy FROM t),
+g AS (SELECT DISTINCT rid, unnest(range(a, b + 1)) AS i FROM o WHERE copy),
+s AS (SELECT l.rid, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS new_text FROM l LEFT JOIN g ON l.rid = g.rid AND l.i = g.i GROUP BY l.rid)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN new_text END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
-FROM d LEFT JOIN t USING (rid)
+FROM d LEFT JOIN s USING (rid)
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+c AS (SELECT min(rid) AS cls, n, list(rid) AS rids FROM (SELECT rid, count(*) AS n, list_sort(list(s)) AS k FROM g GROUP BY rid) GROUP BY n, k),
+q AS (SELECT s, cls, n FROM g JOIN c ON rid = cls),
+p AS (SELECT a.cls AS a, b.cls AS b FROM q a JOIN q b ON a.s = b.s AND a.cls < b.cls GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+m AS (SELECT cls, unnest(rids) AS rid FROM c),
+x AS (SELECT cls, doc_id FROM m JOIN d USING (rid) WHERE doc_id IS NOT NULL),
+e AS (SELECT u.doc_id AS a, v.doc_id AS b FROM (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT cls, cls FROM c) l JOIN (SELECT cls, min(doc_id) AS doc_id FROM x GROUP BY cls) v ON l.b = v.cls JOIN x u ON l.a = u.cls),
+y AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+t AS (SELECT DISTINCT a AS node, a AS root FROM y UNION SELECT t.node, y.b FROM t JOIN y ON t.root = y.a),
+o AS (SELECT node, min(root) AS component FROM t GROUP BY node)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(CASE WHEN n > 0 THEN component END, doc_id) AS component_id, coalesce(doc_id = coalesce(CASE WHEN n > 0 THEN component END, doc_id), true) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN o ON doc_id = node
+"""
+
+OP5_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+u AS (SELECT rid, vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.rid AS r, a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.rid <> b.rid WHERE list_dot_product(a.v, b.v) >= 0.93),
+t AS (SELECT DISTINCT a AS node, a AS root FROM p UNION SELECT t.node, p.b FROM t JOIN p ON t.root = p.a),
+c AS (SELECT node, min(root) AS component FROM t GROUP BY node),
+n AS (SELECT r, count(*) AS links FROM p GROUP BY r)
+SELECT e.vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, coalesce(component, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(component, e.vec_id), true) AS kept
+FROM e LEFT JOIN c ON e.vec_id = node LEFT JOIN n ON e.rid = n.r
+"""
+
+OP9_SQL = """
+WITH RECURSIVE r AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents),
+p AS (SELECT key, CAST(s AS BIGINT) AS s, CAST(sum(s) OVER (ORDER BY key) AS BIGINT) AS upto FROM (SELECT key, sum(size) AS s FROM r GROUP BY key)),
+b AS (SELECT greatest(max(s), (max(upto) + 15) // 16) AS least, max(upto) AS total FROM p),
+-- the capacity between low and high is tried shard by shard: used shards hold the sizes up to placed
+x AS (
+  SELECT least AS low, total AS high, CAST(0 AS BIGINT) AS placed, 0 AS used FROM b
+  UNION ALL
+  SELECT CASE WHEN placed < total AND used = 16 THEN (low + high) // 2 + 1 ELSE low END, CASE WHEN placed = total THEN (low + high) // 2 ELSE high END,
+         CASE WHEN placed < total AND used < 16 THEN (SELECT max(upto) FROM p WHERE upto <= x.placed + (x.low + x.high) // 2) ELSE 0 END, CASE WHEN placed < total AND used < 16 THEN used + 1 ELSE 0 END
+  FROM x, b WHERE low < high),
+cap AS (SELECT max(low) AS c FROM x WHERE low = high),
+cuts AS (
+  SELECT 0 AS k, CAST(0 AS BIGINT) AS placed
+  UNION ALL SELECT k + 1, (SELECT max(upto) FROM p, cap WHERE upto <= cuts.placed + c) FROM cuts, b WHERE placed < total),
+g AS (SELECT key, (SELECT count(*) FROM cuts WHERE k > 0 AND placed <= p.upto - p.s) AS shard FROM p),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS v FROM range(256) q(i))),
+u AS (SELECT DISTINCT t, hex(encode(t)) AS h FROM r),
+crc AS (SELECT t, xor(list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)), lambda c, v: xor(c >> 8, tab[CAST((xor(c, v) & 255) + 1 AS BIGINT)]), 4294967295), 4294967295) AS text_crc32 FROM u, tab)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN g USING (key) JOIN crc USING (t)
 """
 
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
+    "op3_minhash_near_dedup": OP3_SQL,
+    "op5_embedding_near_dedup": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op8_passage_dedup": OP8_SQL,
+    "op9_minimax_sharding": OP9_SQL,
 }

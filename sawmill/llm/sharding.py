@@ -6,7 +6,9 @@ the smallest possible largest shard is sought: a binary search over the capacity
 The driver never sees all groups. It holds an ordered list of intervals of the hash with their sizes, at first 2**FIRST of
 them. Taking intervals as indivisible gives a capacity that is surely feasible, taking them as divisible (but those of one group) one that
 is surely a lower bound. While these differ, only the intervals that a cut can fall into under capacities between the two
-are split in 2**STEP, by another aggregate; so the answer is that over all groups, and what is held stays small.
+are split in 2**STEP, each by its own width, by another aggregate; so the answer is that over all groups, and what is held stays small.
+
+Within a shard rows are numbered in the order of the hash and then of doc_id.
 
 Defined cases: null text has no bytes and is equal to the empty text in its group; size is the bytes of the text plus 1; a null doc_id
 is placed like any other; repeated rows are placed each, together; an empty table gives no rows; other columns are ignored.
@@ -89,13 +91,13 @@ def _loose(intervals: list[Interval], capacity: int, shards: int) -> list[int] |
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """(smallest capacity, first hash of each shard after the first) for groups(key, size), keys of BITS bits."""
 
-    def summed(rows: DataFrame, bits: int) -> list[Interval]:
-        wide = 1 << (BITS - bits)
-        found = rows.groupBy(F.shiftright("key", BITS - bits).alias("at")).agg(F.sum("size").alias("size"), (F.min("key") == F.max("key")).alias("single"), F.min("key").alias("low")).collect()
+    def summed(rows: DataFrame, width: int) -> list[Interval]:
+        """Intervals of this width, a power of two."""
+        wide, shift = width, width.bit_length() - 1
+        found = rows.groupBy(F.shiftright("key", shift).alias("at")).agg(F.sum("size").alias("size"), (F.min("key") == F.max("key")).alias("single"), F.min("key").alias("low")).collect()
         return [Interval(r["low"] if r["single"] else r["at"] * wide, 1 if r["single"] else wide, r["size"], r["single"]) for r in found]
 
-    intervals = sorted(summed(groups, FIRST), key=lambda x: x.low)
-    bits = FIRST
+    intervals = sorted(summed(groups, 1 << (BITS - FIRST)), key=lambda x: x.low)
     while True:
         total = sum(x.size for x in intervals)
         sizes = [x.size for x in intervals]
@@ -116,17 +118,17 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             split.update(k for k in range(max(0, i - 1), min(len(intervals), j + 2)) if not intervals[k].single)
         if not split:
             split = {k for k, x in enumerate(intervals) if not x.single}
-        bits = min(BITS, bits + STEP)
-        ranges = sorted((intervals[k].low, intervals[k].low + intervals[k].width) for k in split)
-        joined: list[list[int]] = []
-        for a, b in ranges:
-            if joined and joined[-1][1] == a:
-                joined[-1][1] = b
-            else:
-                joined.append([a, b])
-        near = groups.where(" or ".join(f"key between {a} and {b - 1}" for a, b in joined))
         done = [intervals[k] for k in range(len(intervals)) if k not in split]
-        intervals = sorted([*done, *summed(near, bits)], key=lambda x: x.low)
+        for width in {intervals[k].width for k in split}:
+            joined: list[list[int]] = []
+            for low_, high_ in sorted((x.low, x.low + x.width) for x in (intervals[k] for k in split) if x.width == width):
+                if joined and joined[-1][1] == low_:
+                    joined[-1][1] = high_
+                else:
+                    joined.append([low_, high_])
+            near = groups.where(" or ".join(f"key between {a} and {b - 1}" for a, b in joined))
+            done += summed(near, max(1, width >> STEP))
+        intervals = sorted(done, key=lambda x: x.low)
     ends = _greedy([x.size for x in intervals], high, shards)
     return high, [intervals[e].low if e < len(intervals) else 1 << BITS for e in ends[:-1]] + [1 << BITS] * (shards - len(ends))
 
@@ -141,5 +143,6 @@ def shards_by_bytes(documents: DataFrame, shards: int = 16) -> DataFrame:
     rows = saved(rows, "sizes")
     _, cuts = minimax_cuts(rows, shards)
     shard = sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    placed = ranked(rows.withColumn("shard", shard.cast("int")), "shard", "slot")
+    order = ["key", "doc_id"]
+    placed = ranked(rows.withColumn("shard", shard.cast("int")).repartitionByRange(*order).sortWithinPartitions(*order), "shard", "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,4 +1,4 @@
-"""Tables that cut lineage, and connected components of a graph."""
+"""Tables that cut lineage, joins whose keys may be hot, and connected components of a graph."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests, one machine) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where unset, a new one on one machine (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,16 +28,35 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than this share (1 / HOT) of all rows are hot; there are fewer than HOT of them.
+HOT = 4096
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], n: str = "n", how: str = "inner", total: int | None = None) -> DataFrame:
+    """rows joined with table, which has one row for each key and how many rows there are of it in column ``n``; total: the sum of n.
+
+    Hot keys, of which there are fewer than HOT, are joined by broadcast, so that their rows stay where they are; all others meet by a shuffle, where none
+    has more than a small share of the rows. ``how``: inner or left. Both tables are read twice.
+    """
+    key = [key] if isinstance(key, str) else key
+    if total is None:
+        total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(n) > total // HOT))  # fewer than HOT rows
+    rest = rows.join(hot.select(*key), key, "left_anti").join(table.where(F.col(n) <= total // HOT), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph with edges (a, b).
 
     Alternating large-star and small-star rounds over the edge table until nothing changes; every round is a
-    grouped minimum and an equi-join, so a hub node is split like any other skewed key. Returns (node, root),
+    grouped minimum and an equi-join, in which hubs are joined by broadcast. Returns (node, root),
     root being the smallest node of the component; nodes without edges are absent. Nulls and loops are dropped.
     """
 
-    def least(sym: DataFrame) -> DataFrame:
-        return sym.join(sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), "m"), F.col("u") == F.col("mu")).select("u", "v", F.least("m", "u").alias("m"))
+    def least(sym: DataFrame, total: int) -> DataFrame:
+        mins = sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return hot_join(sym, mins, "u", total=total).select("u", "v", F.least("m", "u").alias("m"))
 
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -45,9 +67,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(now)
     while before[0]:
-        large = least(both(now)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = saved(least(both(now), 2 * before[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        small = least(down)
+        small = least(down, before[0])
         now = saved(small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
         after = mark(now)
         if after == before:

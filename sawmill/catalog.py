@@ -6,6 +6,7 @@ one message for each order, ``pages`` urls and markup. Truth and parse of the sc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 from sawmill.functions import cleanup as C
 from sawmill.functions import text as T
 from sawmill.functions.regexes import re2
-from sawmill.operators import match, mining, scoring
+from sawmill.operators import match, mining, parse, scoring
 from sawmill.operators.extract import extract
-from sawmill.plans.tables import saved
-from sawmill.sources.logs import parse_header
+from sawmill.plans.tables import saved, shared_dir
+from sawmill.sources.logs import parse_header, read_lines, read_scored, write_csv
 from sawmill.sources.presets import COLLECTIONS, SHARED_MASKS
 
 FLAGSHIP = "template_occurrences"
@@ -326,6 +327,75 @@ def structured_log(spark, sf_dir):
     return match.structured(rows, found, _template_rows(spark)).where("EventId is not null").select("line_no", "EventId", "EventTemplate")
 
 
+@query(f"SELECT dataset, CAST(r.template_id AS BIGINT) AS template_id, bool_and(regexp_full_match(content, one)) AS every FROM ({_EVENTS}), {_RULES} GROUP BY ALL")
+def match_all(spark, sf_dir):
+    """Whether a template matches every text of a dataset."""
+    texts = event_contents(spark, sf_dir).select("dataset", F.col("content").alias("text"))
+    rules = texts.select("dataset").distinct().withColumn("rules", F.array(*(F.struct(F.lit(i).cast("long").alias("template_id"), F.lit(t).alias("template_text")) for i, t in enumerate(TEMPLATES)))).select("dataset", F.inline("rules"))
+    return match.match_all(texts, rules, ["dataset"])
+
+
+@query(f"SELECT CAST(template_id AS BIGINT) AS template_id, count(DISTINCT content) AS samples, min(content) AS first_text FROM (SELECT content, template_id FROM (SELECT content, arg_min(template_id, pass * 1000 + template_id) AS template_id FROM (SELECT content, template_id, 1 AS pass FROM ({_EVENTS}) JOIN {_RULES} ON regexp_full_match(content, one) UNION ALL SELECT content, template_id, 2 FROM ({_EVENTS}) JOIN {_RULES} ON regexp_full_match(content, two) AND template_text LIKE '%{{V}}%') GROUP BY content)) GROUP BY 1")
+def samples_by_template(spark, sf_dir):
+    found = match.first_match(event_contents(spark, sf_dir).select(F.col("content").alias("text")), _template_rows(spark))
+    return found.groupBy("template_id").agg(F.count("*").alias("samples"), F.min("text").alias("first_text"))
+
+
+# Files ------------------------------------------------------------------------------------------
+
+
+def line_files(spark, sf_dir) -> str:
+    """The rendered lines as text files in the shared folder, one for each dataset, in the order of event_id."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows = event_lines(spark, sf_dir).repartition("dataset").sortWithinPartitions("dataset", "line_no").select("dataset", "value")
+    rows.write.partitionBy("dataset").text(path)
+    return path
+
+
+def _named(rows: DataFrame, column: str) -> DataFrame:
+    """The dataset in place of the path of its file."""
+    return rows.withColumn(column, F.regexp_extract(column, "dataset=([^/]+)/", 1))
+
+
+_NUMBERED = f"SELECT 'd' || (user_id % 4) AS dataset, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS line_no, {_LINE} AS value, {_CONTENT} AS levelled, event_id FROM events"
+
+
+@query(f"SELECT dataset, line_no, value FROM ({_NUMBERED})")
+def file_lines(spark, sf_dir):
+    return _named(read_lines(spark, line_files(spark, sf_dir)), "path").withColumnRenamed("path", "dataset")
+
+
+@query(f"SELECT dataset, line_no, value FROM ({_NUMBERED}) WHERE line_no <= 50")
+def file_line_limit(spark, sf_dir):
+    """The first 50 lines of each file: a limit is the feature here."""
+    return _named(read_lines(spark, line_files(spark, sf_dir), 50), "path").withColumnRenamed("path", "dataset")
+
+
+_FILE_LOG = sql_preprocess(f"SELECT dataset, line_no AS LineId, regexp_extract(value, {_lit(_RX)}, 4) AS Level, regexp_extract(value, {_lit(_RX)}, 6) AS content FROM ({_NUMBERED})", "content", EVENT_MASKS, SHARED_MASKS)
+
+
+@query(f"SELECT dataset, CAST(LineId AS BIGINT) AS LineId, Level, translate(content, '＜＞｛｝', '<>{{}}') AS EventTemplate FROM ({_FILE_LOG})")
+def file_structured(spark, sf_dir):
+    """From text files to the structured log; each masked text is its template."""
+    log, _ = parse.parse_files(spark, line_files(spark, sf_dir), HEADER, EVENT_MASKS, merge=False, split=False)
+    return _named(log, "dataset").select("dataset", "LineId", "Level", "EventTemplate")
+
+
+@query(f"SELECT dataset, translate(content, '＜＞｛｝', '<>{{}}') AS EventTemplate, count(*) AS Occurrences, CAST(min(LineId) AS BIGINT) AS first_line FROM ({_FILE_LOG}) GROUP BY ALL")
+def file_templates(spark, sf_dir):
+    _, found = parse.parse_files(spark, line_files(spark, sf_dir), HEADER, EVENT_MASKS, merge=False, split=False)
+    return _named(found, "dataset")
+
+
+@query()
+def file_mined(spark, sf_dir):
+    """From text files to mined templates, written as CSV and read again."""
+    path = f"{shared_dir(spark)}/parse-{uuid.uuid4().hex}"
+    log, found = parse.parse_files(spark, line_files(spark, sf_dir), HEADER)
+    parse.write_parse(log, found, f"{path}/structured", f"{path}/templates")
+    return _named(read_scored(spark, f"{path}/templates"), "dataset")
+
+
 # Cleanup ----------------------------------------------------------------------------------------
 
 _RAW_PARTS = ["'open /var/log/' || event_type || '  by root, TRUE '", "'a <*>.<*>.<*> b <*><*><*>'", "'##<*>## and #<*>#<*>#'", "'x <*>:<*>:<*> y=/etc/' || user_id || '/z'", "' null|admin@' || event_type || ' groot x/null root.a'", "'p=/a//b /c/ (/d) user <*>.<*>:<*><*>'"]
@@ -396,6 +466,15 @@ def cleanup_counts(spark, sf_dir):
     return match.occurrences(C.post_process(raw_templates(spark, sf_dir).withColumnsRenamed({"t": "EventTemplate", "id": "line_no"})))
 
 
+@query(f"SELECT CAST(id AS VARCHAR) AS id, t AS EventTemplate FROM ({_clean_sql(_RAW)})")
+def adjusted_files(spark, sf_dir):
+    """A parse as CSV files, read, cleaned, written and read again."""
+    path = f"{shared_dir(spark)}/adjusted-{uuid.uuid4().hex}"
+    write_csv(raw_templates(spark, sf_dir).withColumnRenamed("t", "EventTemplate"), f"{path}/structured")
+    write_csv(C.post_process(read_scored(spark, f"{path}/structured")), f"{path}/adjusted")
+    return read_scored(spark, f"{path}/adjusted")
+
+
 @query(f"SELECT url, t AS template FROM ({_clean_sql('SELECT url, replace(replace(url, chr(63), chr(32)), chr(47) || chr(47), chr(32) || chr(47)) AS t FROM pages')})")
 def cleanup_urls(spark, sf_dir):
     p = _read(spark, sf_dir, "pages").select("url", F.replace(F.replace("url", F.lit("?"), F.lit(" ")), F.lit("//"), F.lit(" /")).alias("template"))
@@ -408,7 +487,13 @@ _TRUTH = "CASE WHEN event_id % 500 = 7 THEN 'rare ' || event_id || ' <*>' ELSE e
 _PARSED = "CASE WHEN event_id % 1000 = 7 THEN 'rare ' || event_id || ' <*>' WHEN event_type IN ('click', 'view') THEN 'click by <*>' WHEN event_type = 'error' AND value > 10 THEN 'error by user <*>' WHEN event_type = 'signup' AND user_id = 3 THEN NULL WHEN event_type = 'signup' THEN 'signup: by <*>' ELSE event_type || ' by <*>' END"
 _SCORED = f"SELECT 'd' || (user_id % 4) AS dataset, {_TRUTH} AS truth, coalesce({_PARSED}, '') AS parsed FROM events"
 _PAIRS = f"SELECT dataset, truth, parsed, count(*) AS n FROM ({_SCORED}) GROUP BY ALL"
-_SIZED = f"SELECT *, sum(n) OVER (PARTITION BY dataset, truth) AS tn, count(*) OVER (PARTITION BY dataset, truth) AS tk, sum(n) OVER (PARTITION BY dataset, parsed) AS pn, count(*) OVER (PARTITION BY dataset, parsed) AS pk FROM ({_PAIRS})"
+
+
+def _sized_sql(pairs: str) -> str:
+    return f"SELECT *, sum(n) OVER (PARTITION BY dataset, truth) AS tn, count(*) OVER (PARTITION BY dataset, truth) AS tk, sum(n) OVER (PARTITION BY dataset, parsed) AS pn, count(*) OVER (PARTITION BY dataset, parsed) AS pk FROM ({pairs})"
+
+
+_SIZED = _sized_sql(_PAIRS)
 ONLY = ["click by <*>", "error by <*>", "purchase by <*>"]
 
 
@@ -421,7 +506,7 @@ def _pairs(spark, sf_dir):
     return scoring.pair_table(scored_lines(spark, sf_dir))
 
 
-def _scores_sql(only: list[str] | None = None) -> str:
+def _scores_sql(only: list[str] | None = None, pairs: str = _PAIRS) -> str:
     inside = "true" if only is None else "truth IN (" + ", ".join(map(_lit, only)) + ")"
     ground = "count(DISTINCT truth)" if only is None else str(len(only))
     parsed_inside = inside.replace("truth", "parsed")
@@ -429,8 +514,8 @@ def _scores_sql(only: list[str] | None = None) -> str:
     base = f"""SELECT dataset, CAST(sum(n) AS DOUBLE) AS lines, CAST(sum(n) FILTER ({inside}) AS DOUBLE) AS inside_n, CAST(coalesce(sum(n) FILTER ({inside} AND tk = 1 AND pn = tn), 0) AS DOUBLE) AS gl, CAST(count(*) FILTER ({inside} AND tk = 1 AND pn = tn) AS DOUBLE) AS gt,
     count(DISTINCT CASE WHEN {inside} THEN parsed END) AS tool, {ground} AS ground, CAST(coalesce(sum(n) FILTER ({inside} AND truth = parsed), 0) AS DOUBLE) AS same, CAST(count(*) FILTER (truth = parsed AND pk = 1 AND {parsed_inside}) AS DOUBLE) AS ex,
     CAST(sum(n * levenshtein(truth, parsed)) AS DOUBLE) AS edits, CAST(coalesce(sum(n) FILTER (tn = 1), 0) AS DOUBLE) AS lone, CAST(coalesce(sum(n) FILTER (tn = 1 AND truth = parsed), 0) AS DOUBLE) AS lone_same,
-    CAST(coalesce(sum(n) FILTER ({words('truth')} = {words('parsed')}), 0) AS DOUBLE) AS sw, CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS np FROM ({_SIZED}) GROUP BY dataset"""
-    side = lambda k: f"(SELECT dataset, CAST(sum(m * (m - 1) / 2) AS DOUBLE) AS x FROM (SELECT dataset, sum(n) AS m FROM ({_PAIRS}) GROUP BY dataset, {k}) GROUP BY dataset)"
+    CAST(coalesce(sum(n) FILTER ({words('truth')} = {words('parsed')}), 0) AS DOUBLE) AS sw, CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS np FROM ({_sized_sql(pairs)}) GROUP BY dataset"""
+    side = lambda k: f"(SELECT dataset, CAST(sum(m * (m - 1) / 2) AS DOUBLE) AS x FROM (SELECT dataset, sum(n) AS m FROM ({pairs}) GROUP BY dataset, {k}) GROUP BY dataset)"
     f = lambda a, b: f"CASE WHEN {a} <> 0 OR {b} <> 0 THEN 2 * ({a} * {b}) / ({a} + {b}) ELSE 0.0 END"
     return f"""WITH b AS ({base}), r AS (SELECT b.*, gt / tool AS PGA, gt / ground AS RGA, ex / tool AS PTA, ex / ground AS RTA, CASE WHEN p.x <> 0 THEN np / p.x ELSE 0.0 END AS pp, CASE WHEN t.x <> 0 THEN np / t.x ELSE 0.0 END AS pr FROM b JOIN {side('parsed')} p USING (dataset) JOIN {side('truth')} t USING (dataset))
     SELECT dataset, gl / inside_n AS GA, {f('PGA', 'RGA')} AS FGA, same / inside_n AS PA, PTA, RTA, {f('PTA', 'RTA')} AS FTA, edits / lines AS ED, CASE WHEN lone > 0 THEN lone_same / lone ELSE 0.0 END AS UP, sw / lines AS WLA, pp AS pair_precision, pr AS pair_recall, {f('pp', 'pr')} AS pair_f1, CAST(tool AS BIGINT) AS tool_templates, CAST(ground AS BIGINT) AS ground_templates FROM r"""
@@ -453,9 +538,29 @@ _metric("metric_up", ["UP"])
 _metric("metric_wla", ["WLA"])
 _metric("metric_pairs", ["pair_precision", "pair_recall", "pair_f1"])
 _metric("metric_row", ["GA", "PA", "ED", "PTA", "RTA", "FTA", "FGA", "UP", "tool_templates", "ground_templates"])
+_metric("metric_legacy", ["pair_precision", "pair_recall", "pair_f1", "PA", "ED", "UP", "WLA"])
 _metric("metric_filtered", ["GA", "FGA", "PA", "PTA", "RTA", "FTA"], ONLY)
 
 
+@query(f"SELECT dataset, CAST(coalesce(sum(n) FILTER (pk = 1 AND tn = pn), 0) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS GA FROM ({_SIZED}) GROUP BY dataset")
+def metric_ga_parsed(spark, sf_dir):
+    """Grouping accuracy from the side of the parse: the same numbers as metric_ga."""
+    return scoring.grouping_from_parsed(_pairs(spark, sf_dir))
+
+
+_RAW_PARSE = f"SELECT 'd' || (user_id % 4) AS dataset, {_TRUTH} AS truth, coalesce(replace({_PARSED}, '<*>', ' <*>.<*>  '), 'nan') AS t FROM events WHERE event_id % 97 <> 0"
+_CLEAN_PAIRS = f"SELECT dataset, truth, t AS parsed, count(*) AS n FROM ({_clean_sql(_RAW_PARSE)}) GROUP BY ALL"
+
+
+@query(f"SELECT dataset, GA, PA, ED, PTA, RTA, FTA, FGA, UP, tool_templates, ground_templates FROM ({_scores_sql(None, _CLEAN_PAIRS)})")
+def evaluate_parse(spark, sf_dir):
+    """The scoring driver: a parse that needs cleanup and lacks lines, against the truth."""
+    e = _read(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("user_id") % 4).alias("dataset"), F.col("event_id").alias("LineId"), F.expr(_TRUTH).alias("truth"), F.expr(_PARSED).alias("parsed"))
+    truth = e.select("dataset", "LineId", F.col("truth").alias("EventTemplate"))
+    parsed = e.where("LineId % 97 <> 0").select("dataset", "LineId", F.replace("parsed", F.lit("<*>"), F.lit(" <*>.<*>  ")).alias("EventTemplate"))
+    return scoring.evaluate(truth, parsed).select("dataset", "GA", "PA", "ED", "PTA", "RTA", "FTA", "FGA", "UP", "tool_templates", "ground_templates")
+
+
 @query(f"SELECT dataset, parsed, truth, n FROM ({_SIZED}) WHERE pk <> 1")
 def error_split(spark, sf_dir):
     return scoring.split_errors(_pairs(spark, sf_dir))

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from sawmill.functions.regexes import java
 
+# The wildcard and the patterns of tokens, touching words, neighbouring wildcards and placeholders, in Python's dialect.
 WILDCARD = "<*>"
 TOKEN = r"[\w\-\\/.]+|\(?<\*>\)?|\W"
 SIMPLE_TOKEN = r"\w+|<\*>|\W"
+TOUCHING = r"([\w.-]+)?<\*>([\w.-]+)?"
+NEIGHBOURS = r"<\*>([\s.\-\\/]*<\*>)*"
+PLACEHOLDER_RULE = r"(<<(.*?)>>)+|(<(.*?)>)+"
 
 
 def strip(c: Column) -> Column:
@@ -66,8 +70,8 @@ def mask(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
 
 def collapse_wildcards(df: DataFrame, column: str) -> DataFrame:
     """Wildcards take the word that touches them, where a letter remains; wildcards with only space and . - / \\ between are one."""
-    taken = _replaced(F.array(F.col(column)), r"([\w.-]+)?<\*>([\w.-]+)?")[0]
-    return df.withColumn(column, F.regexp_replace(taken, java(r"<\*>([\s.\-\\/]*<\*>)*"), WILDCARD))
+    taken = _replaced(F.array(F.col(column)), TOUCHING)[0]
+    return df.withColumn(column, F.regexp_replace(taken, java(NEIGHBOURS), WILDCARD))
 
 
 def preprocess(df: DataFrame, column: str, dataset_masks: Sequence[str], shared_masks: Sequence[str]) -> DataFrame:
@@ -78,7 +82,7 @@ def preprocess(df: DataFrame, column: str, dataset_masks: Sequence[str], shared_
 
 def normalize_placeholders(c: Column) -> Column:
     """<<x>> and <x>, and runs of them, as one wildcard."""
-    return F.regexp_replace(c, "(?d)(<<(.*?)>>)+|(<(.*?)>)+", WILDCARD)
+    return F.regexp_replace(c, java(PLACEHOLDER_RULE), WILDCARD)
 
 
 def tokens(c: Column) -> Column:

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sawmill.functions import text as T
 from sawmill.functions.regexes import template_pattern
 from sawmill.operators import lcs
 from sawmill.plans.tables import saved
 
 PROMPT = "Replace the variable parts of this log message by <<placeholders>> and give the result between backticks: `{}`"
 _SPAN = re.compile(r"`+([^`]+)`+")
-_PLACEHOLDER = re.compile(r"(<<(.*?)>>)+|(<(.*?)>)+")
+_TOUCHING, _NEIGHBOURS = re.compile(T.TOUCHING), re.compile(T.NEIGHBOURS)
 
 
 def prompt_of(content: str) -> str:
@@ -33,15 +34,15 @@ def _python_match(template: str, content: str) -> bool:
 
 
 def _collapsed(template: str) -> str:
-    taken = re.sub(r"([\w.-]+)?<\*>([\w.-]+)?", "<*>", template)
-    template = taken if re.search("[a-zA-Z]", taken.replace("<*>", "")) else template
-    return re.sub(r"<\*>([\s.\-\\/]*<\*>)*", "<*>", template)
+    taken = _TOUCHING.sub(T.WILDCARD, template)
+    template = taken if re.search("[a-zA-Z]", taken.replace(T.WILDCARD, "")) else template
+    return _NEIGHBOURS.sub(T.WILDCARD, template)
 
 
 def answered(content: str, answer: str) -> str:
     """The template of an answer: the one span between backticks or the whole, made to match the content, or the content itself."""
     spans = _SPAN.findall(answer)
-    template = _PLACEHOLDER.sub("<*>", spans[0] if len(spans) == 1 else answer)
+    template = lcs.PLACEHOLDER.sub(T.WILDCARD, spans[0] if len(spans) == 1 else answer)
     if not _python_match(template, content):
         template = lcs.repaired(content, template)
     if not _python_match(template, content) or not re.search("[a-zA-Z]", template.replace("<*>", "")):

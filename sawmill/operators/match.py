@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.functions.regexes import template_pattern_column
-from sawmill.functions.text import restore_reserved
+from sawmill.functions.text import WILDCARD, restore_reserved
 
 #: Templates that are sent to every task at once; more go in blocks of this many, each a pass over the distinct texts.
 BLOCK = 2000
@@ -18,24 +18,35 @@ def _blocks(templates: DataFrame):
         yield templates if n <= BLOCK else templates.where(F.pmod(F.xxhash64("template_id"), F.lit(-(-n // BLOCK))) == k)
 
 
+#: The first word of a template, where it is literal and white space follows; a text that the template matches begins with the same word.
+_HEAD, _FIRST = r"^([^\s<{]+)\s", r"^(\S+)\s"
+
+
 def _patterns(templates: DataFrame) -> DataFrame:
     """Two rows for each template: pass 1 with the text as it is, pass 2 with the marks {V} left out (only where there are some)."""
-    one = templates.select("template_id", "ord", F.lit(1).alias("pass"), template_pattern_column(F.col("template_text")).alias("pattern"), F.regexp_extract("template_text", r"^[^<{]*", 0).alias("head"))
+
+    def rule(rows: DataFrame, text: Column, number: int) -> DataFrame:
+        return rows.select("template_id", "ord", F.lit(number).alias("pass"), template_pattern_column(text).alias("pattern"), F.regexp_extract(text, _HEAD, 1).alias("head"))
+
     bare = F.replace(F.col("template_text"), F.lit("{V}"), F.lit(""))
-    two = templates.where(F.col("template_text").contains("{V}")).select("template_id", "ord", F.lit(2).alias("pass"), template_pattern_column(bare).alias("pattern"), F.regexp_extract(bare, r"^[^<{]*", 0).alias("head"))
-    return one.union(two)
+    return rule(templates, F.col("template_text"), 1).union(rule(templates.where(F.col("template_text").contains("{V}")), bare, 2))
+
+
+def _headed(rows: DataFrame, text: str) -> DataFrame:
+    """rows once under the first word of their text and once under none, which meets the templates that begin otherwise."""
+    return rows.withColumn("head", F.explode(F.array_distinct(F.array(F.regexp_extract(text, _FIRST, 1), F.lit("")))))
 
 
 def first_match(texts: DataFrame, templates: DataFrame) -> DataFrame:
     """(text, template_id, pass) for each distinct text: the first template (by ord) that matches it, of pass 1 if there is one.
 
-    texts(text), templates(template_id, template_text, ord). The literal head of a template is tested before its pattern. Only
-    distinct texts are matched. Texts that nothing matches are absent.
+    texts(text), templates(template_id, template_text, ord). Only distinct texts are matched, and each only with the templates that
+    begin with its first word or with no literal word: an equi-join. Texts that nothing matches are absent.
     """
-    distinct, found = texts.select("text").distinct(), None
+    distinct, found = _headed(texts.select("text").distinct(), "text"), None
     for block in _blocks(templates):
-        rules = F.broadcast(_patterns(block))  # BLOCK templates at most
-        hit = distinct.join(rules, F.expr("startswith(text, head) and text rlike pattern"))
+        rules = F.broadcast(_patterns(block))  # 2 * BLOCK rows at most
+        hit = distinct.join(rules, "head").where("text rlike pattern")
         best = hit.groupBy("text").agg(F.min(F.struct("pass", "ord", "template_id")).alias("best"))
         found = best if found is None else found.union(best)
     if found is None:
@@ -46,15 +57,14 @@ def first_match(texts: DataFrame, templates: DataFrame) -> DataFrame:
 def containment(templates: DataFrame) -> DataFrame:
     """(coverer_id, covered_id) of templates whose pattern matches another template's text; equal texts don't count.
 
-    Where templates have a dataset, only those of one dataset are compared.
+    Where templates have a dataset, only those of one dataset are compared; an equi-join on it and on the first word, as in first_match.
     """
-    found, scoped = None, "dataset" in templates.columns
-    where = F.expr("template_text <> _by and template_text rlike _pattern" + (" and dataset = _dataset" if scoped else ""))
-    for block in _blocks(templates):
-        rules = F.broadcast(block.select(F.col("template_id").alias("coverer_id"), F.col("template_text").alias("_by"), template_pattern_column(F.col("template_text")).alias("_pattern"), *([F.col("dataset").alias("_dataset")] if scoped else [])))
-        hit = templates.join(rules, where).select("coverer_id", F.col("template_id").alias("covered_id"))
-        found = hit if found is None else found.union(hit)
-    return found
+    scope = ["dataset", "head"] if "dataset" in templates.columns else ["head"]
+    rows = _headed(templates, "template_text").select(*scope, F.col("template_id").alias("covered_id"), "template_text")
+    # without a wildcard a template covers nothing but itself
+    rules = templates.where(F.col("template_text").contains(WILDCARD)).withColumn("head", F.regexp_extract("template_text", _HEAD, 1))
+    rules = rules.select(*scope, F.col("template_id").alias("coverer_id"), F.col("template_text").alias("_by"), template_pattern_column(F.col("template_text")).alias("_pattern"))
+    return rows.join(rules, scope).where("template_text <> _by and template_text rlike _pattern").select("coverer_id", "covered_id").distinct()
 
 
 def last_coverer(templates: DataFrame) -> DataFrame:
@@ -63,6 +73,12 @@ def last_coverer(templates: DataFrame) -> DataFrame:
     return containment(templates).join(order, "coverer_id").groupBy("covered_id").agg(F.max_by("coverer_id", "ord").alias("coverer_id"))
 
 
+def match_all(texts: DataFrame, templates: DataFrame, by: list[str]) -> DataFrame:
+    """(by, template_id, every): whether a template matches all texts of its group; texts(by, text), templates(by, template_id, template_text)."""
+    rules = templates.select(*by, "template_id", template_pattern_column(F.col("template_text")).alias("pattern"))
+    return texts.select(*by, "text").distinct().join(rules, by).groupBy(*by, "template_id").agg(F.bool_and(F.expr("text rlike pattern")).alias("every"))
+
+
 def structured(lines: DataFrame, samples: DataFrame, templates: DataFrame) -> DataFrame:
     """lines(sample_id, ...) with EventId and EventTemplate by way of samples(sample_id, template_id) and templates."""
     names = templates.select(F.col("template_id").alias("EventId"), restore_reserved(F.col("template_text")).alias("EventTemplate"))

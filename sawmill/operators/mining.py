@@ -20,7 +20,7 @@ from sawmill.functions import text as T
 from sawmill.functions.regexes import template_pattern_column
 from sawmill.operators import lcs
 from sawmill.operators.match import containment
-from sawmill.plans.tables import components, saved
+from sawmill.plans.tables import components, hot_join, saved
 
 #: Samples at a distance of at most this are near.
 NEAR = 0.3
@@ -93,34 +93,51 @@ def clusters(found: DataFrame, limit: float = JOINED) -> DataFrame:
     return found.join(roots.withColumnsRenamed({"node": "sample_id", "root": "cluster"}), "sample_id", "left").withColumn("cluster", F.coalesce("cluster", "sample_id"))
 
 
-def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The common runs of each cluster's texts in a task, whose rows are sorted by cluster: one cluster is held at a time."""
-    last, held = None, None
-    for part in parts:
-        done: list[tuple] = []
-        for cluster, runs in zip(part["cluster"], part["runs"]):
-            runs = [list(r) for r in runs]
-            if cluster != last:
-                if held is not None:
-                    done.append((last, held))
-                last, held = cluster, runs
-            elif runs != held:
-                a = held[0] if len(held) == 1 else lcs.fenced(held)
-                b = runs[0] if len(runs) == 1 else lcs.fenced(runs)
-                held = [r for r in ([t for t in r if t != "<<COM>>"] for r in lcs.common_runs(a, b)) if r]
-        yield pd.DataFrame(done, columns=["cluster", "runs"])
-    if held is not None:
-        yield pd.DataFrame([(last, held)], columns=["cluster", "runs"])
-
-
-def merged(clustered: DataFrame) -> DataFrame:
-    """(cluster, runs): the common runs of each cluster. Tasks fold what they hold, then the few results of a cluster are folded.
-
-    The order of folding is that of the samples' first lines within a task; another order may find other runs, all of them common.
+def _folding(weighted: bool):
+    """Folds the runs of rows sorted by (cluster, part): the common runs of each, with its first line; one part is held at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, line = None, None, None
+        columns = ["cluster", "part", "first_line", "runs"]
+        for batch in batches:
+            done: list[tuple] = []
+            for cluster, part, first, runs in zip(batch["cluster"], batch["part"], batch["first_line"], batch["runs"]):
+                runs = [list(r) for r in runs]
+                if (cluster, part) != last:
+                    if held is not None:
+                        done.append((*last, line, held))
+                    last, held, line = (cluster, part), runs, first
+                elif runs != held:
+                    held = lcs.fold(held, runs, weighted)
+            yield pd.DataFrame(done, columns=columns)
+        if held is not None:
+            yield pd.DataFrame([(*last, line, held)], columns=columns)
+
+    return run
+
+
+#: Texts or results that are folded in one go.
+FAN = 512
+
+
+def merged(clustered: DataFrame, weighted: bool = False) -> DataFrame:
+    """(cluster, runs): the common runs of each cluster, of tokens that weigh alike or by their words and signs.
+
+    A cluster's samples are dealt by a hash to parts of about FAN, each folded in the order of first lines; then FAN results of parts are folded at a time until
+    one is left. Another order may find other runs, all of them common; this one depends on the samples alone.
     """
-    schema = "cluster long, runs array<array<string>>"
-    rows = clustered.repartition(F.col("cluster"), F.pmod("sample_id", F.lit(16))).sortWithinPartitions("cluster", "first_line").select("cluster", F.array(T.tokens(F.col("sample_text"))).alias("runs"))
-    return rows.mapInPandas(_fold, schema).repartition("cluster").sortWithinPartitions("cluster", F.size("runs")).mapInPandas(_fold, schema)
+    schema = "cluster long, part long, first_line long, runs array<array<string>>"
+    sizes = saved(clustered.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    parts = sizes.agg(F.max(F.ceil(F.col("n") / FAN))).first()[0] or 0
+    rows = hot_join(clustered.select("cluster", "sample_id", "first_line", F.array(T.tokens(F.col("sample_text"))).alias("runs")), sizes, "cluster")
+    rows = rows.withColumn("part", F.expr(f"pmod(xxhash64(sample_id, 5), cast(ceil(n / {FAN}) as bigint))")).withColumn("at", F.col("sample_id"))
+    while True:
+        order = ["cluster", "part"]
+        rows = rows.repartition(*order).sortWithinPartitions(*order, "first_line", "at").select("cluster", "part", "first_line", "runs").mapInPandas(_folding(weighted), schema)
+        if parts <= 1:
+            return rows.select("cluster", "runs")
+        parts = -(-parts // FAN)
+        rows = rows.withColumn("at", F.col("part")).withColumn("part", F.expr(f"part div {FAN}"))
 
 
 def _joined(runs: Column) -> Column:
@@ -130,8 +147,9 @@ def _joined(runs: Column) -> Column:
 def templates(clustered: DataFrame) -> DataFrame:
     """(cluster, template_text): runs joined by wildcards, with one before or after them where that is needed to match all samples."""
     base = merged(clustered).select("cluster", _joined(F.col("runs")).alias("t"))
-    forms = base.select("cluster", F.posexplode(F.array("t", F.concat(F.lit(T.WILDCARD), "t"), F.concat("t", F.lit(T.WILDCARD)), F.concat(F.lit(T.WILDCARD), "t", F.lit(T.WILDCARD)))).alias("form", "template_text"))
-    rows = clustered.select("cluster", "sample_text").join(forms.withColumn("pattern", template_pattern_column(F.col("template_text"))), "cluster")
+    forms = F.array("t", F.concat(F.lit(T.WILDCARD), "t"), F.concat("t", F.lit(T.WILDCARD)), F.concat(F.lit(T.WILDCARD), "t", F.lit(T.WILDCARD)))
+    sizes = saved(clustered.groupBy("cluster").agg(F.count("*").alias("n")).join(base, "cluster").withColumn("forms", forms), "forms")
+    rows = hot_join(clustered.select("cluster", "sample_text"), sizes, "cluster").select("cluster", "sample_text", F.posexplode("forms").alias("form", "template_text")).withColumn("pattern", template_pattern_column(F.col("template_text")))
     fits = rows.groupBy("cluster", "form", "template_text").agg(F.bool_and(F.expr("sample_text rlike pattern")).alias("all"))
     best = fits.withColumn("rank", F.when(F.col("all"), F.col("form")).otherwise(F.lit(9) - F.col("form"))).groupBy("cluster").agg(F.min_by("template_text", "rank").alias("template_text"))
     best = T.collapse_wildcards(best, "template_text")
@@ -144,21 +162,58 @@ def _gaps(text: pd.Series, runs: pd.Series) -> pd.Series:
     return pd.Series([lcs.gaps(lcs.tokenize(t), [list(r) for r in rs]) for t, rs in zip(text, runs)])
 
 
+def _tops(names: DataFrame) -> DataFrame:
+    """(covered_id, to) of names(template_id, template_text, ord, dataset) that another one of the dataset covers: the last coverer that none covers itself.
+
+    Of names that cover each other the one seen first stays.
+    """
+    order = names.select("template_id", "ord")
+    covers = containment(names).join(order.withColumnsRenamed({"template_id": "coverer_id", "ord": "by"}), "coverer_id").join(order.withColumnsRenamed({"template_id": "covered_id", "ord": "at"}), "covered_id")
+    back = covers.select(F.col("coverer_id").alias("covered_id"), F.col("covered_id").alias("coverer_id"), F.lit(True).alias("mutual"))
+    covers = saved(covers.join(back, ["covered_id", "coverer_id"], "left").where("mutual is null or by < at").select("covered_id", "coverer_id", "by"), "covers")
+    return covers.join(covers.select(F.col("covered_id").alias("coverer_id")).distinct(), "coverer_id", "left_anti").groupBy("covered_id").agg(F.max_by("coverer_id", F.struct("by", "coverer_id")).alias("to"))
+
+
+def _merged_values(gaps: DataFrame) -> DataFrame:
+    """(cluster, gap, value, merged): the value of a gap that takes this one in, as its pattern matches it, with placeholders and wildcards made one."""
+    values = gaps.groupBy("cluster", "gap", "value").agg(F.min("first_line").alias("ord"))
+    values = saved(values.withColumn("template_id", F.xxhash64("cluster", "gap", "value")).withColumn("dataset", F.concat_ws(" ", "cluster", "gap")), "values")
+    wild = values.where(F.col("value").contains(T.WILDCARD)).select("dataset").distinct()  # elsewhere no value covers another
+    top = _tops(values.join(wild, "dataset", "left_semi").withColumnRenamed("value", "template_text").select("dataset", "template_id", "template_text", "ord"))
+    by = values.select(F.col("template_id").alias("to"), F.col("value").alias("by"))
+    joined = values.join(top.withColumnRenamed("covered_id", "template_id").join(by, "to"), "template_id", "left")
+    return T.collapse_wildcards(joined.withColumn("merged", T.normalize_placeholders(F.coalesce("by", "value"))), "merged").select("cluster", "gap", "value", "merged")
+
+
 def split_clusters(clustered: DataFrame, base: int = SPLIT_BASE) -> DataFrame:
-    """clustered with a branch: the value of the gap that a cluster is split by, or null where it isn't.
+    """(cluster, sample_id, branch, template_text) of the samples of clusters that are split, by the value of one gap between common runs (weighted ones).
 
     The gap with the fewest values is taken, the first of several; a gap needs two values or more, one of them with a letter outside
-    wildcards, and no more of them than round(log(lines of the cluster, base)).
+    wildcards, and no more of them than round(log(lines of the cluster, base)). A branch's template has the value in that gap ({V} for none, but
+    before the first run), and elsewhere the gap's one value or a wildcard. A branch without a letter is none: its samples are their own templates.
     """
-    runs = merged(clustered)
-    gaps = clustered.select("cluster", "sample_id", "sample_text", "log_num").join(runs, "cluster").select("cluster", "sample_id", "log_num", F.posexplode(_gaps("sample_text", "runs")).alias("gap", "value"))
-    gaps = saved(gaps, "gaps")
-    lines = clustered.groupBy("cluster").agg(F.sum("log_num").alias("lines"))
-    values = gaps.groupBy("cluster", "gap").agg(F.count_distinct("value").alias("values"), F.bool_or(T.has_word(F.col("value"))).alias("worded")).join(lines, "cluster")
+    runs = saved(merged(clustered, weighted=True), "runs")
+    sizes = saved(clustered.groupBy("cluster").agg(F.sum("log_num").alias("lines"), F.count("*").alias("n")).join(runs, "cluster"), "sizes")
+    gaps = hot_join(clustered.select("cluster", "sample_id", "sample_text", "first_line"), sizes.where("n > 1").select("cluster", "n", "runs"), "cluster")
+    gaps = saved(gaps.select("cluster", "sample_id", "first_line", F.posexplode(_gaps("sample_text", "runs")).alias("gap", "value")), "gaps")
+    become = saved(_merged_values(gaps), "become")
+    values = become.groupBy("cluster", "gap").agg(F.count_distinct("merged").alias("values"), F.bool_or(T.has_word(F.col("merged"))).alias("worded"), F.min("merged").alias("one"))
+    values = saved(values.join(sizes.select("cluster", "lines"), "cluster"), "gap-values")
     most = F.rint(F.log(float(base), F.greatest(F.col("lines"), F.lit(1))))
-    chosen = values.where("values > 1 and worded").where(F.col("values") <= most).groupBy("cluster").agg(F.min_by("gap", F.struct("values", "gap")).alias("gap"))
-    branch = gaps.join(chosen, ["cluster", "gap"]).select("sample_id", F.when(F.col("value") == "", "{V}").otherwise(F.col("value")).alias("branch"))
-    return clustered.join(branch, "sample_id", "left")
+    chosen = saved(values.where("values > 1 and worded").where(F.col("values") <= most).groupBy("cluster").agg(F.min_by("gap", F.struct("values", "gap")).alias("gap")), "chosen")
+    # the gaps of one cluster: as many as its runs, and one more
+    pieces = values.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("gap", F.when(F.col("values") == 1, F.col("one")).otherwise(T.WILDCARD).alias("piece")))).alias("pieces"))
+    named = become.join(chosen, ["cluster", "gap"]).select("cluster", "gap", "merged").distinct().join(pieces, "cluster").join(runs, "cluster")
+    named = named.withColumn("own", F.when((F.col("merged") == "") & (F.col("gap") != 0), "{V}").otherwise(F.col("merged")))
+    named = named.withColumn("template_text", F.expr("array_join(transform(pieces, (p, i) -> concat(if(i = gap, own, p.piece), coalesce(array_join(get(runs, i), ''), ''))), '')"))
+    named = saved(T.collapse_wildcards(named, "template_text").select("cluster", "merged", "template_text"), "branches")
+    # few branches for each cluster, as their number is at most the logarithm of its lines
+    of = become.join(chosen, ["cluster", "gap"]).join(named, ["cluster", "merged"])
+    of = saved(gaps.groupBy("cluster", "gap", "value").agg(F.count("*").alias("n")).join(of, ["cluster", "gap", "value"]), "values")
+    small = hot_join(gaps.select("cluster", "gap", "value", "sample_id"), of, ["cluster", "gap", "value"])
+    own = clustered.select("sample_id", "sample_text")
+    out = small.select("cluster", "sample_id", F.col("merged").alias("branch"), "template_text").join(own, "sample_id")
+    return out.withColumn("template_text", F.when(T.has_word(F.col("template_text")), F.col("template_text")).otherwise(F.col("sample_text"))).select("cluster", "sample_id", "branch", "template_text")
 
 
 def absorbed(found: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,12 +221,10 @@ def absorbed(found: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Of templates that cover each other the one seen first stays.
     """
-    order = names.select("template_id", "ord")
-    covers = containment(names).join(order.withColumnsRenamed({"template_id": "coverer_id", "ord": "by"}), "coverer_id").join(order.withColumnsRenamed({"template_id": "covered_id", "ord": "at"}), "covered_id")
-    back = covers.select(F.col("coverer_id").alias("covered_id"), F.col("covered_id").alias("coverer_id"), F.lit(True).alias("mutual"))
-    covers = saved(covers.join(back, ["covered_id", "coverer_id"], "left").where("mutual is null or by < at").select("covered_id", "coverer_id", "by"), "covers")
-    top = covers.join(covers.select(F.col("covered_id").alias("coverer_id")).distinct(), "coverer_id", "left_anti").groupBy("covered_id").agg(F.max_by("coverer_id", "by").alias("to"))
-    moved = found.join(top.withColumnRenamed("covered_id", "template_id"), "template_id", "left").withColumn("template_id", F.coalesce("to", "template_id")).drop("to")
+    top = saved(_tops(names), "tops")
+    sizes = found.groupBy("template_id").agg(F.count("*").alias("n"))
+    to = saved(top.join(sizes.withColumnRenamed("template_id", "covered_id"), "covered_id").withColumnRenamed("covered_id", "template_id"), "moves")
+    moved = hot_join(found, to, "template_id", how="left").withColumn("template_id", F.coalesce("to", "template_id"))
     return moved.select(*found.columns), names.join(top.select(F.col("covered_id").alias("template_id")), "template_id", "left_anti").select(*names.columns)
 
 
@@ -183,15 +236,24 @@ def mine(lines: DataFrame, merge: bool = True, split: bool = True, contained: bo
     """
     found = saved(samples(lines), "samples")
     many = found.where(~T.one_word(F.col("sample_text")))
-    grouped = clusters(many) if merge else many.withColumn("cluster", F.col("sample_id"))
-    if split:
-        grouped = split_clusters(saved(grouped, "clusters")).withColumn("cluster", F.when(F.col("branch").isNull(), F.col("cluster")).otherwise(F.xxhash64("cluster", "branch"))).drop("branch")
-    grouped = saved(grouped, "clusters")
-    texts = templates(grouped)
-    named = grouped.join(texts, "cluster", "left").withColumn("template_text", F.coalesce("template_text", "sample_text"))
-    single = found.where(T.one_word(F.col("sample_text"))).withColumn("template_text", F.col("sample_text"))
-    every = named.drop("cluster").unionByName(single).withColumn("template_id", F.xxhash64("dataset", "template_text"))
-    every = saved(every, "mined")
+    grouped = saved(clusters(many) if merge else many.withColumn("cluster", F.col("sample_id")), "clusters")
+    columns = ["dataset", "sample_id", "sample_text", "log_num", "first_line", "template_text"]
+    parts = [found.where(T.one_word(F.col("sample_text"))).withColumn("template_text", F.col("sample_text")).select(*columns)]
+    if split and merge:
+        branches = saved(split_clusters(grouped), "splits")
+        parts.append(grouped.join(branches.select("sample_id", "template_text"), "sample_id").select(*columns))
+        grouped = saved(grouped.join(branches.select("sample_id"), "sample_id", "left_anti"), "clusters")
+    if merge:
+        texts = templates(grouped)
+        sizes = grouped.groupBy("cluster").agg(F.count("*").alias("n")).join(texts, "cluster")
+        grouped = hot_join(grouped, saved(sizes, "texts"), "cluster", how="left")
+    else:
+        grouped = grouped.withColumn("template_text", F.lit(None).cast("string"))
+    parts.append(grouped.withColumn("template_text", F.coalesce("template_text", "sample_text")).select(*columns))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = saved(every.withColumn("template_id", F.xxhash64("dataset", "template_text")), "mined")
     names = every.groupBy("dataset", "template_id", "template_text").agg(F.min("first_line").alias("ord"))
     every = every.drop("template_text")
     return (every, names) if contained or not merge else absorbed(every, saved(names, "names"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sawmill.functions.cleanup import post_process
 from sawmill.functions.text import words
 
 
@@ -15,6 +16,17 @@ def pair_table(lines: DataFrame) -> DataFrame:
     return lines.select("dataset", "truth", F.coalesce("parsed", F.lit("")).alias("parsed")).groupBy("dataset", "truth", "parsed").agg(F.count("*").alias("n"))
 
 
+def aligned(truth: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(dataset, truth, parsed) of the lines that both tables (dataset, LineId, EventTemplate) have."""
+    rows = truth.select("dataset", "LineId", F.col("EventTemplate").alias("truth"))
+    return rows.join(parsed.select("dataset", "LineId", F.col("EventTemplate").alias("parsed")), ["dataset", "LineId"]).select("dataset", "truth", "parsed")
+
+
+def evaluate(truth: DataFrame, parsed: DataFrame, user_strings: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
+    """Scores of a parse: its templates are cleaned, its lines aligned with those of the truth, and each dataset gets its row of scores."""
+    return scores(pair_table(aligned(truth, post_process(parsed, user_strings))), only)
+
+
 def sized(pairs: DataFrame) -> DataFrame:
     """Pairs with the lines and the number of partners of their truth (tn, tk) and their parse (pn, pk)."""
     t, p = Window.partitionBy("dataset", "truth"), Window.partitionBy("dataset", "parsed")
@@ -63,6 +75,12 @@ def scores(pairs: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def grouping_from_parsed(pairs: DataFrame) -> DataFrame:
+    """(dataset, GA) from the parsed side: lines of parsed templates that hold one truth only, and all of its lines."""
+    good = (F.col("pk") == 1) & (F.col("tn") == F.col("pn"))
+    return sized(pairs).groupBy("dataset").agg(_over(_sum(good), F.sum("n")).alias("GA"))
+
+
 def split_errors(pairs: DataFrame) -> DataFrame:
     """(dataset, parsed, truth, n): parsed templates that hold lines of several truths."""
     return sized(pairs).where("pk <> 1").select("dataset", "parsed", "truth", "n")

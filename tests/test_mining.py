@@ -27,7 +27,8 @@ A, B = "job alpha started on node seven", "job beta started on node seven"
         ([A, B, A, B], {A: 2, B: 2}),
         ([A, B, A, B, "job gamma started on node seven"], {"job <*> started on node seven": 5}),
         (["12345", "12345"], {"12345": 2}),
-        (["disk check passed on node seven", "disk check not passed on node seven"] * 2, {"disk check passed on node seven": 2, "disk check not passed on node seven": 2}),
+        (["disk check passed on node seven", "disk check not passed on node seven"] * 2, {"disk check{V} passed on node seven": 2, "disk check not passed on node seven": 2}),
+        (["value <*> seen in map {x}"], {"value ＜*＞ seen in map ｛x｝": 1}),
     ],
 )
 def test_traces(spark, lines, want):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,7 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sawmill.llm.pii import personal_data
 
-    return personal_data(_table(spark, sf_dir, "documents"))
+    return personal_data(_table(spark, sf_dir, "documents")).withColumn("scores", F.expr("array_join(transform(scores, x -> format_number(x, 2)), ',')"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -194,6 +195,53 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
 FROM r JOIN g USING (key) JOIN crc USING (t)
 """
 
+_IBAN = "([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)($|[^A-Za-z0-9])"
+
+
+def _pii_kind(order: int, kind: str, pattern: str) -> str:
+    return f"SELECT rid, {order} AS o, '{kind}' AS kind, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d"
+
+
+def _pii_cue(kind: str, score: float, words: str) -> str:
+    return f"('{kind}', {score}, '\\b(?:{words})s?\\b')"
+
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({_pii_kind(0, 'email', r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')}
+  UNION ALL {_pii_kind(1, 'ip', r'[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')}
+  UNION ALL {_pii_kind(2, 'card', r'[0-9](?:[\x20-]?[0-9])+')}
+  UNION ALL {_pii_kind(3, 'phone', r'\+[0-9][\x20().0-9-]+[0-9]')}),
+m AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM x WHERE len(ms) > 0),
+s AS (SELECT rid, o, kind, ms[i] AS v, regexp_replace(ms[i], '[^0-9]', '', 'g') AS g, CAST(list_sum(list_transform(gs[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM m),
+base AS (SELECT rid, o, kind, a, a + length(v) AS b FROM s WHERE CASE kind
+  WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(TRY_CAST(ltrim(y, '0') AS INTEGER), 0) > 255)) = 0
+  WHEN 'card' THEN length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse(g), k, 1) AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr(reverse(g), k, 1) AS INTEGER) + 1] END)) % 10 = 0
+  WHEN 'phone' THEN length(g) BETWEEN 9 AND 15 ELSE true END),
+-- bank accounts: the first match from pos on, its longest end before a space that passes the check, and on from there
+w AS (
+  SELECT rid, t, CAST(1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS n FROM d WHERE regexp_matches(t, '(^|[^A-Za-z0-9]){_IBAN}')
+  UNION ALL
+  SELECT rid, t, a0 + coalesce(n0, 4) + 1, a0, n0
+  FROM (
+    SELECT rid, t, a0, list_max(list_filter(list_append(list_transform(list_filter(range(1, length(v) + 1), lambda k: substr(v, k, 1) = ' '), lambda k: k - 1), length(v)), lambda e:
+      length(replace(substr(v, 1, e), ' ', '')) BETWEEN 15 AND 34 AND
+      list_reduce(list_transform(string_split(substr(replace(substr(v, 1, e), ' ', ''), 5) || substr(v, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(ord(c) - 48 AS BIGINT) ELSE CAST(ord(c) - 55 AS BIGINT) END), lambda acc, c: (acc * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97, 0) = 1)) AS n0
+    FROM (
+      SELECT rid, t, h[3] AS v, greatest(pos - 1, 1) - 1 + length(h[1]) + length(h[2]) AS a0
+      FROM (SELECT rid, t, pos, CASE WHEN pos = 1 THEN regexp_extract_all(t, '(?s)^(.*?)(^|[^A-Za-z0-9]){_IBAN}', 0) ELSE regexp_extract_all(substr(t, pos - 1), '(?s)^(.*?)([^A-Za-z0-9]){_IBAN}', 0) END AS any_, CASE WHEN pos = 1 THEN [regexp_extract(t, '(?s)^(.*?)(^|[^A-Za-z0-9]){_IBAN}', 1), regexp_extract(t, '(?s)^(.*?)(^|[^A-Za-z0-9]){_IBAN}', 2), regexp_extract(t, '(?s)^(.*?)(^|[^A-Za-z0-9]){_IBAN}', 3)] ELSE [regexp_extract(substr(t, pos - 1), '(?s)^(.*?)([^A-Za-z0-9]){_IBAN}', 1), regexp_extract(substr(t, pos - 1), '(?s)^(.*?)([^A-Za-z0-9]){_IBAN}', 2), regexp_extract(substr(t, pos - 1), '(?s)^(.*?)([^A-Za-z0-9]){_IBAN}', 3)] END AS h FROM w)
+      WHERE len(any_) > 0))),
+every AS (SELECT rid, o, kind, a, b FROM base UNION ALL SELECT rid, 4, 'iban', a, a + n FROM w WHERE n IS NOT NULL),
+cue AS (SELECT * FROM (VALUES {_pii_cue('email', 0.9, 'mail|email|contact|write')}, {_pii_cue('ip', 0.6, 'ip|address|host|server')}, {_pii_cue('card', 0.8, 'card|visa|payment|credit|pay')},
+  {_pii_cue('phone', 0.7, 'phone|call|tel|mobile|fax')}, {_pii_cue('iban', 0.95, 'iban|bank|account|transfer')}) q(kind, score, pattern)),
+scored AS (SELECT rid, o, e.kind, a, b, least(1.0, greatest(0.0, score + CASE WHEN regexp_matches(near, pattern) THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches(near, '\b(?:example|sample|test|version|order|invoice|serial)s?\b') THEN 0.3 ELSE 0 END)) AS score
+  FROM (SELECT every.*, translate(substr(t, greatest(a - 40, 0) + 1, least(a, 40)) || ' ' || substr(t, b + 1, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near FROM every JOIN d USING (rid)) e JOIN cue USING (kind)),
+o AS (SELECT rid, count(*) FILTER (o = 0) AS n_email, count(*) FILTER (o = 1) AS n_ip, count(*) FILTER (o = 2) AS n_card, count(*) FILTER (o = 3) AS n_phone,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o, b) FILTER (o < 4) AS based, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o, b) AS spans, string_agg(printf('%.2f', CAST(score AS DOUBLE)), ',' ORDER BY a, o, b) AS scores FROM scored GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN o USING (rid)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
@@ -202,4 +250,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
     "op8_passage_dedup": OP8_SQL,
     "op9_minimax_sharding": OP9_SQL,
+    "op10_personal_data": OP10_SQL,
 }

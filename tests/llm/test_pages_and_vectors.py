@@ -46,6 +46,31 @@ def test_transactions_across_files(spark, tmp_path):
     assert got["<gone>"].response is None and got["<gone>"].metadata.fields == {"k": "v"}
 
 
+def test_transactions_named_by_responses_and_several_identifiers(spark, tmp_path):
+    """A response that names its request, a metadata record that names both, and a revisit from elsewhere."""
+
+    def record(kind, name, extra, block):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n" + "".join(f"{k}: {v}\r\n" for k, v in extra) + f"Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    data = record("request", "q1", [], b"GET / HTTP/1.1\r\n\r\n") + record("response", "r1", [("WARC-Concurrent-To", "<q1>")], http)
+    data += record("metadata", "m1", [("WARC-Concurrent-To", "<q1>"), ("WARC-Concurrent-To", "<r1>"), ("Content-Type", "application/warc-fields")], b"k: v\r\n")
+    data += record("revisit", "v2", [("WARC-Refers-To", "<r1>"), ("WARC-Refers-To-Target-URI", "http://a.example/")], b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n")
+    (tmp_path / "a.warc").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / "a.warc"), 1)], "path string, records long")
+    got = sorted(warc.transactions(warc.read(files, f"file://{tmp_path}")).collect(), key=lambda r: r.response.record_id)
+    assert [(r.request and r.request.record_id, r.response.record_id, r.metadata and r.metadata.fields, r.response.refers_to, r.response.refers_to_uri) for r in got] == [("<q1>", "<r1>", {"k": "v"}, None, None), (None, "<v2>", None, "<r1>", "http://a.example/")]
+
+
+def test_revisits_name_their_original(spark):
+    page = "<html>" + "a" * 200
+    folder = f"{shared_dir(spark)}/warc-test"
+    pages = spark.createDataFrame([(1, "http://a.example/one", page), (2, "http://b.example/two", page)], "page_id long, url string, html string")
+    got = warc.transactions(warc.read(warc.write(pages, folder), folder)).where("response.type = 'revisit'").collect()
+    assert [(r.response.target_uri, r.response.refers_to_uri) for r in got] == [("http://b.example/two", "http://a.example/one")]
+
+
 def test_cut_archives_are_errors():
     with pytest.raises(ValueError):
         list(warc._records(io.BytesIO(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc")))
@@ -70,6 +95,13 @@ def plain_links(rows):
     return n, {i: find(i) for i in root}
 
 
+def test_vectors_of_any_size(spark):
+    """Parallel vectors link and others don't, however large or small their numbers."""
+    rows = [(1, [1e160, 2e160], "a"), (2, [2e160, 4e160], "a"), (3, [1e-170, 2e-170], "a"), (4, [2e-170, -1e-170], "a"), (5, [0.0, 0.0], "a"), (6, [1.0, 2.0], "b")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(30, 64))

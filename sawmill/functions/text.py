@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.functions.regexes import java
+from sawmill.sources.presets import NEEDED
 
 # The wildcard and the patterns of tokens, touching words, neighbouring wildcards and placeholders, in Python's dialect.
 WILDCARD = "<*>"
@@ -50,28 +53,47 @@ def is_word_token(c: Column) -> Column:
     return c.rlike("[a-zA-Z]") | (c == WILDCARD)
 
 
-def _replaced(values: Column, pattern: str) -> Column:
-    """Each text of an array with the matches replaced by a wildcard, where a letter remains.
+def _replaced(df: DataFrame, column: str, pattern: str, maybe: Column | None = None) -> DataFrame:
+    """The column with the matches replaced by a wildcard, where a letter remains; the pattern is tried only where ``maybe`` holds."""
+    old, new = F.col(column), F.regexp_replace(column, F.lit(pattern), F.lit(WILDCARD))
+    df = df.withColumn(_NEW, new if maybe is None else F.when(maybe, new).otherwise(old))
+    new = F.col(_NEW)
+    return df.withColumn(column, F.when((new != old) & ~has_word(new), old).otherwise(new)).drop(_NEW)
 
-    The text is bound to a name, so that a chain of steps stays as long as its number of steps: written out, each step would hold
-    the one before three times, and a filter that is pushed down through it would double that again and again.
+
+_NEW = "new text of a mask"
+
+
+def _worked_out(df: DataFrame, column: str) -> DataFrame:
+    """df with the column behind a generator of one row, through which no filter is pushed down.
+
+    A filter that were pushed through a chain of masks would hold the step before each of them several times, and double that again and again.
     """
-    both = F.transform(values, lambda x: F.struct(x.alias("old"), F.regexp_replace(x, F.lit(java(pattern)), F.lit(WILDCARD)).alias("new")))
-    return F.transform(both, lambda b: F.when(has_word(b["new"]), b["new"]).otherwise(b["old"]))
+    return df.select(*(c for c in df.columns if c != column), F.inline(F.array(F.struct(F.col(column))))).select(*df.columns)
+
+
+def _needed(c: Column, pattern: str) -> Column | None:
+    pieces, times = NEEDED.get(pattern, ((), 0))
+    found = [F.contains(c, F.lit(x)) if times == 1 else F.substring_index(c, x, times) != c for x in pieces]
+    return reduce(operator.or_, found) if found else None
 
 
 def mask(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
     """The column with the matches of each pattern in turn replaced by a wildcard, where a letter remains."""
-    values = F.array(F.col(column))
     for p in patterns:
-        values = _replaced(values, p)
-    return df.withColumn(column, values[0]) if patterns else df
+        df = _replaced(df, column, java(p), _needed(F.col(column), p))
+    return _worked_out(df, column) if patterns else df
+
+
+#: TOUCHING for Java: a word is taken from its beginning or not at all, so that no word is read twice.
+_TOUCHING = java(r"(?:(?<![\w.-])[\w.-]++)?<\*>(?:[\w.-]++)?")
 
 
 def collapse_wildcards(df: DataFrame, column: str) -> DataFrame:
     """Wildcards take the word that touches them, where a letter remains; wildcards with only space and . - / \\ between are one."""
-    taken = _replaced(F.array(F.col(column)), TOUCHING)[0]
-    return df.withColumn(column, F.regexp_replace(taken, java(NEIGHBOURS), WILDCARD))
+    wild = F.contains(F.col(column), F.lit(WILDCARD))
+    df = _replaced(df, column, _TOUCHING, wild)
+    return _worked_out(df.withColumn(column, F.when(wild, F.regexp_replace(column, F.lit(java(NEIGHBOURS)), F.lit(WILDCARD))).otherwise(F.col(column))), column)
 
 
 def preprocess(df: DataFrame, column: str, dataset_masks: Sequence[str], shared_masks: Sequence[str]) -> DataFrame:

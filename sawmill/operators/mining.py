@@ -128,8 +128,8 @@ def merged(clustered: DataFrame, weighted: bool = False) -> DataFrame:
     """
     schema = "cluster long, part long, first_line long, runs array<array<string>>"
     sizes = saved(clustered.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
-    parts = sizes.agg(F.max(F.ceil(F.col("n") / FAN))).first()[0] or 0
-    rows = hot_join(clustered.select("cluster", "sample_id", "first_line", F.array(T.tokens(F.col("sample_text"))).alias("runs")), sizes, "cluster")
+    parts, total = (x or 0 for x in sizes.agg(F.max(F.ceil(F.col("n") / FAN)), F.sum("n")).first())
+    rows = hot_join(clustered.select("cluster", "sample_id", "first_line", F.array(T.tokens(F.col("sample_text"))).alias("runs")), sizes, "cluster", total=total)
     rows = rows.withColumn("part", F.expr(f"pmod(xxhash64(sample_id, 5), cast(ceil(n / {FAN}) as bigint))")).withColumn("at", F.col("sample_id"))
     while True:
         order = ["cluster", "part"]
@@ -179,6 +179,8 @@ def _merged_values(gaps: DataFrame) -> DataFrame:
     values = gaps.groupBy("cluster", "gap", "value").agg(F.min("first_line").alias("ord"))
     values = saved(values.withColumn("template_id", F.xxhash64("cluster", "gap", "value")).withColumn("dataset", F.concat_ws(" ", "cluster", "gap")), "values")
     wild = values.where(F.col("value").contains(T.WILDCARD)).select("dataset").distinct()  # elsewhere no value covers another
+    if not wild.take(1):
+        return T.collapse_wildcards(values.withColumn("merged", T.normalize_placeholders(F.col("value"))), "merged").select("cluster", "gap", "value", "merged")
     top = _tops(values.join(wild, "dataset", "left_semi").withColumnRenamed("value", "template_text").select("dataset", "template_id", "template_text", "ord"))
     by = values.select(F.col("template_id").alias("to"), F.col("value").alias("by"))
     joined = values.join(top.withColumnRenamed("covered_id", "template_id").join(by, "to"), "template_id", "left")

@@ -13,6 +13,18 @@ SHARED_MASKS = [
     r"root",
 ]
 
+#: What a text must hold so that a shared mask can match: one of these, so many times. Elsewhere its pattern isn't tried.
+NEEDED: dict[str, tuple[tuple[str, ...], int]] = {
+    SHARED_MASKS[0]: ((".",), 1),
+    SHARED_MASKS[1]: (("-",), 4),
+    SHARED_MASKS[2]: ((":",), 7),
+    SHARED_MASKS[3]: ((".",), 3),
+    SHARED_MASKS[5]: (("0x", "0X"), 1),
+    SHARED_MASKS[6]: (tuple("Mon Tue Wed Thu Fri Sat Sun".split()), 1),
+    SHARED_MASKS[7]: (tuple("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()), 1),
+    SHARED_MASKS[8]: (("root",), 1),
+}
+
 # Name, header format, masks.
 COLLECTIONS = {
     "HDFS": ("<Date> <Time> <Pid> <Level> <Component>: <Content>", [r"blk_-?\d+", r"(\d+\.){3}\d+(:\d+)?"]),

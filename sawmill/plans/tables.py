@@ -50,13 +50,13 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph with edges (a, b).
 
     Alternating large-star and small-star rounds over the edge table until nothing changes; every round is a
-    grouped minimum and an equi-join, in which hubs are joined by broadcast. Returns (node, root),
+    grouped minimum and an equi-join; the minima are broadcast while they are small, and beyond that a hub is split as any
+    skewed key by adaptive execution. Returns (node, root),
     root being the smallest node of the component; nodes without edges are absent. Nulls and loops are dropped.
     """
 
-    def least(sym: DataFrame, total: int) -> DataFrame:
-        mins = sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        return hot_join(sym, mins, "u", total=total).select("u", "v", F.least("m", "u").alias("m"))
+    def least(sym: DataFrame) -> DataFrame:
+        return sym.join(sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), "m"), F.col("u") == F.col("mu")).select("u", "v", F.least("m", "u").alias("m"))
 
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -67,9 +67,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(now)
     while before[0]:
-        large = saved(least(both(now), 2 * before[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
+        large = least(both(now)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        small = least(down, before[0])
+        small = least(down)
         now = saved(small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
         after = mark(now)
         if after == before:

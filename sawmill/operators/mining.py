@@ -98,6 +98,8 @@ def _folding(weighted: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held, line = None, None, None
+        known: set[str] = set()  # tokens of what is held
+        stable: set[tuple] = set()  # texts, as far as they have such tokens, that left it as it was
         columns = ["cluster", "part", "first_line", "runs"]
         for batch in batches:
             done: list[tuple] = []
@@ -106,9 +108,16 @@ def _folding(weighted: bool):
                 if (cluster, part) != last:
                     if held is not None:
                         done.append((*last, line, held))
-                    last, held, line = (cluster, part), runs, first
-                elif runs != held:
-                    held = lcs.fold(held, runs, weighted)
+                    last, held, line, known, stable = (cluster, part), runs, first, {t for r in runs for t in r}, set()
+                    continue
+                shape = tuple(tuple(t if t in known else "" for t in r) for r in runs)
+                if shape in stable:
+                    continue
+                folded = lcs.fold(held, runs, weighted)
+                if folded == held:
+                    stable.add(shape)
+                else:
+                    held, known, stable = folded, {t for r in folded for t in r}, set()
             yield pd.DataFrame(done, columns=columns)
         if held is not None:
             yield pd.DataFrame([(*last, line, held)], columns=columns)

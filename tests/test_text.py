@@ -113,6 +113,16 @@ def test_common_runs_are_common(a, b):
     assert sum(map(len, runs)) == best[-1][-1]
 
 
+def test_weights_and_folds():
+    """Words weigh more than signs and spaces; runs that were parted stay so."""
+    assert [lcs.weight(t) for t in ("node", "<*>", "(<*>)", " ", ",", "a/b-c")] == [4, 4, 4, 1, 4, 4]
+    a, b = list("x"), [" ", " ", " ", "x"]
+    assert lcs.common_runs([*"x", " ", " "], [" ", " ", "x"]) == [[" ", " "]] and lcs.common_runs([*"x", " ", " "], [" ", " ", "x"], weighted=True) == [["x"]]
+    assert lcs.common_runs(a, b) == [["x"]]
+    assert lcs.fold([["a", "b"], ["c"]], [["a", "b", "c"]]) == [["a", "b"], ["c"]]
+    assert lcs.fold([["a"], ["b"]], [["a", "b"]]) == [["a"], ["b"]] and lcs.fold([], [["a"]]) == []
+
+
 def test_distances():
     assert lcs.distance("Connection from <*> closed", "Connection from <*> refused") == 0.25
     assert lcs.distance("12", "13") == 1

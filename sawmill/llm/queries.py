@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,27 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents")).withColumn("scores", F.expr("array_join(transform(scores, x -> format_number(x, 2)), ',')"))
 
 
+def packing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a packing: rows that don't begin where the one before them in their sequence ends, sequences that are too long, documents and their ids."""
+    from sawmill.llm.packing import CAPACITY
+
+    rows = op6_best_fit_packing(spark, sf_dir)
+    before = F.lag(F.col("offset") + F.col("length")).over(Window.partitionBy("sequence_id").orderBy("offset"))  # a sequence has at most CAPACITY rows
+    rows = rows.withColumn("gap", F.col("offset") != F.coalesce(before, F.lit(0))).withColumn("long", F.col("offset") + F.col("length") > CAPACITY)
+    cut = (F.col("start") != F.col("piece") * CAPACITY) | (F.col("length") < 1)
+    count = lambda c: F.count(F.when(c, 1))
+    return rows.agg(count(F.col("gap")).alias("gaps"), count(F.col("long")).alias("too_long"), count(cut).alias("wrong_cuts"), count(F.col("piece") == 0).alias("documents"), F.sum(F.when(F.col("piece") == 0, F.col("doc_id"))).alias("ids"))
+
+
+def classifier_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the classifier: a row for each document, scores of 0 to 1, and four of five labels held out are met."""
+    rows, labels = op4_quality_classifier(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    wrong = (F.col("held_out") != held) | ~F.col("score").between(0, 1) | (F.col("predicted") != F.when(F.col("score") >= 0.7, 1).otherwise(0))
+    met = F.avg(F.when(F.col("held_out"), (F.col("predicted") == F.col("quality")).cast("double"))) >= 0.8
+    return rows.join(labels, "doc_id", "left").agg(F.count("*").alias("documents"), F.count(F.when(wrong, 1)).alias("wrong"), met.alias("met"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -91,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_personal_data": op10_personal_data,
+    "packing_check": packing_check,
+    "classifier_check": classifier_check,
 }
 
 OP1_SQL = r"""
@@ -251,4 +274,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_passage_dedup": OP8_SQL,
     "op9_minimax_sharding": OP9_SQL,
     "op10_personal_data": OP10_SQL,
+    "packing_check": "SELECT CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS wrong_cuts, count(*) AS documents, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents",
+    "classifier_check": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS wrong, true AS met FROM documents",
 }

@@ -186,9 +186,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     near = docs.join(held, F.expr(f"cast(pmod(xxhash64(doc_id), {size}L) / 64 as int)") == F.col("w"), "left").select("doc_id", "text", F.expr("coalesce(bits & shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int)) <> 0, false)").alias("near"))
     whole = near.where("near").mapInArrow(sets, "cls long, n long, d1 long, d2 long, set array<long>").dropDuplicates(["cls", "n", "d1", "d2"]).select("cls", "set")
 
-    # partners of a hot leader are dealt to blocks; all blocks together are at most 2 * HOT
+    # partners of a leader of many are dealt to blocks; leaders and blocks of such are at most 2 * HOT
     counts = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "leaders")
-    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    share = max(BLOCK, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
     hot = F.broadcast(counts.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("blocks")))
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.expr("cast(pmod(xxhash64(b, 5), blocks) as int)"), F.lit(0)).alias("part"))
     left = whole.select(F.col("cls").alias("a"), F.col("set").alias("sa")).join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
@@ -206,7 +206,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     digest = saved(docs.mapInArrow(_digest, "doc_id long, n long, d1 long, d2 long, sig binary, odd binary"), "digest")
     named = digest.where("n > 0 and doc_id is not null")
     classes = saved(named.groupBy(*_SET).agg(F.min("doc_id").alias("cls"), F.count("*").alias("many")), "classes")
-    total = classes.agg(F.sum("many")).first()[0] or 0
     # a document with several texts may name several classes
     sketch = saved(named.join(classes.select(*_SET, F.col("cls").alias("doc_id")), [*_SET, "doc_id"], "left_semi").dropDuplicates(_SET).select(F.col("doc_id").alias("cls"), "n", "sig", "odd"), "sketch")
     keys = sketch.select("cls", "sig").mapInArrow(_keys, "key long, cls long, mark short")
@@ -216,7 +215,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     bucket = saved(hot_join(keys, leads, "key").drop("n"), "buckets")
     first = saved(_confirmed(saved(bucket.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs"), docs), "links")
     # one document with several texts: all its classes are one
-    of = saved(hot_join(named.select("doc_id", *_SET), classes, _SET, "many", total=total).select("doc_id", "n", "cls"), "assigned")
+    of = saved(hot_join(named.select("doc_id", *_SET), classes, _SET, "many").select("doc_id", "n", "cls"), "assigned")
     again = of.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z")
     same = of.select("doc_id", F.col("cls").alias("b")).join(again.select("doc_id", "a"), "doc_id").select("a", "b").where("a <> b").distinct()
     links = first.union(same)
@@ -235,7 +234,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         roots = saved(components(links), "roots")
     # a class is named after its smallest doc_id, so the smallest node of a component is the smallest doc_id
     sizes = classes.groupBy("cls").agg(F.sum("many").alias("many")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "many", F.coalesce("root", "cls").alias("component_id"))
-    found = hot_join(of, saved(sizes, "components"), "cls", "many", total=total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = hot_join(of, saved(sizes, "components"), "cls", "many").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = digest.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

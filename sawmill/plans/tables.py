@@ -28,21 +28,23 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Keys that hold more than this share (1 / HOT) of all rows are hot; there are fewer than HOT of them.
-HOT = 4096
+#: Keys that hold more than this share (1 / HOT) of all rows, and more than LEAST_HOT of them, are hot; there are fewer than HOT such keys.
+HOT, LEAST_HOT = 4096, 10_000
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], n: str = "n", how: str = "inner", total: int | None = None) -> DataFrame:
-    """rows joined with table, which has one row for each key and how many rows there are of it in column ``n``; total: the sum of n.
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row for each key and how many rows there are of it in column ``n``.
 
     Hot keys, of which there are fewer than HOT, are joined by broadcast, so that their rows stay where they are; all others meet by a shuffle, where none
-    has more than a small share of the rows. ``how``: inner or left. Both tables are read twice.
+    has more than a small share of the rows. Without hot keys it is a plain join. ``how``: inner or left. Both tables may be read twice.
     """
     key = [key] if isinstance(key, str) else key
-    if total is None:
-        total = table.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(table.where(F.col(n) > total // HOT))  # fewer than HOT rows
-    rest = rows.join(hot.select(*key), key, "left_anti").join(table.where(F.col(n) <= total // HOT), key, how)
+    total, most = (x or 0 for x in table.agg(F.sum(n), F.max(n)).first())
+    limit = max(total // HOT, LEAST_HOT)
+    if most <= limit:
+        return rows.join(table, key, how)
+    hot = F.broadcast(table.where(F.col(n) > limit))  # fewer than HOT rows
+    rest = rows.join(hot.select(*key), key, "left_anti").join(table.where(F.col(n) <= limit), key, how)
     return rows.join(hot, key).unionByName(rest)
 
 

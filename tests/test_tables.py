@@ -18,6 +18,7 @@ ROOT = Path(__file__).resolve().parents[1]
 def test_hot_joins_equal_joins(spark, monkeypatch, hot, how):
     """With a key of a third of all rows, keys that the table lacks, and null keys."""
     monkeypatch.setattr(tables, "HOT", hot)
+    monkeypatch.setattr(tables, "LEAST_HOT", 10_000 if hot == 4096 else 0)
     rows = spark.createDataFrame([(k, 1 if k % 3 == 0 else None if k % 50 == 1 else k % 17, str(k)) for k in range(300)], "id long, key long, value string")
     table = rows.where("key is not null and key <> 5").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     got = tables.hot_join(rows, table, "key", how=how)

@@ -121,6 +121,8 @@ def test_weights_and_folds():
     assert lcs.common_runs(a, b) == [["x"]]
     assert lcs.fold([["a", "b"], ["c"]], [["a", "b", "c"]]) == [["a", "b"], ["c"]]
     assert lcs.fold([["a"], ["b"]], [["a", "b"]]) == [["a"], ["b"]] and lcs.fold([], [["a"]]) == []
+    many = [[c] for c in "abcdefgh"]
+    assert lcs.fold(many, many[::2], weighted=True) == many[::2] and lcs.fold(many[1:], [[*"abcdefgh"]], weighted=True) == many[1:]
 
 
 def test_distances():

@@ -61,13 +61,12 @@ def distance_pairs(found: DataFrame, limit: float = NEAR) -> DataFrame:
     return pairs.withColumn("distance", _distance("ta", "tb")).where(F.col("distance") <= limit).select("dataset", "a", "b", "distance")
 
 
-def _shapes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first sample of each shape (the word tokens in their order), and (a, b): that of each sample."""
+def _shapes(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """found with its shape (the word tokens in their order), (shape, a, n): the first sample of each and their number, and these first samples."""
     words = F.array_join(F.filter(T.tokens(F.col("sample_text")), T.is_word_token), " ")
     shaped = saved(found.withColumn("shape", F.xxhash64("dataset", words)), "shapes")
-    firsts = shaped.groupBy("shape").agg(F.min("sample_id").alias("a"))
-    stars = shaped.join(firsts, "shape").select("a", F.col("sample_id").alias("b"))
-    return found.join(firsts.select(F.col("a").alias("sample_id")), "sample_id", "left_semi"), stars
+    firsts = saved(shaped.groupBy("shape").agg(F.min("sample_id").alias("a"), F.count("*").alias("n")), "firsts")
+    return shaped, firsts, found.join(firsts.select(F.col("a").alias("sample_id")), "sample_id", "left_semi")
 
 
 def distance_links(found: DataFrame, limit: float = NEAR) -> DataFrame:
@@ -75,9 +74,9 @@ def distance_links(found: DataFrame, limit: float = NEAR) -> DataFrame:
 
     The distance is measured for both; no member is left out for it.
     """
-    heads, stars = _shapes(found)
-    texts = found.select("sample_id", "sample_text")
-    members = stars.where("a <> b").join(found.select("dataset", F.col("sample_id").alias("b"), F.col("sample_text").alias("tb")), "b").join(texts.withColumnsRenamed({"sample_id": "a", "sample_text": "ta"}), "a")
+    shaped, firsts, heads = _shapes(found)
+    of = saved(firsts.join(heads.select(F.col("sample_id").alias("a"), F.col("sample_text").alias("ta")), "a"), "heads")
+    members = hot_join(shaped.select("dataset", "shape", F.col("sample_id").alias("b"), F.col("sample_text").alias("tb")), of, "shape").where("a <> b")
     members = members.select("dataset", "a", "b", _distance("ta", "tb").alias("distance"), F.lit(True).alias("member"))
     return distance_pairs(heads, limit).withColumn("member", F.lit(False)).unionByName(members)
 
@@ -85,12 +84,13 @@ def distance_links(found: DataFrame, limit: float = NEAR) -> DataFrame:
 def clusters(found: DataFrame, limit: float = JOINED) -> DataFrame:
     """samples with a cluster: the smallest sample_id reachable by distances of at most ``limit``.
 
-    Samples with the same word tokens in the same order are one from the start, by a link to the first of them; only these
-    firsts meet in pairs, so a shape of many samples costs a link for each.
+    Samples with the same word tokens in the same order are one from the start; only the first of each such shape meets others in pairs, and the
+    rest follow it.
     """
-    heads, stars = _shapes(found)
-    roots = components(saved(distance_pairs(heads, limit).select("a", "b").union(stars), "pairs"))
-    return found.join(roots.withColumnsRenamed({"node": "sample_id", "root": "cluster"}), "sample_id", "left").withColumn("cluster", F.coalesce("cluster", "sample_id"))
+    shaped, firsts, heads = _shapes(found)
+    roots = components(saved(distance_pairs(heads, limit).select("a", "b"), "pairs"))
+    of = firsts.join(roots.withColumnsRenamed({"node": "a", "root": "cluster"}), "a", "left").select("shape", "n", F.coalesce("cluster", "a").alias("cluster"))
+    return hot_join(shaped, saved(of, "clusters"), "shape").select(*found.columns, "cluster")
 
 
 def _folding(weighted: bool):

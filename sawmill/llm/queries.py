@@ -79,6 +79,32 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents")).withColumn("scores", F.expr("array_join(transform(scores, x -> format_number(x, 2)), ',')"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sawmill.llm.qualityrules import quality_rules
+
+    rows = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics that the rules of op11 are about, and the verdict of its fixed rules."""
+    from sawmill.llm.qualityrules import STATISTICS, base_failed, statistics
+
+    return statistics(_table(spark, sf_dir, "documents")).select("row.doc_id", *STATISTICS, base_failed().alias("base_failed"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sawmill.llm.filteraudit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sawmill.llm.periodic import periodic_texts
+
+    return periodic_texts(_table(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed")
+
+
 def packing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of a packing: rows that don't begin where the one before them in their sequence ends, sequences that are too long, documents and their ids."""
     from sawmill.llm.packing import CAPACITY
@@ -112,6 +138,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_personal_data": op10_personal_data,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
+    "rule_statistics": rule_statistics,
     "packing_check": packing_check,
     "classifier_check": classifier_check,
 }
@@ -265,6 +295,69 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN o USING (rid)
 """
 
+RULE_STATISTICS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT rid, line, count(*) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line),
+ls AS (SELECT rid, sum(n) AS n_lines, sum(n - 1) AS n_dup_lines FROM l GROUP BY rid),
+g AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+r AS (SELECT rid, count(DISTINCT k) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS k FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g) WHERE n > 1) GROUP BY rid),
+s AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct,
+         CAST(length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS n_uppers, CAST(length(t) - length(translate(t, '0123456789', '')) AS BIGINT) AS n_digits,
+         CAST(length(t) - length(regexp_replace(t, '[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS BIGINT) AS n_signs
+  FROM d LEFT JOIN ls USING (rid) LEFT JOIN r USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+y AS (SELECT doc_id, max(CAST(quality IS NOT DISTINCT FROM 1 AS INTEGER)) AS good, max(CAST(toxic IS NOT DISTINCT FROM 1 AS INTEGER)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > first, false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM t JOIN m USING (text) LEFT JOIN y USING (doc_id)),
+c AS (SELECT part, CAST(a AS INTEGER) + 2 * CAST(b AS INTEGER) + 4 * CAST(c AS INTEGER) + 8 * CAST(d AS INTEGER) + 16 * CAST(e AS INTEGER) AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM l p, l q, l r, l s, l u WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+k AS (
+  SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own, CAST(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))) AS BIGINT) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+s AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+         sum(n) FILTER (fails & (coalesce(before, 0) + own) = 0) AS kept, sum(n) FILTER (fails & coalesce(before, 0) = 0 AND fails & own <> 0) AS removed, sum(n) FILTER (fails & coalesce(before, 0) <> 0 AND fails & own <> 0) AS redundant,
+         sum(n) FILTER (fails = own) AS unique_fails, sum(good) FILTER (fails & coalesce(before, 0) = 0 AND fails & own <> 0) AS good_lost, sum(toxic) FILTER (fails & coalesce(before, 0) = 0 AND fails & own <> 0) AS toxic_lost
+  FROM c, k GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM s
+"""
+
+OP13_SQL = r"""
+WITH tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS v FROM range(256) q(i))),
+z AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         CASE WHEN doc_id IS NOT NULL THEN xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, v: xor(c >> 8, tab[CAST((xor(c, v) & 255) + 1 AS BIGINT)]), 4294967295), 4294967295) END AS h
+  FROM documents, tab),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM z),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+d AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) END AS w FROM p),
+x AS (SELECT rid, n, i - 1 AS i, w[i] AS word FROM (SELECT rid, n, w, unnest(range(1, n + 1)) AS i FROM d)),
+e AS (SELECT u.rid, v.i - u.i AS q, u.i FROM x u JOIN x v ON u.rid = v.rid AND u.word = v.word AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+s AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS no FROM e) GROUP BY rid, q, no HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT rid, start, length, min(q) AS period FROM s GROUP BY rid, start, length),
+b AS (
+  SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         first(struct_pack(start := start, length := length, period := period) ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best
+  FROM r GROUP BY rid),
+g AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN g ON x.rid = g.rid AND x.i = g.i WHERE g.i IS NULL GROUP BY x.rid)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+       CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
@@ -274,6 +367,9 @@ ORACLE_SQL: dict[str, str] = {
     "op8_passage_dedup": OP8_SQL,
     "op9_minimax_sharding": OP9_SQL,
     "op10_personal_data": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_periodic_runs": OP13_SQL,
+    "rule_statistics": RULE_STATISTICS_SQL,
     "packing_check": "SELECT CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS wrong_cuts, count(*) AS documents, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents",
     "classifier_check": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS wrong, true AS met FROM documents",
 }

@@ -124,3 +124,19 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
             has = length > j
             out[has] += words[begin[has] + j] * _PLACES[j]
     return mix(out), at
+
+
+def exact_ids(part: np.ndarray, inside: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of pieces of text, equal only for equal bytes, and the pieces themselves.
+
+    The pieces, one after the other, are the bytes of ``part`` where ``inside`` holds; ``lengths`` are theirs in bytes.
+    """
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(part[inside].tobytes())])
+    return pieces.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces
+
+
+def counts_in(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of ``flags`` are set in each range between two offsets."""
+    sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+    return sums[offsets[1:]] - sums[offsets[:-1]]

@@ -11,9 +11,10 @@ place is an anchor. As borders depend on a line that may lie outside of what is
 The first copy of a range stays, which is in the document with the smallest doc_id; the lines of all others go. So a line goes only where the same line stands
 at an earlier place, and the first place of each line stays.
 
-Texts are split and hashed once; a table of ranges holds 128 bits for each (a partial count in each task, and hot ranges joined by broadcast, so a passage that a
-third of the documents hold is no hot key). Bytes are compared line by line: lines of repeated hashes are grouped by hash and text, which tasks do
-beforehand, and a range with a line whose hash stands for several texts is left alone. Bitmaps of fixed size keep documents and lines that have
+Texts are split and hashed once; a table of ranges holds two hashes for each, of line hashes with different seeds (a partial count in each task, and hot ranges joined by broadcast, so a passage that a
+third of the documents hold is no hot key). Bytes are compared line by line, in two steps, both of which tasks combine beforehand: lines of repeated hashes are grouped by hash and text, and a range with a line
+whose hash stands for several texts is left alone; and the lines at each place of all copies of a range, the keeper's included, are grouped by the range's hashes and the place, and ranges with
+two different lines at one place are left alone too. So hashes only propose. Bitmaps of fixed size keep documents and lines that have
 no part in it out of the shuffles; the joins after them are exact.
 
 Defined cases: null text stays null (no lines); empty text is one empty line; lines end at \\n alone; rows of one doc_id are one document,
@@ -37,8 +38,9 @@ WINDOW = 3
 WORDS = 50
 BITMAP = 1 << 22  # bits
 _LAST = 9223372036854775807
-#: The hash of a line in SQL.
-LINE_HASH = "xxhash64({})"
+#: The hashes of a line, and those of the hashes of several lines, in SQL; each second one starts from another seed.
+LINE_HASH, LINE_HASH_2 = "xxhash64({})", "xxhash64(1L, {})"
+RANGE_HASH, RANGE_HASH_2 = "xxhash64({})", "xxhash64(2L, {})"
 _PLACE = ["id", "key"]
 
 
@@ -59,7 +61,7 @@ def _ranges(documents: DataFrame) -> DataFrame:
     """(id, key, h1, h2, at, n, first, counted) of every line (n = 1) and every range that is counted; first: the first of its kind in the document."""
     text = F.col("text").cast("string")
     step = documents.where("text is not null").select(*_placed(text, F.col("doc_id")), F.split(text, "\n", -1).alias("ls"))
-    step = _worked_out(step, h="transform(ls, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))", x=f"transform(ls, x -> {LINE_HASH.format('x')})", w=r"transform(ls, x -> regexp_count(x, '[^\\x20\\x09-\\x0D]+'))").drop("ls")
+    step = _worked_out(step, h="transform(ls, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))", x=f"transform(ls, x -> {LINE_HASH.format('x')})", y=f"transform(ls, x -> {LINE_HASH_2.format('x')})", w=r"transform(ls, x -> regexp_count(x, '[^\\x20\\x09-\\x0D]+'))").drop("ls")
     # lines with words only: each adds one at least, so WORDS + 1 of them are always enough, and mostly a few
     cuts = f"filter(sequence(0, size(h) - 1), i -> i = size(h) - 1 or (i > 0 and ((h[i - 1] * 31 + h[i]) % 1000003) % {DIVISOR} = 0))"
     step = _worked_out(step, cuts=cuts, full="filter(transform(w, (c, i) -> struct(i as i, c as c)), f -> f.c > 0)").drop("h")
@@ -75,8 +77,8 @@ def _ranges(documents: DataFrame) -> DataFrame:
         f"filter(transform(ahead, (a, k) -> if(a.s > {WORDS}, struct(full[k].i as at, full[k + a.n - 1].i - full[k].i + 1 as n), null)), r -> r.n > 1)",
         f"filter(transform(back, (a, k) -> if(a.s > {WORDS}, struct(full[k - a.n + 1].i as at, full[k].i - full[k - a.n + 1].i + 1 as n), null)), r -> r.n > 1)",
     ]
-    single = f"transform(x, (v, i) -> struct(v as h1, xxhash64(v, 1) as h2, i as at, 1 as n, w[i] > {WORDS} as counted))"
-    many = f"transform(concat({chunks}, {windows}, {', '.join(long)}), r -> struct(xxhash64(slice(x, r.at + 1, r.n)) as h1, xxhash64(slice(x, r.at + 1, r.n), 1) as h2, r.at as at, r.n as n, true as counted))"
+    single = f"transform(x, (v, i) -> struct(v as h1, y[i] as h2, i as at, 1 as n, w[i] > {WORDS} as counted))"
+    many = f"transform(concat({chunks}, {windows}, {', '.join(long)}), r -> struct({RANGE_HASH.format('slice(x, r.at + 1, r.n)')} as h1, {RANGE_HASH_2.format('slice(y, r.at + 1, r.n)')} as h2, r.at as at, r.n as n, true as counted))"
     # equal ranges stand side by side once sorted
     step = _worked_out(step, all=f"array_sort(concat({single}, {many}))")
     marked = "transform(all, (r, i) -> struct(r.h1 as h1, r.h2 as h2, r.at as at, r.n as n, i = 0 or all[i - 1].h1 <> r.h1 or all[i - 1].h2 <> r.h2 as first, r.counted as counted, i = 0 or all[i - 1] <> r as new))"
@@ -95,19 +97,37 @@ def _marked(rows: DataFrame, of: Column, bits: DataFrame, how: str) -> DataFrame
     return rows.join(F.broadcast(bits), ((bit / 64).cast("int") == F.col("w")) & (F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))) != 0), how)
 
 
+def _differing(documents: DataFrame, copies: DataFrame) -> DataFrame:
+    """(h1, h2) of ranges of several lines, of copies(id, key, at, n, h1, h2), whose lines differ by one of their hashes at some place."""
+    # the ranges of one document, whose size bounds them
+    of = saved(copies.where("n > 1").groupBy(*_PLACE).agg(F.collect_list(F.struct("h1", "h2", "at", "n")).alias("rs")), "copies")
+    text = F.col("text").cast("string")
+    rows = documents.where("text is not null").select(*_placed(text, F.col("doc_id")), text.alias("text"))
+    rows = _marked(rows, F.xxhash64(*_PLACE), saved(_bits(F.xxhash64(*_PLACE), of), "bits"), "left_semi")
+    lines = _worked_out(rows.select(*_PLACE, F.split("text", "\n", -1).alias("ls")), x=f"transform(ls, x -> struct({LINE_HASH.format('x')} as a, {LINE_HASH_2.format('x')} as b))").select(*_PLACE, "x")
+    each = lines.join(of, _PLACE).select("x", F.explode("rs").alias("r")).select("r.h1", "r.h2", F.expr("posexplode(slice(x, r.at + 1, r.n))").alias("place", "line"))
+    each = each.groupBy("h1", "h2", "place").agg(*(f(f"line.{c}").alias(f"{name}_{c}") for c in "ab" for name, f in (("least", F.min), ("most", F.max))))
+    return each.where("least_a <> most_a or least_b <> most_b").select("h1", "h2").distinct()
+
+
 def repeated_ranges(documents: DataFrame) -> DataFrame:
     """(id, key, at, n) of the ranges to remove: the first line and the number of lines."""
     ranges = saved(_ranges(documents), "ranges")
     many = saved(ranges.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.count("*").alias("copies"), F.max("n").alias("lines"), F.bool_or("counted").alias("counted")).where("copies > 1"), "repeated")
     wanted = many.where("counted").select("h1", "h2", "keeper", "copies")
     found = hot_join(_marked(ranges.where("counted"), F.xxhash64("h1"), saved(_bits(F.xxhash64("h1"), wanted), "bits"), "left_semi"), wanted, ["h1", "h2"], "copies")
-    gone = found.where("not (id = keeper and first)").select("id", "key", "at", "n")
+    found = saved(found.select("id", "key", "at", "n", "h1", "h2", (F.col("id") != F.col("keeper")).alias("later"), "first", "copies"), "found")
+    gone = found.where("later or not first")
 
-    # bytes: all texts of the lines that are repeated
+    # bytes: all texts of the lines that are repeated, and the lines of all copies of a range
     line = F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")
     texts = documents.where("text is not null").select(line).withColumn("h1", F.expr(LINE_HASH.format("line")))
     texts = _marked(texts, F.xxhash64("h1"), saved(_bits(F.xxhash64("h1"), many.where("lines = 1")), "bits"), "left_semi").groupBy("h1", "line").agg(F.count("*").alias("n"))
     mixed = saved(texts.groupBy("h1").agg(F.count("*").alias("texts")).where("texts > 1").select("h1"), "mixed")
+    differing = saved(_differing(documents, found), "differing")
+    if not is_empty(differing):
+        gone = gone.join(differing, ["h1", "h2"], "left_anti")
+    gone = gone.select("id", "key", "at", "n")
     if not is_empty(mixed):
         at = ranges.where("n = 1").join(mixed, "h1").select("id", "key", F.col("at").alias("line"))
         gone = gone.join(at.withColumnsRenamed({"id": "i", "key": "k"}), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")) & F.col("line").between(F.col("at"), F.col("at") + F.col("n") - 1), "left_anti")

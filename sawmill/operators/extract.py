@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,12 +29,14 @@ def prompt_of(content: str) -> str:
     return PROMPT.format(content.replace("<*>", "<<preprocessed>>"))
 
 
-def _python_match(template: str, content: str) -> bool:
-    body = template_pattern(template, "java")[len(r"\A(?:") : -len(r")\z")]
-    return re.fullmatch(body, content) is not None
+@lru_cache(1 << 14)
+def matcher(template: str) -> Callable[[str], re.Match | None]:
+    """What tells whether a template matches a text, compiled once."""
+    return re.compile(template_pattern(template, "java")[len(r"\A(?:") : -len(r")\z")]).fullmatch
 
 
-def _collapsed(template: str) -> str:
+def collapsed(template: str) -> str:
+    """functions.text.collapse_wildcards for one text."""
     taken = _TOUCHING.sub(T.WILDCARD, template)
     template = taken if re.search("[a-zA-Z]", taken.replace(T.WILDCARD, "")) else template
     return _NEIGHBOURS.sub(T.WILDCARD, template)
@@ -43,11 +46,11 @@ def answered(content: str, answer: str) -> str:
     """The template of an answer: the one span between backticks or the whole, made to match the content, or the content itself."""
     spans = _SPAN.findall(answer)
     template = lcs.PLACEHOLDER.sub(T.WILDCARD, spans[0] if len(spans) == 1 else answer)
-    if not _python_match(template, content):
+    if matcher(template)(content) is None:
         template = lcs.repaired(content, template)
-    if not _python_match(template, content) or not re.search("[a-zA-Z]", template.replace("<*>", "")):
+    if matcher(template)(content) is None or not re.search("[a-zA-Z]", template.replace("<*>", "")):
         template = content
-    return _collapsed(template)
+    return collapsed(template)
 
 
 def extract(texts: DataFrame, provider: Callable[[str], str] | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

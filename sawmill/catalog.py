@@ -607,6 +607,66 @@ def lcs_blocks(spark, sf_dir):
     return mining.merged(saved(mining.clusters(saved(mining.samples(mining_lines(spark, sf_dir)), "samples")), "clusters"))
 
 
+#: What parts are called and what type they are of; and one message for each kind and type of parts.
+_PART, _KIND = "p_name || ' of type ' || p_type", "'parts of type ' || p_type || ' described as ' || split_part(p_name, ' ', 1) || ' are kept in the same store'"
+
+
+def part_texts(spark, sf_dir, text):
+    """Distinct texts of parts as samples."""
+    rows = _read(spark, sf_dir, "part").select(F.lit("parts").alias("dataset"), F.expr(text).alias("sample_text"))
+    rows = rows.groupBy("dataset", "sample_text").agg(F.count("*").alias("log_num"))
+    return saved(rows.withColumn("sample_id", F.xxhash64("dataset", "sample_text")), "parts")
+
+
+def _named_pairs(rows, found, value):
+    names = found.select("sample_id", "sample_text")
+    rows = rows.join(names.withColumnsRenamed({"sample_id": "a", "sample_text": "x"}), "a").join(names.withColumnsRenamed({"sample_id": "b", "sample_text": "y"}), "b")
+    return rows.select(F.least("x", "y").alias("first_text"), F.greatest("x", "y").alias("second_text"), F.round(value, 6).alias(value))
+
+
+# The common subsequence in SQL: one row of the table for each step, in each cell the length times 1,000 and the number of words.
+_TOKENS = f"regexp_extract_all(t, {_lit('(?s)' + re2(T.TOKEN))})"
+_DISTANCES = f"""
+p AS (SELECT DISTINCT text AS t FROM texts),
+k AS (SELECT t, {_TOKENS} AS w, len(list_filter({_TOKENS}, lambda x: regexp_matches(x, '[a-zA-Z]') OR x = '<*>')) AS n FROM p),
+c AS (
+  SELECT a.t AS x, b.t AS y, a.w AS aw, b.w AS bw, greatest(a.n, b.n) AS most, 0 AS i, list_transform(range(len(b.w) + 1), lambda j: CAST(0 AS BIGINT)) AS line FROM k a JOIN k b ON a.t < b.t
+  UNION ALL
+  SELECT x, y, aw, bw, most, i + 1,
+         list_reduce(list_transform(range(1, len(bw) + 1), lambda j: [j]), lambda acc, e: list_append(acc, CASE WHEN bw[e[1]] = aw[i + 1] THEN line[e[1]] + 1000 + CAST(regexp_matches(aw[i + 1], '[a-zA-Z]') OR aw[i + 1] = '<*>' AS BIGINT)
+           WHEN line[e[1] + 1] // 1000 >= acc[e[1]] // 1000 THEN line[e[1] + 1] ELSE acc[e[1]] END), [CAST(0 AS BIGINT)])
+  FROM c WHERE i < len(aw)),
+d AS (SELECT x, y, 1 - (line[len(line)] % 1000) / CAST(most AS DOUBLE) AS distance FROM c WHERE i = len(aw) AND most > 0)
+"""
+_ROWS = f"""
+{_DISTANCES},
+m AS (SELECT x, y, CAST(CAST(distance AS FLOAT) AS DOUBLE) AS d FROM d UNION ALL SELECT y, x, CAST(CAST(distance AS FLOAT) AS DOUBLE) FROM d UNION ALL SELECT t, t, 0 FROM p),
+r AS (SELECT u.x, v.x AS y, sqrt(sum((u.d - v.d) * (u.d - v.d))) AS row_distance FROM m u JOIN m v ON u.y = v.y AND u.x < v.x GROUP BY u.x, v.x HAVING sqrt(sum((u.d - v.d) * (u.d - v.d))) <= 0.3)
+"""
+
+
+@query(f"WITH RECURSIVE texts AS (SELECT {_PART} AS text FROM part), {_DISTANCES} SELECT x AS first_text, y AS second_text, round(distance, 6) AS distance FROM d WHERE distance <= 0.3")
+def part_distance_pairs(spark, sf_dir):
+    """Pairs of part descriptions within the distance, by the join on rare words."""
+    found = part_texts(spark, sf_dir, _PART)
+    return _named_pairs(mining.distance_pairs(found), found, "distance")
+
+
+@query(f"WITH RECURSIVE texts AS (SELECT {_KIND} AS text FROM part), {_ROWS} SELECT x AS first_text, y AS second_text, round(row_distance, 6) AS row_distance FROM r")
+def part_row_distances(spark, sf_dir):
+    """Pairs of messages about parts whose rows of the distance matrix are near."""
+    found = part_texts(spark, sf_dir, _KIND)
+    return _named_pairs(mining.row_pairs(found), found, "row_distance")
+
+
+@query(f"WITH RECURSIVE texts AS (SELECT {_KIND} AS text FROM part), {_ROWS}, g AS (SELECT x, y FROM r UNION ALL SELECT y, x FROM r), s AS (SELECT t AS node, t AS root FROM p UNION SELECT s.node, g.y FROM s JOIN g ON s.root = g.x) SELECT node AS text, min(root) AS cluster FROM s GROUP BY node")
+def part_row_clusters(spark, sf_dir):
+    """Messages about parts with the first text of their cluster of near rows."""
+    found = mining.row_clusters(part_texts(spark, sf_dir, _KIND))
+    first = found.groupBy("cluster").agg(F.min("sample_text").alias("name"))
+    return found.join(first, "cluster").select(F.col("sample_text").alias("text"), F.col("name").alias("cluster"))
+
+
 def _mined(spark, sf_dir, **options):
     found, names = mining.mine(mining_lines(spark, sf_dir), **options)
     sizes = found.groupBy("template_id").agg(F.sum("log_num").alias("Occurrences"), F.count("*").alias("samples"))

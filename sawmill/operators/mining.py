@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from sawmill.functions import text as T
-from sawmill.functions.regexes import template_pattern_column
+from sawmill.functions.regexes import java, template_pattern_column
 from sawmill.operators import lcs
 from sawmill.operators.match import containment
 from sawmill.plans.tables import components, hot_join, saved
@@ -38,7 +38,7 @@ def samples(lines: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs.distance(x, y) for x, y in zip(a, b)])
+    return pd.Series(lcs.distances(a.tolist(), b.tolist()))
 
 
 def distance_pairs(found: DataFrame, limit: float = NEAR) -> DataFrame:
@@ -61,10 +61,51 @@ def distance_pairs(found: DataFrame, limit: float = NEAR) -> DataFrame:
     return pairs.withColumn("distance", _distance("ta", "tb")).where(F.col("distance") <= limit).select("dataset", "a", "b", "distance")
 
 
+#: A pair that shares no word is at distance 1; all others are nearer than this.
+APART = 1 - 1e-6
+
+
+def distance_matrix(found: DataFrame) -> DataFrame:
+    """(dataset, a, b, distance) for every pair of samples of a dataset that are nearer than 1, both ways; all others are at 1, and a sample is at 0 from itself.
+
+    Distances are narrowed to 32 bits, as the rows are compared in them. The join is on all words, so it is meant for tables of templates, not for all samples of a log.
+    """
+    half = saved(distance_pairs(found, APART), "matrix").withColumn("distance", F.col("distance").cast("float").cast("double"))
+    return half.unionByName(half.select("dataset", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+
+
+def row_pairs(found: DataFrame, limit: float = NEAR) -> DataFrame:
+    """(dataset, a, b, row_distance) of samples whose rows of the distance matrix are within ``limit`` of each other, a < b.
+
+    The row distance is the root of the sum, over all samples k, of the squared difference of the distances to k. The two places k = a and k = b alone give
+    twice the square of the pair's own distance, so only pairs within limit / sqrt(2) are tried; and as all entries but those of ``distance_matrix`` are 1 in both rows, the sum
+    runs over the neighbours of a and b: an equi-join on the pair's side and a grouped sum by k.
+    """
+    matrix = saved(distance_matrix(found), "matrix")
+    tried = saved(matrix.where(F.col("a") < F.col("b")).where(F.col("distance") <= limit / math.sqrt(2) + 1e-6).select("dataset", "a", "b"), "tried")
+    own = tried.select(F.col("a").alias("k")).union(tried.select("b")).distinct()
+    rows = matrix.select("a", F.col("b").alias("k"), (1 - F.col("distance")).alias("near")).unionByName(own.select(F.col("k").alias("a"), "k", F.lit(1.0).alias("near")))
+    side = lambda c, sign: tried.join(rows.withColumnRenamed("a", c), c).select("dataset", "a", "b", "k", (sign * F.col("near")).alias("near"))
+    each = side("a", 1).unionByName(side("b", -1)).groupBy("dataset", "a", "b", "k").agg(F.sum("near").alias("d"))
+    return each.groupBy("dataset", "a", "b").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("row_distance")).where(F.col("row_distance") <= limit)
+
+
+def row_clusters(found: DataFrame, limit: float = NEAR) -> DataFrame:
+    """found with a cluster: the smallest sample_id reachable by steps between rows of the distance matrix that are within ``limit``.
+
+    That is density clustering with one point as the least size, on the rows of the matrix of all samples of a dataset. Texts without word tokens are alone.
+    """
+    roots = components(saved(row_pairs(found, limit).select("a", "b"), "row-pairs"))
+    return found.join(roots.withColumnsRenamed({"node": "sample_id", "root": "cluster"}), "sample_id", "left").select(*found.columns, F.coalesce("cluster", "sample_id").alias("cluster"))
+
+
 def _shapes(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """found with its shape (the word tokens in their order), (shape, a, n): the first sample of each and their number, and these first samples."""
-    words = F.array_join(F.filter(T.tokens(F.col("sample_text")), T.is_word_token), " ")
-    shaped = saved(found.withColumn("shape", F.xxhash64("dataset", words)), "shapes")
+    """found with its shape (the tokens, numbers being all alike), (shape, a, n): the first sample of each and their number, and these first samples.
+
+    Signs belong to the shape, as common signs decide which words a common subsequence takes.
+    """
+    numbers = F.transform(T.tokens(F.col("sample_text")), lambda t: F.when(~T.is_word_token(t) & t.rlike(java(r"^[\w\-\\/.]*\w")), F.lit("0")).otherwise(t))
+    shaped = saved(found.withColumn("shape", F.xxhash64("dataset", numbers)), "shapes")
     firsts = saved(shaped.groupBy("shape").agg(F.min("sample_id").alias("a"), F.count("*").alias("n")), "firsts")
     return shaped, firsts, found.join(firsts.select(F.col("a").alias("sample_id")), "sample_id", "left_semi")
 
@@ -84,7 +125,7 @@ def distance_links(found: DataFrame, limit: float = NEAR) -> DataFrame:
 def clusters(found: DataFrame, limit: float = JOINED) -> DataFrame:
     """samples with a cluster: the smallest sample_id reachable by distances of at most ``limit``.
 
-    Samples with the same word tokens in the same order are one from the start; only the first of each such shape meets others in pairs, and the
+    Samples that differ in numbers only are one from the start; only the first of each such shape meets others in pairs, and the
     rest follow it.
     """
     shaped, firsts, heads = _shapes(found)

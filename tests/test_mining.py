@@ -1,10 +1,12 @@
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sawmill.functions.text import preprocess
-from sawmill.operators import match, mining
+from sawmill.operators import lcs, match, mining
 from sawmill.operators.extract import answered, extract
 from sawmill.sources.presets import SHARED_MASKS
 
@@ -49,8 +51,6 @@ def test_identity(spark):
 def test_distance_pairs_lose_nothing(spark):
     from itertools import combinations
 
-    from sawmill.operators import lcs
-
     texts = [f"the {x} went {y} the {z} at noon" for x in ("cat", "dog", "fox") for y in ("over", "under") for z in ("hill", "lake road")] + ["other words here", "x", "..."]
     df = mining.samples(spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "dataset string, line_no long, content string"))
     ids = {r.sample_text: r.sample_id for r in df.collect()}
@@ -100,3 +100,84 @@ def test_distance_links_reach_every_sample(spark):
     links = mining.distance_links(df).collect()
     assert len(links) == 2 * 39 + 1 and sum(not r.member for r in links) == 1 and all(r.distance <= 0.3 for r in links)
     assert len({x for r in links for x in (r.a, r.b)}) == 80
+
+
+def random_text(rng, words="ab kl mn ef gh", signs=(" ", " ", "; ", ". ", " (", " 12 ")):
+    return "".join(rng.choice(words.split()) + rng.choice(signs) for _ in range(rng.randint(1, 7)))
+
+
+def test_distances_equal_distance():
+    """Many tables at once give what one pair at a time gives, empty texts and wildcards included."""
+    rng = random.Random(3)
+    pieces = ["ab", "kl", "mn", "x1", " ", " ", "; ", ". ", "<*>", "(<*>)", "12", "é", "/a"]
+    a, b = (["".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 3, 8, 20, 60]))) for _ in range(3000)] for _ in range(2))
+    assert list(lcs.distances(a, b)) == [lcs.distance(x, y) for x, y in zip(a, b)]
+    assert not len(lcs.distances([], []))
+
+
+def plain_row_clusters(texts):
+    n = len(texts)
+    rows = np.zeros((n, n), np.float32)
+    for i in range(n):
+        for j in range(i):
+            rows[i, j] = rows[j, i] = lcs.distance(texts[i], texts[j])
+    rows, root = rows.astype(float), list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if np.sqrt(((rows[i] - rows[j]) ** 2).sum()) <= 0.3:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return [frozenset(texts[k] for k in range(n) if root[k] == root[i]) for i in range(n)]
+
+
+def test_clusters_of_rows(spark):
+    """Row clusters equal those on the whole matrix of distances, for sets of 3 to 120 texts."""
+    rng, rows, want = random.Random(8), [], {}
+    for k, size in enumerate([3, 4, 5, 8, 13, 20, 35, 60, 120]):
+        base = [f"{rng.choice('pq')} starts with the job {x} on {y} of all nodes {z} in the rack" for x in "abcd" for y in ("one", "two", "ten") for z in ("now", "then", "soon", "late")] + ["other words", "12 34", "..."]
+        texts = sorted({*rng.sample(base, min(size, len(base))), *(random_text(rng) for _ in range(size // 4))} if size > 5 else {f"job {x} started on node seven" for x in "abcde"[:size]})
+        rows += [(f"s{k}", t, 1) for t in texts]
+        want |= {(f"s{k}", t): c for t, c in zip(texts, plain_row_clusters(texts))}
+    found = mining.row_clusters(spark.createDataFrame(rows, "dataset string, sample_text string, log_num int").withColumn("sample_id", F.xxhash64("dataset", "sample_text"))).collect()
+    of = {}
+    for r in found:
+        of.setdefault((r.dataset, r.cluster), set()).add(r.sample_text)
+    got = {(r.dataset, r.sample_text): frozenset(of[r.dataset, r.cluster]) for r in found}
+    assert got == want and any(len(c) > 2 for c in want.values())
+
+
+def test_fold_of_a_cluster_over_several_parts(spark, monkeypatch):
+    """A cluster over FAN is folded by parts, each in the order of first lines, then the parts in the order of their numbers: what the docstring says, done plainly."""
+    monkeypatch.setattr(mining, "FAN", 4)
+    rng = random.Random(6)
+    texts = sorted({"start " + " ".join(rng.sample(["of", "the", "long", "job", "now"], 4)) + f" at {k}" for k in range(41)})
+    df = spark.createDataFrame([(7, k, t) for k, t in enumerate(texts)], "cluster long, first_line long, sample_text string").withColumn("sample_id", F.xxhash64("sample_text"))
+    parts = -(-len(texts) // 4)
+    rows = [(r.part, r.first_line, [lcs.tokenize(r.sample_text)]) for r in df.withColumn("part", F.expr(f"pmod(xxhash64(sample_id, 5), {parts}L)")).collect()]
+    while True:
+        folded = {}
+        for part, line, runs in sorted(rows, key=lambda r: r[:2]):
+            folded[part] = (min(line, folded[part][0]) if part in folded else line, lcs.fold(folded[part][1], runs) if part in folded else runs)
+        if parts <= 1:
+            break
+        parts = -(-parts // 4)
+        rows = [(p // 4, p, runs) for p, (_, runs) in folded.items()]
+    (want,) = [runs for _, runs in folded.values()]
+    ((_, got),) = [tuple(r) for r in mining.merged(df).collect()]
+    assert [list(r) for r in got] == want
+
+
+def test_links_between_shapes(spark):
+    """Of the links between samples of different shapes, those that the heads of the shapes have too; signs belong to a shape, so few are missed."""
+    rng = random.Random(12)
+    texts = sorted({random_text(rng, signs=(" ", " ", "; ", ". ", " (", " 12 ", " 34 ", " 5 ")) for _ in range(400)})
+    df = mining.samples(spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "dataset string, line_no long, content string"))
+    shaped, firsts, _ = mining._shapes(df)
+    shape = {r.sample_text: r.a for r in shaped.join(firsts, "shape").collect()}
+    name = {r.sample_id: r.sample_text for r in df.collect()}
+    linked = {frozenset((r.a, r.b)) for r in mining.distance_links(df).where("not member").collect()}
+    by_id = [name[k] for k in sorted(name)]  # the measure of a pair depends on which one is first
+    near = [(x, y) for i, y in enumerate(by_id) for x in by_id[:i] if shape[x] != shape[y] and lcs.distance(x, y) <= 0.3]
+    caught = sum(frozenset((shape[x], shape[y])) in linked for x, y in near)
+    assert len(near) > 100 and caught >= 0.97 * len(near), (caught, len(near))
+    assert all(lcs.distance(name[min(p)], name[max(p)]) <= 0.3 for p in linked)

@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from sawmill.plans.tables import HOT, components, hot_join, saved, shared_dir
 
-__all__ = ["HOT", "bits_of", "components", "hot_join", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs"]
+__all__ = ["HOT", "bits_of", "components", "hot_join", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs", "worked_out"]
 
 
 #: Rows in an Arrow batch: texts are long, and a worker holds a batch whole.
@@ -41,6 +41,14 @@ def lean(f):
     return run
 
 
+def worked_out(rows: DataFrame, **columns: str) -> DataFrame:
+    """rows with these columns (SQL), behind a generator of one row, which the optimizer doesn't merge with what comes after.
+
+    Merged, a column that a lambda uses once would be worked out again for each element.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(F.expr(sql).alias(name) for name, sql in columns.items())))))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

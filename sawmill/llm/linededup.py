@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import hot_join, is_empty, saved
+from sawmill.llm.common import hot_join, is_empty, saved, worked_out
 
 #: A chunk ends after a line whose rolling hash is a multiple of this.
 DIVISOR = 2
@@ -49,30 +49,22 @@ def _placed(text: Column, doc_id: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("key")]
 
 
-def _worked_out(rows: DataFrame, **columns: str) -> DataFrame:
-    """rows with these columns (SQL), behind a generator of one row, which the optimizer doesn't merge with what comes after.
-
-    Merged, a column that a lambda uses once would be worked out again for each element.
-    """
-    return rows.select("*", F.inline(F.array(F.struct(*(F.expr(sql).alias(name) for name, sql in columns.items())))))
-
-
 def _ranges(documents: DataFrame) -> DataFrame:
     """(id, key, h1, h2, at, n, first, counted) of every line (n = 1) and every range that is counted; first: the first of its kind in the document."""
     text = F.col("text").cast("string")
     step = documents.where("text is not null").select(*_placed(text, F.col("doc_id")), F.split(text, "\n", -1).alias("ls"))
-    step = _worked_out(step, h="transform(ls, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))", x=f"transform(ls, x -> {LINE_HASH.format('x')})", y=f"transform(ls, x -> {LINE_HASH_2.format('x')})", w=r"transform(ls, x -> regexp_count(x, '[^\\x20\\x09-\\x0D]+'))").drop("ls")
+    step = worked_out(step, h="transform(ls, x -> cast(conv(substring(md5(x), 1, 7), 16, 10) as bigint))", x=f"transform(ls, x -> {LINE_HASH.format('x')})", y=f"transform(ls, x -> {LINE_HASH_2.format('x')})", w=r"transform(ls, x -> regexp_count(x, '[^\\x20\\x09-\\x0D]+'))").drop("ls")
     # lines with words only: each adds one at least, so WORDS + 1 of them are always enough, and mostly a few
     cuts = f"filter(sequence(0, size(h) - 1), i -> i = size(h) - 1 or (i > 0 and ((h[i - 1] * 31 + h[i]) % 1000003) % {DIVISOR} = 0))"
-    step = _worked_out(step, cuts=cuts, full="filter(transform(w, (c, i) -> struct(i as i, c as c)), f -> f.c > 0)").drop("h")
+    step = worked_out(step, cuts=cuts, full="filter(transform(w, (c, i) -> struct(i as i, c as c)), f -> f.c > 0)").drop("h")
     chunks = f"filter(transform(cuts, (e, k) -> struct(if(k = 0, 0, cuts[k - 1] + 1) as at, e - if(k = 0, -1, cuts[k - 1]) as n)), c -> c.n >= {LEAST_LINES})"
     windows = f"transform(filter(sequence(0, size(x) - 1), i -> i + {WINDOW} <= size(x)), i -> struct(i as at, {WINDOW} as n))"
     sums = lambda part: f"aggregate({part}, struct(0 as s, 0 as n), (a, f) -> if(a.s > {WORDS}, a, struct(a.s + f.c as s, a.n + 1 as n)))"
     ahead = lambda m: sums(f"slice(full, k + 1, {m})")
     back = lambda m: sums(f"reverse(slice(full, greatest(k - {m - 1}, 0) + 1, least(k, {m - 1}) + 1))")
-    step = _worked_out(step, ahead=f"transform(full, (f, k) -> {ahead(4)})", back=f"transform(full, (f, k) -> {back(4)})")
+    step = worked_out(step, ahead=f"transform(full, (f, k) -> {ahead(4)})", back=f"transform(full, (f, k) -> {back(4)})")
     more = lambda name, part: f"transform({name}, (a, k) -> if(a.s > {WORDS}, a, {part(WORDS + 1)}))"
-    step = _worked_out(step.withColumnsRenamed({"ahead": "ahead4", "back": "back4"}), ahead=more("ahead4", ahead), back=more("back4", back)).drop("ahead4", "back4")
+    step = worked_out(step.withColumnsRenamed({"ahead": "ahead4", "back": "back4"}), ahead=more("ahead4", ahead), back=more("back4", back)).drop("ahead4", "back4")
     long = [
         f"filter(transform(ahead, (a, k) -> if(a.s > {WORDS}, struct(full[k].i as at, full[k + a.n - 1].i - full[k].i + 1 as n), null)), r -> r.n > 1)",
         f"filter(transform(back, (a, k) -> if(a.s > {WORDS}, struct(full[k - a.n + 1].i as at, full[k].i - full[k - a.n + 1].i + 1 as n), null)), r -> r.n > 1)",
@@ -80,7 +72,7 @@ def _ranges(documents: DataFrame) -> DataFrame:
     single = f"transform(x, (v, i) -> struct(v as h1, y[i] as h2, i as at, 1 as n, w[i] > {WORDS} as counted))"
     many = f"transform(concat({chunks}, {windows}, {', '.join(long)}), r -> struct({RANGE_HASH.format('slice(x, r.at + 1, r.n)')} as h1, {RANGE_HASH_2.format('slice(y, r.at + 1, r.n)')} as h2, r.at as at, r.n as n, true as counted))"
     # equal ranges stand side by side once sorted
-    step = _worked_out(step, all=f"array_sort(concat({single}, {many}))")
+    step = worked_out(step, all=f"array_sort(concat({single}, {many}))")
     marked = "transform(all, (r, i) -> struct(r.h1 as h1, r.h2 as h2, r.at as at, r.n as n, i = 0 or all[i - 1].h1 <> r.h1 or all[i - 1].h2 <> r.h2 as first, r.counted as counted, i = 0 or all[i - 1] <> r as new))"
     return step.select("id", "key", F.expr(f"inline({marked})")).where("new").drop("new")
 
@@ -104,7 +96,7 @@ def _differing(documents: DataFrame, copies: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = documents.where("text is not null").select(*_placed(text, F.col("doc_id")), text.alias("text"))
     rows = _marked(rows, F.xxhash64(*_PLACE), saved(_bits(F.xxhash64(*_PLACE), of), "bits"), "left_semi")
-    lines = _worked_out(rows.select(*_PLACE, F.split("text", "\n", -1).alias("ls")), x=f"transform(ls, x -> struct({LINE_HASH.format('x')} as a, {LINE_HASH_2.format('x')} as b))").select(*_PLACE, "x")
+    lines = worked_out(rows.select(*_PLACE, F.split("text", "\n", -1).alias("ls")), x=f"transform(ls, x -> struct({LINE_HASH.format('x')} as a, {LINE_HASH_2.format('x')} as b))").select(*_PLACE, "x")
     each = lines.join(of, _PLACE).select("x", F.explode("rs").alias("r")).select("r.h1", "r.h2", F.expr("posexplode(slice(x, r.at + 1, r.n))").alias("place", "line"))
     each = each.groupBy("h1", "h2", "place").agg(*(f(f"line.{c}").alias(f"{name}_{c}") for c in "ab" for name, f in (("least", F.min), ("most", F.max))))
     return each.where("least_a <> most_a or least_b <> most_b").select("h1", "h2").distinct()

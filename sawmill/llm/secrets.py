@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import hot_join, saved
+from sawmill.llm.common import hot_join, saved, worked_out
 from sawmill.llm.findings import labelled
 
 PATTERN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])[A-Za-z0-9_+/=.-]{12,}+"
@@ -55,37 +55,77 @@ _ALONE = r"(?<![A-Za-z0-9_+/=.-])[a-z]{3,}(?![A-Za-z0-9_+/=-])"
 
 def candidates(documents: DataFrame) -> DataFrame:
     """(doc_id, start, candidate, before, after) of each candidate; start counts code points, before and after are CONTEXT characters."""
-    return _around(_placed(_texts(documents), PATTERN, 0, "runs"))
+    rows = worked_out(_texts(documents), base=_all(PATTERN)).where("size(base) > 0")
+    return _around(worked_out(_placed(rows, PATTERN, "base", "base"), runs="base_runs"))
 
 
 def all_candidates(documents: DataFrame) -> DataFrame:
     """candidates, and the runs of PREFIXED and NAMED that overlap none of them; each run once."""
     group = len(re.findall(r"\((?!\?)", NAMED))
-    rows = _placed(_placed(_placed(_texts(documents), PATTERN, 0, "base"), PREFIXED, 0, "prefixed"), NAMED, group, "named")
-    free = "not exists(base, b -> r.start < b.start + length(b.found) and b.start < r.start + length(r.found))"
-    return _around(rows.withColumn("runs", F.expr(f"concat(base, array_distinct(filter(concat(prefixed, named), r -> {free})))")))
+    rows = worked_out(_texts(documents), base=_all(PATTERN), prefixed=_all(PREFIXED), named=_all(NAMED)).where("size(base) + size(prefixed) + size(named) > 0")
+    rows = worked_out(rows, taken=f"if(size(named) > 0, {_all(NAMED, group)}, named)")
+    rows = _placed(_placed(_placed(rows, PATTERN, "base", "base"), PREFIXED, "prefixed", "prefixed"), NAMED, "named", "taken")
+    kind = lambda name, n: f"transform({name}_runs, r -> struct(r.start as start, {n} as kind, r.found as found))"
+    rows = worked_out(rows, every=f"array_sort(concat({kind('base', 0)}, {kind('prefixed', 1)}, {kind('named', 1)}))")
+    # where the runs of PATTERN before each place end, and where the next one begins
+    rows = worked_out(rows, ends="transform(every, r -> if(r.kind = 0, r.start + length(r.found), -1))", firsts=f"transform(reverse(every), r -> if(r.kind = 0, r.start, {_FAR}))")
+    rows = _running(_running(rows, "ends", "upto", "-1", "greatest(s, x)"), "firsts", "behind", str(_FAR), "least(s, x)")
+    free = "upto[i] <= r.start and behind[size(every) - 1 - i] >= r.start + length(r.found) and (i = 0 or every[i - 1] <> r)"
+    rows = worked_out(rows, marked=f"transform(every, (r, i) -> struct(r.start as start, r.found as found, r.kind = 0 or ({free}) as keep))")
+    return _around(worked_out(rows, runs="filter(marked, r -> r.keep)"))
 
 
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
 
 
-def _placed(rows: DataFrame, pattern: str, group: int, name: str) -> DataFrame:
-    """rows with (start, found) of each match as an array; a group is what a lookahead at the end of the match takes, and begins there."""
-    rows = rows.withColumn("matched", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    hit = F.size("matched") > 0
-    rows = rows.withColumn("gaps", F.when(hit, F.split("text", pattern, -1))).withColumn("taken", F.when(hit, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))) if group else F.col("matched"))
-    total = lambda a: f"aggregate({a}, 0, (s, x) -> s + length(x))"
-    # places: how long gaps and matches are, one after the other
-    before = total(f"slice(matched, 1, {'i' if group else 'i - 1'})")
-    place = f"struct({total('slice(gaps, 1, i)')} + {before} as start, taken[i - 1] as found)"
-    return rows.withColumn(name, F.expr(f"transform(filter(sequence(0, size(matched)), i -> i > 0), i -> {place})")).drop("matched", "gaps", "taken")
+_FAR = 2147483647
+#: Sums over many places go by groups of so many, and groups of groups.
+_GROUP = 64
+#: Texts are cut in pieces of so many characters, near which a context is looked up.
+_PIECE = 256
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _all(pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all(text, {_sql(pattern)}, {group})"
+
+
+def _running(rows: DataFrame, values: str, name: str, zero: str, join: str) -> DataFrame:
+    """rows with an array of what ``join`` (of s and x) makes of all values before each place.
+
+    A value is joined with those of its group, groups with those of theirs, so the work is in proportion to the number of values; only groups of groups are joined from the first on.
+    """
+    part = lambda a, start, n: f"aggregate(slice({a}, {start}, {n}), {zero}, (s, x) -> {join})"
+    both = lambda a, b: f"aggregate(array({b}), {a}, (s, x) -> {join})"
+    grouped = lambda a: f"transform(sequence(0, greatest(size({a}) - 1, 0) div {_GROUP}), k -> {part(a, f'cast(k * {_GROUP} + 1 as int)', _GROUP)})"
+    within = lambda a, above: f"transform({a}, (v, i) -> {both(f'{above}[cast(i div {_GROUP} as int)]', part(a, f'cast((i div {_GROUP}) * {_GROUP} + 1 as int)', f'cast(i % {_GROUP} as int)'))})"
+    rows = worked_out(worked_out(rows, _one=grouped(values)), _two=grouped("_one"))
+    rows = worked_out(rows, _above=f"transform(_two, (v, i) -> {part('_two', '1', 'i')})")
+    rows = worked_out(worked_out(rows, _upto=within("_one", "_above")), **{name: within(values, "_upto")})
+    return rows.drop("_one", "_two", "_above", "_upto")
+
+
+def _placed(rows: DataFrame, pattern: str, matched: str, taken: str) -> DataFrame:
+    """rows with <matched>_runs: (start, found) of each match; where another group is taken, it is what a lookahead at the end of the match takes, and begins there."""
+    rows = worked_out(rows, _gaps=f"if(size({matched}) > 0, transform(split(text, {_sql(pattern)}, -1), g -> length(g)), array())")
+    rows = _running(worked_out(rows, _steps=f"transform({matched}, (m, i) -> _gaps[i] + length(m))"), "_steps", "_at", "0", "s + x")
+    begin = "_at[i] + _gaps[i]" + (f" + length({matched}[i])" if taken != matched else "")
+    return worked_out(rows, **{f"{matched}_runs": f"transform({taken}, (m, i) -> struct({begin} as start, m as found))"}).drop("_gaps", "_steps", "_at")
 
 
 def _around(rows: DataFrame) -> DataFrame:
-    rows = rows.where("size(runs) > 0").select("doc_id", "text", F.expr("inline(runs)"))
-    start, length = F.col("start"), F.length("found")
-    return rows.select("doc_id", "start", F.col("found").alias("candidate"), F.substring("text", F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))).alias("before"), F.substring("text", start + length + 1, F.lit(CONTEXT)).alias("after"))
+    """A row for each of runs, with what stands around it, looked up in the pieces of the text that are next to it."""
+    rows = worked_out(rows.where("size(runs) > 0").select("doc_id", "text", "runs"), pieces=_all(f"(?s).{{1,{_PIECE}}}"))
+    rows = rows.select("doc_id", "pieces", F.expr("inline(runs)")).selectExpr("doc_id", "pieces", "start", "found", f"cast(start div {_PIECE} as int) as k", "start + length(found) as stop")
+    near = lambda k: f"concat(coalesce(get(pieces, {k}), ''), coalesce(get(pieces, {k} + 1), ''))"
+    offset = f"if(k > 0, {_PIECE}, 0) + start % {_PIECE}"
+    before = f"substring({near('greatest(k - 1, 0)')}, greatest({offset} - {CONTEXT}, 0) + 1, least({offset}, {CONTEXT}))"
+    after = f"substring({near(f'cast(stop div {_PIECE} as int)')}, stop % {_PIECE} + 1, {CONTEXT})"
+    return rows.selectExpr("doc_id", "start", "found as candidate", f"{before} as before", f"{after} as after")
 
 
 def dictionary(documents: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -96,8 +136,7 @@ def dictionary(documents: DataFrame, least: int = LEAST, share: float = SHARE) -
 
 def _pairs(text: Column) -> Column:
     """The pairs of neighbouring characters of a text, its ends marked by ^ and $."""
-    marked = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+    return F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit("(?s)(?=(..))"), F.lit(1))
 
 
 def _parts() -> dict[str, Column]:

@@ -9,8 +9,11 @@
 3. In each bucket the members are confirmed against its smallest member on full sets; confirmed links are joined to
    components. So a large group of near copies costs a number of checks in proportion to its size; the members of a leader of many are dealt to
    blocks, each of which gets the leader's set once.
-4. Members of a bucket that are still in different components meet in blocks of at most ``2 * BLOCK`` rows. An odd
-   sketch bounds the symmetric difference, which drops most pairs; the rest is confirmed on full sets too.
+4. Members of a bucket that are still in different components meet in blocks of at most ``2 * BLOCK`` rows: those outside the bucket's largest component meet each other and
+   that component, whose own members need not meet. So a group of n copies with m strays makes m * n pairs, not n * n. An odd
+   sketch bounds the symmetric difference, which drops most pairs.
+5. The rest is confirmed on full sets in ROUNDS: one pair of every two components first, then TRIES of them, and so on, the last round all that are left; pairs whose components
+   have become one meanwhile are done. What is asked for are components, so no further pair of the same two changes the result.
 
 Defined cases: null or wordless text has n_shingles 0 and is linked with nothing; a null doc_id is linked with nothing
 (component_id null, kept true); rows with one doc_id are one document, whose texts are all linked with each other;
@@ -32,6 +35,8 @@ CHUNKS, CHUNK, BITS = 10, 5, 16
 PLACES = CHUNKS * CHUNK
 ODD_BITS = 1024
 BLOCK = 512
+#: Rounds of confirming pairs between components, each with so many times the pairs of two components of the round before.
+ROUNDS, TRIES = 4, 16
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
 
@@ -150,7 +155,7 @@ def _meet(batches):
             ok = first * CHUNK + miss == mark[i]  # a pair that shares several keys counts at the first only
             i, j = i[ok], j[ok]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j])), pa.array(np.minimum(root[i], root[j])), pa.array(np.maximum(root[i], root[j]))], names=["a", "b", "ra", "rb"])
 
     rest = None
     for batch in batches:
@@ -196,6 +201,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(f"100 * i >= {PERCENT} * (size(sa) + size(sb) - i)").select("a", "b").distinct()
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs(a, b, ra, rb) with the roots that ra and rb have now, without those that are in one component."""
+    for c in ("ra", "rb"):
+        now = pairs.groupBy(c).agg(F.count("*").alias("n")).join(roots.select(F.col("node").alias(c), "root"), c)
+        pairs = hot_join(pairs, saved(now, "roots-now"), c, how="left").withColumn(c, F.coalesce("root", c)).select("a", "b", "ra", "rb")
+    return pairs.where("ra <> rb").select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
+
+
 _SET = ["n", "d1", "d2"]
 
 
@@ -223,15 +236,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     rooted = bucket.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "mark", F.coalesce("root", "cls").alias("root"))
     rooted = saved(rooted, "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 <> r2").select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = hot_join(rooted, saved(mixed, "mixed"), "key", "size").withColumn("block", F.expr("cast(pmod(xxhash64(cls, 3), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "cls", "mark", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("key", "size", F.col("top.root").alias("major"), blocks(F.col("size") - F.col("top.n")).alias("minors"), blocks(F.col("top.n")).alias("majors"))
+    rows = hot_join(rooted, saved(mixed, "mixed"), "key", "size")
+    # blocks of strays come first, those of the largest component after them; each of these meets the strays only
+    rows = rows.withColumn("block", F.expr("if(root = major, minors + cast(pmod(xxhash64(cls, 3), majors) as int), cast(pmod(xxhash64(cls, 3), minors) as int))"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, if(root = major, minors, minors + majors) - 1)"))).select("key", "cls", "mark", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     rows = rows.join(sketch, "cls")
     order = ["key", "low", "high"]
-    second = saved(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_meet, "a long, b long").distinct(), "pairs")
-    if not is_empty(second):
-        links = links.union(saved(_confirmed(second, docs), "links"))
+    second = saved(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_meet, "a long, b long, ra long, rb long").distinct(), "pairs")
+    for k in range(ROUNDS):
+        if is_empty(second):
+            break
+        some = second.select("a", "b")
+        if k < ROUNDS - 1:
+            some = second.groupBy("ra", "rb", F.expr(f"pmod(xxhash64(a, b, 11), {TRIES**k})").alias("try")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
+        links = links.union(saved(_confirmed(saved(some.distinct(), "tries"), docs), "links"))
         roots = saved(components(links), "roots")
+        if k < ROUNDS - 1:
+            second = saved(_apart(second, roots), "pairs")
     # a class is named after its smallest doc_id, so the smallest node of a component is the smallest doc_id
     sizes = classes.groupBy("cls").agg(F.sum("many").alias("many")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "many", F.coalesce("root", "cls").alias("component_id"))
     found = hot_join(of, saved(sizes, "components"), "cls", "many").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -240,6 +265,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """documents without those that have a near copy with a smaller doc_id; rows and columns are as they came, all rows of a doc_id go or stay."""
+    """One document of each group of near copies: those with a near copy of a smaller doc_id go; rows and columns are as they came.
+
+    Copies that doc_ids don't tell apart go too: of rows with the same doc_id and text one stays, and of rows without a doc_id and with the same text one, or none where a row with a doc_id has that text (by SHA-256).
+    Rows of one doc_id with different texts go or stay together; rows whose text has no words are copies of nothing.
+    """
     gone = near_duplicates(documents).where("not kept").select("doc_id").distinct()
-    return documents.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left_anti").select("row.*")
+    text = F.col("row.text").cast("string")
+    rows = documents.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), text.alias("text"))
+    rows = rows.join(gone, F.col("id") == F.col("doc_id"), "left_anti").drop("doc_id")
+    ids = documents.select(F.col("doc_id").cast("long").alias("id"))
+    repeated = saved(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "repeated-ids")
+    if is_empty(repeated):
+        return rows.select("row.*")
+    own = repeated.select(F.col("id").alias("of"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    many = saved(rows.join(own, F.col("id").eqNullSafe(F.col("of")), "left_semi").where(worded).withColumn("same", F.sha2("text", 256)).withColumn("at", F.monotonically_increasing_id()), "repeated-rows")
+    first = many.groupBy("id", "same").agg(F.min("at").alias("at"))
+    named = rows.where(worded).where("id is not null").select(F.sha2("text", 256).alias("same")).distinct()
+    nameless = first.where("id is null").join(named, "same", "left_anti").select("at")
+    stays = many.join(first.where("id is not null").select("at").union(nameless), "at", "left_semi")
+    alone = rows.join(own, F.col("id").eqNullSafe(F.col("of")), "left_anti")
+    wordless = rows.where(~worded).join(own, F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    return alone.select("row.*").unionByName(stays.select("row.*")).unionByName(wordless.select("row.*"))

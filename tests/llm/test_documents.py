@@ -76,6 +76,26 @@ def test_near_duplicates_of_a_chain_and_a_large_group(spark):
     assert neardup.drop_near_duplicates(df).count() == len(set(got.values()))
 
 
+def test_near_duplicates_of_groups_in_small_blocks(spark, monkeypatch):
+    """Groups that their leaders don't hold together, dealt to many blocks and confirmed in several rounds."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "TRIES", 2)
+    words = [f"v{i}" for i in range(400)]
+    chains = [(1000 * c + k, " ".join(words[c * 90 + k * 2 : c * 90 + k * 2 + 30])) for c in range(3) for k in range(25)]
+    group = [(5000 + k, " ".join(w if j not in (k % 60, (k * 7) % 60) else f"x{k}" for j, w in enumerate(words[300:360]))) for k in range(60)]
+    rows = chains + group
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+
+
+def test_copies_without_an_id_of_their_own(spark):
+    """Repeated rows, and rows without a doc_id, keep one of each text."""
+    a, b, c = "one text of more than five words", "another text that is not alike at all", "a third text that has no id here"
+    rows = [(1, a, "x"), (1, a, "y"), (1, b, "x"), (2, b, "x"), (None, a, "x"), (None, c, "x"), (None, c, "y"), (None, "", "x"), (None, "", "x"), (7, "", "x"), (7, "", "x"), (8, c + " x", "x")]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, id string")).collect()))
+    assert got == sorted([(False, 1, a), (False, 1, b), (True, 0, c), (True, 0, ""), (True, 0, ""), (False, 7, ""), (False, 7, ""), (False, 8, c + " x")])
+
+
 def test_columns_of_any_name_pass_through(spark):
     names = ["_gone", "_bad", "row", "cls", "key", "n", "component_id", "kept", "score", "predicted", "f", "quality"]
     rows = spark.createDataFrame([(d, "a b c d e f g h", *names) for d in (1, 2)] + [(3, "something else that is longer than five words", *names)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))

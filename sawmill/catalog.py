@@ -17,7 +17,7 @@ from sawmill.functions import text as T
 from sawmill.functions.regexes import re2
 from sawmill.operators import match, mining, parse, scoring
 from sawmill.operators.extract import extract
-from sawmill.plans.tables import saved, shared_dir
+from sawmill.plans.tables import hot_join, saved, shared_dir
 from sawmill.sources.logs import parse_header, read_lines, read_scored, write_csv
 from sawmill.sources.presets import COLLECTIONS, SHARED_MASKS
 
@@ -257,8 +257,8 @@ def sample_dedupe(spark, sf_dir):
 @query(f"SELECT line_no, min(line_no) OVER (PARTITION BY dataset, content) AS first_line FROM ({_MASKED})")
 def sample_first_seen(spark, sf_dir):
     rows = masked_events(spark, sf_dir)
-    found = mining.samples(rows).select("dataset", F.col("sample_text").alias("content"), "first_line")
-    return rows.join(found, ["dataset", "content"]).select("line_no", "first_line")
+    found = mining.samples(rows).select("dataset", F.col("sample_text").alias("content"), "first_line", "log_num")
+    return hot_join(rows, saved(found, "samples"), ["dataset", "content"], "log_num").select("line_no", "first_line")
 
 
 @query(f"SELECT translate(content, '＜＞｛｝', '<>{{}}') AS EventTemplate, count(*) AS Occurrences, min(line_no) AS first_line FROM ({_MASKED}) GROUP BY 1")
@@ -297,7 +297,7 @@ _RULES = "(VALUES " + ", ".join(f"({i}, {_lit(t)}, {_lit(_pattern_sql(t))}, {_li
 def _matched(spark, sf_dir):
     rows = event_contents(spark, sf_dir).select("line_no", "content")
     found = match.first_match(rows.select(F.col("content").alias("text")), _template_rows(spark)).withColumnRenamed("text", "content")
-    return rows.join(found, "content")
+    return hot_join(rows, saved(rows.groupBy("content").agg(F.count("*").alias("n")).join(found, "content"), "matched"), "content")
 
 
 _HITS = f"SELECT line_no, template_id, 1 AS pass FROM ({_EVENTS}) JOIN {_RULES} ON regexp_full_match(content, one) UNION ALL SELECT line_no, template_id, 2 FROM ({_EVENTS}) JOIN {_RULES} ON regexp_full_match(content, two) AND template_text LIKE '%{{V}}%'"
@@ -618,6 +618,37 @@ def part_texts(spark, sf_dir, text):
     return saved(rows.withColumn("sample_id", F.xxhash64("dataset", "sample_text")), "parts")
 
 
+#: Templates over the descriptions of parts: the kind, what it is, or both left open; ord follows the text.
+_OPEN = f"SELECT DISTINCT unnest([p || t, '<*> ' || split_part(p, ' ', 2) || t, split_part(p, ' ', 1) || ' <*>' || t, '<*>' || t]) AS template_text FROM (SELECT p_name AS p, ' of type ' || p_type AS t FROM part)"
+_PATTERN = "regexp_replace(template_text, '<\\*> *', '.*?', 'g')"
+
+
+def part_templates(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select(F.col("p_name").alias("p"), F.concat(F.lit(" of type "), "p_type").alias("t"))
+    first, second = F.split_part("p", F.lit(" "), F.lit(1)), F.split_part("p", F.lit(" "), F.lit(2))
+    texts = F.array(F.concat("p", "t"), F.concat(F.lit("<*> "), second, "t"), F.concat(first, F.lit(" <*>"), "t"), F.concat(F.lit("<*>"), "t"))
+    rows = rows.select(F.explode(texts).alias("template_text")).distinct()
+    return saved(rows.withColumn("template_id", F.xxhash64("template_text")).withColumn("ord", F.col("template_text")), "templates")
+
+
+@query(f"WITH o AS ({_OPEN}), r AS (SELECT template_text, {_PATTERN} AS pattern FROM o WHERE contains(template_text, '<*>')) SELECT r.template_text AS coverer, o.template_text AS covered FROM r JOIN o ON r.template_text <> o.template_text AND regexp_full_match(o.template_text, r.pattern)")
+def part_containment(spark, sf_dir):
+    """Templates over parts that cover others, by the index on rare words."""
+    rows = part_templates(spark, sf_dir)
+    names = rows.select("template_id", "template_text")
+    found = match.containment(rows).join(names.withColumnsRenamed({"template_id": "coverer_id", "template_text": "coverer"}), "coverer_id")
+    return found.join(names.withColumnsRenamed({"template_id": "covered_id", "template_text": "covered"}), "covered_id").select("coverer", "covered")
+
+
+@query(f"WITH r AS (SELECT template_text, {_PATTERN} AS pattern FROM ({_OPEN}) WHERE contains(template_text, '<*>')), p AS (SELECT p_partkey, {_PART} AS t FROM part), m AS (SELECT t, min(template_text) AS template_text FROM (SELECT DISTINCT t FROM p) JOIN r ON regexp_full_match(t, pattern) GROUP BY t) SELECT p_partkey, template_text FROM p JOIN m USING (t)")
+def part_first_match(spark, sf_dir):
+    """The first template, by its text, that matches each part's description."""
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.expr(_PART).alias("text"))
+    names = part_templates(spark, sf_dir).where(F.contains("template_text", F.lit("<*>")))
+    found = match.first_match(rows, names).join(names, "template_id").select("text", "template_text")
+    return hot_join(rows, saved(rows.groupBy("text").agg(F.count("*").alias("n")).join(found, "text"), "matched"), "text").select("p_partkey", "template_text")
+
+
 def _named_pairs(rows, found, value):
     names = found.select("sample_id", "sample_text")
     rows = rows.join(names.withColumnsRenamed({"sample_id": "a", "sample_text": "x"}), "a").join(names.withColumnsRenamed({"sample_id": "b", "sample_text": "y"}), "b")
@@ -703,8 +734,7 @@ def mine_vs_metric(spark, sf_dir):
     """Mined templates scored against the level or table that a line comes from."""
     rows = mining_lines(spark, sf_dir)
     found, names = mining.mine(rows)
-    parsed = found.select("dataset", F.col("sample_text").alias("content"), "template_id").join(names.select("template_id", F.col("template_text").alias("parsed")), "template_id")
-    lines = rows.join(parsed, ["dataset", "content"]).select("dataset", F.split("content", "[: ]")[0].alias("truth"), "parsed")
+    lines = match.structured(rows.withColumn("sample_id", F.xxhash64("dataset", "content")), found, names).withColumnRenamed("EventTemplate", "parsed").select("dataset", F.split("content", "[: ]")[0].alias("truth"), "parsed")
     return scoring.scores(scoring.pair_table(lines)).select("dataset", "GA", "FGA", "tool_templates", "ground_templates")
 
 

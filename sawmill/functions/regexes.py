@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACES = {
+SPACES = {
     "java": r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000",
     "re2": r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}",
 }
@@ -21,7 +21,7 @@ SPECIAL = set("\\^$.|?*+()[]{}")
 
 def translate(pattern: str, dialect: str = "java") -> str:
     """A Python pattern in another dialect; named groups become plain ones."""
-    sets = {"w": _WORD, "d": r"\p{Nd}", "s": _SPACES[dialect]}
+    sets = {"w": _WORD, "d": r"\p{Nd}", "s": SPACES[dialect]}
     out, i, inside = [], 0, False
     while i < len(pattern):
         c = pattern[i]
@@ -117,7 +117,7 @@ def compile_format(log_format: str) -> Header:
 
 def template_pattern(template: str, dialect: str = "java") -> str:
     """What matches a template in whole: each wildcard, with the white space after it, is any text without a line end."""
-    spaces, out, literal, i = _SPACES[dialect], [], [], 0
+    spaces, out, literal, i = SPACES[dialect], [], [], 0
     while i < len(template):
         if template.startswith("<*>", i):
             out.append(quoted("".join(literal)))
@@ -137,5 +137,5 @@ def template_pattern(template: str, dialect: str = "java") -> str:
 def template_pattern_column(template: Column) -> Column:
     """template_pattern as an expression, for templates that stand in a column."""
     escaped = F.regexp_replace(template, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    wild = F.regexp_replace(escaped, rf"(?:<\\\*>[{_SPACES['java']}]*)+", r"[^\\n]*?")
+    wild = F.regexp_replace(escaped, rf"(?:<\\\*>[{SPACES['java']}]*)+", r"[^\\n]*?")
     return F.concat(F.lit(r"\A(?:"), wild, F.lit(r")\z"))

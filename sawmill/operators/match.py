@@ -5,66 +5,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.functions.regexes import template_pattern_column
+from sawmill.functions.regexes import SPACES, java, template_pattern_column
 from sawmill.functions.text import WILDCARD, restore_reserved
+from sawmill.functions.text import words as words_of
+from sawmill.plans.tables import hot_join, saved
 
-#: Templates that are sent to every task at once; more go in blocks of this many, each a pass over the distinct texts.
+#: Up to so many templates go to every task; beyond that texts and templates meet by a shuffle on their words.
 BLOCK = 2000
+#: Stands for a wildcard and the white space after it, which the wildcard takes; no character of a text.
+_GAP = "\x01"
+_WORD = java(r"\w")[len("(?d)") :]
+#: Words of a template that stand alone in each text that it matches: no wildcard, and no space that one takes, touches them.
+_ALONE = f"(?<![{_WORD[1:-1]}{_GAP}]){_WORD}+(?![{_WORD[1:-1]}{_GAP}])"
 
 
-def _blocks(templates: DataFrame):
-    n = templates.count()
-    for k in range(-(-n // BLOCK)):
-        yield templates if n <= BLOCK else templates.where(F.pmod(F.xxhash64("template_id"), F.lit(-(-n // BLOCK))) == k)
-
-
-#: The first word of a template, where it is literal and white space follows; a text that the template matches begins with the same word.
-_HEAD, _FIRST = r"^([^\s<{]+)\s", r"^(\S+)\s"
-
-
-def _patterns(templates: DataFrame) -> DataFrame:
-    """Two rows for each template: pass 1 with the text as it is, pass 2 with the marks {V} left out (only where there are some)."""
+def _rules(templates: DataFrame) -> DataFrame:
+    """Templates with their pattern, and the longest piece between wildcards, in two passes: 1 with the text as it is, 2 with the marks {V} left out (only where there are some)."""
 
     def rule(rows: DataFrame, text: Column, number: int) -> DataFrame:
-        return rows.select("template_id", "ord", F.lit(number).alias("pass"), template_pattern_column(text).alias("pattern"), F.regexp_extract(text, _HEAD, 1).alias("head"))
+        pieces = F.split(text, r"(?:<\*>[" + SPACES["java"] + "]*)+", -1)
+        longest = F.reduce(pieces, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s))
+        gaps = F.regexp_replace(text, r"<\*>[" + SPACES["java"] + "]*", _GAP)
+        return rows.select("*", F.lit(number).alias("pass"), template_pattern_column(text).alias("pattern"), longest.alias("piece"), F.array_distinct(F.regexp_extract_all(gaps, F.lit(_ALONE), F.lit(0))).alias("words"))
 
     bare = F.replace(F.col("template_text"), F.lit("{V}"), F.lit(""))
-    return rule(templates, F.col("template_text"), 1).union(rule(templates.where(F.col("template_text").contains("{V}")), bare, 2))
-
-
-def _headed(rows: DataFrame, text: str) -> DataFrame:
-    """rows once under the first word of their text and once under none, which meets the templates that begin otherwise."""
-    return rows.withColumn("head", F.explode(F.array_distinct(F.array(F.regexp_extract(text, _FIRST, 1), F.lit("")))))
+    return rule(templates, F.col("template_text"), 1).unionByName(rule(templates.where(F.col("template_text").contains("{V}")), bare, 2))
+
+
+def _index(rules: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, word, rules): templates under the word of theirs that the fewest templates have, or under none if they have no word that stands alone."""
+    key = ["template_id", "pass"]
+    each = rules.select(*scope, *key, F.explode("words").alias("word"))
+    rare = each.groupBy(*scope, "word").agg(F.count("*").alias("n"))
+    best = each.join(rare, [*scope, "word"]).groupBy(*key).agg(F.min(F.struct("n", "word")).alias("best")).select(*key, "best.word")
+    rows = rules.drop("words").join(best, key, "left").withColumn("word", F.coalesce("word", F.lit("")))
+    # templates under one word: as many as have no rarer one
+    return rows.groupBy(*scope, "word").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in (*scope, "word")))).alias("rules"))
+
+
+def _met(texts: DataFrame, text: str, templates: DataFrame, scope: list[str]) -> DataFrame:
+    """texts with a struct ``rule`` for each template that matches: an equi-join on words, then the longest piece, then the pattern."""
+    small = len(templates.select("template_id").take(BLOCK + 1)) <= BLOCK
+    index = saved(_index(_rules(templates), scope), "index")
+    words = F.array_append(F.array_distinct(words_of(F.col(text))), F.lit(""))
+    rows = texts.withColumn("word", F.explode(words))
+    key = [*scope, "word"]
+    if small:
+        rows = rows.join(F.broadcast(index), key)
+    else:
+        known = rows.groupBy(*key).agg(F.count("*").alias("n")).join(index, key)
+        rows = hot_join(rows, saved(known, "index"), key).drop("n")
+    rows = rows.select(*texts.columns, F.explode("rules").alias("rule"))
+    return rows.where(F.contains(F.col(text), F.col("rule.piece"))).where(F.expr(f"{text} rlike rule.pattern"))
 
 
 def first_match(texts: DataFrame, templates: DataFrame) -> DataFrame:
     """(text, template_id, pass) for each distinct text: the first template (by ord) that matches it, of pass 1 if there is one.
 
-    texts(text), templates(template_id, template_text, ord). Only distinct texts are matched, and each only with the templates that
-    begin with its first word or with no literal word: an equi-join. Texts that nothing matches are absent.
+    texts(text), templates(template_id, template_text, ord). Only distinct texts are matched, in one pass whatever the number of templates, and each only with the templates
+    under one of its words, or under none (those without a literal word that stands alone). Texts that nothing matches are absent.
     """
-    distinct, found = _headed(texts.select("text").distinct(), "text"), None
-    for block in _blocks(templates):
-        rules = F.broadcast(_patterns(block))  # 2 * BLOCK rows at most
-        hit = distinct.join(rules, "head").where("text rlike pattern")
-        best = hit.groupBy("text").agg(F.min(F.struct("pass", "ord", "template_id")).alias("best"))
-        found = best if found is None else found.union(best)
-    if found is None:
-        return distinct.limit(0).select("text", F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("int").alias("pass"))
-    return found.groupBy("text").agg(F.min("best").alias("best")).select("text", F.col("best.template_id").alias("template_id"), F.col("best.pass").alias("pass"))
+    hit = _met(texts.select("text").distinct(), "text", templates.select("template_id", "template_text", "ord"), [])
+    best = hit.groupBy("text").agg(F.min(F.struct("rule.pass", "rule.ord", "rule.template_id")).alias("best"))
+    return best.select("text", F.col("best.template_id").alias("template_id"), F.col("best.pass").alias("pass"))
 
 
 def containment(templates: DataFrame) -> DataFrame:
     """(coverer_id, covered_id) of templates whose pattern matches another template's text; equal texts don't count.
 
-    Where templates have a dataset, only those of one dataset are compared; an equi-join on it and on the first word, as in first_match.
+    Where templates have a dataset, only those of one dataset are compared; an equi-join on it and on a literal word, as in first_match.
     """
-    scope = ["dataset", "head"] if "dataset" in templates.columns else ["head"]
-    rows = _headed(templates, "template_text").select(*scope, F.col("template_id").alias("covered_id"), "template_text")
+    scope = ["dataset"] if "dataset" in templates.columns else []
+    texts = templates.select(*scope, F.col("template_id").alias("covered_id"), F.col("template_text").alias("text"))
     # without a wildcard a template covers nothing but itself
-    rules = templates.where(F.col("template_text").contains(WILDCARD)).withColumn("head", F.regexp_extract("template_text", _HEAD, 1))
-    rules = rules.select(*scope, F.col("template_id").alias("coverer_id"), F.col("template_text").alias("_by"), template_pattern_column(F.col("template_text")).alias("_pattern"))
-    return rows.join(rules, scope).where("template_text <> _by and template_text rlike _pattern").select("coverer_id", "covered_id").distinct()
+    rules = templates.where(F.col("template_text").contains(WILDCARD)).select(*scope, "template_id", "template_text")
+    hit = _met(texts, "text", rules, scope).where("rule.pass = 1 and text <> rule.template_text")
+    return hit.select(F.col("rule.template_id").alias("coverer_id"), "covered_id").distinct()
 
 
 def last_coverer(templates: DataFrame) -> DataFrame:
@@ -80,9 +96,19 @@ def match_all(texts: DataFrame, templates: DataFrame, by: list[str]) -> DataFram
 
 
 def structured(lines: DataFrame, samples: DataFrame, templates: DataFrame) -> DataFrame:
-    """lines(sample_id, ...) with EventId and EventTemplate by way of samples(sample_id, template_id) and templates."""
-    names = templates.select(F.col("template_id").alias("EventId"), restore_reserved(F.col("template_text")).alias("EventTemplate"))
-    return lines.join(samples.select("sample_id", F.col("template_id").alias("EventId")), "sample_id", "left").join(names, "EventId", "left")
+    """lines(sample_id, ...) with EventId and EventTemplate by way of samples(sample_id, template_id, log_num) and templates.
+
+    One join of the lines, in which samples that many lines have are broadcast; lines without a sample stay as they are. Without log_num, lines are counted first.
+    """
+    names = templates.select("template_id", restore_reserved(F.col("template_text")).alias("EventTemplate"))
+    of = samples.select("template_id").groupBy("template_id").agg(F.count("*").alias("n")).join(names, "template_id")
+    named = hot_join(samples, saved(of, "names"), "template_id", how="left")
+    if "log_num" not in samples.columns:
+        named = named.join(lines.groupBy("sample_id").agg(F.count("*").alias("log_num")), "sample_id")
+    named = saved(named.select("sample_id", F.col("template_id").alias("EventId"), "EventTemplate", "log_num"), "named")
+    found = hot_join(lines.where("sample_id is not null"), named, "sample_id", "log_num", "left").drop("log_num")
+    nulls = lines.where("sample_id is null").select("sample_id", *(c for c in lines.columns if c != "sample_id"), F.lit(None).cast(named.schema["EventId"].dataType).alias("EventId"), F.lit(None).cast("string").alias("EventTemplate"))
+    return found.unionByName(nulls)
 
 
 def occurrences(structured_log: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ from sawmill.sources.logs import parse_header, read_lines, write_csv
 from sawmill.sources.presets import SHARED_MASKS
 
 
+#: The masked content beside the header's own fields.
+_CONTENT = "masked content"
+
+
 def parse(lines: DataFrame, header: str | Header, masks: Sequence[str] = (), shared: Sequence[str] = SHARED_MASKS, drop_unmatched: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """(structured log, templates) of lines(dataset, line_no, value).
 
@@ -22,12 +26,13 @@ def parse(lines: DataFrame, header: str | Header, masks: Sequence[str] = (), sha
     templates table has dataset, EventTemplate, Occurrences and first_line. options: those of mining.mine.
     """
     h = compile_format(header) if isinstance(header, str) else header
-    rows = parse_header(lines.select("dataset", "line_no", "value"), h, drop_unmatched)
-    content = T.preprocess(rows.select("dataset", "line_no", F.col("Content").alias("content")), "content", masks, shared)
-    content = saved(content.withColumn("sample_id", F.xxhash64("dataset", "content")), "contents")
-    samples, names = mining.mine(content.select("dataset", "line_no", "content"), **options)
-    named = match.structured(content.select("dataset", "line_no", "sample_id"), samples, names).select(F.col("dataset").alias("d"), F.col("line_no").alias("LineId"), "EventId", "EventTemplate")
-    log = rows.join(named, (F.col("dataset") == F.col("d")) & (F.col("line_no") == F.col("LineId")))
+    rows = parse_header(lines.select("dataset", "line_no", "value"), h, drop_unmatched).drop("value")
+    content = F.col("Content") if "Content" in h.fields else F.lit(None).cast("string")
+    rows = T.preprocess(rows.withColumn(_CONTENT, content), _CONTENT, masks, shared)
+    # header fields and content are worked out once, and the lines are shuffled once, to meet their samples
+    rows = saved(rows.withColumn("sample_id", F.when(F.col(_CONTENT).isNotNull(), F.xxhash64("dataset", _CONTENT))), "lines")
+    samples, names = mining.mine(rows.select("dataset", "line_no", F.col(_CONTENT).alias("content")), **options)
+    log = match.structured(rows.drop(_CONTENT), samples, names).withColumnRenamed("line_no", "LineId")
     log = log.select("dataset", "LineId", *h.fields, "EventId", "EventTemplate")
     found = log.where("EventTemplate is not null").groupBy("dataset", "EventTemplate").agg(F.count("*").alias("Occurrences"), F.min("LineId").alias("first_line"))
     return log, found

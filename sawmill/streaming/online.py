@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sawmill.functions.text import preprocess
 from sawmill.operators.match import first_match
+from sawmill.plans.tables import hot_join, saved
 from sawmill.sources.logs import parse_header
 
 
@@ -37,6 +38,7 @@ def match_stream(rows: DataFrame, templates: DataFrame, path: str, checkpoint: s
 
     def one(batch: DataFrame, number: int) -> None:
         found = first_match(batch.select(F.col("content").alias("text")), templates).withColumnRenamed("text", "content")
-        batch.join(found, "content", "left").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        counted = batch.groupBy("content").agg(F.count("*").alias("_n")).join(found, "content")
+        hot_join(batch, saved(counted, "matched"), "content", "_n", "left").drop("_n").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sawmill.functions.text import preprocess
 from sawmill.operators import lcs, match, mining
-from sawmill.operators.extract import answered, extract
+from sawmill.operators.extract import answered, extract, matcher
 from sawmill.sources.presets import SHARED_MASKS
 
 
@@ -181,3 +181,57 @@ def test_links_between_shapes(spark):
     caught = sum(frozenset((shape[x], shape[y])) in linked for x, y in near)
     assert len(near) > 100 and caught >= 0.97 * len(near), (caught, len(near))
     assert all(lcs.distance(name[min(p)], name[max(p)]) <= 0.3 for p in linked)
+
+
+# Templates and texts --------------------------------------------------------------------------------
+
+
+def plain_hits(texts, templates):
+    return {(x, i, k) for x in texts for i, t, _ in templates for k, form in ((1, t), (2, t.replace("{V}", ""))) if (k == 1 or "{V}" in t) and matcher(form)(x)}
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_index_finds_every_match(spark, monkeypatch, block):
+    """First matches and containment by the index on words equal all pairs, whether templates are broadcast or meet texts by a shuffle."""
+    monkeypatch.setattr(match, "BLOCK", block)
+    rng = random.Random(31)
+    pieces = ["a", "bb", "a_b", "é1", " ", "  ", "-", ":", "<*>", "<*>", "{V}", "(", "."]
+    texts = sorted({"".join(rng.choice([p for p in pieces if p not in ("<*>", "{V}")]) for _ in range(rng.randint(0, 6))) for _ in range(300)})
+    patterns = sorted({"".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(60)} | {"<*>", "a <*>", "<*> bb", "{V}<*>"})
+    templates = [(k, t, rng.randint(0, 9) * 1000 + k) for k, t in enumerate(patterns)]
+    ords = {i: o for i, _, o in templates}
+    want = {}
+    for x, i, k in plain_hits(texts, templates):
+        want[x] = min(want.get(x, (9, 0, 0)), (k, ords[i], i))
+    df = spark.createDataFrame(templates, "template_id long, template_text string, ord int")
+    got = {r.text: (r["pass"], r.template_id) for r in match.first_match(spark.createDataFrame([(x,) for x in texts], "text string"), df).collect()}
+    assert got == {x: (k, i) for x, (k, _, i) in want.items()}
+    covers = {(i, j) for i, t, _ in templates for j, x, _ in templates if x != t and "<*>" in t and matcher(t)(x)}
+    assert {tuple(r) for r in match.containment(df).select("coverer_id", "covered_id").collect()} == covers and len(covers) > 20
+
+
+def test_a_message_on_half_of_the_lines(spark, monkeypatch):
+    """Lines of a hot sample are not shuffled by it, lines without a sample stay, and rows come out as by a plain join."""
+    monkeypatch.setattr("sawmill.plans.tables.HOT", 8)
+    monkeypatch.setattr("sawmill.plans.tables.LEAST_HOT", 2)
+    lines = spark.createDataFrame([(k, None if k % 10 == 0 else 1 if k % 2 else k) for k in range(200)], "line_no long, sample_id long")
+    samples = spark.createDataFrame([(1, 5, 100)] + [(k, 5 + k % 3, 1) for k in range(2, 150, 2)], "sample_id long, template_id long, log_num long")
+    names = spark.createDataFrame([(5, "x {V}＜"), (6, "y")], "template_id long, template_text string")
+    of, text = {s: t for s, t, _ in [tuple(r) for r in samples.collect()]}, {5: "x <", 6: "y"}
+    for some in (samples, samples.drop("log_num")):
+        got = match.structured(lines, some, names)
+        assert {(r.line_no, r.sample_id, r.EventId, r.EventTemplate) for r in got.collect()} == {(r.line_no, r.sample_id, of.get(r.sample_id), text.get(of.get(r.sample_id))) for r in lines.collect()}
+        assert got.count() == 200
+
+
+def test_parse_shuffles_lines_once(spark):
+    """The plan of a parsed log has one scan of the saved lines for each side of hot and other samples, and no join of lines with lines."""
+    from sawmill.operators.parse import parse
+
+    rows = spark.createDataFrame([("d", k, f"INFO: user {k % 3} came in from 10.0.0.{k}") for k in range(40)] + [("d", 99, "no header")], "dataset string, line_no long, value string")
+    log, found = parse(rows, "<Level>: <Content>")
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    got = log.orderBy("LineId").collect()
+    assert len(got) == 41 and got[-1].EventId is None and got[-1].LineId == 99 and all(r.EventTemplate for r in got[:-1])
+    assert log.columns == ["dataset", "LineId", "Level", "Content", "EventId", "EventTemplate"] and found.agg(F.sum("Occurrences")).first()[0] == 40

@@ -12,7 +12,7 @@
 4. Members of a bucket that are still in different components meet in blocks of at most ``2 * BLOCK`` rows: those outside the bucket's largest component meet each other and
    that component, whose own members need not meet. So a group of n copies with m strays makes m * n pairs, not n * n. An odd
    sketch bounds the symmetric difference, which drops most pairs.
-5. The rest is confirmed on full sets in ROUNDS: one pair of every two components first, then TRIES of them, and so on, the last round all that are left; pairs whose components
+5. The rest is confirmed on full sets in ROUNDS: one pair of every two components first, then TRIES of them, and so on, the last round all that are left (at once, where they are few); pairs whose components
    have become one meanwhile are done. What is asked for are components, so no further pair of the same two changes the result.
 
 Defined cases: null or wordless text has n_shingles 0 and is linked with nothing; a null doc_id is linked with nothing
@@ -248,15 +248,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     order = ["key", "low", "high"]
     second = saved(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_meet, "a long, b long, ra long, rb long").distinct(), "pairs")
     for k in range(ROUNDS):
-        if is_empty(second):
+        n = second.count()
+        if not n:
             break
-        some = second.select("a", "b")
-        if k < ROUNDS - 1:
-            some = second.groupBy("ra", "rb", F.expr(f"pmod(xxhash64(a, b, 11), {TRIES**k})").alias("try")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
-        links = links.union(saved(_confirmed(saved(some.distinct(), "tries"), docs), "links"))
+        some = saved(second.groupBy("ra", "rb", F.expr(f"pmod(xxhash64(a, b, 11), {TRIES**k})").alias("try")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").distinct(), "tries")
+        # a round that leaves out less than half of the pairs saves nothing
+        last = k == ROUNDS - 1 or n <= 2 * some.count()
+        links = links.union(saved(_confirmed(second.select("a", "b").distinct() if last else some, docs), "links"))
         roots = saved(components(links), "roots")
-        if k < ROUNDS - 1:
-            second = saved(_apart(second, roots), "pairs")
+        if last:
+            break
+        second = saved(_apart(second, roots), "pairs")
     # a class is named after its smallest doc_id, so the smallest node of a component is the smallest doc_id
     sizes = classes.groupBy("cls").agg(F.sum("many").alias("many")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "many", F.coalesce("root", "cls").alias("component_id"))
     found = hot_join(of, saved(sizes, "components"), "cls", "many").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

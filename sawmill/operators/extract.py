@@ -7,7 +7,7 @@ template is the text itself.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType
 from sawmill.functions import text as T
 from sawmill.functions.regexes import template_pattern
 from sawmill.operators import lcs
-from sawmill.plans.tables import saved
+from sawmill.operators.model import asked
 
 PROMPT = "Replace the variable parts of this log message by <<placeholders>> and give the result between backticks: `{}`"
 _SPAN = re.compile(r"`+([^`]+)`+")
@@ -53,20 +53,21 @@ def answered(content: str, answer: str) -> str:
     return collapsed(template)
 
 
-def extract(texts: DataFrame, provider: Callable[[str], str] | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(templates(content, template), cache(prompt, answer) with the new answers) of texts(content)."""
+def extract(texts: DataFrame, provider: Callable[[str], str] | None = None, cache: DataFrame | None = None, report: dict | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(templates(content, template), cache(prompt, answer) with the new answers) of texts(content).
+
+    Only prompts that the cache lacks are asked (``model.asked``, which takes the options). A text whose prompt fails is its own template; the failure isn't cached, so a later run asks
+    again. ``report`` takes the counters of the run, and the failed prompts as a table under the name failures.
+    """
     rows = texts.select("content").distinct()
     prompts = rows.withColumn("prompt", F.concat(F.lit(PROMPT.split("{}")[0]), F.replace(F.col("content"), F.lit("<*>"), F.lit("<<preprocessed>>")), F.lit(PROMPT.split("{}")[1])))
     empty = prompts.sparkSession.createDataFrame([], "prompt string, answer string")
     known = empty if cache is None else cache.select("prompt", "answer").dropDuplicates(["prompt"])
     if provider is None:
         return rows.select("content", F.col("content").alias("template")), known
-
-    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"prompt": part["prompt"], "answer": [provider(p) for p in part["prompt"]]})
-
-    new = saved(prompts.select("prompt").distinct().join(known, "prompt", "left_anti").mapInPandas(ask, "prompt string, answer string"), "answers")
-    every = known.union(new)
-    finish = F.pandas_udf(lambda c, a: pd.Series([answered(x, y) for x, y in zip(c, a)]), StringType())
-    return prompts.join(every, "prompt").select("content", finish("content", "answer").alias("template")), every
+    found, counters = asked(prompts.select("prompt").join(known, "prompt", "left_anti"), provider, **options)
+    if report is not None:
+        report |= counters | {"failures": found.where("answer is null")}
+    every = known.union(found.where("answer is not null").select("prompt", "answer"))
+    finish = F.pandas_udf(lambda c, a: pd.Series([x if y is None else answered(x, y) for x, y in zip(c, a)]), StringType())
+    return prompts.join(every, "prompt", "left").select("content", finish("content", "answer").alias("template")), every

@@ -6,6 +6,7 @@ one message for each order, ``pages`` urls and markup. Truth and parse of the sc
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sawmill.functions import cleanup as C
 from sawmill.functions import text as T
-from sawmill.functions.regexes import re2
+from sawmill.functions.regexes import compile_format, re2
 from sawmill.operators import match, mining, parse, scoring
 from sawmill.operators.extract import extract
 from sawmill.plans.tables import hot_join, saved, shared_dir
@@ -396,6 +397,77 @@ def file_mined(spark, sf_dir):
     return _named(read_scored(spark, f"{path}/templates"), "dataset")
 
 
+# Presets ----------------------------------------------------------------------------------------
+
+
+def _preset_pieces(log_format: str) -> list[tuple[str, str]]:
+    """A header format as pieces: (text, ...), (field, ...) and the optional part (open, close), with its escapes undone."""
+    out, i = [], 0
+    while i < len(log_format):
+        c = log_format[i]
+        if c == "<":
+            close = log_format.index(">", i)
+            out.append(("field", log_format[i + 1 : close]))
+            i = close + 1
+        elif c == "\\":
+            out.append(("text", log_format[i + 1]))
+            i += 2
+        elif c in "()?":
+            out += [("open", "")] if c == "(" else [("close", "")] if c == ")" else []
+            i += 1
+        else:
+            out.append(("text", c))
+            i += 1
+    return out
+
+
+def _preset_line(name: str, log_format: str) -> str:
+    """SQL of a line in this format: fields are their name and a number of the event, an optional part is there for even users, and content is the event's own."""
+    values = {"Content": "'user ' || user_id || ' did ' || event_type || ' on ' || value"}
+    out = ["''"]
+    for kind, text in _preset_pieces(log_format):
+        if kind == "open":
+            out.append("CASE WHEN user_id % 2 = 0 THEN ''")
+        elif kind == "close":
+            out[-1] += " ELSE '' END"
+        else:
+            piece = _lit(text) if kind == "text" else values.get(text, f"'{text.lower()}' || (event_id % 60)")
+            if out[-1].startswith("CASE") and not out[-1].endswith("END"):
+                out[-1] += f" || {piece}"
+            else:
+                out.append(piece)
+    return " || ".join(f"({x})" for x in out)
+
+
+def _one_group(pattern: str, group: int) -> str:
+    """A pattern in which this group alone is taken, as DuckDB takes nine at most."""
+    parts = re.split(r"(?<!\\)\((?!\?)", pattern)
+    return parts[0] + "".join(("(" if k == group else "(?:") + part for k, part in enumerate(parts[1:], 1))
+
+
+def _preset_sql() -> str:
+    parts = []
+    for name, (log_format, _) in COLLECTIONS.items():
+        h = compile_format(log_format)
+        got = [f"regexp_extract(line, {_lit(re2(_one_group(h.pattern, g)))}, 1)" for g in h.groups]
+        fields = ", ".join(f"coalesce(nullif({x}, ''), '-')" if f in h.optional else x for f, x in zip(h.fields, got))
+        parts.append(f"SELECT {_lit(name)} AS collection, event_id AS line_no, concat_ws('|', {fields}) AS fields FROM (SELECT event_id, {_preset_line(name, log_format)} AS line FROM events)")
+    return " UNION ALL ".join(parts)
+
+
+@query(_preset_sql())
+def preset_headers(spark, sf_dir):
+    """Lines in the format of each of the 16 collections, and the fields that its preset finds in them."""
+    found = None
+    for name, (log_format, _) in COLLECTIONS.items():
+        h = compile_format(log_format)
+        lines = _read(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.expr(_preset_line(name, log_format).replace("\\", "\\\\")).alias("value"))
+        rows = parse_header(lines, h, drop_unmatched=True)
+        rows = rows.select(F.lit(name).alias("collection"), "line_no", F.concat_ws("|", *(F.coalesce(F.col(f), F.lit("-")) for f in h.fields)).alias("fields"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 # Cleanup ----------------------------------------------------------------------------------------
 
 _RAW_PARTS = ["'open /var/log/' || event_type || '  by root, TRUE '", "'a <*>.<*>.<*> b <*><*><*>'", "'##<*>## and #<*>#<*>#'", "'x <*>:<*>:<*> y=/etc/' || user_id || '/z'", "' null|admin@' || event_type || ' groot x/null root.a'", "'p=/a//b /c/ (/d) user <*>.<*>:<*><*>'"]
@@ -561,6 +633,33 @@ def evaluate_parse(spark, sf_dir):
     return scoring.evaluate(truth, parsed).select("dataset", "GA", "PA", "ED", "PTA", "RTA", "FTA", "FGA", "UP", "tool_templates", "ground_templates")
 
 
+@query(ORACLE_SQL["evaluate_parse"])
+def evaluate_not_null(spark, sf_dir):
+    """As evaluate_parse, but the lines that lack a template are there, without one, and are left out on both sides."""
+    e = _read(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("user_id") % 4).alias("dataset"), F.col("event_id").alias("LineId"), F.expr(_TRUTH).alias("truth"), F.expr(f"coalesce({_PARSED}, '')").alias("parsed"))
+    truth = e.select("dataset", "LineId", F.col("truth").alias("EventTemplate"))
+    parsed = e.select("dataset", "LineId", F.when(F.col("LineId") % 97 != 0, F.replace("parsed", F.lit("<*>"), F.lit(" <*>.<*>  "))).alias("EventTemplate"))
+    return scoring.evaluate(truth, parsed, parsed_only=True).select("dataset", "GA", "PA", "ED", "PTA", "RTA", "FTA", "FGA", "UP", "tool_templates", "ground_templates")
+
+
+def _reports(spark, sf_dir, name):
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    scoring.write_reports(_pairs(spark, sf_dir), path)
+    return read_scored(spark, f"{path}/{name}", fill=True)
+
+
+@query(f"SELECT dataset, 'split' AS kind, parsed AS anchor, truth AS other, CAST(n AS VARCHAR) AS n FROM ({_SIZED}) WHERE pk <> 1 UNION ALL SELECT dataset, 'merge', truth, parsed, CAST(n AS VARCHAR) FROM ({_SIZED}) WHERE tk <> 1")
+def report_grouping_errors(spark, sf_dir):
+    """Splits and merges, written as CSV and read again."""
+    return _reports(spark, sf_dir, "grouping_errors")
+
+
+@query(f"SELECT dataset, truth, parsed, CAST(n AS VARCHAR) AS n FROM ({_SIZED}) x WHERE tk > 1 OR NOT EXISTS (SELECT 1 FROM ({_PAIRS}) y WHERE y.dataset = x.dataset AND y.truth = x.truth AND y.parsed = x.truth)")
+def report_parse_errors(spark, sf_dir):
+    """Wrong parses, written as CSV and read again."""
+    return _reports(spark, sf_dir, "parse_errors")
+
+
 @query(f"SELECT dataset, parsed, truth, n FROM ({_SIZED}) WHERE pk <> 1")
 def error_split(spark, sf_dir):
     return scoring.split_errors(_pairs(spark, sf_dir))

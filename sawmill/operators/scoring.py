@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from sawmill.functions.cleanup import post_process
 from sawmill.functions.text import words
+from sawmill.sources.logs import write_csv
 
 
-def pair_table(lines: DataFrame) -> DataFrame:
-    """(dataset, truth, parsed, n) of lines(dataset, truth, parsed); a null parse counts as empty. Small: templates, not lines."""
+def pair_table(lines: DataFrame, parsed_only: bool = False) -> DataFrame:
+    """(dataset, truth, parsed, n) of lines(dataset, truth, parsed). Small: templates, not lines.
+
+    A null parse counts as empty; with ``parsed_only``, lines without a parse are left out, on both sides.
+    """
+    lines = lines.where("parsed is not null") if parsed_only else lines
     return lines.select("dataset", "truth", F.coalesce("parsed", F.lit("")).alias("parsed")).groupBy("dataset", "truth", "parsed").agg(F.count("*").alias("n"))
 
 
@@ -22,11 +27,28 @@ def aligned(truth: DataFrame, parsed: DataFrame) -> DataFrame:
     return rows.join(parsed.select("dataset", "LineId", F.col("EventTemplate").alias("parsed")), ["dataset", "LineId"]).select("dataset", "truth", "parsed")
 
 
-def evaluate(truth: DataFrame, parsed: DataFrame, user_strings: Sequence[str] = (), only: Sequence[str] | None = None) -> DataFrame:
-    """Scores of a parse: its templates are cleaned, its lines aligned with those of the truth, and each dataset gets its row of scores."""
+def evaluate(truth: DataFrame, parsed: DataFrame, user_strings: Sequence[str] = (), only: Sequence[str] | None = None, parsed_only: bool = False) -> DataFrame:
+    """Scores of a parse: its templates are cleaned, its lines aligned with those of the truth, and each dataset gets its row of scores.
+
+    With ``parsed_only``, lines that have no parse don't count on either side; else their template is empty.
+    """
+    parsed = parsed.where("EventTemplate is not null") if parsed_only else parsed
     return scores(pair_table(aligned(truth, post_process(parsed, user_strings))), only)
 
 
+def write_reports(pairs: DataFrame, path: str, only: Sequence[str] | None = None) -> None:
+    """CSV tables in three folders of ``path``, each replacing what is there: grouping_errors (dataset, kind, anchor, other, n), parse_errors (dataset, truth, parsed, n) and scores.
+
+    A grouping error is a split (a parsed template, its anchor, that holds lines of several truths) or a merge (a truth with lines of several parsed templates).
+    """
+    split = split_errors(pairs).select("dataset", F.lit("split").alias("kind"), F.col("parsed").alias("anchor"), F.col("truth").alias("other"), "n")
+    merge = merge_errors(pairs).select("dataset", F.lit("merge").alias("kind"), F.col("truth").alias("anchor"), F.col("parsed").alias("other"), "n")
+    # a null truth has no name in a CSV file, where an empty text is quoted
+    write_csv(split.unionByName(merge), f"{path}/grouping_errors")
+    write_csv(parse_errors(pairs), f"{path}/parse_errors")
+    write_csv(scores(pairs, only), f"{path}/scores")
+
+
 def sized(pairs: DataFrame) -> DataFrame:
     """Pairs with the lines and the number of partners of their truth (tn, tk) and their parse (pn, pk)."""
     t, p = Window.partitionBy("dataset", "truth"), Window.partitionBy("dataset", "parsed")

@@ -636,7 +636,7 @@ def evaluate_parse(spark, sf_dir):
 @query(ORACLE_SQL["evaluate_parse"])
 def evaluate_not_null(spark, sf_dir):
     """As evaluate_parse, but the lines that lack a template are there, without one, and are left out on both sides."""
-    e = _read(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("user_id") % 4).alias("dataset"), F.col("event_id").alias("LineId"), F.expr(_TRUTH).alias("truth"), F.expr(f"coalesce({_PARSED}, '')").alias("parsed"))
+    e = _read(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("user_id") % 4).alias("dataset"), F.col("event_id").alias("LineId"), F.expr(_TRUTH).alias("truth"), F.expr(f"coalesce({_PARSED}, 'nan')").alias("parsed"))
     truth = e.select("dataset", "LineId", F.col("truth").alias("EventTemplate"))
     parsed = e.select("dataset", "LineId", F.when(F.col("LineId") % 97 != 0, F.replace("parsed", F.lit("<*>"), F.lit(" <*>.<*>  "))).alias("EventTemplate"))
     return scoring.evaluate(truth, parsed, parsed_only=True).select("dataset", "GA", "PA", "ED", "PTA", "RTA", "FTA", "FGA", "UP", "tool_templates", "ground_templates")

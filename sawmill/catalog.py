@@ -21,6 +21,7 @@ from sawmill.operators.extract import extract
 from sawmill.plans.tables import hot_join, saved, shared_dir
 from sawmill.sources.logs import parse_header, read_lines, read_scored, write_csv
 from sawmill.sources.presets import COLLECTIONS, SHARED_MASKS
+from sawmill.streaming import miner
 
 FLAGSHIP = "template_occurrences"
 
@@ -828,6 +829,22 @@ def mine_identity(spark, sf_dir):
     return names.join(sizes, "template_id").select("dataset", "template_text", "Occurrences", "samples")
 
 
+@query(f"SELECT dataset, translate(content, '＜＞｛｝', '<>{{}}') AS template_text, count(*) AS Occurrences FROM ({_MASKED}) GROUP BY ALL")
+def online_templates(spark, sf_dir):
+    """Messages one after the other by the stateful miner. Kinds of messages are merged at first and parted again as their lines grow, so in the end each masked text is a template of its own."""
+    rows = saved(masked_events(spark, sf_dir), "messages")
+    log = saved(miner.mine_online(rows), "changes")
+    named = match.structured(rows.withColumn("sample_id", F.xxhash64("dataset", "content")), *miner.events_now(log))
+    return named.groupBy("dataset", F.col("EventTemplate").alias("template_text")).agg(F.count("*").alias("Occurrences"))
+
+
+@query()
+def online_changes(spark, sf_dir):
+    """What the stateful miner changed, by kind and reason, over whole event and order messages."""
+    log = miner.mine_online(saved(mining_lines(spark, sf_dir), "messages"))
+    return log.groupBy("dataset", "kind", "reason").agg(F.count("*").alias("changes"))
+
+
 @query()
 def mine_vs_metric(spark, sf_dir):
     """Mined templates scored against the level or table that a line comes from."""

@@ -358,6 +358,12 @@ def samples_now(log: DataFrame, key: Sequence[str] = ("dataset",)) -> DataFrame:
     return log.where("kind = 'sample'").groupBy(*key, "sample_id").agg(F.max_by("template_id", "at").alias("template_id"))
 
 
+def events_now(log: DataFrame, key: Sequence[str] = ("dataset",)) -> tuple[DataFrame, DataFrame]:
+    """(samples(sample_id, template_id), templates(template_id, template_text)) as match.structured takes them; template_id is a hash of the key and the number of the template in it."""
+    own = F.xxhash64(*key, "template_id").alias("template_id")
+    return samples_now(log, key).select("sample_id", own), templates_now(log, key).select(own, "template_text")
+
+
 def relabelled(log: DataFrame, since: int | None = None, key: Sequence[str] = ("dataset",)) -> DataFrame:
     """(key, sample_id, from_id, template_id) of samples that moved after line ``since``: whose lines need another event. from_id is null for samples that are new since then."""
     moved = log.where("kind = 'sample'") if since is None else log.where("kind = 'sample'").where(F.col("line_no") > since)

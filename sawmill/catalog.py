@@ -235,15 +235,9 @@ def tokenize_lossless(spark, sf_dir):
     return d.select("doc_id", again.alias("text"), (again == F.col("text")).alias("lossless"))
 
 
-@query("SELECT page_id, regexp_replace(url || ' <<a b>><<c>> <d> ' || left(html, 400), '(<<(.*?)>>)+|(<(.*?)>)+', '<*>', 'g') AS text FROM pages")
-def normalize_placeholders(spark, sf_dir):
-    p = _read(spark, sf_dir, "pages")
-    return p.select("page_id", T.normalize_placeholders(F.concat("url", F.lit(" <<a b>><<c>> <d> "), F.substring("html", 1, 400))).alias("text"))
-
-
 @query("SELECT page_id, regexp_replace(url || ' <<a b>><<c>> <d> ' || html, '(<<(.*?)>>)+|(<(.*?)>)+', '<*>', 'g') AS text FROM pages")
 def normalize_placeholders_whole(spark, sf_dir):
-    """The whole of each page; normalize_placeholders keeps to its SQL, which takes the first 400 characters."""
+    """The whole of each page."""
     p = _read(spark, sf_dir, "pages")
     return p.select("page_id", T.normalize_placeholders(F.concat("url", F.lit(" <<a b>><<c>> <d> "), "html")).alias("text"))
 

@@ -197,11 +197,14 @@ def _joined(runs: Column) -> Column:
 def templates(clustered: DataFrame) -> DataFrame:
     """(cluster, template_text): runs joined by wildcards, with one before or after them where that is needed to match all samples."""
     base = merged(clustered).select("cluster", _joined(F.col("runs")).alias("t"))
-    forms = F.array("t", F.concat(F.lit(T.WILDCARD), "t"), F.concat("t", F.lit(T.WILDCARD)), F.concat(F.lit(T.WILDCARD), "t", F.lit(T.WILDCARD)))
-    sizes = saved(clustered.groupBy("cluster").agg(F.count("*").alias("n")).join(base, "cluster").withColumn("forms", forms), "forms")
-    rows = hot_join(clustered.select("cluster", "sample_text"), sizes, "cluster").select("cluster", "sample_text", F.posexplode("forms").alias("form", "template_text")).withColumn("pattern", template_pattern_column(F.col("template_text")))
-    fits = rows.groupBy("cluster", "form", "template_text").agg(F.bool_and(F.expr("sample_text rlike pattern")).alias("all"))
-    best = fits.withColumn("rank", F.when(F.col("all"), F.col("form")).otherwise(F.lit(9) - F.col("form"))).groupBy("cluster").agg(F.min_by("template_text", "rank").alias("template_text"))
+    forms = [F.col("t"), F.concat(F.lit(T.WILDCARD), "t"), F.concat("t", F.lit(T.WILDCARD)), F.concat(F.lit(T.WILDCARD), "t", F.lit(T.WILDCARD))]
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).join(base, "cluster").select("cluster", "n", *(f.alias(f"form{k}") for k, f in enumerate(forms)))
+    sizes = saved(sizes.withColumns({f"pattern{k}": template_pattern_column(F.col(f"form{k}")) for k in range(4)}), "forms")
+    # a cluster's rows stand together, so each of the four patterns is compiled once for a cluster in a task
+    rows = hot_join(clustered.select("cluster", "sample_text"), sizes, "cluster").sortWithinPartitions("cluster")
+    fits = rows.groupBy("cluster").agg(*(F.bool_and(F.expr(f"sample_text rlike pattern{k}")).alias(f"fits{k}") for k in range(3)))
+    best = fits.join(sizes.select("cluster", *(f"form{k}" for k in range(4))), "cluster")
+    best = best.select("cluster", F.when(F.col("fits0"), F.col("form0")).when(F.col("fits1"), F.col("form1")).when(F.col("fits2"), F.col("form2")).otherwise(F.col("form3")).alias("template_text"))
     best = T.collapse_wildcards(best, "template_text")
     # a merge that leaves no letter is none: each sample stays its own template
     return best.where(T.has_word(F.col("template_text")))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from sawmill.functions.regexes import Header, compile_format, java
 from sawmill.functions.text import strip
+from sawmill.plans.tables import saved
 
 
 _MARK = "\x01"
+#: Splits of files whose line counts are broadcast, some 100 bytes each.
+SPLITS = 500_000
 
 
 def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -20,7 +23,9 @@ def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> Data
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value")
     parts = rows.groupBy("path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("path", "_split", "_first", before.alias("_before"))
+    parts = saved(parts.select("path", "_split", "_first", before.alias("_before")), "splits")
+    # up to SPLITS rows go to every task, so that no line is shuffled
+    parts = F.broadcast(parts) if parts.count() <= SPLITS else parts
     rows = rows.join(parts, ["path", "_split"]).select("path", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), strip(F.col("value")).alias("value"))
     return rows if limit is None else rows.where(F.col("line_no") <= limit)
 

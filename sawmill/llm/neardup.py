@@ -12,8 +12,9 @@
 4. Members of a bucket that are still in different components meet in blocks of at most ``2 * BLOCK`` rows: those outside the bucket's largest component meet each other and
    that component, whose own members need not meet. So a group of n copies with m strays makes m * n pairs, not n * n. An odd
    sketch bounds the symmetric difference, which drops most pairs.
-5. The rest is confirmed on full sets in two rounds: TRIES pairs of every two components first, then all that are left (at once, where they are few); pairs whose components
-   have become one meanwhile are done. What is asked for are components, so no further pair of the same two changes the result.
+5. The rest is confirmed on full sets in ROUNDS: of each component's pairs some 2 * TRIES at first, whose links join components, then again of what is still apart, the last round
+   all that are left (or at once, where they are few); pairs whose components
+   have become one meanwhile are done. What is asked for are components, so no further pair of the same two changes the result. So m near-equal strays cost pairs in proportion to m.
 
 Defined cases: null or wordless text has n_shingles 0 and is linked with nothing; a null doc_id is linked with nothing
 (component_id null, kept true); rows with one doc_id are one document, whose texts are all linked with each other;
@@ -35,8 +36,8 @@ CHUNKS, CHUNK, BITS = 10, 5, 16
 PLACES = CHUNKS * CHUNK
 ODD_BITS = 1024
 BLOCK = 512
-#: Pairs of two components that are confirmed in the first round.
-TRIES = 32
+#: Rounds of confirming pairs of components, and pairs of each component in a round, on either side.
+ROUNDS, TRIES = 3, 4
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
 
@@ -247,17 +248,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = rows.join(sketch, "cls")
     order = ["key", "low", "high"]
     second = saved(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_meet, "a long, b long, ra long, rb long").distinct(), "pairs")
-    n = second.count()
-    tries = saved(second.groupBy("ra", "rb", F.expr(f"pmod(xxhash64(a, b, 11), {TRIES})").alias("try")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").distinct(), "tries") if n else second
-    # a round that leaves out less than half of the pairs saves nothing
-    if n > 2 * tries.count():
-        links = links.union(saved(_confirmed(tries, docs), "links"))
-        roots = saved(components(links), "roots")
-        second = saved(_apart(second, roots), "pairs")
+    for k in range(ROUNDS):
         n = second.count()
-    if n:
-        links = links.union(saved(_confirmed(second.select("a", "b").distinct(), docs), "links"))
+        if not n:
+            break
+        sides = second.select(F.col("ra").alias("c"), "a", "b").unionByName(second.select(F.col("rb").alias("c"), "a", "b"))
+        tries = saved(sides.groupBy("c", F.expr(f"pmod(xxhash64(a, b, 11), {TRIES})").alias("try")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").distinct(), "tries")
+        # a round that leaves out less than half of the pairs saves nothing
+        last = k == ROUNDS - 1 or n <= 2 * tries.count()
+        links = links.union(saved(_confirmed(second.select("a", "b").distinct() if last else tries, docs), "links"))
         roots = saved(components(links), "roots")
+        if last:
+            break
+        second = saved(_apart(second, roots), "pairs")
     # a class is named after its smallest doc_id, so the smallest node of a component is the smallest doc_id
     sizes = classes.groupBy("cls").agg(F.sum("many").alias("many")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "many", F.coalesce("root", "cls").alias("component_id"))
     found = hot_join(of, saved(sizes, "components"), "cls", "many").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

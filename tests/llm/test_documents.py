@@ -79,7 +79,7 @@ def test_near_duplicates_of_a_chain_and_a_large_group(spark):
 def test_near_duplicates_of_groups_in_small_blocks(spark, monkeypatch):
     """Groups that their leaders don't hold together, dealt to many blocks and confirmed in several rounds."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    monkeypatch.setattr(neardup, "TRIES", 2)
+    monkeypatch.setattr(neardup, "TRIES", 1)
     words = [f"v{i}" for i in range(400)]
     chains = [(1000 * c + k, " ".join(words[c * 90 + k * 2 : c * 90 + k * 2 + 30])) for c in range(3) for k in range(25)]
     group = [(5000 + k, " ".join(w if j not in (k % 60, (k * 7) % 60) else f"x{k}" for j, w in enumerate(words[300:360]))) for k in range(60)]

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sawmill.plans.tables import HOT, components, hot_join, saved, shared_dir
+from sawmill.plans.tables import HOT, components, fewer, hot_join, saved, shared_dir
 
-__all__ = ["HOT", "bits_of", "components", "hot_join", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs", "worked_out"]
+__all__ = ["HOT", "bits_of", "components", "fewer", "hot_join", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs", "worked_out"]
 
 
 #: Rows in an Arrow batch: texts are long, and a worker holds a batch whole.

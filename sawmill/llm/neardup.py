@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sawmill.llm import textbytes as tb
-from sawmill.llm.common import HOT, bits_of, components, hot_join, is_empty, lean, saved, small_batches
+from sawmill.llm.common import HOT, bits_of, components, fewer, hot_join, is_empty, lean, saved, small_batches
 
 SHINGLE = 5
 CHUNKS, CHUNK, BITS = 10, 5, 16
@@ -171,8 +171,9 @@ def _meet(batches):
         yield from pairs(rest)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of classes, those whose full sets reach the threshold."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
+    """Of the pairs (a, b) of classes, those whose full sets reach the threshold; rows: about how many the shuffles of these pairs and sets are worth."""
+    slim = lambda df: fewer(df, rows)
     bits = bits_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls")
 
     @lean
@@ -191,22 +192,24 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     size = len(words) * 64
     near = docs.join(held, F.expr(f"cast(pmod(xxhash64(doc_id), {size}L) / 64 as int)") == F.col("w"), "left").select("doc_id", "text", F.expr("coalesce(bits & shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int)) <> 0, false)").alias("near"))
     whole = near.where("near").mapInArrow(sets, "cls long, n long, d1 long, d2 long, set array<long>").dropDuplicates(["cls", "n", "d1", "d2"]).select("cls", "set")
+    whole = slim(whole)
 
     # partners of a leader of many are dealt to blocks; leaders and blocks of such are at most 2 * HOT
-    counts = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "leaders")
+    counts = saved(slim(pairs.groupBy("a").agg(F.count("*").alias("n"))), "leaders")
     share = max(BLOCK, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
     hot = F.broadcast(counts.where(F.col("n") > share).select("a", F.ceil(F.col("n") / share).cast("int").alias("blocks")))
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.expr("cast(pmod(xxhash64(b, 5), blocks) as int)"), F.lit(0)).alias("part"))
     left = whole.select(F.col("cls").alias("a"), F.col("set").alias("sa")).join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
-    both = dealt.join(whole.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b").join(left, ["a", "part"]).withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(f"100 * i >= {PERCENT} * (size(sa) + size(sb) - i)").select("a", "b").distinct()
+    right = slim(dealt.join(whole.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b"))
+    both = right.join(left, ["a", "part"]).withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return slim(slim(both.where(f"100 * i >= {PERCENT} * (size(sa) + size(sb) - i)").select("a", "b")).distinct())
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
     """pairs(a, b, ra, rb) with the roots that ra and rb have now, without those that are in one component."""
     for c in ("ra", "rb"):
         now = pairs.groupBy(c).agg(F.count("*").alias("n")).join(roots.select(F.col("node").alias(c), "root"), c)
-        pairs = hot_join(pairs, saved(now, "roots-now"), c, how="left").withColumn(c, F.coalesce("root", c)).select("a", "b", "ra", "rb")
+        pairs = fewer(hot_join(pairs, saved(fewer(now, rows), "roots-now"), c, how="left"), rows).withColumn(c, F.coalesce("root", c)).select("a", "b", "ra", "rb")
     return pairs.where("ra <> rb").select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"))
 
 
@@ -218,52 +221,55 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digest = saved(docs.mapInArrow(_digest, "doc_id long, n long, d1 long, d2 long, sig binary, odd binary"), "digest")
+    # the most rows that a shuffle has but for pairs: a class's keys
+    rows_of = PLACES * digest.count()
+    kept = lambda df, name: saved(fewer(df, rows_of), name)
     named = digest.where("n > 0 and doc_id is not null")
-    classes = saved(named.groupBy(*_SET).agg(F.min("doc_id").alias("cls"), F.count("*").alias("many")), "classes")
+    classes = kept(named.groupBy(*_SET).agg(F.min("doc_id").alias("cls"), F.count("*").alias("many")), "classes")
     # a document with several texts may name several classes
-    sketch = saved(named.join(classes.select(*_SET, F.col("cls").alias("doc_id")), [*_SET, "doc_id"], "left_semi").dropDuplicates(_SET).select(F.col("doc_id").alias("cls"), "n", "sig", "odd"), "sketch")
+    sketch = kept(named.join(classes.select(*_SET, F.col("cls").alias("doc_id")), [*_SET, "doc_id"], "left_semi").dropDuplicates(_SET).select(F.col("doc_id").alias("cls"), "n", "sig", "odd"), "sketch")
     keys = sketch.select("cls", "sig").mapInArrow(_keys, "key long, cls long, mark short")
 
     # buckets with several members, and in each the smallest as leader
-    leads = saved(keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("top"), F.count("*").alias("n")).where("lead <> top").select("key", "lead", "n"), "leads")
-    bucket = saved(hot_join(keys, leads, "key").drop("n"), "buckets")
-    first = saved(_confirmed(saved(bucket.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs"), docs), "links")
+    leads = kept(keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("top"), F.count("*").alias("n")).where("lead <> top").select("key", "lead", "n"), "leads")
+    bucket = kept(hot_join(keys, leads, "key").drop("n"), "buckets")
+    first = kept(_confirmed(kept(bucket.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs"), docs, rows_of), "links")
     # one document with several texts: all its classes are one
-    of = saved(hot_join(named.select("doc_id", *_SET), classes, _SET, "many").select("doc_id", "n", "cls"), "assigned")
+    of = kept(hot_join(named.select("doc_id", *_SET), classes, _SET, "many").select("doc_id", "n", "cls"), "assigned")
     again = of.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z")
     same = of.select("doc_id", F.col("cls").alias("b")).join(again.select("doc_id", "a"), "doc_id").select("a", "b").where("a <> b").distinct()
     links = first.union(same)
-    roots = saved(components(links), "roots")
+    roots = kept(components(links, rows_of), "roots")
 
     rooted = bucket.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "mark", F.coalesce("root", "cls").alias("root"))
-    rooted = saved(rooted, "rooted")
+    rooted = kept(rooted, "rooted")
     per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mixed = mixed.select("key", "size", F.col("top.root").alias("major"), blocks(F.col("size") - F.col("top.n")).alias("minors"), blocks(F.col("top.n")).alias("majors"))
-    rows = hot_join(rooted, saved(mixed, "mixed"), "key", "size")
+    rows = hot_join(rooted, kept(mixed, "mixed"), "key", "size")
     # blocks of strays come first, those of the largest component after them; each of these meets the strays only
     rows = rows.withColumn("block", F.expr("if(root = major, minors + cast(pmod(xxhash64(cls, 3), majors) as int), cast(pmod(xxhash64(cls, 3), minors) as int))"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, if(root = major, minors, minors + majors) - 1)"))).select("key", "cls", "mark", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(sketch, "cls")
+    rows = fewer(rows.join(sketch, "cls"), rows_of)
     order = ["key", "low", "high"]
-    second = saved(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_meet, "a long, b long, ra long, rb long").distinct(), "pairs")
+    second = kept(fewer(rows.repartition(*order), rows_of).sortWithinPartitions(*order).mapInArrow(_meet, "a long, b long, ra long, rb long").distinct(), "pairs")
     for k in range(ROUNDS):
         n = second.count()
         if not n:
             break
         sides = second.select(F.col("ra").alias("c"), "a", "b").unionByName(second.select(F.col("rb").alias("c"), "a", "b"))
-        tries = saved(sides.groupBy("c", F.expr(f"pmod(xxhash64(a, b, 11), {TRIES})").alias("try")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").distinct(), "tries")
+        tries = kept(sides.groupBy("c", F.expr(f"pmod(xxhash64(a, b, 11), {TRIES})").alias("try")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b").distinct(), "tries")
         # a round that leaves out less than half of the pairs saves nothing
         last = k == ROUNDS - 1 or n <= 2 * tries.count()
-        links = links.union(saved(_confirmed(second.select("a", "b").distinct() if last else tries, docs), "links"))
-        roots = saved(components(links), "roots")
+        links = links.union(kept(_confirmed(second.select("a", "b").distinct() if last else tries, docs, rows_of), "links"))
+        roots = kept(components(links, rows_of), "roots")
         if last:
             break
-        second = saved(_apart(second, roots), "pairs")
+        second = kept(_apart(second, roots, rows_of), "pairs")
     # a class is named after its smallest doc_id, so the smallest node of a component is the smallest doc_id
     sizes = classes.groupBy("cls").agg(F.sum("many").alias("many")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "many", F.coalesce("root", "cls").alias("component_id"))
-    found = hot_join(of, saved(sizes, "components"), "cls", "many").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = hot_join(of, kept(sizes, "components"), "cls", "many").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = digest.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -28,6 +28,19 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task takes at least, where there are fewer tasks than the session's partitions.
+FEW = 250_000
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """df, of some ``rows`` rows, in fewer partitions than a shuffle has, where these would be nearly empty: two for each core, or one for FEW rows if that is more.
+
+    Adaptive execution joins small partitions too, where it may; tables that are shuffled again and again cost as many tasks each time.
+    """
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FEW))
+    return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 #: Keys that hold more than this share (1 / HOT) of all rows, and more than LEAST_HOT of them, are hot; there are fewer than HOT such keys.
 HOT, LEAST_HOT = 4096, 10_000
 
@@ -48,13 +61,14 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], n: str = "
     return rows.join(hot, key).unionByName(rest)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of the undirected graph with edges (a, b).
 
     Alternating large-star and small-star rounds over the edge table until nothing changes; every round is a
     grouped minimum and an equi-join; the minima are broadcast while they are small, and beyond that a hub is split as any
     skewed key by adaptive execution. Returns (node, root),
     root being the smallest node of the component; nodes without edges are absent. Nulls and loops are dropped.
+    rows: about how many edges there are, where that is known.
     """
 
     def least(sym: DataFrame) -> DataFrame:
@@ -66,16 +80,18 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first())
 
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = saved(now if rows is None else fewer(now, rows), "edges")
     before = mark(now)
     while before[0]:
-        large = least(both(now)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        slim = lambda df: fewer(df, 2 * before[0])  # noqa: B023, E731
+        large = slim(slim(least(both(now)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct())
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        small = least(down)
-        now = saved(small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        small = slim(least(down))
+        now = saved(slim(small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()), "edges")
         after = mark(now)
         if after == before:
             break
         before = after
-    star = now.groupBy("a").agg(F.min("b").alias("root"))
+    star = fewer(now.groupBy("a").agg(F.min("b").alias("root")), before[0])
     return star.select(F.col("a").alias("node"), "root").union(star.select(F.col("root").alias("node"), "root").distinct())

@@ -61,3 +61,21 @@ assert set(e.oracle_sql()) <= names
 """
         done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
         assert done.stdout.strip() == left, done.stderr
+
+
+def test_small_graphs_take_few_tasks(spark, tmp_path, monkeypatch):
+    """With many shuffle partitions and none of them joined, a graph of few edges is still written by few tasks in each round (before: by one for each partition)."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{tmp_path}")
+    for k, v in zip(before, ("97", "false")):
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(500).selectExpr("id as a", "if(id % 50 = 0, id, id - 1) as b")
+        roots = {r.node: r.root for r in tables.components(edges, 500).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roots == {i: i - i % 50 for i in range(500)}
+    most = 2 * spark.sparkContext.defaultParallelism
+    written = [len(list(p.glob("part-*"))) for p in tmp_path.glob("sawmill-edges-*")]
+    assert len(written) > 2 and max(written) <= most

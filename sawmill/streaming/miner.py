@@ -38,6 +38,8 @@ WILDCARD, EMPTY_GAP = "<*>", "{V}"
 _WORDS, _LETTER = re.compile(r"\w+"), re.compile("[a-zA-Z]")
 _COLUMNS = ["at", "line_no", "kind", "template_id", "template_text", "sample_limit", "sample_id", "from_id", "reason"]
 _NUMBERS = {"at", "line_no", "template_id", "sample_limit", "sample_id", "from_id"}
+#: Changes that leave a task at a time.
+LOGGED = 100_000
 LOG = "at long, line_no long, kind string, template_id long, template_text string, sample_limit long, sample_id long, from_id long, reason string"
 
 
@@ -78,9 +80,7 @@ def cluster_of_last(texts: Sequence[str]) -> list[int]:
 
 def merged_text(texts: Sequence[str]) -> str:
     """The common runs of the texts in turn, joined by wildcards; one before or after them where not all texts match without."""
-    runs = [list(_tokens(texts[0])[0])]
-    for text in texts[1:]:
-        runs = lcs.fold(runs, [list(_tokens(text)[0])])
+    runs = lcs.fold_all(map(lcs.tokenize, texts))
     base = WILDCARD.join("".join(r) for r in runs)
     for form in (base, WILDCARD + base, base + WILDCARD):
         if all(matcher(form)(t) for t in texts):
@@ -104,18 +104,20 @@ def _covering(groups: dict[str, list[int]]) -> dict[str, list[int]]:
 
 def branches(texts: Sequence[str], most: int) -> list[tuple[str, list[int]]]:
     """Templates and the places of their samples, by the value of the gap with the fewest values between the common runs (weighted); one template if no gap has at most ``most``."""
-    tokens = [list(_tokens(t)[0]) for t in texts]
-    runs = [tokens[0]]
-    for t in tokens[1:]:
-        runs = lcs.fold(runs, [t], weighted=True)
+    runs = lcs.fold_all(map(lcs.tokenize, texts), weighted=True)
+    known = {t for r in runs for t in r}
     table: list[dict[str, list[int]]] = [{} for _ in range(len(runs) + 1)]
-    for place, t in enumerate(tokens):
-        for values, value in zip(table, lcs.gaps(t, runs)):
-            values.setdefault(value, []).append(place)
+    spans: dict[tuple[str, ...], list[tuple[int, int]]] = {}  # by shape
+    for place, tokens in enumerate(map(lcs.tokenize, texts)):
+        if (found := spans.get(own := lcs.shape(tokens, known))) is None:
+            found = spans[own] = lcs.gap_places(tokens, runs)
+        for values, (a, b) in zip(table, found):
+            values.setdefault("".join(tokens[a:b]), []).append(place)
     for k, values in enumerate(table):
         named: dict[str, list[int]] = {}
         for value, places in _covering(values).items():
-            named.setdefault(collapsed(lcs.PLACEHOLDER.sub(WILDCARD, value)), []).extend(places)
+            # placeholders and wildcards begin with <
+            named.setdefault(collapsed(lcs.PLACEHOLDER.sub(WILDCARD, value)) if "<" in value else value, []).extend(places)
         table[k] = named
     able = [(len(v), k) for k, v in enumerate(table) if 1 < len(v) <= most and any(map(has_letter, v))]
     if not able:
@@ -201,8 +203,9 @@ class _State:
 
 
 class Miner(StatefulProcessor):
-    def __init__(self, merge: bool = True, split: bool = True, contained: bool = False, base: int = SPLIT_BASE):
-        self.merge, self.split, self.contained, self.base = merge, split, contained, base
+    def __init__(self, merge: bool = True, split: bool = True, contained: bool = False, base: int = SPLIT_BASE, keep: bool = True):
+        """keep: whether lines come after these, so that the state is to be kept; of a finished table all lines of a key come in one call."""
+        self.merge, self.split, self.contained, self.base, self.keep = merge, split, contained, base, keep
 
     def init(self, handle) -> None:
         self.handles = {
@@ -217,11 +220,19 @@ class Miner(StatefulProcessor):
         for line, sample, text in _in_order(rows):
             s.line = line
             self._message(s, sample, text)
-        s.save()
-        found = dict(zip(_COLUMNS, zip(*s.log))) if s.log else dict.fromkeys(_COLUMNS, ())
+            if len(s.log) >= LOGGED:
+                yield self._table(key, s.log)
+                s.log.clear()
+        if self.keep:
+            s.save()
+        yield self._table(key, s.log)
+
+    @staticmethod
+    def _table(key, log: list[tuple]) -> pd.DataFrame:
+        found = dict(zip(_COLUMNS, zip(*log))) if log else dict.fromkeys(_COLUMNS, ())
         # whole numbers with nulls among them stay whole
         columns = {c: pd.array(list(v), "Int64") if c in _NUMBERS else pd.Series(v, dtype=object) for c, v in found.items()}
-        yield pd.DataFrame({f"key{k}": pd.Series([v] * len(s.log), dtype=object) for k, v in enumerate(key)} | columns)
+        return pd.DataFrame({f"key{k}": pd.Series([v] * len(log), dtype=object) for k, v in enumerate(key)} | columns)
 
     def _message(self, s: _State, sample: int, text: str) -> None:
         if (found := s.sample(sample)) is not None:
@@ -336,7 +347,7 @@ def mine_online(lines: DataFrame, key: Sequence[str] = ("dataset",), **options)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(n, *key).sortWithinPartitions(*key, "line_no", "content")
     schema = ", ".join(f"key{k} {rows.schema[c].dataType.simpleString()}" for k, c in enumerate(key)) + ", " + LOG
-    out = rows.groupBy(*key).transformWithStateInPandas(Miner(**options), schema, "append", "none")
+    out = rows.groupBy(*key).transformWithStateInPandas(Miner(**options, keep=rows.isStreaming), schema, "append", "none")
     return out.withColumnsRenamed({f"key{k}": c for k, c in enumerate(key)})
 
 

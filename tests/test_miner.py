@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sawmill.functions.text import preprocess
+from sawmill.operators import lcs
 from sawmill.sources.presets import SHARED_MASKS
 from sawmill.streaming import miner
 
@@ -112,3 +113,32 @@ def test_clusters_go_by_rows_of_distances():
 def test_plan_has_one_shuffle(spark):
     plan = miner.mine_online(lines_of(spark, [A]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "line_no" in plan.split("Sort [")[1].split("]")[0]
+
+
+def test_a_split_folds_texts_of_one_shape_once(monkeypatch):
+    """Texts that differ in gaps only are folded and searched for gaps once; the runs and gaps are those of folding all (before: a fold for each text)."""
+    texts = [f"user {i} of group {i % 3} {'read' if i % 2 else 'wrote'} page <*>" for i in range(400)]
+    tokens = [lcs.tokenize(t) for t in texts]
+    plain = [tokens[0]]
+    for t in tokens[1:]:
+        plain = lcs.fold(plain, [t], weighted=True)
+    calls, fold = [], lcs.fold
+    monkeypatch.setattr(lcs, "fold", lambda *a, **k: calls.append(1) or fold(*a, **k))
+    assert lcs.fold_all(tokens, weighted=True) == plain
+    assert len(calls) < 30
+    for t in tokens:
+        assert ["".join(t[a:b]) for a, b in lcs.gap_places(t, plain)] == lcs.gaps(t, plain)
+    calls.clear()
+    found = miner.branches(texts, 2)
+    assert sorted(len(p) for _, p in found) == [200, 200] and len(calls) < 30
+
+
+def test_fold_all_equals_folding_one_by_one():
+    chance = random.Random(3)
+    for weighted in (False, True):
+        for _ in range(60):
+            tokens = [[chance.choice("ab c.1") for _ in range(chance.randrange(1, 12))] for _ in range(40)]
+            plain = [tokens[0]]
+            for t in tokens[1:]:
+                plain = lcs.fold(plain, [t], weighted=weighted)
+            assert lcs.fold_all(tokens, weighted) == plain

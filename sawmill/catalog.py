@@ -291,9 +291,7 @@ _RULES = "(VALUES " + ", ".join(f"({i}, {_lit(t)}, {_lit(_pattern_sql(t))}, {_li
 
 
 def _matched(spark, sf_dir):
-    rows = event_contents(spark, sf_dir).select("line_no", "content")
-    found = match.first_match(rows.select(F.col("content").alias("text")), _template_rows(spark)).withColumnRenamed("text", "content")
-    return hot_join(rows, saved(rows.groupBy("content").agg(F.count("*").alias("n")).join(found, "content"), "matched"), "content")
+    return match.with_first_match(event_contents(spark, sf_dir).select("line_no", "content"), "content", _template_rows(spark))
 
 
 _HITS = f"SELECT line_no, template_id, 1 AS pass FROM ({_EVENTS}) JOIN {_RULES} ON regexp_full_match(content, one) UNION ALL SELECT line_no, template_id, 2 FROM ({_EVENTS}) JOIN {_RULES} ON regexp_full_match(content, two) AND template_text LIKE '%{{V}}%'"
@@ -318,9 +316,10 @@ def containment_pairs(spark, sf_dir):
 def structured_log(spark, sf_dir):
     """Lines by way of their samples to the templates that the samples have in the end."""
     rows = event_contents(spark, sf_dir)
-    rows = rows.withColumn("sample_id", F.xxhash64("content"))
-    found = match.first_match(rows.select(F.col("content").alias("text")), _template_rows(spark)).select(F.xxhash64("text").alias("sample_id"), "template_id")
-    return match.structured(rows, found, _template_rows(spark)).where("EventId is not null").select("line_no", "EventId", "EventTemplate")
+    rows = saved(rows.select("line_no", "content").withColumn("sample_id", F.xxhash64("content")), "lines")
+    texts = rows.groupBy("sample_id", "content").agg(F.count("*").alias("log_num"))
+    found = match.with_first_match(texts, "content", _template_rows(spark)).select("sample_id", "template_id", "log_num")
+    return match.structured(rows.select("line_no", "sample_id"), found, _template_rows(spark)).where("EventId is not null").select("line_no", "EventId", "EventTemplate")
 
 
 @query(f"SELECT dataset, CAST(r.template_id AS BIGINT) AS template_id, bool_and(regexp_full_match(content, one)) AS every FROM ({_EVENTS}), {_RULES} GROUP BY ALL")

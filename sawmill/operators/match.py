@@ -12,6 +12,8 @@ from sawmill.plans.tables import hot_join, saved
 
 #: Up to so many templates go to every task; beyond that texts and templates meet by a shuffle on their words.
 BLOCK = 2000
+#: Up to so many templates are tried one after the other in one expression, with patterns that are compiled once for a task.
+FEW = 64
 #: Stands for a wildcard and the white space after it, which the wildcard takes; no character of a text.
 _GAP = "\x01"
 _WORD = java(r"\w")[len("(?d)") :]
@@ -59,12 +61,36 @@ def _met(texts: DataFrame, text: str, templates: DataFrame, scope: list[str]) ->
     return rows.where(F.contains(F.col(text), F.col("rule.piece"))).where(F.expr(f"{text} rlike rule.pattern"))
 
 
+def _by_turns(text: Column, templates: DataFrame) -> Column:
+    """A struct (template_id, pass) of the first of at most FEW templates that matches, or null: no join and no shuffle."""
+    kind = templates.schema["template_id"].dataType
+    found = F.lit(None).cast(f"struct<template_id: {kind.simpleString()}, pass: int>")
+    for r in reversed(_rules(templates).orderBy("pass", "ord", "template_id").select("template_id", "pass", "pattern", "piece").collect()):
+        hit = F.contains(text, F.lit(r.piece)) & text.rlike(r.pattern)
+        found = F.when(hit, F.struct(F.lit(r.template_id).cast(kind).alias("template_id"), F.lit(r["pass"]).alias("pass"))).otherwise(found)
+    return found
+
+
+def with_first_match(rows: DataFrame, text: str, templates: DataFrame) -> DataFrame:
+    """rows that a template matches, with template_id and pass as first_match gives them.
+
+    A few templates are tried on the rows where they are; with more, the distinct texts are matched and joined, hot ones by broadcast.
+    """
+    if len(templates.select("template_id").take(FEW + 1)) <= FEW:
+        hit = F.inline(F.array(_by_turns(F.col(text), templates.select("template_id", "template_text", "ord"))))
+        return rows.select("*", hit).where("pass is not null")
+    found = first_match(rows.select(F.col(text).alias("text")), templates).withColumnRenamed("text", text)
+    return hot_join(rows, saved(rows.groupBy(text).agg(F.count("*").alias("n")).join(found, text), "matched"), text).drop("n")
+
+
 def first_match(texts: DataFrame, templates: DataFrame) -> DataFrame:
     """(text, template_id, pass) for each distinct text: the first template (by ord) that matches it, of pass 1 if there is one.
 
     texts(text), templates(template_id, template_text, ord). Only distinct texts are matched, in one pass whatever the number of templates, and each only with the templates
     under one of its words, or under none (those without a literal word that stands alone). Texts that nothing matches are absent.
     """
+    if len(templates.select("template_id").take(FEW + 1)) <= FEW:
+        return with_first_match(texts.select("text").distinct(), "text", templates)
     hit = _met(texts.select("text").distinct(), "text", templates.select("template_id", "template_text", "ord"), [])
     best = hit.groupBy("text").agg(F.min(F.struct("rule.pass", "rule.ord", "rule.template_id")).alias("best"))
     return best.select("text", F.col("best.template_id").alias("template_id"), F.col("best.pass").alias("pass"))

@@ -46,7 +46,7 @@ def has_letter(c: Column) -> Column:
 
 def one_word(c: Column) -> Column:
     """Fewer than two words."""
-    return F.regexp_count(c, F.lit(java(r"\w+"))) < 2
+    return ~c.rlike(java(r"\w\W++\w"))
 
 
 def is_word_token(c: Column) -> Column:

@@ -8,10 +8,12 @@ tasks, gap values are counted by groups.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
@@ -37,8 +39,16 @@ def samples(lines: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(DoubleType())
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(lcs.distances(a.tolist(), b.tolist()))
+def _distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    known: dict[tuple, float] = {}  # of pairs that are alike, over the batches of a task
+    for a, b in batches:
+        if len(known) > KNOWN:
+            known.clear()
+        yield pd.Series(lcs.distances(a.tolist(), b.tolist(), known))
+
+
+#: Distances that a task keeps before it starts anew.
+KNOWN = 50_000
 
 
 def distance_pairs(found: DataFrame, limit: float = NEAR) -> DataFrame:
@@ -99,15 +109,19 @@ def row_clusters(found: DataFrame, limit: float = NEAR) -> DataFrame:
     return found.join(roots.withColumnsRenamed({"node": "sample_id", "root": "cluster"}), "sample_id", "left").select(*found.columns, F.coalesce("cluster", "sample_id").alias("cluster"))
 
 
+#: A token that is a number: a whole run of the signs of words, with one of \\w in it, without a letter.
+_NUMBER = java(r"(?<![\w\-\\/.])[\-\\/.]*+(?=\w)(?:(?![a-zA-Z])[\w\-\\/.])++(?![\w\-\\/.])")
+
+
 def _shapes(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """found with its shape (the tokens, numbers being all alike), (shape, a, n): the first sample of each and their number, and these first samples.
 
     Signs belong to the shape, as common signs decide which words a common subsequence takes.
     """
-    numbers = F.transform(T.tokens(F.col("sample_text")), lambda t: F.when(~T.is_word_token(t) & t.rlike(java(r"^[\w\-\\/.]*\w")), F.lit("0")).otherwise(t))
-    shaped = saved(found.withColumn("shape", F.xxhash64("dataset", numbers)), "shapes")
+    # numbers are whole tokens, and so is what stands for them: the text tells the tokens
+    shaped = saved(found.withColumn("shape", F.xxhash64("dataset", F.regexp_replace("sample_text", _NUMBER, "0"))), "shapes")
     firsts = saved(shaped.groupBy("shape").agg(F.min("sample_id").alias("a"), F.count("*").alias("n")), "firsts")
-    return shaped, firsts, found.join(firsts.select(F.col("a").alias("sample_id")), "sample_id", "left_semi")
+    return shaped, firsts, saved(found.join(firsts.select(F.col("a").alias("sample_id")), "sample_id", "left_semi"), "shape-heads")
 
 
 def distance_links(found: DataFrame, limit: float = NEAR) -> DataFrame:
@@ -134,34 +148,57 @@ def clusters(found: DataFrame, limit: float = JOINED) -> DataFrame:
     return hot_join(shaped, saved(of, "clusters"), "shape").select(*found.columns, "cluster")
 
 
-def _folding(weighted: bool):
-    """Folds the runs of rows sorted by (cluster, part): the common runs of each, with its first line; one part is held at a time."""
+def _joined_tokens(text: Column) -> Column:
+    """The tokens of a text as ``lcs.joined`` has them, for one split in a worker; a text that holds the bar itself comes as it is, behind another sign."""
+    bars = F.concat(F.lit(lcs.BAR), F.regexp_replace(text, "(?s)" + java(T.TOKEN), "$0" + lcs.BAR))
+    return F.when(F.contains(text, F.lit(lcs.BAR)), F.concat(F.lit("="), text)).otherwise(bars)
+
+
+#: Results of foldings that a task keeps before it starts anew.
+STEPS = 50_000
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Folded:
+    """Common runs, their tokens, and what they become with a text, by as much of it as such tokens make up; the texts of one log are few in that."""
+
+    def __init__(self, runs: lcs.Runs):
+        self.runs, self.known, self.steps = runs, {t for r in runs for t in r}, {}
+
+
+def _folding(weighted: bool, texts: bool):
+    """Folds the rows sorted by (cluster, part), texts or runs: the common runs of each, with its first line; one part is held at a time."""
+    kind = pa.list_(pa.list_(pa.string()))
+
+    def folded(done: list[tuple]) -> pa.RecordBatch:
+        cluster, part, line, held = zip(*done) if done else ((), (), (), ())
+        columns = [pa.array(cluster, pa.int64()), pa.array(part, pa.int64()), pa.array(line, pa.int64()), pa.array([h.runs for h in held], kind)]
+        return pa.RecordBatch.from_arrays(columns, names=["cluster", "part", "first_line", "runs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, line = None, None, None
-        known: set[str] = set()  # tokens of what is held
-        stable: set[tuple] = set()  # texts, as far as they have such tokens, that left it as it was
-        columns = ["cluster", "part", "first_line", "runs"]
+        every: dict[tuple, _Folded] = {}  # by their runs, over the parts of a task
+        steps = 0
         for batch in batches:
             done: list[tuple] = []
-            for cluster, part, first, runs in zip(batch["cluster"], batch["part"], batch["first_line"], batch["runs"]):
-                runs = [list(r) for r in runs]
+            for cluster, part, first, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                runs = [lcs.parted(runs)] if texts else runs
                 if (cluster, part) != last:
                     if held is not None:
                         done.append((*last, line, held))
-                    last, held, line, known, stable = (cluster, part), runs, first, {t for r in runs for t in r}, set()
-                    continue
-                shape = tuple(tuple(t if t in known else "" for t in r) for r in runs)
-                if shape in stable:
+                    last, held, line = (cluster, part), _Folded(runs), first
                     continue
-                folded = lcs.fold(held, runs, weighted)
-                if folded == held:
-                    stable.add(shape)
-                else:
-                    held, known, stable = folded, {t for r in folded for t in r}, set()
-            yield pd.DataFrame(done, columns=columns)
+                shape = lcs.shape(runs[0], held.known) if texts else tuple([lcs.shape(r, held.known) for r in runs])
+                if (now := held.steps.get(shape)) is None:
+                    if (steps := steps + 1) > STEPS:
+                        every, steps = {}, 1
+                        held = _Folded(held.runs)
+                    folds = lcs.fold(held.runs, runs, weighted)
+                    now = held if folds == held.runs else every.setdefault(tuple(map(tuple, folds)), _Folded(folds))
+                    held.steps[shape] = now
+                held = now
+            yield folded(done)
         if held is not None:
-            yield pd.DataFrame([(*last, line, held)], columns=columns)
+            yield folded([(*last, line, held)])
 
     return run
 
@@ -179,11 +216,13 @@ def merged(clustered: DataFrame, weighted: bool = False) -> DataFrame:
     schema = "cluster long, part long, first_line long, runs array<array<string>>"
     sizes = saved(clustered.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
     parts = sizes.agg(F.max(F.ceil(F.col("n") / FAN))).first()[0] or 0
-    rows = hot_join(clustered.select("cluster", "sample_id", "first_line", F.array(T.tokens(F.col("sample_text"))).alias("runs")), sizes, "cluster")
+    # hot_join reads its rows twice, so they get their tokens after it
+    rows = hot_join(clustered.select("cluster", "sample_id", "first_line", "sample_text"), sizes, "cluster").withColumn("tokens", _joined_tokens(F.col("sample_text"))).drop("sample_text")
     rows = rows.withColumn("part", F.expr(f"pmod(xxhash64(sample_id, 5), cast(ceil(n / {FAN}) as bigint))")).withColumn("at", F.col("sample_id"))
+    text, order = "tokens", ["cluster", "part"]
     while True:
-        order = ["cluster", "part"]
-        rows = rows.repartition(*order).sortWithinPartitions(*order, "first_line", "at").select("cluster", "part", "first_line", "runs").mapInPandas(_folding(weighted), schema)
+        rows = rows.repartition(*order).sortWithinPartitions(*order, "first_line", "at").select("cluster", "part", "first_line", text).mapInArrow(_folding(weighted, text != "runs"), schema)
+        text = "runs"
         if parts <= 1:
             return rows.select("cluster", "runs")
         parts = -(-parts // FAN)
@@ -212,7 +251,8 @@ def templates(clustered: DataFrame) -> DataFrame:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _gaps(text: pd.Series, runs: pd.Series) -> pd.Series:
-    return pd.Series([lcs.gaps(lcs.tokenize(t), [list(r) for r in rs]) for t, rs in zip(text, runs)])
+    known = {r: [lcs.joined(run) for run in json.loads(r)] for r in runs.unique()}
+    return pd.Series([lcs.gaps_in(t if t[0] == lcs.BAR else lcs.joined(lcs.parted(t)), known[r]) for t, r in zip(text, runs)])
 
 
 def _tops(names: DataFrame) -> DataFrame:
@@ -245,12 +285,12 @@ def split_clusters(clustered: DataFrame, base: int = SPLIT_BASE) -> DataFrame:
 
     The gap with the fewest values is taken, the first of several; a gap needs two values or more, one of them with a letter outside
     wildcards, and no more of them than round(log(lines of the cluster, base)). A branch's template has the value in that gap ({V} for none, but
-    before the first run), and elsewhere the gap's one value or a wildcard. A branch without a letter is none: its samples are their own templates.
+    before the first run), and elsewhere the gap's one value or a wildcard. A branch without a letter is none and has a null: its samples are their own templates.
     """
     runs = saved(merged(clustered, weighted=True), "runs")
     sizes = saved(clustered.groupBy("cluster").agg(F.sum("log_num").alias("lines"), F.count("*").alias("n")).join(runs, "cluster"), "sizes")
-    gaps = hot_join(clustered.select("cluster", "sample_id", "sample_text", "first_line"), sizes.where("n > 1").select("cluster", "n", "runs"), "cluster")
-    gaps = saved(gaps.select("cluster", "sample_id", "first_line", F.posexplode(_gaps("sample_text", "runs")).alias("gap", "value")), "gaps")
+    gaps = hot_join(clustered.select("cluster", "sample_id", "sample_text", "first_line"), sizes.where("n > 1").select("cluster", "n", F.to_json("runs").alias("runs")), "cluster")
+    gaps = saved(gaps.select("cluster", "sample_id", "first_line", F.posexplode(_gaps(_joined_tokens(F.col("sample_text")), "runs")).alias("gap", "value")), "gaps")
     become = saved(_merged_values(gaps), "become")
     values = become.groupBy("cluster", "gap").agg(F.count_distinct("merged").alias("values"), F.bool_or(T.has_word(F.col("merged"))).alias("worded"), F.min("merged").alias("one"))
     values = saved(values.join(sizes.select("cluster", "lines"), "cluster"), "gap-values")
@@ -261,14 +301,13 @@ def split_clusters(clustered: DataFrame, base: int = SPLIT_BASE) -> DataFrame:
     named = become.join(chosen, ["cluster", "gap"]).select("cluster", "gap", "merged").distinct().join(pieces, "cluster").join(runs, "cluster")
     named = named.withColumn("own", F.when((F.col("merged") == "") & (F.col("gap") != 0), "{V}").otherwise(F.col("merged")))
     named = named.withColumn("template_text", F.expr("array_join(transform(pieces, (p, i) -> concat(if(i = gap, own, p.piece), coalesce(array_join(get(runs, i), ''), ''))), '')"))
-    named = saved(T.collapse_wildcards(named, "template_text").select("cluster", "merged", "template_text"), "branches")
+    named = T.collapse_wildcards(named, "template_text").select("cluster", "merged", F.when(T.has_word(F.col("template_text")), F.col("template_text")).alias("template_text"))
+    named = saved(named, "branches")
     # few branches for each cluster, as their number is at most the logarithm of its lines
     of = become.join(chosen, ["cluster", "gap"]).join(named, ["cluster", "merged"])
     of = saved(gaps.groupBy("cluster", "gap", "value").agg(F.count("*").alias("n")).join(of, ["cluster", "gap", "value"]), "values")
     small = hot_join(gaps.select("cluster", "gap", "value", "sample_id"), of, ["cluster", "gap", "value"])
-    own = clustered.select("sample_id", "sample_text")
-    out = small.select("cluster", "sample_id", F.col("merged").alias("branch"), "template_text").join(own, "sample_id")
-    return out.withColumn("template_text", F.when(T.has_word(F.col("template_text")), F.col("template_text")).otherwise(F.col("sample_text"))).select("cluster", "sample_id", "branch", "template_text")
+    return small.select("cluster", "sample_id", F.col("merged").alias("branch"), "template_text")
 
 
 def absorbed(found: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -296,8 +335,9 @@ def mine(lines: DataFrame, merge: bool = True, split: bool = True, contained: bo
     parts = [found.where(T.one_word(F.col("sample_text"))).withColumn("template_text", F.col("sample_text")).select(*columns)]
     if split and merge:
         branches = saved(split_clusters(grouped), "splits")
-        parts.append(grouped.join(branches.select("sample_id", "template_text"), "sample_id").select(*columns))
-        grouped = saved(grouped.join(branches.select("sample_id"), "sample_id", "left_anti"), "clusters")
+        both = saved(grouped.join(branches.select("sample_id", "template_text", F.lit(True).alias("split")), "sample_id", "left"), "clusters")
+        parts.append(both.where("split").withColumn("template_text", F.coalesce("template_text", "sample_text")).select(*columns))
+        grouped = both.where("split is null").drop("template_text", "split")
     if merge:
         texts = templates(grouped)
         sizes = grouped.groupBy("cluster").agg(F.count("*").alias("n")).join(texts, "cluster")

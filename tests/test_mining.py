@@ -248,3 +248,50 @@ def test_few_templates_match_without_a_shuffle(spark, monkeypatch):
     many = match.with_first_match(texts, "content", names)
     assert got == {(r.line_no, r.template_id, r["pass"]) for r in many.collect()} and len(got) == 5
     assert dict(few.dtypes) == dict(many.dtypes)
+
+
+def test_alike_pairs_are_measured_once(monkeypatch):
+    """Texts that differ in tokens that the other text lacks take one table, over several calls too; the distances are those of each pair."""
+    tables, real = [], lcs._distances
+    monkeypatch.setattr(lcs, "_distances", lambda a, b: tables.extend(a) or real(a, b))
+    head, texts = "user 1 of 2 went home", [f"user {k} of {k * 3} went home" for k in range(200)]
+    known = {}
+    got = [*lcs.distances([head] * 100, texts[:100], known), *lcs.distances([head] * 100, texts[100:], known)]
+    assert got == [lcs.distance(head, t) for t in texts] and len(tables) < 8
+    words = ["user went far home", "user 7 far home", "user ran far home"]
+    assert list(lcs.distances([words[0]] * 3, words)) == [lcs.distance(words[0], t) for t in words]
+
+
+def test_shapes_tell_tokens_but_for_numbers(spark):
+    rng = random.Random(4)
+    pieces = ["ab", "kl", "1", "22", "é", "٣", "-", "/", "\\", ".", "_", " ", " ", "; ", "<*>", "(<*>)", "0", "\n"]
+    texts = sorted({"".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) for _ in range(3000)})
+    df = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "dataset string, sample_id long, sample_text string")
+    shapes = {r.sample_id: r.shape for r in mining._shapes(df)[0].collect()}
+    number = lambda t: not lcs.is_word(t) and re.match(r"[\w\-\\/.]*\w", t)
+    plain = [tuple("0" if number(t) else t for t in lcs.tokenize(x)) for x in texts]
+    assert len(set(plain)) == len(set(shapes.values())) == len({(p, shapes[i]) for i, p in enumerate(plain)})
+
+
+def test_joined_tokens_are_the_tokens(spark):
+    texts = ["", "a b", "order 1; <*> é.x", "a\nb", f"x{lcs.BAR}y 2", lcs.BAR]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mining._joined_tokens(F.col("t")).alias("j")).collect()
+    assert all(lcs.parted(r.j) == lcs.tokenize(r.t) for r in rows)
+
+
+def test_folding_steps_serve_all_parts(monkeypatch):
+    """Parts of alike texts are folded as the first was; with few steps kept the runs are the same."""
+    import pyarrow as pa
+
+    calls, real = [], lcs.fold
+    monkeypatch.setattr(lcs, "fold", lambda *a: calls.append(1) or real(*a))
+    texts = [[f"user {100 * p + k} went {'over' if k % 2 else 'under'} the hill" for k in range(50)] for p in range(40)]
+    rows = [(1, p, k, lcs.joined(lcs.tokenize(t))) for p, part in enumerate(texts) for k, t in enumerate(part)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["cluster", "part", "first_line", "tokens"])
+    got = [r for b in mining._folding(False, True)([batch.slice(0, 777), batch.slice(777)]) for r in b.to_pylist()]
+    assert [r["runs"] for r in got] == [lcs.fold_all(map(lcs.tokenize, part)) for part in texts] and [r["first_line"] for r in got] == [0] * 40
+    calls.clear()
+    list(mining._folding(False, True)([batch]))
+    assert len(calls) < 40 * 2.2  # 40 first steps are each their own; four and more for a part before
+    monkeypatch.setattr(mining, "STEPS", 2)
+    assert got == [r for b in mining._folding(False, True)([batch]) for r in b.to_pylist()]

@@ -841,7 +841,7 @@ def online_changes(spark, sf_dir):
 @query()
 def mine_vs_metric(spark, sf_dir):
     """Mined templates scored against the level or table that a line comes from."""
-    rows = mining_lines(spark, sf_dir)
+    rows = saved(mining_lines(spark, sf_dir), "messages")
     found, names = mining.mine(rows)
     lines = match.structured(rows.withColumn("sample_id", F.xxhash64("dataset", "content")), found, names).withColumnRenamed("EventTemplate", "parsed").select("dataset", F.split("content", "[: ]")[0].alias("truth"), "parsed")
     return scoring.scores(scoring.pair_table(lines)).select("dataset", "GA", "FGA", "tool_templates", "ground_templates")

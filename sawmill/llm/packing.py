@@ -12,6 +12,7 @@ each; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -26,9 +27,9 @@ from sawmill.llm.common import lean, ranked, small_batches
 
 CAPACITY = 2048
 END = 0
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Units whose ids a worker keeps; a full cache starts anew.
-CACHE = 400_000
+CACHE = 150_000
 
 _KIND = np.full(256, 3, np.int8)  # 3: apostrophe, control and non-ASCII bytes, never cut off from their neighbours
 _KIND[[i for i in range(33, 127) if chr(i) != "'"]] = 2
@@ -47,6 +48,7 @@ class Units:
     """Token ids of units by the hash of the unit: exact, as no token of this kind of tokenizer crosses units."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would hold memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -681,9 +681,9 @@ def mining_lines(spark, sf_dir):
 
 @query()
 def lcs_distance_pairs(spark, sf_dir):
-    """Links of samples within the distance: the pairs of shape heads, by the join on rare words, and each other sample with the head of its shape.
+    """Links of samples within the distance: all of them, in one row for all samples of two shapes, or of one, where that holds for all, and one by one elsewhere.
 
-    All pairs of samples would grow with the square of a shape's samples.
+    All pairs of samples as rows would grow with the square of a shape's samples.
     """
     found = saved(mining.samples(mining_lines(spark, sf_dir)), "samples")
     return mining.distance_links(found)

@@ -52,7 +52,12 @@ KNOWN = 50_000
 
 
 def distance_pairs(found: DataFrame, limit: float = NEAR) -> DataFrame:
-    """(dataset, a, b, distance) of samples of a dataset whose distance is at most ``limit``; a and b are sample_ids.
+    """(dataset, a, b, distance) of samples of a dataset whose distance is at most ``limit``; a and b are sample_ids."""
+    return _tried(found, limit).withColumn("distance", _distance("ta", "tb")).where(F.col("distance") <= limit).select("dataset", "a", "b", "distance")
+
+
+def _tried(found: DataFrame, limit: float) -> DataFrame:
+    """(dataset, a, b, ta, tb): pairs of samples that have enough words in common, with their texts; numbers don't matter.
 
     Common words are at least (1 - limit) of the longer text's words. So of the rarest words of both, taken as far as that leaves
     open, one is shared: the join is on those words, and the measure runs on what it brings together.
@@ -67,8 +72,7 @@ def distance_pairs(found: DataFrame, limit: float = NEAR) -> DataFrame:
     other = rare.select("dataset", "word", F.col("sample_id").alias("b"), F.col("n").alias("m"))
     near = rare.withColumnRenamed("sample_id", "a").join(other, ["dataset", "word"]).where(F.col("a") < F.col("b")).where(F.least("n", "m") >= F.greatest("n", "m") * (1 - limit) - 1e-9)
     texts = rows.select("sample_id", "sample_text")
-    pairs = near.select("dataset", "a", "b").distinct().join(texts.withColumnsRenamed({"sample_id": "a", "sample_text": "ta"}), "a").join(texts.withColumnsRenamed({"sample_id": "b", "sample_text": "tb"}), "b")
-    return pairs.withColumn("distance", _distance("ta", "tb")).where(F.col("distance") <= limit).select("dataset", "a", "b", "distance")
+    return near.select("dataset", "a", "b").distinct().join(texts.withColumnsRenamed({"sample_id": "a", "sample_text": "ta"}), "a").join(texts.withColumnsRenamed({"sample_id": "b", "sample_text": "tb"}), "b")
 
 
 #: A pair that shares no word is at distance 1; all others are nearer than this.
@@ -124,16 +128,68 @@ def _shapes(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return shaped, firsts, saved(found.join(firsts.select(F.col("a").alias("sample_id")), "sample_id", "left_semi"), "shape-heads")
 
 
+def _kind(limit: float):
+    @F.pandas_udf(StringType())
+    def kind(a: pd.Series, b: pd.Series, alone: pd.Series) -> pd.Series:
+        out = pd.Series("", index=a.index, dtype=object)
+        out[alone] = ["all" if d <= limit else "none" for d in lcs.distances(a[alone].tolist(), b[alone].tolist())]
+        out[~alone] = lcs.kinds(a[~alone].tolist(), b[~alone].tolist(), limit)
+        return out
+
+    return kind
+
+
+#: Samples of a shape that meet those of another one in one go, where they are measured one by one.
+PAIRED = 1024
+
+
+def _one_by_one(shaped: DataFrame, firsts: DataFrame, kinds: DataFrame, limit: float) -> DataFrame:
+    """(dataset, a, b, distance) of samples within ``limit``, of the shapes whose heads are the a and b of kinds(a, b, na, nb, kind): all their pairs, or for the kind share those with a number in common.
+
+    Shapes are dealt in pairs of bounded blocks, so no task takes a whole one.
+    """
+    # a head for each of these shapes, with the number of its samples
+    heads = kinds.select("a").union(kinds.select("b")).distinct()
+    few = saved(hot_join(shaped, saved(firsts.join(heads, "a"), "open"), "shape"), "opened")
+    numbers = F.filter(T.tokens(F.col("sample_text")), lambda t: ~T.is_word_token(t) & t.rlike(java(r"\w")))
+    dealt = few.select(F.col("a").alias("head"), F.expr(f"pmod(xxhash64(sample_id, 3), cast(ceil(n / {PAIRED}) as bigint))").alias("block"), "dataset", "sample_id", F.explode(F.array_union(F.array(F.lit("")), numbers)).alias("number"))
+    blocks = lambda n: F.explode(F.expr(f"sequence(0L, cast(ceil({n} / {PAIRED}) as bigint) - 1)"))
+    meet = kinds.select("a", "b", "nb", "kind", blocks("na").alias("i")).select("a", "b", "kind", "i", blocks("nb").alias("j"))
+    left = dealt.withColumnsRenamed({"head": "a", "block": "i", "sample_id": "x"})
+    right = dealt.drop("dataset").withColumnsRenamed({"head": "b", "block": "j", "sample_id": "y"})
+    met = meet.join(left, ["a", "i"]).where((F.col("kind") == "some") == (F.col("number") == "")).join(right, ["b", "j", "number"])
+    met = met.where("a <> b or x < y").select("dataset", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    texts = few.select("sample_id", "sample_text")
+    pairs = met.join(texts.withColumnsRenamed({"sample_id": "a", "sample_text": "ta"}), "a").join(texts.withColumnsRenamed({"sample_id": "b", "sample_text": "tb"}), "b")
+    return pairs.withColumn("distance", _distance("ta", "tb")).where(F.col("distance") <= limit).select("dataset", "a", "b", "distance")
+
+
 def distance_links(found: DataFrame, limit: float = NEAR) -> DataFrame:
-    """(dataset, a, b, distance, member): the distance_pairs of shape heads, and as members the other samples (b) of a head's (a) shape.
+    """(dataset, a, b, distance, member, whole): all pairs of samples within ``limit``, those of like shapes in one row; distance is that of a and b.
+
+    * member: b is a sample of the shape whose first sample (head) is a. All of a shape have such a row, but its head. whole: every two samples of the shape are within ``limit``.
+    * not member, whole: a and b are heads, and every sample of the one shape is within ``limit`` of every sample of the other.
+    * not member, not whole: the samples a and b are within ``limit``.
 
-    The distance is measured for both; no member is left out for it.
+    A pair within ``limit`` is in one of these, and no other pair is. Texts of one shape differ in numbers, and the measure depends on the numbers that two texts share: a row is whole where no
+    such numbers take a pair over the limit (``lcs.kinds``); else the pairs are measured one by one.
     """
     shaped, firsts, heads = _shapes(found)
-    of = saved(firsts.join(heads.select(F.col("sample_id").alias("a"), F.col("sample_text").alias("ta")), "a"), "heads")
+    of = saved(firsts.join(heads.select("dataset", F.col("sample_id").alias("a"), F.col("sample_text").alias("ta")), "a"), "heads")
+    size = of.select("a", F.col("n").alias("na"))
+    pairs = _tried(heads, limit).join(size, "a").join(size.withColumnsRenamed({"a": "b", "na": "nb"}), "b")
+    own = of.where("n > 1").select("dataset", "a", F.col("a").alias("b"), "ta", F.col("ta").alias("tb"), F.col("n").alias("na"), F.col("n").alias("nb"))
+    pairs = pairs.unionByName(own).withColumn("kind", _kind(limit)("ta", "tb", F.expr("na = 1 and nb = 1")))
+    kinds = saved(pairs.where("kind <> 'none'"), "kinds")
+    of = saved(of.drop("dataset").join(kinds.where("a = b").select("a", F.col("kind") == "all"), "a", "left").toDF("a", "shape", "n", "ta", "whole"), "wholes")
     members = hot_join(shaped.select("dataset", "shape", F.col("sample_id").alias("b"), F.col("sample_text").alias("tb")), of, "shape").where("a <> b")
-    members = members.select("dataset", "a", "b", _distance("ta", "tb").alias("distance"), F.lit(True).alias("member"))
-    return distance_pairs(heads, limit).withColumn("member", F.lit(False)).unionByName(members)
+    links = members.select("dataset", "a", "b", _distance("ta", "tb").alias("distance"), F.lit(True).alias("member"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    whole = kinds.where("kind = 'all' and a <> b").select("dataset", "a", "b", _distance("ta", "tb").alias("distance"), F.lit(False).alias("member"), F.lit(True).alias("whole"))
+    links = links.unionByName(whole)
+    some = kinds.where("kind <> 'all'").select("a", "b", "na", "nb", "kind")
+    if not some.take(1):
+        return links
+    return links.unionByName(_one_by_one(shaped, firsts, some, limit).select("*", F.lit(False).alias("member"), F.lit(False).alias("whole")))
 
 
 def clusters(found: DataFrame, limit: float = JOINED) -> DataFrame:

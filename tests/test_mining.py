@@ -183,6 +183,55 @@ def test_links_between_shapes(spark):
     assert all(lcs.distance(name[min(p)], name[max(p)]) <= 0.3 for p in linked)
 
 
+def linked_pairs(spark, texts, limit=0.3):
+    """All pairs that the rows of distance_links speak of, and those that measuring every pair finds."""
+    df = mining.samples(spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "dataset string, line_no long, content string"))
+    name = {r.sample_id: r.sample_text for r in df.collect()}
+    rows = mining.distance_links(df, limit).collect()
+    assert all(r.distance == lcs.distance(name[r.a], name[r.b]) for r in rows if r.a < r.b or not r.member)
+    of = {k: {k} for k in name}
+    for r in rows:
+        if r.member:
+            of[r.a].add(r.b)
+    found = []
+    for r in rows:
+        if not r.member:
+            assert r.a < r.b and r.distance <= limit
+            found += [frozenset((x, y)) for x in of[r.a] for y in of[r.b]] if r.whole else [frozenset((r.a, r.b))]
+    for head in {r.a for r in rows if r.member and r.whole}:
+        found += [frozenset((x, y)) for x in of[head] for y in of[head] if x < y]
+    assert len(found) == len(set(found))
+    want = {frozenset((x, y)) for x in name for y in name if x < y and lcs.distance(name[x], name[y]) <= limit}
+    return set(found), want, rows
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, block):
+    """No link between different texts is lost and none is made up, numbers that two texts share included (before: only the heads of shapes were tried)."""
+    monkeypatch.setattr(mining, "PAIRED", block)
+    rng = random.Random(12)
+    parts = ["ab ", "kl ", "mn; ", "# ", "# ", "#. "]
+    shapes = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 8))) for _ in range(40)]
+    texts = sorted({re.sub("#", lambda _: rng.choice("1234"), t) for t in shapes for _ in range(10)})
+    found, want, rows = linked_pairs(spark, texts)
+    assert found == want and {(r.member, r.whole) for r in rows} == {(m, w) for m in (True, False) for w in (True, False)}
+
+
+def test_links_that_need_a_shared_number(spark):
+    """Texts whose order of words is another only with the same number, which the heads of their shapes don't share; many numbers go by bounds."""
+    texts = [f"{k} {w} run of the {k + 3} job ends" for k in range(9) for w in ("first", "last")] + [f"the {k} {w} {k} {k + 1} {k % 3} {k} ends" for k in range(12) for w in ("a b", "b a", "c")] + ["12 34", "5 6", "7 8"]
+    for limit in (0.1, 0.3, 0.6):
+        found, want, _ = linked_pairs(spark, texts, limit)
+        assert found == want
+
+
+def test_links_of_like_messages_stay_few(spark):
+    """Messages of few kinds give a row for each, and one for each pair of kinds, not all pairs."""
+    texts = [f"order {k} of customer {k % 7} status {s} priority {p} total <*>" for k in range(60) for s in "OF" for p in ("1-URGENT", "5-LOW")]
+    found, want, rows = linked_pairs(spark, texts)
+    assert found == want and len(found) > 20_000 and len(rows) == len(texts) - 4 + 6 and all(r.whole for r in rows)
+
+
 # Templates and texts --------------------------------------------------------------------------------
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sawmill.plans.tables import HOT, components, fewer, hot_join, saved, shared_dir
+from sawmill.plans.tables import HOT, by_shuffle, components, fewer, hot_join, saved, shared_dir
 
-__all__ = ["HOT", "bits_of", "components", "fewer", "hot_join", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs", "worked_out"]
+__all__ = ["HOT", "bits_of", "by_shuffle", "components", "fewer", "hot_join", "in_blocks", "is_empty", "lean", "ranked", "saved", "shared_dir", "small_batches", "whole_runs", "worked_out"]
 
 
 #: Rows in an Arrow batch: texts are long, and a worker holds a batch whole.
@@ -126,6 +126,6 @@ def in_blocks(rows: DataFrame, key: str, block: int, salt: str) -> DataFrame:
     every pair (low, high) that i is in. So no task takes a whole hot key, and keys of one row are dropped. Adds block, low, high.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key"), F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    rows = rows.join(sizes, F.col(key) == F.col("_key")).withColumn("block", F.expr(f"cast(pmod(xxhash64({salt}, 3), _blocks) as int)"))
+    rows = rows.join(by_shuffle(sizes), F.col(key) == F.col("_key")).withColumn("block", F.expr(f"cast(pmod(xxhash64({salt}, 3), _blocks) as int)"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return rows.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_key", "_blocks", "_other")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sawmill.llm.common import components, in_blocks, saved, whole_runs
+from sawmill.llm.common import by_shuffle, components, in_blocks, saved, whole_runs
 
 LEAST = 0.93
 SAMPLE = 20_000
@@ -147,14 +147,14 @@ def near_vectors(embeddings: DataFrame, least: float = LEAST, radius: int = RADI
         indexed = coded.mapInArrow(tables, "space long, chunk int, value long, own boolean, cls long, code long").withColumn("key", F.xxhash64("space", "chunk", "value"))
         order = ["key", "low", "high"]
         met = in_blocks(indexed.select("key", "chunk", "own", "cls", "code"), "key", BLOCK, "cls").repartition(*order).sortWithinPartitions(*order).mapInArrow(meet, "a long, b long")
-        vector = classes.select(F.col("cls").alias("c"), F.col("embedding").cast("array<double>").alias("v"))
+        vector = by_shuffle(classes.select(F.col("cls").alias("c"), F.col("embedding").cast("array<double>").alias("v")))
         near = met.join(vector.withColumnsRenamed({"c": "a", "v": "va"}), "a").join(vector.withColumnsRenamed({"c": "b", "v": "vb"}), "b").select("a", "b", "va", "vb")
         links = saved(near.mapInArrow(rerank, "a long, b long"), "links")
     else:
         links = spark.createDataFrame([], "a long, b long")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "cls")
-    roots = components(links).withColumnRenamed("node", "cls")
+    degree = both.join(by_shuffle(classes.select(F.col("cls").alias("b"), "n")), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "cls")
+    roots = by_shuffle(components(links).withColumnRenamed("node", "cls"))
     known = classes.select("cls", "n", "least_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least_id = known.groupBy("root").agg(F.min("least_id").alias("component"))
     known = known.join(least_id, "root").join(degree, "cls", "left").select(F.col("cls").alias("k"), "component", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))

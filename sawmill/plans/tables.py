@@ -41,6 +41,14 @@ def fewer(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def by_shuffle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, which has ``rows`` rows (or no known bound), for a join in which it isn't broadcast, unless it has at most FEW.
+
+    Before a query runs, Spark goes by the size of files, and ids that come again and again, or rows that a task makes, take far more in memory: such a table would pass through the driver.
+    """
+    return df.hint("merge") if rows is None or rows > FEW else df
+
+
 #: Keys that hold more than this share (1 / HOT) of all rows, and more than LEAST_HOT of them, are hot; there are fewer than HOT such keys.
 HOT, LEAST_HOT = 4096, 10_000
 
@@ -65,14 +73,15 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of the undirected graph with edges (a, b).
 
     Alternating large-star and small-star rounds over the edge table until nothing changes; every round is a
-    grouped minimum and an equi-join; the minima are broadcast while they are small, and beyond that a hub is split as any
+    grouped minimum and an equi-join; the minima may be broadcast where there are at most FEW edges, and beyond that a hub is split as any
     skewed key by adaptive execution. Returns (node, root),
     root being the smallest node of the component; nodes without edges are absent. Nulls and loops are dropped.
     rows: about how many edges there are, where that is known.
     """
 
     def least(sym: DataFrame) -> DataFrame:
-        return sym.join(sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), "m"), F.col("u") == F.col("mu")).select("u", "v", F.least("m", "u").alias("m"))
+        minima = by_shuffle(sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), "m"), before[0])
+        return sym.join(minima, F.col("u") == F.col("mu")).select("u", "v", F.least("m", "u").alias("m"))
 
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -121,6 +121,28 @@ def test_vectors_equal_brute_force(spark):
     assert embed.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_and_buckets_are_not_broadcast(spark, monkeypatch):
+    """No table that grows with the vectors passes through the driver, however small its files are (before: buckets, links, roots and vectors)."""
+    from sawmill.plans import tables
+
+    plans, save = [], tables.saved
+
+    def seen(df, name="part"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+
+    for module in (embed, tables):
+        monkeypatch.setattr(module, "saved", seen)
+    monkeypatch.setattr(tables, "FEW", 10)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(40, 16)), 3, axis=0)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x + rng.normal(size=x.shape) * 0.05)]
+    found = embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans) and sum(p.count("SortMergeJoin") for p in plans) > 5
+    assert sum(r.n_links for r in found.collect()) == 240
+
+
 def test_recall_on_hard_pairs():
     """Pairs just over the threshold, found by the tables' rule: within RADIUS bits of codes of the whole."""
     rng = np.random.default_rng(4)

@@ -8,8 +8,8 @@ a finished table.
 What leaves the operator is the log of changes, as later lines rewrite earlier assignments. ``templates_now``, ``samples_now`` and ``relabelled`` read it with
 plain aggregates; lines get their events by joining on sample_id.
 
-Lines of one key go through one task in their order; that is what the rule asks for, and state, not the lines, is what a task holds. For one large log
-without need for the order use ``mining.mine``.
+Lines of one key go through one task in their order; that is what the rule asks for. Of a finished table a task holds the templates, the samples that come again in later lines, and values of gaps
+with wildcards; the samples of each template are on disk and are read in turn where a template is split. Of a stream it holds the samples of the templates that a batch changes. For one large log without need for the order use ``mining.mine``.
 
 Defined cases: null content is skipped; lines of a batch are taken by line_no, and equal numbers in the order of their text; a text known as a sample is not matched again; a template of text
 without letters is not merged; two branches whose values become one after normalising share their samples; an empty table gives no changes.
@@ -17,15 +17,20 @@ without letters is not merged; two branches whose values become one after normal
 
 from __future__ import annotations
 
+import heapq
+import marshal
 import math
+import os
 import re
+import tempfile
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -90,52 +95,209 @@ def merged_text(texts: Sequence[str]) -> str:
     return collapsed(form)
 
 
-def _covering(groups: dict[str, list[int]]) -> dict[str, list[int]]:
-    """groups of sample places by text, where a text whose pattern matches another one takes its samples, in the order of the texts."""
+def _covering(groups: dict[str, list[str]]) -> dict[str, list[str]]:
+    """groups of texts by value, where a value whose pattern matches another one takes its texts, in the order of the values."""
     groups = {k: list(v) for k, v in groups.items()}
     for text in groups:
         if WILDCARD in text:
-            for other, places in groups.items():
+            for other, some in groups.items():
                 if other != text and matcher(text)(other):
-                    groups[text] += places
+                    groups[text] += some
                     groups[other] = []
     return {k: v for k, v in groups.items() if v}
 
 
-def branches(texts: Sequence[str], most: int) -> list[tuple[str, list[int]]]:
-    """Templates and the places of their samples, by the value of the gap with the fewest values between the common runs (weighted); one template if no gap has at most ``most``."""
-    runs = lcs.fold_all(map(lcs.tokenize, texts), weighted=True)
+def _covered(text: str, wild: Sequence[str]) -> str:
+    """The value that has a value's texts after ``_covering``; wild: the values with a wildcard, in their order."""
+    for by in wild:
+        if by != text and matcher(by)(text):
+            text = by
+    return text
+
+
+class _Values:
+    """The values of a gap, in the order of the texts, as far as they tell its branches: those with a wildcard or placeholder, and of the others one more than there may be."""
+
+    def __init__(self, most: int):
+        self.most, self.wild, self.seen, self.plain = most, [], {}, 0
+        self.ends: set[str] | None = None  # values that keep samples; None while all values are
+
+    def add(self, value: str) -> None:
+        if value not in self.seen and ("<" in value or self.plain <= self.most):
+            self.seen[value] = None
+            if WILDCARD in value:
+                self.wild.append(value)
+            self.plain += "<" not in value
+
+    def whole(self) -> bool:
+        """Whether all values are known that matter: without wildcards none takes another in."""
+        return not self.wild or self.plain <= self.most
+
+    def anew(self) -> None:
+        """The texts come again: with the wildcards known, values that they take in needn't be held."""
+        self.ends, self.plain = set(), 0
+        self.seen = {v: None for v in self.seen if "<" in v}
+        self.first = dict.fromkeys(self.seen, -1)
+        self.at = 0
+
+    def add_anew(self, value: str) -> None:
+        self.at += 1
+        if "<" in value:
+            if self.first[value] < 0:
+                self.first[value] = self.at
+        elif value in self.seen:
+            return
+        end = _covered(value, self.wild)
+        if "<" not in end:
+            if self.plain > self.most:
+                return
+            self.seen[end], self.first[end] = None, self.at
+            self.plain += 1
+        self.ends.add(end)
+
+    def name(self, value: str) -> str:
+        value = _covered(value, self.wild)
+        # placeholders and wildcards begin with <
+        return collapsed(lcs.PLACEHOLDER.sub(WILDCARD, value)) if "<" in value else value
+
+    def names(self) -> list[str]:
+        """What the values are called, in order; more than ``most`` if there are too many."""
+        if self.ends is None:
+            ends = {_covered(v, self.wild) for v in self.seen}
+            return list(dict.fromkeys(self.name(v) for v in self.seen if v in ends))
+        left = sorted((v for v in self.seen if v in self.ends), key=self.first.get)
+        return list(dict.fromkeys(self.name(v) for v in left))
+
+
+#: Shapes of texts whose gaps are kept.
+SHAPES = 50_000
+
+
+def branch_names(read: Callable[[], Iterator[str]], most: int) -> tuple[list[str], Callable[[str], str]] | None:
+    """Templates by the value of the gap with the fewest values between the common runs (weighted), and what tells a text's template; None if no gap has at most ``most``.
+
+    ``read`` gives the texts, anew for each pass; they aren't held.
+    """
+    runs = lcs.fold_all(map(lcs.tokenize, read()), weighted=True)
     known = {t for r in runs for t in r}
-    table: list[dict[str, list[int]]] = [{} for _ in range(len(runs) + 1)]
     spans: dict[tuple[str, ...], list[tuple[int, int]]] = {}  # by shape
-    for place, tokens in enumerate(map(lcs.tokenize, texts)):
+
+    def gaps(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+        tokens = lcs.tokenize(text)
         if (found := spans.get(own := lcs.shape(tokens, known))) is None:
+            if len(spans) >= SHAPES:
+                spans.clear()
             found = spans[own] = lcs.gap_places(tokens, runs)
+        return tokens, found
+
+    table = [_Values(most) for _ in range(len(runs) + 1)]
+    for text in read():
+        tokens, found = gaps(text)
         for values, (a, b) in zip(table, found):
-            values.setdefault("".join(tokens[a:b]), []).append(place)
-    for k, values in enumerate(table):
-        named: dict[str, list[int]] = {}
-        for value, places in _covering(values).items():
-            # placeholders and wildcards begin with <
-            named.setdefault(collapsed(lcs.PLACEHOLDER.sub(WILDCARD, value)) if "<" in value else value, []).extend(places)
-        table[k] = named
-    able = [(len(v), k) for k, v in enumerate(table) if 1 < len(v) <= most and any(map(has_letter, v))]
+            values.add("".join(tokens[a:b]))
+    open_ = [k for k, v in enumerate(table) if not v.whole()]
+    if open_:
+        for k in open_:
+            table[k].anew()
+        for text in read():
+            tokens, found = gaps(text)
+            for k in open_:
+                table[k].add_anew("".join(tokens[found[k][0] : found[k][1]]))
+    names = [v.names() for v in table]
+    able = [(len(v), k) for k, v in enumerate(names) if 1 < len(v) <= most and any(map(has_letter, v))]
     if not able:
-        return [("", list(range(len(texts))))]
+        return None
     chosen = min(able)[1]
-    fixed = [next(iter(v)) if len(v) == 1 else WILDCARD for v in table]
-    out: dict[str, list[int]] = {}
-    for value, places in table[chosen].items():
+    fixed = [v[0] if len(v) == 1 else WILDCARD for v in names]
+    full: dict[str, str | None] = {}
+    for value in names[chosen]:
         own = EMPTY_GAP if not value and chosen else value
         parts = [piece for k, f in enumerate(fixed) for piece in (own if k == chosen else f, "".join(runs[k]) if k < len(runs) else "")]
         name = collapsed("".join(parts))
-        for text, some in [(name, places)] if has_letter(name) else [(texts[p], [p]) for p in places]:
-            out.setdefault(text, []).extend(some)
-    return list(_covering(out).items())
+        full[value] = name if has_letter(name) else None  # without a letter, each sample is its own template
+
+    def value_of(text: str) -> str:
+        tokens, found = gaps(text)
+        a, b = found[chosen]
+        return "".join(tokens[a:b])
+
+    alone: dict[str, list[str]] = {v: [] for v, name in full.items() if name is None}
+    if alone:
+        groups: dict[str, list[str]] = {}
+        for text in read():
+            value = value_of(text)
+            if (own := table[chosen].name(value) in alone) or WILDCARD in value:
+                groups.setdefault(value, []).extend([text] * own)
+        for value, some in _covering(groups).items():
+            alone[table[chosen].name(value)] += some
+    every = dict.fromkeys(text for value, name in full.items() for text in (alone[value] if name is None else [name]))
+    wild = [name for name in every if WILDCARD in name]
+    to = {name: _covered(name, wild) for name in every}
+    ends = set(to.values())
+    return [name for name in every if name in ends], lambda text: to[full[table[chosen].name(value_of(text))] or text]
+
+
+def branches(texts: Sequence[str], most: int) -> list[tuple[str, list[int]]]:
+    """``branch_names`` of these texts, with the places of each template's texts; one template if no gap has at most ``most`` values."""
+    found = branch_names(lambda: iter(texts), most)
+    if found is None:
+        return [("", list(range(len(texts))))]
+    out: dict[str, list[int]] = {name: [] for name in found[0]}
+    for place, text in enumerate(texts):
+        out[found[1](text)].append(place)
+    return list(out.items())
+
+
+#: Rows that lists hold in memory together, before they are written.
+HELD = 20_000
+
+
+class _Lists:
+    """Lists of rows that only grow, in one file without a name; the last rows are in memory."""
+
+    def __init__(self):
+        self.file, self.blocks, self.rest, self.held, self.next = None, {}, {}, 0, 0
+
+    def new(self) -> int:
+        self.next += 1
+        return self.next
+
+    def add(self, of: int, row: tuple) -> None:
+        self.rest.setdefault(of, []).append(row)
+        self.held += 1
+        if self.held >= HELD:
+            if self.file is None:
+                # where the executor spills
+                found = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+                self.file = tempfile.TemporaryFile(dir=found[0] if found else None)
+            for k, rows in self.rest.items():
+                block = marshal.dumps(rows)
+                self.blocks.setdefault(k, []).append((self.file.seek(0, 2), len(block)))
+                self.file.write(block)
+            self.rest, self.held = {}, 0
+
+    def rows(self, of: int) -> Iterator[tuple]:
+        """As they are now, though lists may grow meanwhile."""
+        blocks, rest = list(self.blocks.get(of, ())), list(self.rest.get(of, ()))
+        for at, size in blocks:
+            self.file.seek(at)
+            yield from marshal.loads(self.file.read(size))
+        yield from rest
+
+    def drop(self, of: int) -> None:
+        self.blocks.pop(of, None)
+        self.held -= len(self.rest.pop(of, ()))
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
 
 
 class _State:
-    """The state of one key during one call: templates in memory, samples and members as they are asked for; ``save`` writes what changed."""
+    """The state of one key during one call: templates in memory, samples and members as they are asked for; ``save`` writes what changed.
+
+    A row is (first line, sample, text, lines), the members of a template are in the order of first lines.
+    """
 
     def __init__(self, handles):
         self.h = handles
@@ -144,7 +306,8 @@ class _State:
         self.templates = {} if self.fresh else {k[0]: list(v) for k, v in self.h["templates"].iterator()}  # id: text, limit, lines
         self.templates = dict(sorted(self.templates.items()))
         self.samples: dict[int, list] = {}  # id: template, lines, first line
-        self.members: dict[int, dict[int, str]] = {}  # template: sample id: text, in the order of first lines
+        self.members: dict[int, dict[int, str]] = {}  # template: sample id: text
+        self.lists = _Lists()
         self.log: list[tuple] = []
         self.changed: set[int] = set()
         self.left: set[int] = set()
@@ -161,18 +324,44 @@ class _State:
             self.members[t] = dict(zip(*found)) if found is not None else {}
         return self.members[t]
 
+    def rows(self, t: int) -> Iterator[tuple]:
+        for i, text in self.members_of(t).items():
+            _, lines, first = self.sample(i)
+            yield first, i, text, lines
+
+    def put(self, t: int, row: tuple) -> None:
+        """A row that comes after the others of the template."""
+        self.members_of(t)[row[1]] = row[2]
+        self.changed.add(t)
+
+    def again(self, t: int, text: str) -> None:
+        """A further line of a text of the template."""
+
+    def gather(self, t: int, lists: Sequence[int]) -> None:
+        """Rows of other lists become rows of the template."""
+        of = self.members_of(t) | {row[1]: row[2] for k in lists for row in self.lists.rows(k)}
+        self.members[t] = dict(sorted(of.items(), key=lambda m: self.sample(m[0])[2]))
+        self.changed.add(t)
+        for k in lists:
+            self.lists.drop(k)
+
     def note(self, kind: str, reason: str, template: int, text=None, limit=None, sample=None, origin=None) -> None:
         self.log.append((self.at, self.line, kind, template, text, limit, sample, origin, reason))
         self.at += 1
 
-    def assign(self, sample: int, text: str, template: int, reason: str) -> None:
-        found, of = self.samples[sample], self.members_of(template)
-        if found[0] != template:
-            self.note("sample", reason, template, sample=sample, origin=None if found[0] < 0 else found[0])
-            self.templates[template][2] += found[1]
-            found[0] = template
-        of[sample] = text
-        self.changed.add(template)
+    def move(self, rows: Iterator[tuple], origin: int, to: int, reason: str) -> Generator[None, None, int]:
+        """Assigns the samples of a template to another one, which still has to gather them: their list. Yields where the log is to leave."""
+        kept = self.lists.new()
+        for row in rows:
+            if row[1] is not None:
+                self.note("sample", reason, to, sample=row[1], origin=origin)
+                if (found := self.sample(row[1])) is not None:
+                    found[0] = to
+                if len(self.log) >= LOGGED:
+                    yield
+            self.templates[to][2] += row[3]
+            self.lists.add(kept, row)
+        return kept
 
     def drop(self, template: int, into: int | None, reason: str) -> None:
         self.note("gone", reason, template, origin=into)
@@ -202,6 +391,44 @@ class _State:
         self.h["counters"].update((self.next, self.at))
 
 
+class _Table(_State):
+    """The state of one key of a finished table: nothing is saved, members are lists on disk. A further line of a sample is a row without a sample."""
+
+    def __init__(self, handles):
+        super().__init__(handles)
+        self.list_of: dict[int, int] = {}
+
+    def sample(self, i: int) -> list | None:
+        return self.samples.get(i)
+
+    def rows(self, t: int) -> Iterator[tuple]:
+        return self.lists.rows(self.list_of.get(t, 0))
+
+    def put(self, t: int, row: tuple) -> None:
+        if t not in self.list_of:
+            self.list_of[t] = self.lists.new()
+        self.lists.add(self.list_of[t], row)
+
+    def again(self, t: int, text: str) -> None:
+        self.put(t, (self.line, None, text, 1))
+
+    def gather(self, t: int, lists: Sequence[int]) -> None:
+        lists = [*([self.list_of[t]] if t in self.list_of else []), *lists]
+        if len(lists) > 1:
+            whole = self.lists.new()
+            for row in heapq.merge(*map(self.lists.rows, lists), key=itemgetter(0)):
+                self.lists.add(whole, row)
+            for k in lists:
+                self.lists.drop(k)
+            lists = [whole]
+        self.list_of[t] = lists[0]
+
+    def drop(self, template: int, into: int | None, reason: str) -> None:
+        super().drop(template, into, reason)
+        self.left.clear()
+        self.lists.drop(self.list_of.pop(template, 0))
+
+
 class Miner(StatefulProcessor):
     def __init__(self, merge: bool = True, split: bool = True, contained: bool = False, base: int = SPLIT_BASE, keep: bool = True):
         """keep: whether lines come after these, so that the state is to be kept; of a finished table all lines of a key come in one call."""
@@ -216,16 +443,18 @@ class Miner(StatefulProcessor):
         }
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = _State(self.handles)
-        for line, sample, text in _in_order(rows):
-            s.line = line
-            self._message(s, sample, text)
-            if len(s.log) >= LOGGED:
-                yield self._table(key, s.log)
-                s.log.clear()
-        if self.keep:
-            s.save()
-        yield self._table(key, s.log)
+        s = (_State if self.keep else _Table)(self.handles)
+        try:
+            for line, sample, text, later in _in_order(rows) if self.keep else (line for part in rows for line in _listed(part)):
+                s.line = line
+                for _ in self._message(s, sample, text, later):
+                    yield self._table(key, s.log)
+                    s.log.clear()
+            if self.keep:
+                s.save()
+            yield self._table(key, s.log)
+        finally:
+            s.lists.close()
 
     @staticmethod
     def _table(key, log: list[tuple]) -> pd.DataFrame:
@@ -234,20 +463,28 @@ class Miner(StatefulProcessor):
         columns = {c: pd.array(list(v), "Int64") if c in _NUMBERS else pd.Series(v, dtype=object) for c, v in found.items()}
         return pd.DataFrame({f"key{k}": pd.Series([v] * len(log), dtype=object) for k, v in enumerate(key)} | columns)
 
-    def _message(self, s: _State, sample: int, text: str) -> None:
+    def _message(self, s: _State, sample: int, text: str, later: bool) -> Iterator[None]:
+        """Yields where the log is to leave."""
         if (found := s.sample(sample)) is not None:
             found[1] += 1
-            s.templates[found[0]][2] += 1
             template = found[0]
+            s.again(template, text)
+            if not later:
+                del s.samples[sample]
         else:
-            s.samples[sample] = [-1, 1, s.line]
             template = self._search(s, text)
             reason = "matched"
             if template is None:
-                template, reason = self._new(s, text), "new"
-            s.assign(sample, text, template, reason)
+                template, reason = (yield from self._new(s, text)), "new"
+            if later:
+                s.samples[sample] = [template, 1, s.line]
+            s.note("sample", reason, template, sample=sample)
+            s.put(template, (s.line, sample, text, 1))
+        s.templates[template][2] += 1
         if self.split and s.templates[template][2] >= s.templates[template][1]:
-            self._split(s, template)
+            yield from self._split(s, template)
+        if len(s.log) >= LOGGED:
+            yield
 
     @staticmethod
     def _search(s: _State, text: str) -> int | None:
@@ -256,7 +493,7 @@ class Miner(StatefulProcessor):
                 return t
         return next((t for t, (pattern, _, _) in s.templates.items() if EMPTY_GAP in pattern and matcher(pattern.replace(EMPTY_GAP, ""))(text)), None)
 
-    def _new(self, s: _State, text: str) -> int:
+    def _new(self, s: _State, text: str) -> Generator[None, None, int]:
         limit, reason = self.base, "new"
         if self.merge and len(_WORDS.findall(text)) > 1:
             near = [(t, n) for t, n, _ in s.templates.values() if _near(t, text)]
@@ -264,9 +501,9 @@ class Miner(StatefulProcessor):
             cluster = [near[k] for k in cluster_of_last([t for t, _ in near])] if len(near) > 1 else near
             if len(cluster) > 1 and has_letter(name := merged_text([t for t, _ in cluster])):
                 text, limit, reason = name, min(n for _, n in cluster), "merged"
-        return self._add(s, text, limit, reason)
+        return (yield from self._add(s, text, limit, reason))
 
-    def _add(self, s: _State, text: str, limit: int, reason: str, but: int | None = None) -> int:
+    def _add(self, s: _State, text: str, limit: int, reason: str, but: int | None = None) -> Generator[None, None, int]:
         """The template of this text: a new one, or one there that is equal or covers it; those that it covers give it their samples."""
         text = collapsed(text)
         if self.contained:
@@ -282,40 +519,42 @@ class Miner(StatefulProcessor):
             elif new is not None and new(pattern):
                 covered.append(t)
         to = s.insert(text, limit, reason) if coverer is None else coverer
+        lists = []
         for t in covered:
-            for sample, own in s.members_of(t).items():
-                s.sample(sample)
-                s.assign(sample, own, to, "absorbed")
+            lists.append((yield from s.move(s.rows(t), t, to, "absorbed")))
             s.drop(t, to, "absorbed")
         if covered:
-            s.members[to] = dict(sorted(s.members[to].items(), key=lambda m: s.sample(m[0])[2]))
+            s.gather(to, lists)
         return to
 
-    def _split(self, s: _State, template: int) -> None:
+    def _split(self, s: _State, template: int) -> Iterator[None]:
         text, _, lines = s.templates[template]
-        ids, texts = zip(*s.members_of(template).items())
-        found = branches(texts, round(math.log(lines, self.base)))
-        weigh = lambda places: 2 * sum(s.sample(ids[p])[1] for p in places)
-        if len(found) == 1:
-            s.templates[template][1] = weigh(found[0][1])
-            s.note("template", "limit", template, text, s.templates[template][1])
+        found = branch_names(lambda: (row[2] for row in s.rows(template) if row[1] is not None), round(math.log(lines, self.base)))
+        if found is None or len(found[0]) == 1:
+            s.templates[template][1] = 2 * lines
+            s.note("template", "limit", template, text, 2 * lines)
             return
-        for name, places in found:
-            to = self._add(s, name, weigh(places), "split", but=template)
-            for p in sorted(places):
-                s.assign(ids[p], texts[p], to, "split")
-            s.members[to] = dict(sorted(s.members[to].items(), key=lambda m: s.sample(m[0])[2]))
+        parts = {name: [s.lists.new(), 0] for name in found[0]}
+        for row in s.rows(template):
+            part = parts[found[1](row[2])]
+            s.lists.add(part[0], row)
+            part[1] += row[3]
+        for name, (part, weight) in parts.items():
+            to = yield from self._add(s, name, 2 * weight, "split", but=template)
+            moved = yield from s.move(s.lists.rows(part), template, to, "split")
+            s.lists.drop(part)
+            s.gather(to, [moved])
         s.drop(template, None, "split")
 
     def close(self) -> None:
         pass
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, str]]:
-    """Lines by their number. Batches that come in order, as those of a sorted table do, are passed on one by one; else they are sorted together."""
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, str, bool]]:
+    """Lines by their number, and whether their text comes again. Batches that come in order, as those of a sorted table do, are passed on one by one; else they are sorted together."""
     last, held = None, []
     for part in rows:
-        part = part[["line_no", "sample_id", "content"]]
+        part = part[["line_no", "sample_id", "content", "later"]]
         if not held and part["line_no"].is_monotonic_increasing and (last is None or not len(part) or part["line_no"].iloc[0] > last):
             last = part["line_no"].iloc[-1] if len(part) else last
             yield from _numbered(part)
@@ -328,9 +567,12 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, str]]:
         yield from _numbered(whole)
 
 
-def _numbered(part: pd.DataFrame) -> Iterator[tuple[int, int, str]]:
-    part = part.sort_values(["line_no", "content"], kind="stable")
-    yield from zip(part["line_no"].tolist(), part["sample_id"].tolist(), part["content"].tolist())
+def _numbered(part: pd.DataFrame) -> Iterator[tuple[int, int, str, bool]]:
+    return _listed(part.sort_values(["line_no", "content"], kind="stable"))
+
+
+def _listed(part: pd.DataFrame) -> Iterator[tuple[int, int, str, bool]]:
+    return zip(part["line_no"].tolist(), part["sample_id"].tolist(), part["content"].tolist(), part["later"].tolist())
 
 
 def mine_online(lines: DataFrame, key: Sequence[str] = ("dataset",), **options) -> DataFrame:
@@ -345,7 +587,11 @@ def mine_online(lines: DataFrame, key: Sequence[str] = ("dataset",), **options)
     state_store(spark)
     if not rows.isStreaming:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(n, *key).sortWithinPartitions(*key, "line_no", "content")
+        # sorted twice where they are: by text, for what comes again, and by line
+        after = Window.partitionBy(*key, "sample_id").orderBy("line_no")
+        rows = rows.repartition(n, *key).withColumn("later", F.lead("line_no").over(after).isNotNull()).sortWithinPartitions(*key, "line_no", "content", F.desc("later"))
+    else:
+        rows = rows.withColumn("later", F.lit(True))
     schema = ", ".join(f"key{k} {rows.schema[c].dataType.simpleString()}" for k, c in enumerate(key)) + ", " + LOG
     out = rows.groupBy(*key).transformWithStateInPandas(Miner(**options, keep=rows.isStreaming), schema, "append", "none")
     return out.withColumnsRenamed({f"key{k}": c for k, c in enumerate(key)})

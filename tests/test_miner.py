@@ -142,3 +142,60 @@ def test_fold_all_equals_folding_one_by_one():
             for t in tokens[1:]:
                 plain = lcs.fold(plain, [t], weighted=weighted)
             assert lcs.fold_all(tokens, weighted) == plain
+
+
+def mined_in_parts(parts, **options):
+    """What leaves the miner for a finished table of one key: lines come in these parts, as (line_no, content, later)."""
+    import pandas as pd
+
+    one = miner.Miner(keep=False, **options)
+    one.handles = {"counters": type("Nothing", (), {"exists": lambda self: False})()}
+    tables = (pd.DataFrame([(i, hash(t), t, later) for i, t, later in part], columns=["line_no", "sample_id", "content", "later"]) for part in parts)
+    yield from one.handleInputRows(("d",), tables, None)
+
+
+def test_samples_of_a_finished_table_are_on_disk(monkeypatch):
+    """Three times the lines of one template take no more memory, and the log leaves in parts within a split too (before: all samples were held, and all changes of a split)."""
+    import tracemalloc
+    from itertools import batched
+
+    monkeypatch.setattr(miner, "HELD", 200, raising=False)
+    monkeypatch.setattr(miner, "LOGGED", 200)
+
+    def peak(n):
+        lines = ((k, f"order {k} of customer {k % 997} is {'open' if k < n - n // 4 else 'done'} now <*>", False) for k in range(n))
+        tracemalloc.start()
+        sizes = [len(part) for part in mined_in_parts(batched(lines, 500))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, max(sizes)
+
+    peak(3000)  # what is kept for all keys
+    (small, a), (large, b) = peak(3000), peak(9000)
+    assert large < small + 1_000_000 and a <= 210 and b <= 210, (small, large, a, b)
+
+
+def test_the_log_does_not_depend_on_what_is_held(monkeypatch):
+    """Rows on disk or in memory, batches cut within equal line numbers, and wildcards in gaps: the log is the same (before: such a cut was an error)."""
+    chance = random.Random(5)
+    parts = ["<*>", "1", "12", "<*> 1", "ab", "open", "close"]
+    lines = [(k // 2, f"{chance.choice(parts)} - job {chance.choice(parts)} by {chance.choice(parts)}") for k in range(300)]
+    lines = sorted(lines) + [(200 + k, f"order {k % 40} of customer {k} is {chance.choice(['open', 'done'])} now") for k in range(300)]
+    last = {t: k for k, (_, t) in enumerate(lines)}
+    lines = [(i, t, last[t] > k) for k, (i, t) in enumerate(lines)]
+    log = lambda size: [r for part in mined_in_parts(lines[k : k + size] for k in range(0, len(lines), size)) for r in part.drop(columns="key0").astype(str).values.tolist()]
+    want = log(1000)
+    assert {"split", "absorbed", "merged", "limit"} <= {r[-1] for r in want}
+    monkeypatch.setattr(miner, "HELD", 3)
+    monkeypatch.setattr(miner, "LOGGED", 2)
+    monkeypatch.setattr(miner, "SHAPES", 2)
+    assert log(7) == want
+
+
+def test_branches_where_a_late_wildcard_takes_values_in():
+    """More values than branches may be, which one with a wildcard takes in at the end: as if all had been held."""
+    tail = "files are read by ann"
+    texts = [f"in:{k} {tail}" for k in range(30)] + [f"b {tail}"] + [f"in:{k} {tail}" for k in range(30, 60)]
+    assert len(miner.branches(texts, 3)) == 1
+    found = miner.branches([*texts, f"in:<*> {tail}"], 3)
+    assert {name: sorted(places) for name, places in found} == {f"b {tail}": [30], f"in:<*> {tail}": [k for k in range(62) if k != 30]}
